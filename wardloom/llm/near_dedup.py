@@ -188,7 +188,7 @@ def pivot_pairs(roots: DataFrame, classes: DataFrame) -> DataFrame:
 
 def path_pairs(roots: DataFrame, classes: DataFrame) -> DataFrame | None:
     """Pairs of different components that a node of some tree brings together and whose sketches are alike enough."""
-    byte = lambda c: F.shiftrightunsigned(F.get(F.array(*_S), (c / 8).cast("int")), ((c % 8) * 8).cast("int")).bitwiseAND(F.lit(255))
+    byte = lambda c: F.call_function("shiftrightunsigned", F.get(F.array(*_S), (c / 8).cast("int")), ((c % 8) * 8).cast("int")).bitwiseAND(F.lit(255))
     level = roots.join(classes.select("cid", "comp", *_S), "cid")
     found = None
     for depth in range(MAX_DEPTH + 1):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardloom.llm import bpe, near_dedup, packing, quality_mil, sharding, simhash, token_store
+from wardloom.llm import bpe, chat, near_dedup, packing, quality_mil, sharding, simhash, token_store
 from wardloom.llm.common import table
 from wardloom.llm.line_dedup import dedup_lines
 from wardloom.llm.quality_rules import apply_quality_rules
@@ -30,6 +30,7 @@ def queries() -> dict[str, Query]:
         "op2_fingerprints": simhash.query,
         "op3_near_dedup": near_dedup.query,
         "op4_packing": packing.query,
+        "op5_chat": chat.query,
         "op6_line_dedup": op6_line_dedup,
         "op7_token_store": token_store.query,
         "op8_bpe": bpe.query,

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from wardloom.plans import log_queries, roll_queries, text_queries
+from wardloom.plans.book import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+BOOKS = (text_queries.book, roll_queries.book, log_queries.book)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for book in BOOKS for name, f in book.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for book in BOOKS for name, sql in book.sql.items()}

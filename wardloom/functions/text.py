@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,8 +61,6 @@ def strip_white(c: Column) -> Column:
 
 def nfc(c: Column) -> Column:
     """Unicode NFC for any script; Spark has no function for it."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def normalised(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFC")

@@ -80,11 +80,12 @@ def shard_rows(df: DataFrame, key: str, n_shards: int) -> DataFrame:
     rows = stored(rows, "shard-rows")
     counts = {(r[0], r[1]): r[2] for r in rows.groupBy("__arc", "__part").count().collect()}
     ranges = walk(counts, ring(n_shards), n_shards)
-    schema = T.StructType([T.StructField(n, t()) for n, t in (("__arc", T.IntegerType), ("__part", T.IntegerType), ("__lo", T.LongType), ("__hi", T.LongType), ("shard", T.IntegerType), ("__slot", T.LongType))])
+    schema = T.StructType([T.StructField(n, t()) for n, t in (("__arc", T.IntegerType), ("__part", T.IntegerType), ("__lo", T.LongType), ("__hi", T.LongType), ("__shard", T.IntegerType), ("__slot", T.LongType))])
     ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__arc", "__part").orderBy("__h", "__row")).cast("long") - 1)
     given = F.broadcast(spark.createDataFrame(ranges, schema))  # ARCS * PARTS ranges, and one more for each shard that fills up
     found = ranked.join(given, ["__arc", "__part"]).filter("__rank >= __lo AND __rank < __hi")
-    return found.withColumn("slot", F.col("__slot") + F.col("__rank") - F.col("__lo")).select(*(c for c in df.columns if c not in ("shard", "slot")), "shard", "slot")
+    slot = F.col("__slot") + F.col("__rank") - F.col("__lo")
+    return found.select(*(c for c in df.columns if c not in ("shard", "slot")), F.col("__shard").alias("shard"), slot.alias("slot"))
 
 
 def query(spark, sf_dir: str, n_shards: int = 40) -> DataFrame:

@@ -15,8 +15,9 @@ import re
 from array import array
 from collections.abc import Callable
 
-#: Latin, Greek and Cyrillic letters with general punctuation: one meaning in every Unicode version in use.
-_COMMON = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa0-\\u02af\\u0391-\\u03a1\\u03a3-\\u03a9\\u03b1-\\u03c1\\u03c3-\\u03c9\\u0410-\\u044f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]*").fullmatch
+#: Latin, Greek (but the capital sigma, whose lower case depends on its place) and Cyrillic letters, general punctuation:
+#: one meaning in every Unicode version in use.
+_COMMON = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa0-\\u02af\\u0391-\\u03a1\\u03a4-\\u03a9\\u03b1-\\u03c1\\u03c3-\\u03c9\\u0410-\\u044f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]*").fullmatch
 _GPT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_END = "\x01"
 _WORD_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\s\w]|_)+").findall

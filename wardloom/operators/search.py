@@ -66,8 +66,7 @@ def lookup_filter(df: DataFrame, lookup: DataFrame, wanted: str | None = None, n
 
 def grams(df: DataFrame, id_col: str, key: str) -> DataFrame:
     """(id, gram): the distinct three-letter windows of a key."""
-    n = F.length(key)
-    windows = F.when(n >= GRAM, F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring(F.col(key), i, F.lit(GRAM))))
+    windows = F.regexp_extract_all(F.col(key), F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
     return df.select(id_col, F.explode(F.array_distinct(windows)).alias("gram"))
 
 

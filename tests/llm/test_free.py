@@ -73,7 +73,7 @@ def copies(seed=1, groups=12, size=14, words=90):
 def test_components_equal_all_pairs(spark, monkeypatch, low):
     rows = copies() + [(900, "A b C d E f"), (901, "a B c D e F"), (902, "a b"), (903, "A B"), (904, ""), (905, None), (906, "  "), (None, "a b"), (None, None), (902, "a b")]
     if low:  # branch all but the smallest nodes, compare what stays large in chunks
-        for k, v in (("WORK", 3), ("PIVOTS", 1), ("MAX_DEPTH", 2), ("CHUNK", 4)):
+        for k, v in (("WORK", 3), ("PIVOTS", 1), ("MAX_DEPTH", 2), ("BLOCK_BYTES", 2000)):
             monkeypatch.setattr(near_dedup, k, v)
     out = near_dedup.near_components(frame(spark, rows)).select("doc_id", "n_shingles", "component_id", "kept").collect()
     assert sorted(map(tuple, out), key=str) == similar(rows) or sorted((tuple(r) for r in out if r[0] is not None), key=str) == [x for x in similar(rows) if x[0] is not None]

@@ -10,8 +10,9 @@ branched again by further tokens.  Classes are then compared inside nodes:
    are done (a group of thousands of near copies is settled here, in linear
    work);
 2. in the rest, all members are compared with those outside the node's largest
-   component.  Nodes where that is much work are branched first.  A node that
-   stays large after MAX_DEPTH levels is compared all the same, in chunks.
+   component, if that is little work.  Other nodes branch; one that branching
+   doesn't halve (its members are all fairly alike, though many may not link)
+   is compared on full sets, in blocks of bounded size.
 
 A comparison is first a sketch of 128 bytes (one per minwise hash), in
 generated code; pairs that may reach the threshold are confirmed on the full
@@ -50,7 +51,8 @@ PIVOTS = 4
 WORK = 20_000
 MAX_DEPTH = 6
 BRANCHES = 2
-CHUNK = 256
+#: Text in a chunk of a large node; a block holds two chunks.
+BLOCK_BYTES = 8 << 20
 _NO_ID = -(1 << 63)
 _S = [f"s{i}" for i in range(WORDS)]
 
@@ -127,11 +129,15 @@ def _prefixed(df: DataFrame, prefix: str, *more: str) -> DataFrame:
     return df.select(*(F.col(c).alias(prefix + c) for c in ("cid", *_S, *more)))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) of classes whose full sets reach the threshold."""
-    of = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "id", "th"), "cid")
+def texts_of(cids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cid, text) of the classes named."""
+    of = cids.distinct().join(classes.select("cid", "id", "th"), "cid")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), text_of().alias("text")).withColumn("th", F.xxhash64("text"))
-    found = stored(texts.join(of, ["id", "th"]).select("cid", "text").dropDuplicates(["cid"]), "near-texts")
+    return stored(texts.join(of, ["id", "th"]).select("cid", "text").dropDuplicates(["cid"]), "near-texts")
+
+
+def confirmed(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) of classes whose full sets, from the texts ``found``, reach the threshold."""
     both = pairs.join(found.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b").join(found.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,33 +192,92 @@ def pivot_pairs(roots: DataFrame, classes: DataFrame) -> DataFrame:
     return near.select("a", "b")
 
 
-def path_pairs(roots: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """Pairs of different components that a node of some tree brings together and whose sketches are alike enough."""
+def _shared_before(tree: Column) -> Column:
+    """Whether a and b meet in a root node, of a tree before ``tree``, whose members are all compared."""
+    met = F.lit(False)
+    for t in range(TREES):
+        met = met | ((F.lit(t) < tree) & (F.shiftright("a_done", t).bitwiseAND(F.lit(1)) == 1) & (F.get("a_roots", F.lit(t)) == F.get("b_roots", F.lit(t))))
+    return met
+
+
+def path_pairs(roots: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the trees' nodes leave to compare, of classes in different components.
+
+    Returns pairs (a, b) whose sketches are alike enough, from nodes with
+    little work; and the members (node, cid, comp, major) of large nodes that
+    branching doesn't take apart.  A pair that meets in several root nodes is
+    reported by the first.
+    """
     byte = lambda c: F.call_function("shiftrightunsigned", F.get(F.array(*_S), (c / 8).cast("int")), ((c % 8) * 8).cast("int")).bitwiseAND(F.lit(255))
-    level = roots.join(classes.select("cid", "comp", *_S), "cid")
-    found = None
+    fields = ["cid", "comp", "roots", *_S]
+    level = roots.join(classes.select(*fields), "cid").select("node", "tree", F.lit(None).cast("long").alias("parent"), *fields)
+    pairs = stuck = done = None
     for depth in range(MAX_DEPTH + 1):
-        by_comp = level.groupBy("node", "comp").agg(F.count("*").alias("k"))
-        nodes = by_comp.groupBy("node").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("comp", F.struct("k", "comp")).alias("major"), F.count("*").alias("comps"))
-        nodes = nodes.filter("comps > 1").withColumn("ready", F.lit(depth == MAX_DEPTH) | ((F.col("n") - F.col("most")) * F.col("n") <= WORK))
-        level = stored(level.join(nodes.select("node", "n", "major", "ready"), "node"), "nodes")
-        ready = level.filter("ready").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-        right = ready.withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
-        left = ready.filter("comp <> major").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        a = left.select(F.col("node"), F.col("chunk"), *(F.col(c).alias("a_" + c) for c in ("cid", "comp", *_S)))
-        b = right.select(F.col("node").alias("b_node"), F.col("chunk").alias("b_chunk"), (F.col("comp") != F.col("major")).alias("b_minor"), *(F.col(c).alias("b_" + c) for c in ("cid", "comp", *_S)))
-        met = a.join(
-            b,
-            (F.col("node") == F.col("b_node")) & (F.col("chunk") == F.col("b_chunk")) & (F.col("a_comp") != F.col("b_comp"))
-            & (~F.col("b_minor") | (F.col("a_cid") < F.col("b_cid"))) & (alike("a_", "b_") >= ALIKE),
+        by_comp = level.groupBy("node", "comp").agg(F.count("*").alias("k"), F.max("parent").alias("parent"))
+        nodes = by_comp.groupBy("node").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("comp", F.struct("k", "comp")).alias("major"), F.count("*").alias("comps"), F.max("parent").alias("parent"))
+        small = (F.col("n") - F.col("most")) * F.col("n") <= WORK
+        whole = F.lit(depth == MAX_DEPTH) | (F.coalesce(2 * F.col("n") > F.col("parent"), F.lit(False)))
+        nodes = nodes.filter("comps > 1").withColumn("kind", F.when(small, 0).when(whole, 1).otherwise(2))
+        level = stored(level.drop("parent").join(nodes.select("node", "n", "major", "kind"), "node"), "nodes")
+        ready = level.filter("kind = 0")
+        if depth == 0:
+            done = stored(ready.groupBy("cid").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("tree"))).alias("done")), "done")
+        ready = ready.join(done, "cid", "left").withColumn("done", F.coalesce("done", F.lit(0)))
+        side = lambda df, p: df.select(*(F.col(c).alias(p + c) for c in ("node", "tree", "major", "done", *fields)))
+        met = side(ready.filter("comp <> major"), "a_").join(
+            side(ready, "b_"),
+            (F.col("a_node") == F.col("b_node")) & (F.col("a_comp") != F.col("b_comp")) & ((F.col("b_comp") == F.col("b_major")) | (F.col("a_cid") < F.col("b_cid")))
+            & (alike("a_", "b_") >= ALIKE) & ~_shared_before(F.col("a_tree") if depth == 0 else F.lit(TREES)),
         ).select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b"))
-        found = met if found is None else found.unionByName(met)
-        rest = level.filter("NOT ready")
+        pairs = met if pairs is None else pairs.unionByName(met)
+        kept = level.filter("kind = 1").select("node", "cid", "comp", "major")
+        stuck = kept if stuck is None else stuck.unionByName(kept)
+        rest = level.filter("kind = 2")
         if depth == MAX_DEPTH or rest.isEmpty():
             break
         branch = F.explode(F.array(*(F.pmod(F.xxhash64("node", F.lit(depth * BRANCHES + k)), F.lit(SKETCH)) for k in range(BRANCHES)))).alias("c")
-        level = rest.select("node", "cid", "comp", *_S, branch).withColumn("node", F.xxhash64("node", "c", byte(F.col("c")))).select("node", "cid", "comp", *_S)
-    return found.distinct()
+        level = rest.select("node", "tree", F.col("n").alias("parent"), *fields, branch).withColumn("node", F.xxhash64("node", "c", byte(F.col("c")))).select("node", "tree", "parent", *fields)
+    return pairs.distinct(), stuck.distinct()
+
+
+def block_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) inside large nodes, found on full sets, block by block.
+
+    ``members`` (node, cid, comp, major) fall into chunks of about BLOCK_BYTES
+    of text; a block holds a chunk of those outside the major component and a
+    chunk of all, counts shared tokens through an inverted index, and reports
+    for each of the former one partner in each component that it reaches.
+    """
+    rows = members.join(texts, "cid")
+    sizes = rows.groupBy("node").agg(F.ceil(F.sum(F.length("text") + 1) / BLOCK_BYTES).cast("int").alias("chunks"))
+    rows = rows.join(sizes, "node").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    right = rows.select("node", F.explode(every).alias("i"), F.col("chunk").alias("j"), F.lit(False).alias("asks"), "cid", "comp", "text")
+    left = rows.filter("comp <> major").select("node", F.col("chunk").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("asks"), "cid", "comp", "text")
+
+    def run(block: pa.Table) -> pa.Table:
+        asks = np.array(block.column("asks").to_pylist(), bool)
+        cid, comp = block.column("cid").to_numpy(), block.column("comp").to_numpy()
+        sets = [shingle_set(t.as_py()) for t in block.column("text")]
+        size = np.array([len(s) for s in sets], np.int64)
+        hold = np.nonzero(~asks)[0]
+        tokens, at = np.unique(np.concatenate([sets[i] for i in hold] or [np.empty(0, np.uint64)]), return_inverse=True)
+        owner = np.repeat(np.arange(len(hold)), size[hold])[np.argsort(at, kind="stable")]
+        first = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(tokens)))])
+        a, b = [], []
+        for i in np.nonzero(asks)[0]:
+            k = np.searchsorted(tokens, sets[i])
+            k = k[(k < len(tokens)) & (tokens[np.minimum(k, len(tokens) - 1)] == sets[i])] if len(tokens) else k[:0]
+            if len(k):
+                n = np.bincount(np.concatenate([owner[first[x] : first[x + 1]] for x in k]), minlength=len(hold))
+                near = hold[100 * n >= PERCENT * (size[i] + size[hold] - n)]
+                near = near[comp[near] != comp[i]]
+                for x in near[np.unique(comp[near], return_index=True)[1]]:
+                    a.append(min(cid[i], cid[x]))
+                    b.append(max(cid[i], cid[x]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return left.unionByName(right).groupBy("node", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -222,15 +287,18 @@ def near_components(docs: DataFrame) -> DataFrame:
     firsts = stored(firsts, "classes")
     one = rows.join(firsts.select("cid", "class_id"), F.col("uid") == F.col("cid"))
     classes = stored(one.select("cid", "class_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "th", "roots", *_S), "class-sketches")
-    roots = classes.select("cid", F.explode("roots").alias("node"))
+    roots = classes.select("cid", F.posexplode("roots").alias("tree", "node"))
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("cid"))
     tried = stored(pivot_pairs(roots, classes), "pivot-pairs")
-    links = stored(confirmed(tried, classes, docs), "links")
+    links = stored(confirmed(tried, texts_of(ends(tried), classes, docs)), "links")
     known = stored(_with_comp(classes, components(links)), "components")
     nodes = roots.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node")
-    more = stored(path_pairs(roots.join(nodes, "node"), known).join(tried, ["a", "b"], "left_anti"), "path-pairs")
+    pairs, stuck = path_pairs(roots.join(nodes, "node"), known)
+    pairs, stuck = stored(pairs.join(tried, ["a", "b"], "left_anti"), "path-pairs"), stored(stuck, "large-nodes")
+    texts = texts_of(ends(pairs).unionByName(stuck.select("cid")), classes, docs)
+    more = stored(confirmed(pairs, texts).unionByName(block_links(stuck, texts)), "links")
     if not more.isEmpty():
-        links = links.unionByName(confirmed(more, classes, docs))
-        known = stored(_with_comp(classes, components(links)), "components")
+        known = stored(_with_comp(classes, components(links.unionByName(more))), "components")
     lowest = known.groupBy("comp").agg(F.min("class_id").alias("component_id"))
     named = firsts.join(known.select("cid", "comp").join(lowest, "comp").select("cid", "component_id"), "cid").select("set_key", "class_id", "component_id")
     out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")

@@ -236,3 +236,19 @@ def test_planted_conversation(spark, tmp_path):
     said = "</s>[INST] ok [/INST]"
     assert got[-7]["loss_chars"] == len(said) and got[-7]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
     assert got[1]["n_turns"] == 1 and got[1]["loss_chars"] == 0
+
+
+def test_queries_equal_their_sql(spark):
+    import duckdb
+
+    from wardloom.llm import registry
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name, sql in registry.oracle_sql().items():
+        df, want = registry.queries()[name](spark, sf), con.sql(sql)
+        columns = sorted(df.columns)
+        assert columns == sorted(want.columns), name
+        plain = lambda rows, names: sorted(repr([r[names.index(c)] for c in columns]) for r in rows)
+        assert plain(df.collect(), df.columns) == plain(want.fetchall(), want.columns), name

@@ -6,6 +6,7 @@ but ``nfc``, which Spark lacks.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -24,6 +25,7 @@ LATIN = {"w": "v", "z": "j", "q": "k", "f": "p"}
 SYLLABLES = {"ऋ": "ri", "ॠ": "ri", "ृ": "ri", "ॄ": "ri", "ऌ": "li", "ॐ": "om", "x": "ks"}
 #: Marks that sound as nothing and don't split a word.
 SILENT = "़्ऽ॑-॔‌‍̀-ͯ"
+_SILENT_MARKS = [chr(c) for c in range(0x300, 0xA00) if re.match(f"[{SILENT}]", chr(c))] + ["\u200c", "\u200d"]
 #: White space as browsers define it.
 WHITE = "\t-\r    -     　﻿"
 
@@ -79,14 +81,15 @@ def normalise(c: Column) -> Column:
 
 def phonetic_key(c: Column) -> Column:
     """The skeleton by which spellings of one name agree across scripts."""
-    s = _swap(F.lower(F.coalesce(c, F.lit(""))), {**NUKTA_LETTERS, **{a: b for a, b in ACCENTED.items() if a == a.lower()}})
-    s = F.regexp_replace(s, f"[{SILENT}]", "")
+    bare = {**NUKTA_LETTERS, **{a: b for a, b in ACCENTED.items() if a == a.lower()}}
+    s = F.translate(F.lower(F.coalesce(c, F.lit(""))), "".join(bare) + "".join(_SILENT_MARKS), "".join(bare.values()))
     s = F.regexp_replace(s, "[ंँ](?=ह)", "ng")
     for letter, sound in SYLLABLES.items():
         s = F.replace(s, F.lit(letter), F.lit(sound))
-    s = _swap(s, {**INDEPENDENT_VOWELS, **VOWEL_SIGNS, **CONSONANTS, **LATIN, **dict(zip(DEVANAGARI_DIGITS, ASCII_DIGITS, strict=True))})
-    s = F.regexp_replace(s, "[^a-z0-9]", " ")
-    s = F.ltrim(F.regexp_replace(F.translate(s, "a", ""), " +", " "))
+    heard = {**INDEPENDENT_VOWELS, **VOWEL_SIGNS, **CONSONANTS, **LATIN, **dict(zip(DEVANAGARI_DIGITS, ASCII_DIGITS, strict=True)), "a": "a"}
+    said = {k: v for k, v in heard.items() if v != "a"}
+    s = F.translate(s, "".join(said) + "".join(k for k in heard if k not in said), "".join(said.values()))  # "a" is never heard
+    s = F.ltrim(F.regexp_replace(s, "[^a-z0-9]+", " "))
     s = F.replace(F.replace(s, F.lit("ee"), F.lit("i")), F.lit("oo"), F.lit("u"))
     s = F.regexp_replace(s, "([kgcjtdpbs])h+", "$1")
     s = F.regexp_replace(F.regexp_replace(s, "m(?=[pb])", "n"), "y(?= |$)", "i")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardloom.functions import text as X
+from wardloom.sources.shared import shared_folder
 
 # The fields in rank order, how each is keyed, and the tiers.
 FIELDS = (("name", X.phonetic_key), ("relative", X.phonetic_key), ("house", X.phonetic_key), ("serial", X.code_key), ("epic", X.code_key))
@@ -143,11 +145,15 @@ def batch_search(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str,
 
     Candidates are rows that hold the query's rarest gram (by its count in the
     corpus), so a frequent gram is never what a join is on; the tier is then
-    checked on the whole key.
+    checked on the whole key.  The corpus rows of the queries' grams are stored,
+    as they are counted first and joined then.
     """
-    index = grams(corpus, id_col, key)
+    spark = corpus.sparkSession
     wanted = grams(queries, query_col, key)
-    counts = index.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    path = f"{shared_folder(spark)}/grams-{uuid.uuid4().hex}"
+    grams(corpus, id_col, key).join(wanted.select("gram").distinct(), "gram", "left_semi").write.parquet(path)
+    index = spark.read.parquet(path)
+    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = wanted.join(counts, "gram", "left").groupBy(query_col).agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     met = index.join(rarest, "gram").select(id_col, query_col)
     q = queries.select(query_col, F.col(key).alias("q"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardloom.functions import text as X
@@ -115,11 +115,11 @@ def panchayat_filter(df: DataFrame, query: str, name: str = "panchayat", block:
 
 
 def selection(wards: DataFrame, seat: str, panchayat_id: int, ward: int | None = None) -> DataFrame:
-    """All wards of a panchayat for a 'sarpanch' seat, one for a 'panch' seat."""
+    """All wards of a panchayat for a 'sarpanch' seat, one for a 'ward-panch' seat; none for any other."""
     rows = wards.filter(F.col("panchayat_id") == panchayat_id)
     if seat == "sarpanch":
         return rows
-    if seat != "panch" or ward is None:
+    if seat != "ward-panch" or ward is None:
         return rows.limit(0)
     return rows.filter(F.col("ward") == ward)
 
@@ -132,3 +132,28 @@ def resolve(paths: DataFrame, wards: DataFrame) -> DataFrame:
     rows = paths.withColumns({k: part(i) for i, k in enumerate(keys)})
     known = wards.select(*keys[:3], F.col("ward").cast("bigint").alias("ward"), F.lit(True).alias("found")).distinct()
     return rows.join(known, keys, "left").withColumn("found", F.coalesce("found", F.lit(False))).select("path", "found")
+
+
+def panchayat_label(name: Column, block: Column) -> Column:
+    """The name, with the block in brackets if there is one."""
+    return F.when(F.coalesce(F.trim(block), F.lit("")) != "", F.concat(name, F.lit(" ("), block, F.lit(")"))).otherwise(name)
+
+
+def seat_label(seat: Column, panchayat: Column, ward: Column) -> Column:
+    """The line that names a seat: all wards for a sarpanch, one for a ward; null if the seat is not one."""
+    where = F.concat(F.lit("पंचायत: "), F.trim(panchayat))
+    named = F.coalesce(F.trim(panchayat), F.lit("")) != ""
+    return F.when(named & (seat == "sarpanch"), F.concat(where, F.lit(" · सभी वार्ड"))).when(
+        named & (seat == "ward-panch") & (F.coalesce(F.trim(ward), F.lit("")) != ""), F.concat(where, F.lit(" · वार्ड: "), F.trim(ward))
+    )
+
+
+def roll_selection(picks: DataFrame) -> DataFrame:
+    """What opens a roll: the ids of a ward-panch pick of one ward; other picks give no row.
+
+    ``picks``: seat, district_id, samiti_id, panchayat_id, wards (array of ward and url).
+    """
+    one = picks.filter((F.col("seat") == "ward-panch") & (F.size("wards") == 1)).withColumn("w", F.col("wards")[0])
+    return one.filter("w.url IS NOT NULL").select(
+        F.col("district_id").cast("string").alias("district"), F.coalesce(F.col("samiti_id").cast("string"), F.lit("")).alias("samiti"), F.col("panchayat_id").cast("string").alias("panchayat"), F.col("w.ward").cast("string").alias("ward"), "w.url"
+    )

@@ -79,6 +79,17 @@ def segment_records(lines: DataFrame, same_row: float = 2.0, right: float = 1.0)
     return rows.groupBy("doc", "record").agg(F.max("l_text").alias("label"), values.alias("value"), F.count_if(~F.col("is_start") & ~on_row).alias("rest"))
 
 
+def struck_marks(lines: DataFrame, same_row: float = 2.0) -> DataFrame:
+    """Serial lines (doc, pos) that a mark strikes off: the mark follows, on the serial's row.
+
+    ``lines``: doc, pos, y, is_serial, is_mark.
+    """
+    before = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("is_serial"), F.struct("pos", "y")), ignorenulls=True).over(before)
+    marks = lines.withColumn("serial", last).filter(F.col("is_mark") & (F.abs(F.col("serial.y") - F.col("y")) < same_row))
+    return marks.select("doc", F.col("serial.pos").alias("pos")).distinct()
+
+
 def page_dedupe(entries: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
     """One record per key: the first in page order, struck if any repeat is."""
     at = F.struct(*order)

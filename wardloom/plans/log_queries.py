@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from wardloom.operators import catalogue as C, quality, synclog, tally
+from wardloom.operators import catalogue as C, quality, rolls, synclog, tally
 from wardloom.plans.book import Book
 from wardloom.plans.text_queries import BASE, _URL, _KIND
 from wardloom.functions import text as X
@@ -212,10 +212,33 @@ def filter_panchayats(v):
     return C.panchayat_filter(v.cat_ward, "#00000001").select("panchayat_id").distinct()
 
 
-@query("SELECT panchayat_id, ward, 'sarpanch' AS seat FROM cat_ward WHERE panchayat_id = 3 UNION ALL SELECT panchayat_id, ward, 'panch' FROM cat_ward WHERE panchayat_id = 3 AND ward = 2")
+@query("SELECT panchayat_id, ward, 'sarpanch' AS seat FROM cat_ward WHERE panchayat_id = 3 UNION ALL SELECT panchayat_id, ward, 'ward-panch' FROM cat_ward WHERE panchayat_id = 3 AND ward = 2")
 def build_selection(v):
     rows = v.cat_ward.select("panchayat_id", "ward")
-    return C.selection(rows, "sarpanch", 3).withColumn("seat", F.lit("sarpanch")).unionByName(C.selection(rows, "panch", 3, 2).withColumn("seat", F.lit("panch")))
+    return C.selection(rows, "sarpanch", 3).withColumn("seat", F.lit("sarpanch")).unionByName(C.selection(rows, "ward-panch", 3, 2).withColumn("seat", F.lit("ward-panch")))
+
+
+@query("""SELECT panchayat_id, ward, concat(panchayat, ' (', samiti, ')') AS label, CASE WHEN ward = 1 THEN concat('पंचायत: ', panchayat, ' · सभी वार्ड') ELSE concat('पंचायत: ', panchayat, ' · वार्ड: ', CAST(ward AS VARCHAR)) END AS seat FROM cat_ward""")
+def seat_labels(v):
+    kind = F.when(F.col("ward") == 1, "sarpanch").otherwise("ward-panch")
+    label, seat = C.panchayat_label(F.col("panchayat"), F.col("samiti")), C.seat_label(kind, F.col("panchayat"), F.col("ward").cast("string"))
+    return v.cat_ward.select("panchayat_id", "ward", label.alias("label"), seat.alias("seat"))
+
+
+@query(f"SELECT CAST(district_id AS VARCHAR) AS district, CAST(samiti_id AS VARCHAR) AS samiti, CAST(panchayat_id AS VARCHAR) AS panchayat, CAST(ward AS VARCHAR) AS ward, {_URL} AS url FROM cat_ward WHERE ward % 2 = 0")
+def roll_selections(v):
+    """A pick for every ward, alternately for a ward seat and for a sarpanch."""
+    url = X.ward_url(BASE, F.col("samiti_id"), F.col("panchayat"), F.col("ward"))
+    seat = F.when(F.col("ward") % 2 == 0, "ward-panch").otherwise("sarpanch")
+    return C.roll_selection(v.cat_ward.select(seat.alias("seat"), "district_id", "samiti_id", "panchayat_id", F.array(F.struct("ward", url.alias("url"))).alias("wards")))
+
+
+@query("""WITH m AS (SELECT doc, pos, y, is_start AS is_serial, NOT is_start AND length(text) % 2 = 0 AS is_mark FROM lines), p AS (SELECT *, max(CASE WHEN is_serial THEN pos END) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sp FROM m)
+    SELECT DISTINCT p.doc, p.sp AS pos FROM p JOIN m s ON s.doc = p.doc AND s.pos = p.sp WHERE p.is_mark AND abs(s.y - p.y) < 2""")
+def struck_marks(v):
+    """Lines of even length taken as marks."""
+    marked = v.lines.select("doc", "pos", "y", F.col("is_start").alias("is_serial"), (~F.col("is_start") & (F.length("text") % 2 == 0)).alias("is_mark"))
+    return rolls.struck_marks(marked)
 
 
 @query(f"SELECT DISTINCT {_URL} AS url FROM cat_ward WHERE final")

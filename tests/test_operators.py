@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from wardloom.functions import spans, text
 from wardloom.operators import calls, catalogue, households, quality, rolls, search, synclog, tally
 
 ROLL = "ward string, serial string, name string, relative string, house string, epic string, age int, gender string"
@@ -59,9 +60,19 @@ def test_batch_search_equals_single_scans(spark):
 
 
 def test_match_ranges(spark):
-    df = spark.createDataFrame([("The theme",), ("कि क",), ("none",), (None,)], "t string")
-    assert [r[1] for r in search.match_ranges(df, "t", "the").collect()][:1] == [[(0, 3), (4, 7)]]
-    assert [r[1] for r in search.match_ranges(df, "t", "क").collect()][1] == [(0, 2), (3, 4)]
+    cases = [("रमेश", "ramesh", [(0, 4)]), ("रमेश", "रमेश", [(0, 4)]), ("रमेश", "rame", [(0, 3)]), ("रमेश चंद्र", "chandra", [(5, 10)]), ("रमेश", "esh", [(1, 4)]), ("राम राम", "ram", [(0, 3), (4, 7)]), ("Ram", "!", []), (None, "ram", [])]
+    for text, query, want in cases:
+        got = search.match_ranges(spark.createDataFrame([(text,)], "t string"), "t", query).first()["ranges"]
+        assert [tuple(r) for r in got] == want, (text, query)
+    assert [tuple(r) for r in search.match_ranges(spark.createDataFrame([("RJ/००१",)], "t string"), "t", "j0", "code").first()["ranges"]] == [(1, 4)]
+
+
+def test_spans_build_the_same_key(spark):
+    random.seed(9)
+    texts = ["".join(random.choice("aaeohkmpbsyxtzg  -1éअआकखंँहिी्ऱज़ॐऋ०") for _ in range(random.randrange(25))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.phonetic_key(F.col("t")).alias("k")).collect()
+    assert [(r["t"], r["k"], spans.phonetic(r["t"]).text) for r in rows if r["k"] != spans.phonetic(r["t"]).text] == []
+    assert all(len(k.text) == len(k.spans) for k in map(spans.phonetic, texts))
 
 
 def sequential(base, lists):

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardloom.functions import spans
 from wardloom.functions import text as X
 from wardloom.sources.shared import shared_folder
 
@@ -170,34 +171,16 @@ def facets(df: DataFrame, columns: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, each).filter("value IS NOT NULL")
 
 
-def match_ranges(df: DataFrame, text: str, query: str) -> DataFrame:
-    """``df`` with ``ranges``: where the normalised query lies in a text, as merged (start, end) in code points.
+def match_ranges(df: DataFrame, text: str, query: str, kind: str = "phonetic") -> DataFrame:
+    """``df`` with ``ranges``: where a query matches a text by its key, as merged (start, end) in code points.
 
-    Meant for the few rows of a top-k; works on the text's own characters, so
-    a range is widened over marks that combine with its ends.
+    Meant for the few rows of a top-k; ``kind`` is 'phonetic' or 'code'.
     """
-    marks = {chr(c) for c in (*range(0x900, 0x904), *range(0x93A, 0x950), *range(0x951, 0x958), 0x962, 0x963, 0x200C, 0x200D)}
+    key = getattr(spans, kind)
+    wanted = key(query).text
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def found(texts: pd.Series) -> pd.Series:
-        q = query.lower()
-
-        def of(t: str | None) -> list[tuple[int, int]]:
-            out: list[list[int]] = []
-            low, at = (t or "").lower(), 0
-            while q and (p := low.find(q, at)) >= 0:
-                start, end = p, p + len(q)
-                while start > 0 and low[start] in marks:
-                    start -= 1
-                while end < len(low) and low[end] in marks:
-                    end += 1
-                if out and start <= out[-1][1]:
-                    out[-1][1] = max(out[-1][1], end)
-                else:
-                    out.append([start, end])
-                at = p + len(q)
-            return [(a, b) for a, b in out]
-
-        return texts.map(of)
+        return texts.map(lambda t: spans.ranges(t or "", key(t or ""), wanted))
 
     return df.withColumn("ranges", found(F.col(text)))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardloom.functions import spans, text
-from wardloom.operators import calls, catalogue, households, quality, rolls, search, synclog, tally
+from wardloom.operators import calls, catalogue, households, quality, ranking, rolls, search, synclog, tally
 
 ROLL = "ward string, serial string, name string, relative string, house string, epic string, age int, gender string"
 VOTERS = [
@@ -167,3 +167,13 @@ def test_segment_records_attaches_by_row(spark):
     lines = [(1, 0, 5.0, 9.0, False, "lost"), (1, 1, 0.0, 0.0, True, "L"), (1, 2, 2.0, 0.5, False, "a"), (1, 3, 2.0, 9.0, False, "far"), (1, 4, 3.0, 1.0, False, "b"), (1, 5, 0.0, 4.0, True, "M")]
     df = spark.createDataFrame(lines, "doc int, pos int, x double, y double, is_start boolean, text string")
     assert sorted(tuple(r) for r in rolls.segment_records(df).collect()) == [(1, 1, "L", "a b", 1), (1, 2, "M", "", 0)]
+
+
+def test_numbers_and_neighbours_over_ranges(spark):
+    random.seed(4)
+    rows = [(k, x) for k in "ab" for x in random.sample(range(1000), 80)] + [("c", 5)]
+    df = spark.createDataFrame(rows, "k string, x long")
+    got = {(r["k"], r["x"]): (r["n"], r["before"]) for r in ranking.with_previous(ranking.numbered(df, ["k"], "x", width=37), ["k"], "x", width=41).collect()}
+    for k in "abc":
+        mine = sorted(x for key, x in rows if key == k)
+        assert [got[k, x] for x in mine] == [(i + 1, mine[i - 1] if i else None) for i in range(len(mine))]

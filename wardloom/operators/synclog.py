@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardloom.functions import text as X
+from wardloom.operators.ranking import numbered, with_previous
 
 ID = ("candidate", "id")
 MARK, CONTACT = "^mark:([^:]+):([0-9]+)$", "^contact:([^:]+):([0-9]+)$"
@@ -57,9 +58,12 @@ def after_push(outbox: DataFrame, delivered: DataFrame) -> DataFrame:
 
 
 def assign_sequence(rows: DataFrame, counters: DataFrame, order: str) -> DataFrame:
-    """Contiguous numbers per candidate that go on from its counter."""
-    at = F.row_number().over(Window.partitionBy("candidate").orderBy(order))
-    return rows.join(F.broadcast(counters), "candidate", "left").withColumn("new_seq", F.coalesce("counter", F.lit(0)) + at).drop("counter")
+    """Contiguous numbers per candidate, by a whole-number order column, that go on from its counter.
+
+    ``counters`` has a row per candidate (a team), so it is small enough to broadcast.
+    """
+    rows = numbered(rows, ["candidate"], order, "__at")
+    return rows.join(F.broadcast(counters), "candidate", "left").withColumn("new_seq", F.coalesce("counter", F.lit(0)) + F.col("__at")).drop("counter", "__at")
 
 
 def merge_counters(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -70,8 +74,7 @@ def merge_counters(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def gaps(log: DataFrame) -> DataFrame:
     """Places where a candidate's numbers aren't contiguous."""
-    before = F.lag("seq").over(Window.partitionBy("candidate").orderBy("seq"))
-    return log.withColumn("before", before).filter("before IS NOT NULL AND seq - before <> 1").select("candidate", "before", "seq")
+    return with_previous(log, ["candidate"], "seq").filter("seq - before <> 1").select("candidate", "before", "seq")
 
 
 def page(log: DataFrame, candidate: str, cursor: int, size: int = 1000) -> tuple[DataFrame, bool]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardloom.operators.ranking import numbered
+
 VOTER = ("candidate", "ward", "serial")
 # Fixed values of the message format.
 PREFIX, MAX_CHARS, SUM_CHARS = "PT1", 160, 4
@@ -111,5 +113,4 @@ def sorted_marks(marks: DataFrame) -> DataFrame:
 
 def numbered_batches(df: DataFrame, keys: list[str], order: str, size: int) -> DataFrame:
     """Rows numbered into batches of ``size`` per key."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    return df.withColumn("batch", F.floor(at / size))
+    return numbered(df, keys, order, "__at").withColumn("batch", F.floor((F.col("__at") - 1) / size)).drop("__at")

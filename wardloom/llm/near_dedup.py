@@ -288,7 +288,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     one = rows.join(firsts.select("cid", "class_id"), F.col("uid") == F.col("cid"))
     classes = stored(one.select("cid", "class_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "th", "roots", *_S), "class-sketches")
     roots = classes.select("cid", F.posexplode("roots").alias("tree", "node"))
-    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("cid"))
+    ends = lambda pairs: pairs.select(F.col("a").alias("cid")).distinct().unionByName(pairs.select(F.col("b").alias("cid")).distinct())
     tried = stored(pivot_pairs(roots, classes), "pivot-pairs")
     links = stored(confirmed(tried, texts_of(ends(tried), classes, docs)), "links")
     known = stored(_with_comp(classes, components(links)), "components")

@@ -115,6 +115,30 @@ def test_block_tables_find_all_within_the_radius(spark):
     assert set(got) == {(a, b) for a in prints for b in prints if (a ^ b).bit_count() <= simhash.RADIUS} and set(got.values()) == {1}
 
 
+def test_near_copies_lie_within_the_radius(spark):
+    """Pairs that share at least 0.75 of their five-word shingles: nine in ten are found by the search."""
+    r, texts, pairs = random.Random(8), [], 0
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for d in range(60):
+        w = prose(200, 100 + d).split()
+        near = list(w)
+        for i in r.sample(range(200), 1 + d % 5):
+            near[i] = prose(1, 1000 * d + i)
+        a, b = shingles(w), shingles(near)
+        if len(a & b) >= 0.75 * len(a | b):
+            texts += [(2 * pairs, " ".join(w)), (2 * pairs + 1, " ".join(near))]
+            pairs += 1
+    prints = simhash.fingerprint_documents(spark.createDataFrame(texts, "doc_id long, text string"), 4).select("doc_id", "hi", "lo").collect()
+    of = collections.defaultdict(set)
+    for x in prints:
+        of[x["hi"], x["lo"]].add(x["doc_id"])
+    df = spark.createDataFrame(list(of), "hi long, lo long")
+    met = {(a, b) for x in simhash.within_radius(df, df).collect() for a in of[x["q_hi"], x["q_lo"]] for b in of[x["hi"], x["lo"]]}
+    found = sum((2 * i, 2 * i + 1) in met for i in range(pairs))
+    assert pairs >= 50 and found >= 0.9 * pairs, (found, pairs)
+    assert all(a // 2 == b // 2 for a, b in met)
+
+
 # line dedup
 
 

@@ -1,17 +1,17 @@
-"""Document fingerprints: SimHash over five-word shingles, and a block-table search.
+"""Document fingerprints: SimHash over a text's distinct words, and a block-table search.
 
-Each shingle of five words (a shorter text: all its words) hashes to 128 bits
-and votes on every bit, up or down, with its length as the weight; the signs
-of the sums are the fingerprint.  Two votes share a long, so 64 sums do for 128
-bits and stay in generated code.
+Each distinct word hashes to 128 bits and votes on every bit, up or down, with
+its length as the weight; the signs of the sums are the fingerprint.  Two votes
+share a long, so 64 sums do for 128 bits and stay in generated code.  A replaced
+word changes two votes here, but ten among five-word shingles.
 
-The search finds all fingerprints within a Hamming radius of 6: of eight
-16-bit blocks at least two agree then, so a table for each of the 28 pairs of
-blocks, keyed on both (32 bits), meets every such pair.  A pair is reported
-only by the first table that it agrees in.  Equal fingerprints are one entry
-with a count, so copies are never expanded.
+The search finds all fingerprints within a Hamming radius of 17: of six blocks
+of 21 or 22 bits at least one differs in two bits or fewer then, so the index
+has a table for each block and a query asks each for all keys at most two bits
+from its own.  A pair is reported only by the first block that is so near.
+Equal fingerprints are one entry with a count, so copies are never expanded.
 
-Defined results: null text is empty; an empty text has no shingles and the
+Defined results: null text is empty; an empty text has no words and the
 fingerprint 0; repeated rows are separate documents next to each other; a null
 id comes last in descending order; an empty table gives no rows.
 """
@@ -26,24 +26,17 @@ from pyspark.sql import functions as F
 from wardloom.llm.common import ascii_lower, let, stored, table, text_of, words_of
 
 BITS = 128
-SHINGLE = 5
-BLOCKS = 8
-RADIUS = 6
+BLOCKS = (22, 21, 21)  # bits of the blocks of each of the two words
+RADIUS = 17
+FLIPS = 2
 _NO_ID = -(1 << 63)
 _LOW = (1 << 32) - 1
 
 
 def weighted_terms(text: Column) -> Column:
-    """array<struct<h, w>>: hash and weight (characters) of each shingle."""
-
-    def of(w: Column) -> Column:
-        width = F.least(F.size(w), F.lit(SHINGLE))
-        return F.transform(
-            F.sequence(F.lit(0), F.size(w) - width),
-            lambda i: let(F.array_join(F.slice(w, i + 1, width), " "), lambda s: F.struct(F.xxhash64(s).alias("h"), F.length(s).cast("long").alias("w"))),
-        )
-
-    return let(words_of(ascii_lower(text)), lambda w: F.when(F.size(w) > 0, of(w)))
+    """array<struct<h, w>>: hash and weight (characters) of each distinct word."""
+    words = F.array_distinct(words_of(ascii_lower(text)))
+    return F.transform(words, lambda s: F.struct(F.xxhash64(s).alias("h"), F.length(s).cast("long").alias("w")))
 
 
 def fingerprints(terms: DataFrame, keys: list[str], term: str = "term") -> DataFrame:
@@ -79,7 +72,17 @@ def likeness(a: tuple[str, str], b: tuple[str, str]) -> Column:
 
 
 def _blocks(hi: str, lo: str) -> list[Column]:
-    return [F.shiftright(c, 16 * i).bitwiseAND(F.lit(0xFFFF)) for c in (hi, lo) for i in range(4)]
+    starts = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
+    return [F.shiftright(c, at).bitwiseAND(F.lit((1 << n) - 1)).cast("int") for c in (hi, lo) for at, n in zip(starts, BLOCKS, strict=True)]
+
+
+def _key(block: Column, table: int) -> Column:
+    return block.bitwiseOR(F.lit(table << max(BLOCKS)))
+
+
+def _masks(bits: int) -> list[int]:
+    """All numbers of so many bits with at most FLIPS ones."""
+    return [sum(1 << i for i in ones) for k in range(FLIPS + 1) for ones in combinations(range(bits), k)]
 
 
 def within_radius(queries: DataFrame, index: DataFrame) -> DataFrame:
@@ -87,22 +90,18 @@ def within_radius(queries: DataFrame, index: DataFrame) -> DataFrame:
 
     Both inputs hold distinct fingerprints (hi, lo).
     """
-    tables = list(combinations(range(BLOCKS), 2))
-    assert BLOCKS - RADIUS >= 2
-
-    def keyed(df: DataFrame, hi: str, lo: str) -> DataFrame:
-        b = _blocks(hi, lo)
-        keys = F.array(*(F.shiftleft(b[i], 16).bitwiseOR(b[j]) for i, j in tables))
-        return df.select(hi, lo, F.posexplode(keys).alias("table", "key"))
-
-    q = keyed(queries.select(F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo")), "q_hi", "q_lo")
-    met = [x == y for x, y in zip(_blocks("q_hi", "q_lo"), _blocks("hi", "lo"), strict=True)]
+    assert sum(BLOCKS) * 2 == BITS and 2 * len(BLOCKS) * (FLIPS + 1) > RADIUS
+    q_blocks, blocks = _blocks("q_hi", "q_lo"), _blocks("hi", "lo")
+    around = lambda key, masks: F.transform(masks, lambda m: key.bitwiseXOR(m))
+    asked = [around(_key(b, t), F.lit(_masks(n))) for t, (b, n) in enumerate(zip(q_blocks, BLOCKS * 2, strict=True))]
+    q = queries.select(F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo"))
+    q = q.select("q_hi", "q_lo", F.explode(F.flatten(F.array(*asked))).alias("q_key"))
+    right = index.select("hi", "lo", F.explode(F.array(*(_key(b, t) for t, b in enumerate(blocks)))).alias("key"))
     first = F.when(F.lit(False), F.lit(-1))
-    for t, (i, j) in enumerate(tables):
-        first = first.when(met[i] & met[j], F.lit(t))
+    for t, (x, y) in enumerate(zip(q_blocks, blocks, strict=True)):
+        first = first.when(F.bit_count(x.bitwiseXOR(y)) <= FLIPS, F.lit(t))
     d = distance(("q_hi", "q_lo"), ("hi", "lo"))
-    right = keyed(index, "hi", "lo").withColumnsRenamed({"table": "i_table", "key": "i_key"})
-    pairs = q.join(right, (F.col("table") == F.col("i_table")) & (F.col("key") == F.col("i_key")) & (d <= RADIUS) & (first == F.col("table")))
+    pairs = q.join(right, (F.col("q_key") == F.col("key")) & (d <= RADIUS) & (first == F.shiftright("key", max(BLOCKS))))
     return pairs.select("q_hi", "q_lo", "hi", "lo", d.alias("distance"))
 
 

@@ -173,6 +173,14 @@ def test_line_dedup_keeps_rows_seen_twice(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_long_passages_go_whatever_their_neighbours(spark):
+    one, a, b = prose(51, 1), prose(30, 2), prose(21, 3)
+    rows = [(1, f"x\n{one}\ny\n{a}\n\n{b}\nz"), (2, f"p\n {one}\nq\nr"), (3, f"s\nt\n{a}\n{b}\nu"), (4, one), (5, f"{a}\nv\nw\nx"), (6, f"{prose(50, 4)}\n1\n2\n3"), (7, f"{prose(50, 4)}\n4\n5\n6")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(df, passage_words=50).collect()}
+    assert got == dict(rows) | {2: "p\nq\nr", 3: "s\nt\nu", 4: ""}
+
+
 # sharding
 
 

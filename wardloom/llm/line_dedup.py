@@ -4,7 +4,9 @@ Blank lines don't count.  Every window of three lines is hashed; the first
 place where a hash occurs in the corpus (smallest document id, then position)
 stands, and each later place is removed: the positions that any later window
 covers are merged per document and their lines dropped.  A document of one or
-two lines is a single, shorter window.
+two lines is a single, shorter window.  With ``passage_words`` shorter windows
+join in where they hold more words than that, so that a long passage on one or
+two lines goes whatever its neighbour lines are.
 
 Only hashes and positions are shuffled for the search.  The first place of a
 window comes from a partial aggregate, so a window that a third of all
@@ -23,9 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardloom.llm.common import let, stored, text_of
+from wardloom.llm.common import let, stored, text_of, words_of
 
 WINDOW = 3
+PASSAGE_WORDS = 50
 _EDGES = " \t\x0b\x0c\r"
 
 
@@ -37,18 +40,18 @@ def _filled(line: Column) -> Column:
     return F.btrim(line, F.lit(_EDGES)) != ""
 
 
-def _windows(text: str, window: int) -> Column:
+def _windows(text: str, window: int, passage_words: int | None = None) -> Column:
     """array<struct<hash, width, pos, end>> of one text's windows; pos and end are line numbers from 0."""
     numbered = F.filter(
         F.transform(_lines(text), lambda x, i: F.struct(i.alias("no"), F.btrim(x, F.lit(_EDGES)).alias("line"))),
         lambda x: x["line"] != "",
     )
-    hashed = F.transform(numbered, lambda x: F.struct(x["no"].alias("no"), F.xxhash64(x["line"]).alias("h")))
+    words = lambda x: F.size(words_of(x)) if passage_words is not None else F.lit(0)
+    hashed = F.transform(numbered, lambda x: F.struct(x["no"].alias("no"), F.xxhash64(x["line"]).alias("h"), words(x["line"]).alias("words")))
 
-    def of(s: Column) -> Column:
-        width = F.least(F.size(s), F.lit(window))
+    def at(s: Column, starts: Column, width: Column) -> Column:
         return F.transform(
-            F.sequence(F.lit(0), F.size(s) - width),
+            starts,
             lambda i: F.struct(
                 F.xxhash64(F.slice(s["h"], i + 1, width)).alias("hash"),
                 width.alias("width"),
@@ -57,13 +60,24 @@ def _windows(text: str, window: int) -> Column:
             ),
         )
 
+    def long(s: Column, width: int) -> Column:
+        """Where a window that is shorter than the document's others holds over ``passage_words``."""
+        held = lambda i: sum((F.get(s["words"], i + j) for j in range(width)), F.lit(0))
+        return F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - width, F.lit(0))), lambda i: (F.size(s) > width) & (held(i) > passage_words))
+
+    def of(s: Column) -> Column:
+        width = F.least(F.size(s), F.lit(window))
+        usual = at(s, F.sequence(F.lit(0), F.size(s) - width), width)
+        shorter = range(1, window) if passage_words is not None else ()
+        return F.concat(usual, *(at(s, long(s, w), F.lit(w)) for w in shorter))
+
     return let(hashed, lambda s: F.when(F.size(s) > 0, of(s)))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, passage_words: int | None = None) -> DataFrame:
     """``docs`` with ``text`` cleaned, and n_lines (non-blank, before) and n_removed (of those) added."""
     place = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "__h": F.xxhash64(text_of(text))}
-    found = docs.select(*(c.alias(n) for n, c in place.items()), F.explode(_windows(text, window)).alias("w"))
+    found = docs.select(*(c.alias(n) for n, c in place.items()), F.explode(_windows(text, window, passage_words)).alias("w"))
     found = stored(found.select("__id", "__h", "w.*"), "line-windows")
     first = (
         found.groupBy("hash", "width")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wardloom.llm import chat, near_dedup
+from wardloom.llm.line_dedup import PASSAGE_WORDS
 from wardloom.llm.quality_rules import LineRules
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -80,3 +81,18 @@ def line_dedup() -> str:
     gone AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS no FROM later),
     m AS (SELECT l.*, g.no IS NOT NULL AS gone, trim(line, {edges}) <> '' AS filled FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.no = g.no)
     SELECT doc_id, CAST(sum(CASE WHEN filled THEN 1 ELSE 0 END) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN filled AND gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '') AS text FROM m GROUP BY doc_id"""
+
+
+def passage_dedup() -> str:
+    """Line dedup with windows of one and two lines, where they hold over 50 words, besides those of three."""
+    edges = "concat(' ', chr(9), chr(11), chr(12), chr(13))"
+    return f"""
+    WITH l AS (SELECT doc_id, unnest(range(len(a))) AS no, unnest(a) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents) x),
+    f AS (SELECT doc_id, no, trim(line, {edges}) AS line FROM l WHERE trim(line, {edges}) <> ''),
+    n AS (SELECT doc_id, k, c, no, unnest([1, 2, 3]) AS width, unnest([no, n2, n3]) AS last, unnest([l1, l1 || chr(10) || l2, l1 || chr(10) || l2 || chr(10) || l3]) AS key
+        FROM (SELECT doc_id, no, row_number() OVER w AS k, count(*) OVER (PARTITION BY doc_id) AS c, line AS l1, lead(line, 1) OVER w AS l2, lead(line, 2) OVER w AS l3, lead(no, 1) OVER w AS n2, lead(no, 2) OVER w AS n3 FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY no)) x),
+    windows AS (SELECT doc_id, no AS pos, last, key, width FROM n WHERE last IS NOT NULL AND (width = least(c, 3) OR len(regexp_extract_all(key, '{_WORD}')) > {PASSAGE_WORDS})),
+    later AS (SELECT doc_id, pos, last FROM (SELECT *, row_number() OVER (PARTITION BY width, key ORDER BY doc_id, pos) AS nth FROM windows) y WHERE nth > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS no FROM later),
+    m AS (SELECT l.*, g.no IS NOT NULL AS gone, trim(line, {edges}) <> '' AS filled FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.no = g.no)
+    SELECT doc_id, CAST(sum(CASE WHEN filled THEN 1 ELSE 0 END) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN filled AND gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '') AS text FROM m GROUP BY doc_id"""

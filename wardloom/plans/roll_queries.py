@@ -105,6 +105,18 @@ def batch_search(v):
     return search.batch_search(corpus, asked, 10, id_col="doc_id", query_col="item_id")
 
 
+@query(f"""WITH q AS (SELECT item_id, {phonetic_sql('text')} AS q FROM benchmark), c AS (SELECT doc_id, {phonetic_sql('text')} AS key FROM documents),
+    m AS (SELECT item_id, doc_id, CASE WHEN key = q THEN 0 WHEN starts_with(key, q) THEN 1 WHEN contains(key, concat(' ', q)) THEN 2 ELSE 3 END AS tier FROM q JOIN c ON contains(key, q) WHERE length(q) >= 3)
+    SELECT item_id, CAST(place AS INT) AS place, doc_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY tier, doc_id) AS place FROM m) r WHERE place <= 10""")
+def batch_search_passages(v):
+    """Every benchmark passage, whole, against all documents, ten best each."""
+    path = f"{shared_folder(v.spark)}/keys-{uuid.uuid4().hex}"
+    v.documents.select("doc_id", X.phonetic_key(F.col("text")).alias("key")).write.parquet(path)
+    corpus = v.spark.read.schema("doc_id bigint, key string").parquet(path)
+    asked = v.benchmark.select("item_id", X.phonetic_key(F.col("text")).alias("key")).filter(F.length("key") >= search.GRAM)
+    return search.batch_search(corpus, asked, 10, id_col="doc_id", query_col="item_id")
+
+
 @query("SELECT DISTINCT 'ward' AS facet, CAST(ward AS VARCHAR) AS value FROM roll UNION ALL SELECT DISTINCT 'booth', CAST(booth AS VARCHAR) FROM roll UNION ALL SELECT DISTINCT 'gender', gender FROM roll")
 def facets(v):
     return search.facets(v.roll, ["ward", "booth", "gender"])

@@ -1,16 +1,19 @@
 """Quality rules: clean line by line, then reject documents that lost too much.
 
 Every line is held against three kinds of rule: punctuation (no sentence end on
-a short line, or words decorated with runs of symbols), navigation (menus and
-link bars) and boilerplate (cookie notices and the like).  Failing lines go.  A
-document is kept if it passes the base limits and its remaining lines hold
-enough of its words' characters.
+a short line, which takes a menu's lines too, or words decorated with runs of
+symbols), navigation (link bars) and boilerplate (cookie notices and the like,
+in four languages).  Failing lines go.  A document
+is kept if it passes the base limits and its remaining lines hold enough of its
+words' characters.
 
 Everything is one projection of array functions: no shuffle, no Python.
 
 Defined results: null text counts as empty; an empty text has no words, so it
-fails the base limit; repeated rows are judged alike, each on its own; other
-columns pass through untouched (columns named like a result are replaced).
+fails the base limit; a text of any length is one row of arrays and takes the
+same path; repeated rows are judged alike, each on its own; other columns pass
+through untouched, but columns named like a result, or beginning with ``__``,
+are replaced.
 """
 
 from __future__ import annotations
@@ -23,8 +26,6 @@ from pyspark.sql import functions as F
 from wardloom.llm.common import SPACES, let, text_of, words_of
 
 _SYMBOLS = "#*$%&|<>"
-#: An index fits this many bits beside a window's hash when windows are sorted.
-_INDEX_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -41,7 +42,13 @@ class LineRules:
     boilerplate: str = (
         r"(?i)\b(cookie (policy|settings|preferences)|accept (all )?cookies|enable javascript|terms of (use|service)"
         r"|privacy policy|all rights reserved|skip to (main )?content|subscribe to our newsletter|click here"
-        r"|lorem ipsum|sign (in|up) (now|here)|share (this|on) )"
+        r"|lorem ipsum|sign (in|up) (now|here)|share (this|on) "
+        r"|alle cookies (akzeptieren|zulassen)|cookie-einstellungen|alle rechte vorbehalten|datenschutz(erkl|hinweis|bestimmung)"
+        r"|zum inhalt springen|newsletter (abonnieren|bestellen)|hier klicken|nutzungsbedingungen"
+        r"|accepter (tous )?les cookies|gestion des cookies|tous droits r|politique de confidentialit"
+        r"|aller au contenu|abonnez-vous|cliquez ici|mentions l.gales"
+        r"|aceptar (todas las )?cookies|pol.tica de (cookies|privacidad)|todos los derechos reservados"
+        r"|saltar al contenido|ir al contenido|suscr.bete|haga clic|haz clic)"
     )
     boilerplate_words: int = 30  # a longer line is prose that mentions such a thing
     min_words: int = 50
@@ -52,66 +59,45 @@ class LineRules:
 def repeated_words(words: Column) -> Column:
     """Words that lie in a three-word window found twice or more (the first included).
 
-    Windows become 64-bit hashes.  Hash and position are packed into one long, so
-    that one sort brings equal windows together; the full hashes are compared
-    then.  Texts with too many words for the packing sort pairs instead.
+    Windows become 64-bit hashes.  Most texts have no two equal ones, which a
+    hash set tells; in the others hashes are sorted with their positions, so
+    that equal windows are neighbours, and the found positions are merged.
     """
-    low = (1 << _INDEX_BITS) - 1
 
     def starts(h: Column) -> Column:
-        packed = F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
-
-        def at(s: Column, k: Column) -> Column:
-            return F.get(s, k).bitwiseAND(F.lit(low)).cast("int")
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
 
         def same(s: Column, a: Column, b: Column) -> Column:
-            return F.coalesce(F.get(h, at(s, a)) == F.get(h, at(s, b)), F.lit(False))
-
-        quick = let(
-            F.sort_array(packed),
-            lambda s: F.sort_array(
-                F.array_compact(
-                    F.transform(
-                        F.sequence(F.lit(0), F.size(s) - 1),
-                        lambda k: F.when((k > 0) & same(s, k, k - 1) | same(s, k, k + 1), at(s, k)),
-                    )
-                )
-            ),
-        )
-        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-        plain = let(
-            pairs,
-            lambda s: F.sort_array(
-                F.array_compact(
-                    F.transform(
-                        F.sequence(F.lit(0), F.size(s) - 1),
-                        lambda k: F.when(
-                            (k > 0) & F.coalesce(F.get(s, k - 1)["x"] == F.get(s, k)["x"], F.lit(False))
-                            | F.coalesce(F.get(s, k + 1)["x"] == F.get(s, k)["x"], F.lit(False)),
-                            F.get(s, k)["i"],
-                        ),
-                    )
-                )
-            ),
-        )
-        return F.when(F.size(h) <= low, quick).otherwise(plain)
+            return F.coalesce(F.get(s, a)["x"] == F.get(s, b)["x"], F.lit(False))
+
+        def repeated(s: Column) -> Column:
+            return F.transform(
+                F.sequence(F.lit(0), F.size(s) - 1),
+                lambda k: F.when(same(s, k - 1, k) | same(s, k + 1, k), F.get(s, k)["i"]),
+            )
+
+        return let(pairs, lambda s: F.sort_array(F.array_compact(repeated(s))))
 
     def covered(at: Column) -> Column:
         gaps = F.zip_with(at, F.slice(at, 2, F.size(at)), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)))
         return F.aggregate(F.slice(gaps, 1, F.size(at)), F.lit(0).cast("long"), lambda x, y: x + y)
 
     def of(w: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        return let(
-            windows,
-            lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(starts(h), covered)),
+        windows = F.transform(
+            F.sequence(F.lit(0), F.size(w) - 3),
+            lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)),
         )
+        none = lambda h: F.size(F.array_distinct(h)) == F.size(h)
+        return let(windows, lambda h: F.when(none(h), F.lit(0).cast("long")).otherwise(let(starts(h), covered)))
 
     return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(of(words))
 
 
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+
 def failing(line: Column, rules: LineRules) -> Column:
-    """Why a line goes: 'navigation', 'boilerplate', 'punctuation', or null if it stays."""
+    """Why a line by itself goes: 'navigation', 'boilerplate', 'punctuation', or null if it stays."""
 
     def verdict(n: Column) -> Column:
         separators = F.regexp_count(line, F.lit(rules.separator))
@@ -123,7 +109,7 @@ def failing(line: Column, rules: LineRules) -> Column:
             .when((n < rules.unfinished_words) & ~line.rlike(rules.sentence_end), F.lit("punctuation"))
         )
 
-    return let(F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")), verdict)
+    return let(F.regexp_count(line, F.lit(_WORDS)), verdict)
 
 
 def apply_quality_rules(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:

@@ -1,25 +1,31 @@
 """Quality classifier: attention-based multiple-instance learning over passages.
 
-A document is a bag of passages.  Each passage is encoded (a histogram of
-byte-class pairs and a few word statistics, then a learned layer), gated
-attention gives every passage a weight, and the weighted representation gets a
-logistic score.  Only documents carry labels; the attention learns which
-passages tell.
+A document is a bag of passages of PASSAGE bytes.  Each passage is encoded by
+its own bytes alone: a histogram of hashed words, one of byte-class pairs, and
+how varied its words are; then a learned layer.  Gated attention gives every
+passage a weight, and the weighted representation gets a logistic score.  Only
+documents carry labels; the attention learns which passages tell.
 
 The model is trained on the driver with numpy from at most SAMPLE labelled
-documents (those with the smallest hashes of their ids), whatever the table's
-size; every document is scored by the executors, over its whole text.
+documents (those with the smallest hashes of their ids) and at most
+TRAIN_PASSAGES of each, evenly spread, whatever the tables' sizes.  Every
+document is scored by the executors over its whole text, SLICE bytes at a time:
+the attention's sums are carried from slice to slice, so a text of any length
+takes the memory of one slice, besides itself.
 
 Defined results: null text is empty; an empty text is one empty passage and has
 a score too; rows with a null id aren't held out and never train; labels of one
-id that disagree count as the largest; repeated rows score alike; an empty
-table gives no rows; other columns aren't read.  With no labels, or one kind
+id that disagree count as the largest; equal texts score alike (to the six
+places that are kept), whatever their neighbours, batch or partition; an empty
+table gives no rows; columns other than those kept aren't read, and ``score``
+and ``predicted`` among those kept are replaced.  With no labels, or one kind
 only, the score is that kind's share (0.5 without labels).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,48 +36,79 @@ from pyspark.sql import functions as F
 from wardloom.llm.common import table, text_of
 
 PASSAGE = 800  # bytes
+SLICE = PASSAGE * 1280
 SAMPLE = 4000
+TRAIN_PASSAGES = 32
 THRESHOLD = 0.3
-HIDDEN, GATE, EPOCHS, BATCH, RATE = 32, 16, 25, 64, 0.01
+PLACES = 6
+HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 32, 16, 25, 64, 0.01, 0.01
 _CLASSES = 16
-FEATURES = _CLASSES * _CLASSES + 4
-#: Documents that are encoded at once; a longer text makes a batch of its own.
-_AT_ONCE = 1 << 20
+_PAIRS = _CLASSES * _CLASSES
+WORD_BUCKETS = 256
+FEATURES = _PAIRS + WORD_BUCKETS + 3
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_BASE = np.uint64(0x100000001B3)
 
 
 def byte_classes() -> np.ndarray:
     """A class for each byte: letters by case, digits, kinds of space, each sort of punctuation, the rest."""
     out = np.full(256, 15, np.uint8)
-    groups = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",", "!?", ";:", "'\"()[]", "-_/\\", "#*$%&", "|<>", "@+=~^`{}"]
-    for i, chars in enumerate(groups):
+    letters = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"]
+    marks = [" \t", "\n\r", ".", ",", "!?", ";:", "'\"()[]", "-_/\\", "#*$%&", "|<>", "@+=~^`{}"]
+    for i, chars in enumerate(letters + marks):
         out[[ord(c) for c in chars]] = i
     out[128:] = 14
     return out
 
 
-def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(features of each passage, number of passages of each text)."""
-    raw = [t.encode("utf-8", "replace") for t in texts]
-    sizes = np.array([len(r) for r in raw], np.int64)
-    counts = np.maximum(1, -(-sizes // PASSAGE))
-    classes = byte_classes()[np.frombuffer(b"".join(raw), np.uint8)].astype(np.int64)
-    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    first = np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-    place = np.repeat(starts, sizes) + (np.arange(len(classes)) - first) // PASSAGE
-    pair = classes * _CLASSES
-    pair[:-1] += classes[1:]
-    total, width = int(counts.sum()), _CLASSES * _CLASSES
-    x = np.zeros((total, FEATURES), np.float32)
-    hist = np.bincount(place * width + pair, minlength=total * width).reshape(total, width)
-    x[:, :width] = np.sqrt(hist / np.maximum(1, hist.sum(axis=1, keepdims=True)))
-    words = np.zeros((len(texts), 4), np.float32)
-    for i, t in enumerate(texts):
-        w = t.split()
-        if w:
-            n, windows = len(w), max(1, len(w) - 2)
-            words[i] = len(set(w)) / n, len(set(zip(w, w[1:], w[2:], strict=False))) / windows, np.log1p(n) / 10, len(t) / n / 20
-    x[:, width:] = np.repeat(words, counts, axis=0)
-    return x, counts
+_CLASS_OF = byte_classes()
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint64)
+
+
+def _roots(bins: np.ndarray, rows: int, width: int) -> np.ndarray:
+    """Square roots of each row's shares; ``bins`` are row * width + column."""
+    counts = np.bincount(bins, minlength=rows * width).reshape(rows, width)
+    return np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True)))
+
+
+def _distinct(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """How many different keys each row has."""
+    _, first = np.unique((keys ^ (rows.astype(np.uint64) * _MIX)) * _BASE, return_index=True)
+    return np.bincount(rows[first], minlength=n)
+
+
+def encode(raw: bytes) -> np.ndarray:
+    """The features of each passage of ``raw``: of one, if it is empty.  A passage's depend on its own bytes alone."""
+    data = np.frombuffer(raw, np.uint8)
+    n = max(1, -(-len(data) // PASSAGE))
+    place = np.arange(len(data)) // PASSAGE
+    x = np.zeros((n, FEATURES))
+    classes = _CLASS_OF[data].astype(np.int64)
+    inside = place[1:] == place[:-1]
+    x[:, :_PAIRS] = _roots((place[:-1] * _PAIRS + classes[:-1] * _CLASSES + classes[1:])[inside], n, _PAIRS)
+    at = np.nonzero(~_SPACE[data])[0]
+    if len(at):
+        start = np.ones(len(at), bool)
+        start[1:] = (at[1:] != at[:-1] + 1) | (place[at[1:]] != place[at[:-1]])
+        begin = np.nonzero(start)[0]
+        nth = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
+        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(nth.max()), _BASE)]))
+        words = np.add.reduceat(_LOWER[data[at]] * power[nth], begin) * _MIX
+        row = place[at[begin]]
+        bucket = (words >> np.uint64(56)).astype(np.int64)
+        x[:, _PAIRS : _PAIRS + WORD_BUCKETS] = _roots(row * WORD_BUCKETS + bucket, n, WORD_BUCKETS)
+        held = np.bincount(row, minlength=n)
+        three = row[2:] == row[:-2]
+        triples = (words[:-2] * _BASE + words[1:-1]) * _MIX + words[2:]
+        x[:, -3] = _distinct(words, row, n) / np.maximum(1, held)
+        x[:, -2] = _distinct(triples[three], row[2:][three], n) / np.maximum(1, held - 2)
+        x[:, -1] = np.log1p(held) / 5
+    return x
+
+
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "replace")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -87,10 +124,16 @@ class Attention:
     @classmethod
     def fresh(cls, seed: int = 11) -> Attention:
         rng = np.random.default_rng(seed)
-        mat = lambda a, b: (rng.standard_normal((a, b)) / np.sqrt(a)).astype(np.float32)
-        return cls({"W": mat(FEATURES, HIDDEN) * 2, "b": np.zeros(HIDDEN, np.float32), "V": mat(HIDDEN, GATE), "U": mat(HIDDEN, GATE), "w": mat(GATE, 1)[:, 0], "c": mat(HIDDEN, 1)[:, 0], "c0": np.zeros(1, np.float32)})
+        mat = lambda a, b: rng.standard_normal((a, b)) / np.sqrt(a)
+        return cls(
+            {
+                "W": mat(FEATURES, HIDDEN) * 2, "b": np.zeros(HIDDEN), "V": mat(HIDDEN, GATE), "U": mat(HIDDEN, GATE),
+                "w": mat(GATE, 1)[:, 0], "c": mat(HIDDEN, 1)[:, 0], "c0": np.zeros(1),
+            }
+        )
 
     def forward(self, x: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+        """All passages of some documents at once; ``counts`` says how many each has."""
         m, at = self.weights, np.concatenate([[0], np.cumsum(counts)[:-1]])
         bag = np.repeat(np.arange(len(counts)), counts)
         h = np.maximum(x @ m["W"] + m["b"], 0)
@@ -111,14 +154,26 @@ class Attention:
         gate = de[:, None] * m["w"]
         dt, dg = gate * g * (1 - t * t), gate * t * g * (1 - g)
         dh = (a[:, None] * dz + dt @ m["V"].T + dg @ m["U"].T) * (h > 0)
-        return {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": f["z"].T @ ds, "c0": ds.sum(keepdims=True)}
-
-    def score(self, texts: list[str]) -> np.ndarray:
-        return self.forward(*passages(texts))["p"] if texts else np.empty(0)
+        return {
+            "W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de,
+            "c": f["z"].T @ ds, "c0": ds.sum(keepdims=True),
+        }
+
+    def score(self, text: str) -> float:
+        """The score of one text, a slice at a time."""
+        m, raw = self.weights, _bytes(text)
+        top, total, z = -np.inf, 0.0, np.zeros(HIDDEN)
+        for k in range(0, max(1, len(raw)), SLICE):
+            h = np.maximum(encode(raw[k : k + SLICE]) @ m["W"] + m["b"], 0)
+            e = (np.tanh(h @ m["V"]) * _sigmoid(h @ m["U"])) @ m["w"]
+            now = max(top, e.max())
+            a, before = np.exp(e - now), np.exp(top - now)
+            total, z, top = total * before + a.sum(), z * before + a @ h, now
+        return round(float(_sigmoid(z / total @ m["c"] + m["c0"])[0]), PLACES)
 
 
 def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Attention:
-    """Trains by Adam on log loss; ``bags`` holds each document's passages."""
+    """Trains by Adam with weight decay on log loss; ``bags`` holds each document's passages."""
     model, rng = Attention.fresh(seed), np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in model.weights.items()}
     second, step = {k: np.zeros_like(v) for k, v in model.weights.items()}, 0
@@ -126,13 +181,15 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Attention
         order = rng.permutation(len(bags))
         for k in range(0, len(order), BATCH):
             some = order[k : k + BATCH]
-            grads = model.gradients(np.concatenate([bags[i] for i in some]), np.array([len(bags[i]) for i in some]), labels[some])
+            x, counts = np.concatenate([bags[i] for i in some]), np.array([len(bags[i]) for i in some])
             step += 1
-            rate = RATE * (1 - epoch / EPOCHS) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for name, grad in grads.items():
+            rate = RATE * (1 - epoch / EPOCHS)
+            scale = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            for name, grad in model.gradients(x, counts, labels[some]).items():
                 first[name] += 0.1 * (grad - first[name])
                 second[name] += 0.001 * (grad * grad - second[name])
-                model.weights[name] = (model.weights[name] - rate * first[name] / (np.sqrt(second[name]) + 1e-8)).astype(np.float32)
+                move = scale * first[name] / (np.sqrt(second[name]) + 1e-8) + DECAY * model.weights[name]
+                model.weights[name] = model.weights[name] - rate * move
     return model
 
 
@@ -140,48 +197,65 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 5
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Attention | float:
-    """A model from labelled documents outside fold 0; a constant score if there is one kind of label at most."""
+def _spread(x: np.ndarray) -> np.ndarray:
+    """At most TRAIN_PASSAGES rows, evenly spread."""
+    if len(x) <= TRAIN_PASSAGES:
+        return x
+    return x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(int)]
+
+
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "quality",
+    sample: int = SAMPLE,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
+) -> Attention | float:
+    """A model from labelled documents outside fold 0; a constant score if there is one kind of label at most.
+
+    ``prepare`` turns the sample's rows (doc_id, y, text) into what will be
+    scored, for documents that are cleaned before they are scored.
+    """
     hashed = F.xxhash64("doc_id", F.lit(3))
-    known = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & (fold() != 0))
+    known = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y"))
+    known = known.filter(F.col("y").isNotNull() & (fold() != 0))
     some = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(hashed, "doc_id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).join(F.broadcast(some), "doc_id")
+    texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    if prepare is not None:
+        texts = prepare(texts).select("doc_id", "y", text_of().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [passages([t.as_py()])[0].astype(np.float32).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x, pa.binary())], names=["doc_id", "y", "x"])
+            x = []
+            for t in batch.column("text"):
+                raw = _bytes(t.as_py())
+                parts = [encode(raw[k : k + SLICE]) for k in range(0, max(1, len(raw)), SLICE)]
+                x.append(zlib.compress(_spread(np.concatenate(parts)).astype(np.float32).tobytes(), 1))
+            columns = [batch.column("doc_id"), batch.column("y"), pa.array(x, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "y", "x"])
 
     rows = sorted(texts.mapInArrow(run, "doc_id long, y int, x binary").collect())
-    y = np.array([min(1, max(0, r[1])) for r in rows], np.float32)
+    y = np.array([min(1, max(0, r[1])) for r in rows], float)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
-    return fit([np.frombuffer(r[2], np.float32).reshape(-1, FEATURES) for r in rows], y)
+    return fit([np.frombuffer(zlib.decompress(r[2]), np.float32).reshape(-1, FEATURES).astype(float) for r in rows], y)
 
 
-def score_documents(docs: DataFrame, model: Attention | float, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def score_documents(
+    docs: DataFrame, model: Attention | float, keep: tuple[str, ...] = ("doc_id",), text: str = "text"
+) -> DataFrame:
     """The ``keep`` columns with score and predicted added."""
+    keep = tuple(k for k in keep if k not in ("score", "predicted"))
     rows = docs.select(*keep, text_of(text).alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"]
-
-    def scores(texts: list[str]) -> list[float]:
-        if not isinstance(model, Attention):
-            return [model] * len(texts)
-        out: list[float] = []
-        held: list[str] = []
-        size = 0
-        for t in texts:
-            held.append(t)
-            size += len(t)
-            if size >= _AT_ONCE:
-                out += model.score(held).tolist()
-                held, size = [], 0
-        return out + model.score(held).tolist()
+    score = model.score if isinstance(model, Attention) else lambda t: model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = scores(batch.column("__text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(p, pa.float64()), pa.array([int(x >= THRESHOLD) for x in p], pa.int32())], names=[*keep, "score", "predicted"])
+            p = [score(t.as_py()) for t in batch.column("__text")]
+            own = [pa.array(p, pa.float64()), pa.array([int(x >= THRESHOLD) for x in p], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *own], names=[*keep, "score", "predicted"])
 
     return rows.mapInArrow(run, ", ".join([*fields, "score double", "predicted int"]))
 

@@ -12,12 +12,16 @@ from its own.  A pair is reported only by the first block that is so near.
 Equal fingerprints are one entry with a count, so copies are never expanded.
 
 Defined results: null text is empty; an empty text has no words and the
-fingerprint 0; repeated rows are separate documents next to each other; a null
-id comes last in descending order; an empty table gives no rows.
+fingerprint 0; a text of any length is split into words whole, and votes word by
+word in a spilling aggregate; repeated rows are separate documents next to each
+other; ids must be whole numbers or texts of such (they are cast to long); a null
+id comes last in descending order; an empty table gives no rows; only doc_id and
+text are read, so other columns can't clash and don't come along.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +33,8 @@ BITS = 128
 BLOCKS = (22, 21, 21)  # bits of the blocks of each of the two words
 RADIUS = 17
 FLIPS = 2
+#: Bytes of text in a range of ids; ranges of ids at most (their bounds are literals of the plan).
+RANGE_BYTES, MAX_RANGES = 32 << 20, 8192
 _NO_ID = -(1 << 63)
 _LOW = (1 << 32) - 1
 
@@ -105,33 +111,59 @@ def within_radius(queries: DataFrame, index: DataFrame) -> DataFrame:
     return pairs.select("q_hi", "q_lo", "hi", "lo", d.alias("distance"))
 
 
-def with_next(docs: DataFrame, parts: int) -> DataFrame:
+def _ranges(size: int | None) -> int:
+    return max(1, min(MAX_RANGES, math.ceil((size or 0) / RANGE_BYTES)))
+
+
+def _bucket(bounds: list[int]) -> Column:
+    """How many of the ascending bounds lie above ``__id``: first by groups of them, then inside a group."""
+    width = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    longs = lambda x: F.array(*(F.lit(b).cast("long") for b in x)).cast("array<long>")
+    above = lambda x: F.size(F.filter(x, lambda b: b > F.col("__id")))
+    if not bounds:
+        return F.lit(0)
+    tops = longs([g[-1] for g in groups])
+    whole = F.size(tops) - above(tops)  # groups that lie wholly at or below the id
+    inside = above(F.coalesce(F.get(F.array(*(longs(g) for g in groups)), whole), longs([])))
+    later = F.greatest(F.lit(0), F.lit(len(groups) - 1) - whole)
+    rest = F.when(later == 0, F.lit(0)).otherwise(F.lit(len(groups[-1])) + (later - 1) * width)
+    return (inside + rest).cast("int")
+
+
+def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Each row with the text of the next one in descending id order (after the last: the first).
 
     Returns bucket, place, guest, doc_id, text and next_text, dealt by bucket.
-    Ids fall into ranges of about equal size; the first row of each range
-    visits the range before it as a guest, so that one shuffle of the texts does.
+    Ids fall into ranges of about equal size, as many as the texts' bytes ask
+    for; the first row of each range visits the range before it as a guest, so
+    that one shuffle of the texts does.
     """
-    rows = docs.select("doc_id", text_of().alias("text")).withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "__h": F.xxhash64("text")})
+    rows = docs.select("doc_id", text_of().alias("text")).withColumns(
+        {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "__h": F.xxhash64("text")}
+    )
     ids = rows.select("__id", "__h")
+    parts = parts or _ranges(rows.agg(F.sum(F.octet_length("text"))).first()[0])
     at = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(ids.agg(F.percentile_approx("__id", at, 10_000)).first()[0] or [])) if at else []
-    limits = F.array(*(F.lit(b).cast("long") for b in bounds)).cast("array<long>")
-    bucket = F.size(F.filter(limits, lambda b: b > F.col("__id")))  # 0 holds the largest ids
+    bounds = sorted(set(ids.agg(F.percentile_approx("__id", at, max(10_000, 10 * parts))).first()[0] or [])) if at else []
+    bucket = _bucket(bounds)  # 0 holds the largest ids
     rows = rows.withColumn("bucket", bucket)
-    found = ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.max(F.struct("__id", "__h")).alias("m")).orderBy("bucket").collect()
-    firsts: list[tuple] = [(None, None, None)] * (len(bounds) + 1)  # of each range: its first row's id and hash, the range before it
-    for i, r in enumerate(found):
-        firsts[r["bucket"]] = (*r["m"], found[i - 1]["bucket"])
-    of = lambda k, kind: F.get(F.array(*(F.lit(x[k]).cast(kind) for x in firsts)), F.col("bucket"))
-    visits = F.when((F.col("__id") == of(0, "long")) & (F.col("__h") == of(1, "long")), of(2, "int"))
-    dealt = rows.select("doc_id", "text", "__id", "__h", F.explode(F.array_compact(F.array(F.struct(F.col("bucket"), F.lit(False).alias("guest")), F.when(visits.isNotNull(), F.struct(visits.alias("bucket"), F.lit(True).alias("guest")))))).alias("b"))
-    order = Window.partitionBy("bucket").orderBy("guest", F.desc("__id"), F.desc("__h"))
-    return (
-        dealt.select("doc_id", "text", "__id", "__h", "b.bucket", "b.guest")
-        .withColumns({"next_text": F.lead("text").over(order), "place": F.row_number().over(order)})
-        .drop("__id", "__h")
+    found = ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.max(F.struct("__id", "__h")).alias("m"))
+    firsts = {}  # of each range: its first row's id and hash, and the range before it
+    tops = sorted(found.collect())  # a row per range
+    for i, (b, top) in enumerate(tops):
+        firsts[b] = (top["__id"], top["__h"], tops[i - 1]["bucket"])
+    known = docs.sparkSession.createDataFrame(
+        [(b, *x) for b, x in firsts.items()], "bucket int, __first long, __first_h long, __before int"
     )
+    rows = rows.join(F.broadcast(known), "bucket")  # MAX_RANGES rows at most
+    visits = F.when((F.col("__id") == F.col("__first")) & (F.col("__h") == F.col("__first_h")), F.col("__before"))
+    own = F.struct(F.col("bucket"), F.lit(False).alias("guest"))
+    guest = F.when(visits.isNotNull(), F.struct(visits.alias("bucket"), F.lit(True).alias("guest")))
+    dealt = rows.select("doc_id", "text", "__id", "__h", F.explode(F.array_compact(F.array(own, guest))).alias("b"))
+    dealt = dealt.select("doc_id", "text", "__id", "__h", "b.bucket", "b.guest").repartition(parts, "bucket")
+    order = Window.partitionBy("bucket").orderBy("guest", F.desc("__id"), F.desc("__h"))
+    return dealt.withColumns({"next_text": F.lead("text").over(order), "place": F.row_number().over(order)}).drop("__id", "__h")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -142,13 +174,16 @@ def edited(text: Column, following: Column) -> Column:
 
 def fingerprint_documents(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """One row per document: fingerprints of its text and of its edited text, and of the next document's text."""
-    parts = parts or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = with_next(docs, parts).withColumn("edited", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
     keys = ["bucket", "place", "guest", "doc_id", "n_chars", "edited_sha256"]
+    plain = F.struct(F.lit(0).alias("kind"), F.col("text").alias("text"))
+    changed = F.struct(F.lit(1).alias("kind"), F.when(~F.col("guest"), F.col("edited")).alias("text"))
     both = near.select(
-        "bucket", "place", "guest", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.when(~F.col("guest"), F.col("edited")).alias("text")))).alias("t"),
-    )
+        "bucket", "place", "guest", "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        F.explode(F.array(plain, changed)).alias("t"),
+    )
     terms = both.select(*keys, "t.kind", F.explode_outer(weighted_terms(F.coalesce("t.text", F.lit("")))).alias("term"))
     prints = fingerprints(terms, [*keys, "kind"])
     pick = lambda c, k: F.max(F.when(F.col("kind") == k, F.col(c)))

@@ -22,10 +22,13 @@ minwise token three times in four, so TREES = 12 trees miss one root node in
 
 Defined results: null text is empty; empty texts have no shingles and link with
 nothing, copies of them neither; texts of under five words have their whole
-sequence as one shingle; repeated rows are copies of each other; a row with a
-null id takes its group's component, is its own (null) one otherwise and isn't
-kept in a group that has an id; an empty table gives no rows; other columns are
-not read.
+sequence as one shingle; a long text's whole set counts (a task holds one such
+set, of eight bytes a word, at a time, two where a pair is confirmed); repeated
+rows are copies of each other; ids must be whole numbers (they are cast to
+long); a row with a null id takes its group's component, is its own (null) one
+otherwise and isn't kept in a group that has an id; an empty table gives no
+rows; other columns are not read, so they can't clash (``keep_one`` replaces
+``__id`` and ``__text``).
 """
 
 from __future__ import annotations
@@ -51,7 +54,7 @@ PIVOTS = 4
 WORK = 20_000
 MAX_DEPTH = 6
 BRANCHES = 2
-#: Text in a chunk of a large node; a block holds two chunks.
+#: Hashed tokens in a chunk of a large node; a block holds two chunks.
 BLOCK_BYTES = 8 << 20
 _NO_ID = -(1 << 63)
 _S = [f"s{i}" for i in range(WORDS)]
@@ -240,25 +243,46 @@ def path_pairs(roots: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFra
     return pairs.distinct(), stuck.distinct()
 
 
+def token_sets(texts: DataFrame) -> DataFrame:
+    """(cid, tokens, n): each text's set as the bytes of its sorted hashes, and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py()) for t in batch.column("text")]
+            columns = [batch.column("cid"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["cid", "tokens", "n"])
+
+    return texts.select("cid", "text").mapInArrow(run, "cid long, tokens binary, n long")
+
+
 def block_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) inside large nodes, found on full sets, block by block.
 
     ``members`` (node, cid, comp, major) fall into chunks of about BLOCK_BYTES
-    of text; a block holds a chunk of those outside the major component and a
-    chunk of all, counts shared tokens through an inverted index, and reports
-    for each of the former one partner in each component that it reaches.
+    of hashed tokens, those outside the major component, which ask, into chunks
+    of their own besides.  A block holds a chunk of askers and a chunk of all,
+    counts shared tokens through an inverted index, and reports for each asker
+    one partner in each component that it reaches.  So a member moves once for
+    each chunk of askers: once, if few ask.
     """
-    rows = members.join(texts, "cid")
-    sizes = rows.groupBy("node").agg(F.ceil(F.sum(F.length("text") + 1) / BLOCK_BYTES).cast("int").alias("chunks"))
-    rows = rows.join(sizes, "node").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    right = rows.select("node", F.explode(every).alias("i"), F.col("chunk").alias("j"), F.lit(False).alias("asks"), "cid", "comp", "text")
-    left = rows.filter("comp <> major").select("node", F.col("chunk").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("asks"), "cid", "comp", "text")
+    sets = stored(token_sets(texts.join(members.select("cid").distinct(), "cid", "left_semi")), "near-sets")
+    rows = members.join(sets, "cid").withColumn("asks", F.col("comp") != F.col("major"))
+    size = 8 * F.col("n") + 64
+    chunks = lambda c: F.greatest(F.lit(1), F.ceil(F.coalesce(c, F.lit(0)) / BLOCK_BYTES)).cast("int")
+    sizes = rows.groupBy("node").agg(
+        chunks(F.sum(size)).alias("chunks"), chunks(F.sum(F.when(F.col("asks"), size))).alias("ask_chunks"), F.max("asks").alias("any")
+    )
+    rows = rows.join(sizes.filter("any").drop("any"), "node")
+    dealt = lambda n, seed: F.pmod(F.xxhash64("cid", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ["cid", "comp", "tokens"]
+    right = rows.select("node", dealt("chunks", 1).alias("j"), every("ask_chunks").alias("i"), F.lit(False).alias("asks"), *kept)
+    left = rows.filter("asks").select("node", every("chunks").alias("j"), dealt("ask_chunks", 2).alias("i"), F.lit(True).alias("asks"), *kept)
 
     def run(block: pa.Table) -> pa.Table:
         asks = np.array(block.column("asks").to_pylist(), bool)
         cid, comp = block.column("cid").to_numpy(), block.column("comp").to_numpy()
-        sets = [shingle_set(t.as_py()) for t in block.column("text")]
+        sets = [np.frombuffer(t.as_py(), np.uint64) for t in block.column("tokens")]
         size = np.array([len(s) for s in sets], np.int64)
         hold = np.nonzero(~asks)[0]
         tokens, at = np.unique(np.concatenate([sets[i] for i in hold] or [np.empty(0, np.uint64)]), return_inverse=True)
@@ -277,7 +301,8 @@ def block_links(members: DataFrame, texts: DataFrame) -> DataFrame:
                     b.append(max(cid[i], cid[x]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return left.unionByName(right).groupBy("node", "i", "j").applyInArrow(run, "a long, b long")
+    blocks = left.unionByName(right.select(*left.columns))
+    return blocks.groupBy("node", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_components(docs: DataFrame) -> DataFrame:

@@ -9,11 +9,15 @@ bitsets back gives how many of each length to take.  The same window is used as
 often as the counts allow, so a plan has few entries.
 
 Spark does the rest: pieces are ranked among those of their length, and a range
-join with the plan turns a rank into a sequence and an offset.
-
-Defined results: null text is empty and is a document of its end id alone;
-repeated rows are separate documents; ties in length go by document id; an
-empty table gives no sequences; only the id and text columns are read.
+join with the plan turns a rank into a sequence and an offset.  A piece that
+fills a window by itself needs no rank: it gets a sequence of its own at once.
+
+Defined results: null text is empty and is a document of its end id alone; a
+long text is encoded whole, in one call, and then cut; repeated rows are separate
+documents; ties in length go by document id; sequence ids aren't gapless, offsets
+are; an empty table gives no sequences; ``pack_documents`` reads the id and text
+columns alone; ``pack`` replaces sequence_id, offset and columns that begin with
+``__``.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardloom.llm.common import stored, table, text_of
-from wardloom.llm.tokens import byte_bpe, packed
+from wardloom.llm.tokens import encoder, packed
 
 CAPACITY = 2048
 END_ID = 1
@@ -93,7 +97,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col:
     schema = f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(path)
+        encode = encoder(path)
         for batch in batches:
             at, start, length, crc, tokens, pieces = [], [], [], [], [], []
             for i, t in enumerate(batch.column("text")):
@@ -125,7 +129,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", or
     parts' sizes summed), so a length that most pieces share is still dealt out.
     """
     spark = pieces.sparkSession
-    rows = stored(pieces.withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")), "pieces")
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset") and not c.startswith("__")]
+    every = stored(pieces.select(*kept).withColumn("__row", F.monotonically_increasing_id()), "pieces")
+    full = F.col(length) == capacity
+    rows = every.filter(~full).withColumn("__part", F.pmod("__row", F.lit(PARTS)).cast("int"))
     sizes = [tuple(r) for r in rows.groupBy(length, "__part").count().orderBy(length, "__part").collect()]  # at most capacity * PARTS rows
     counts: dict[int, int] = {}
     before = []
@@ -133,7 +140,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", or
         before.append((x, part, counts.get(x, 0)))
         counts[x] = counts.get(x, 0) + n
     starts = F.broadcast(spark.createDataFrame(before, "__length long, __part int, __before long"))
-    ranges = F.broadcast(spark.createDataFrame(plan(counts, capacity), "__l long, __from long, __to long, __each long, __sequence long, __offset long"))
+    planned = plan(counts, capacity)
+    following = max((s + (to - at) // each for _, at, to, each, s, _ in planned), default=0)
+    ranges = F.broadcast(spark.createDataFrame(planned, "__l long, __from long, __to long, __each long, __sequence long, __offset long"))
     in_part = Window.partitionBy(length, "__part").orderBy(*order)
     ranked = (
         rows.withColumn("__rank", F.row_number().over(in_part).cast("long") - 1)
@@ -142,11 +151,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", or
     )
     placed = ranked.join(ranges, (F.col(length) == F.col("__l")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")))
     nth = F.col("__rank") - F.col("__from")
+    alone = every.filter(full).select(*kept, (F.col("__row") + following).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return placed.select(
-        *(c for c in pieces.columns if c not in ("sequence_id", "offset")),
+        *kept,
         (F.col("__sequence") + F.floor(nth / F.col("__each")).cast("long")).alias("sequence_id"),
         (F.col("__offset") + nth % F.col("__each") * F.col(length)).alias("offset"),
-    )
+    ).unionByName(alone)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:

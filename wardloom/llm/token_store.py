@@ -5,15 +5,19 @@ documents a data file (``<no>.bin``: one zstandard frame per document) and its
 index (``<no>.idx``: dictionary hash, then per document its id, the offset of
 its frame, and how many ids come before it in the file).  A document is read
 with one seek and one short frame.  The dictionary is trained on serialized id
-arrays of a bounded sample (SAMPLE documents at most, by hash of their ids);
-every document is then written.
+arrays of a bounded sample: SAMPLE documents at most (by hash of their ids), and
+of each SAMPLE_CHARS characters at most, from a place that its hash picks.
+Every document is then written whole.  There are as many files as FILE_BYTES of
+text ask for, MAX_FILES at most.
 
 Tasks write under a name of their own and rename at the end, so a task that
 runs twice (a lost executor, speculation) leaves one complete file.
 
 Defined results: null text is empty and is a document of its end id alone; a
-null id is written first; repeated rows are separate documents; an empty table
-makes a store without documents; only the id and text columns are read.
+long text is one frame, encoded in one call; ids must be whole numbers (they are
+cast to long), a null id is written first; repeated rows are separate documents;
+an empty table makes a store without documents; only the id and text columns are
+read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -31,11 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardloom.llm.common import shared_folder, table, text_of
-from wardloom.llm.tokens import packed, word_bpe
+from wardloom.llm.tokens import encoder, packed
 
 END_ID = 1
 SAMPLE = 1000
-SAMPLE_IDS = 2000  # of a document of the sample
+SAMPLE_CHARS = 8000  # of a document of the sample
+FILE_BYTES, MAX_FILES = 128 << 20, 100_000
 DICTIONARY_BYTES = 32 << 10
 LEVEL = 1
 _MAGIC = b"WLTS0001"
@@ -93,7 +98,7 @@ def write_store(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id",
         import zstandard
         from pyspark import TaskContext
 
-        encode, coder = word_bpe(path), zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(shared.value), write_content_size=True)
+        encode, coder = encoder(path), zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(shared.value), write_content_size=True)
         no, own = TaskContext.get().partitionId(), uuid.uuid4().hex
         files, root = _at(folder)
         data, index, offset, before, n = None, [], 0, 0, 0
@@ -116,7 +121,8 @@ def write_store(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id",
             files.move(f"{root}/_{own}.{end}", f"{root}/{no:06d}.{end}")
         yield pa.RecordBatch.from_pydict({"no": [no], "n_docs": [n], "n_ids": [before]}, schema=pa.schema({"no": pa.int64(), "n_docs": pa.int64(), "n_ids": pa.int64()}))
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(MAX_FILES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES)))
     order = F.asc_nulls_first("doc_id")
     dealt = rows.repartitionByRange(n, order, F.xxhash64("text")).sortWithinPartitions(order, F.xxhash64("text"))
     written = sorted(tuple(r) for r in dealt.mapInArrow(run, "no long, n_docs long, n_ids long").collect())  # a row per file
@@ -134,19 +140,27 @@ def _trained(rows: DataFrame, path: str) -> bytes:
     if not n:
         return b""
     near = F.lit(min((1 << 63) - 1, int(-(1 << 63) + 2 * SAMPLE / n * (1 << 64))))  # about twice the sample
-    some = rows.filter(hashed <= near).orderBy(hashed, "doc_id").limit(SAMPLE).select(F.substring("text", 1, 8 * SAMPLE_IDS)).collect()
-    encode = word_bpe(path)
-    return train([_serialized([*encode(t)[:SAMPLE_IDS], END_ID]) for (t,) in some])
+    spare = F.greatest(F.lit(0), F.length("text") - SAMPLE_CHARS)
+    place = F.pmod(F.xxhash64("doc_id", F.lit(8)), spare + 1).cast("int") + 1
+    part = F.substring("text", place, F.lit(SAMPLE_CHARS))
+    some = rows.filter(hashed <= near).orderBy(hashed, "doc_id").limit(SAMPLE).select(part).collect()
+    encode = encoder(path)
+    return train([_serialized([*encode(t), END_ID]) for (t,) in some])
+
+
+def _by_file(manifest: DataFrame) -> DataFrame:
+    """A task per file or so; the manifest has a row per file."""
+    return manifest.repartition(max(1, manifest.count()), "file")
 
 
 def read_store(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids as little-endian unsigned 32-bit): every document, from the files."""
-    return manifest.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file").mapInArrow(_reader(folder, digest=False), "doc_id long, start long, n_tokens long, ids binary")
+    return _by_file(manifest).mapInArrow(_reader(folder, digest=False), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def read_digests(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """As read_store, with the ids' crc32 in their place."""
-    return manifest.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file").mapInArrow(_reader(folder, digest=True), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _by_file(manifest).mapInArrow(_reader(folder, digest=True), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _open(files: pafs.FileSystem, root: str, file: str) -> tuple[list[tuple], int, bytes]:

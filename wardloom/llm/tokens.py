@@ -1,9 +1,10 @@
 """Encoding with local vocabulary files, inside Spark tasks.
 
 Tokenizers are loaded once per Python worker from a path that is a parameter.
-Texts of common scripts take tiktoken's merge loop with ranks read from the
-same file, which gives the same ids several times faster; every other text goes
-to the tokenizers library itself.
+Ids are those of the tokenizers library.  For files of two known kinds, texts of
+common scripts take tiktoken's merge loop with ranks read from the same file,
+which gives the same ids several times faster (see ``encoder``); every other
+text, and every other kind of file, goes to the library itself.
 """
 
 from __future__ import annotations
@@ -30,49 +31,76 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _library(path: str):
+# What a file's JSON says of its splitting, where the short ways below hold.
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN_MODEL = {
+    "type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False,
+    "byte_fallback": False, "ignore_merges": False,
+}
+_BYTE_FILE = {
+    "normalizer": None,
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+}
+_WORD_FILE = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": _WORD_PATTERN}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Of so many texts, the first of at most PROBE_CHARS is encoded both ways and compared.
+PROBE_EVERY, PROBE_CHARS = 64, 4000
+
+
+def library(path: str) -> Callable[[str], list[int]]:
+    """Text to ids by the tokenizers library and nothing else."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return t
+    return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-@functools.cache
-def byte_bpe(path: str) -> Callable[[str], list[int]]:
-    """Text to ids by a byte-level BPE file of the tokenizers library."""
-    import tiktoken
-
+def _ranks(file: dict, end: str) -> dict[bytes, int]:
+    """Each token's bytes (with a byte 1 for a word's end) and id; the merges must make the tokens in the order of their ids."""
     letters = byte_letters()
-    model = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
-    ranks = {bytes(letters[c] for c in token): i for token, i in model.items() if all(c in letters for c in token) and i < 50256}
-    fast = tiktoken.Encoding("byte", pat_str=_GPT_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    slow = functools.cache(lambda: _library(path))
-    return lambda text: fast(text) if _COMMON(text) else slow().encode(text, add_special_tokens=False).ids
 
+    def raw(token: str) -> bytes:
+        word = token.removesuffix(end) if end and len(token) > len(end) else token
+        return bytes(letters[c] for c in word) + (b"\x01" if word != token else b"")
 
-@functools.cache
-def word_bpe(path: str) -> Callable[[str], list[int]]:
-    """Text to ids by a BPE file with word ends.
+    special = {t["content"] for t in file["added_tokens"]}
+    ids = {token: i for token, i in file["model"]["vocab"].items() if token not in special}
+    pairs = [m.split(" ", 1) if isinstance(m, str) else m for m in file["model"]["merges"]]
+    made = [ids["".join(p)] for p in pairs]
+    if made != sorted(made) or len(set(made)) != len(made):
+        raise ValueError("the merges don't follow the ids")
+    return {raw(token): i for token, i in ids.items()}
 
-    The end of a word is one more byte for the merge loop: "b</w>" is the pair
-    (b, end), whose rank comes before every merge of letters, as in the file.
-    """
+
+def _short_way(file: dict) -> Callable[[str], list[int]] | None:
+    """Encodes texts of ``_COMMON`` characters as a file like this one says; None for any other kind of file."""
     import tiktoken
 
-    letters = byte_letters()
-    ranks = {}
-    for token, i in json.load(open(path, encoding="utf-8"))["model"]["vocab"].items():
-        word = token.removesuffix("</w>") if len(token) > 4 else token
-        if all(c in letters for c in word) and not token.startswith("<|"):
-            ranks[bytes(letters[c] for c in word) + (b"\x01" if word != token else b"")] = i
-    fast = tiktoken.Encoding("word", pat_str=r"[^\x01]+\x01", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    slow = functools.cache(lambda: _library(path))
+    end = file["model"].get("end_of_word_suffix")
+    settings = {k: file.get(k) for k in ("normalizer", "pre_tokenizer")}
+    if any(file["model"].get(k) != v for k, v in _PLAIN_MODEL.items()) or file.get("post_processor") is not None:
+        return None
+    if settings == _BYTE_FILE and end is None:
+        return tiktoken.Encoding("byte", pat_str=_GPT_PATTERN, mergeable_ranks=_ranks(file, ""), special_tokens={}).encode_ordinary
+    if settings != _WORD_FILE or end != "</w>":
+        return None
+    # the end of a word is one more byte: "b</w>" is the pair (b, end), whose rank comes before every merge of letters
+    fast = tiktoken.Encoding("word", pat_str=r"[^\x01]+\x01", mergeable_ranks=_ranks(file, end), special_tokens={}).encode_ordinary
 
     def encode(text: str) -> list[int]:
-        if not _COMMON(text):
-            return slow().encode(text, add_special_tokens=False).ids
         chunks = text.lower().split()
         for i, word in enumerate(map(str.isalpha, chunks)):
             if not word:
@@ -86,6 +114,33 @@ def word_bpe(path: str) -> Callable[[str], list[int]]:
     return encode
 
 
+@functools.cache
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Text to the ids that the tokenizers library gives with this file, several times faster for common scripts.
+
+    The short way is taken only for files whose model, normalizer and
+    pre-tokenizer are the ones it was made for, and only for texts of
+    ``_COMMON`` characters; some texts are encoded by the library as well, and a
+    difference raises.  Everything else goes to the library.
+    """
+    with open(path, encoding="utf-8") as f:
+        short = _short_way(json.load(f))
+    whole = functools.cache(lambda: library(path))
+    seen = 0
+
+    def encode(text: str) -> list[int]:
+        nonlocal seen
+        if short is None or not _COMMON(text):
+            return whole()(text)
+        ids = short(text)
+        seen += 1
+        if seen % PROBE_EVERY == 1 and len(text) <= PROBE_CHARS and ids != whole()(text):
+            raise ValueError(f"{path}: the short way's ids differ from the library's")
+        return ids
+
+    return encode
+
+
 def packed(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit."""
     out = array("I", ids)

@@ -1,25 +1,34 @@
 """Chat formatting in budgeted windows.
 
-A conversation's turns are cut into spans by prefix sums of their tokens: turn
-boundaries only, at most SPAN tokens to a span (a longer turn is a span of its
-own).  Each span becomes one window: the system turn first (if the conversation
-opens with one), up to HISTORY turns that went before (at most HISTORY_TOKENS
-of them), then the span.  Assistant turns of the span are targets; repeated
-turns, and all other roles, are masked.  So each assistant turn is a target in
-exactly one window.
+Prefix sums of the turns' tokens cut a conversation into spans of whole turns.
+Each span becomes one window: the system turn first (if the conversation opens
+with one), up to HISTORY turns that went before (at most HISTORY_TOKENS of
+them), then as many new turns as fit: all of it takes WINDOW tokens at most.
+Only a turn that doesn't fit beside the system turn makes a window that is over
+the budget; it stands there alone, and ``over`` says so.  Assistant turns of the
+span are targets; repeated turns, and all other roles, are masked.  So each
+assistant turn is a target in exactly one window.
+
+A token, for the budget, is a run of two ASCII letters at most, any other ASCII
+character (of white space, a run of two or more), or a byte of what isn't ASCII,
+of all that is written, markers included.  Public byte-level vocabularies need
+fewer for prose (tests hold whole windows against two of them).
 
 The template writes a turn as ``<s>[role]\\n text </s>`` (without the spaces)
 and escapes backslash, ``<`` and ``[`` in roles and texts, so no text can hold
 a marker; unescaping gives the text back.
 
-Turns move by conversation and position for windows and joins that spill; one
-window's turns are gathered at a time.  Only the query's digests need a whole
-conversation in one place, as their contract says.
-
-Defined results: null role or text counts as empty; rows of a conversation go
-by turn, then role, then text (null turns first); repeated rows are separate
-turns; a null conversation id is a conversation too; an empty table gives no
-rows; other columns aren't read.
+Turns are dealt by conversation and chapter (CHAPTER turn numbers), which no
+span and no history crosses, so a conversation that holds a third of all rows is
+many groups; what chapters need of each other comes from a row per chapter.
+Only the query's digests need a whole conversation in one place, as their
+contract says.
+
+Defined results: null role or text counts as empty; a long text is one turn,
+never cut; rows of a conversation go by turn, then role, then text (null turns
+first, in a chapter of their own); repeated rows are separate turns; conversation
+ids and turns must be whole numbers (they are cast to long), and a null id is a
+conversation too; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -27,11 +36,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardloom.llm.common import stored, table
+from wardloom.llm.common import let, stored, table
 
-SPAN = 1024
+WINDOW = 2048
 HISTORY = 2
-HISTORY_TOKENS = 256
+HISTORY_TOKENS = 512
+CHAPTER = 256
+TOKEN = r"[A-Za-z]{1,2}|[^\x20\x09-\x0DA-Za-z]|[\x20\x09-\x0D]{2,}"
 _ESCAPES = (("\\", "\\0"), ("<", "\\1"), ("[", "\\2"), ("]", "\\3"))
 _OPEN, _NAMED, _CLOSE = "<s>[", "]\n", "</s>"
 
@@ -49,77 +60,138 @@ def unescape(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """The length that budgets go by: four bytes are a token, and a turn's markers are four."""
-    return F.ceil(F.octet_length(text) / 4).cast("long") + 4
+    return (F.regexp_count(text, F.lit(TOKEN)) + F.octet_length(text) - F.length(text)).cast("long")
+
+
+_CONV = ["c_null", "c_id"]  # a conversation id that joins and groups, null too
 
 
 def turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, pos (from 0), role, text, n (tokens), upto (tokens up to this turn)."""
+    """One row per turn: conversation, chapter, here (from 0 in it), role, part (as written), lead, size and n (tokens)."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    conv, turn = F.col("conv_id").cast("long"), F.col("turn").cast("long")
     rows = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+        conv.isNull().alias("c_null"),
+        F.coalesce(conv, F.lit(0)).alias("c_id"),
+        turn.alias("turn"),
+        blank("role").alias("role"),
+        blank("text").alias("text"),
     )
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.withColumn("pos", F.row_number().over(order) - 1).withColumn("n", tokens(F.col("text")))
-    return rows.withColumn("upto", F.sum("n").over(Window.partitionBy("conv_id").orderBy("pos"))).drop("turn")
-
-
-def spans(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``span``: the number of the window in which a turn is new.
-
-    Turns of at most SPAN / 2 tokens fall into steps of SPAN / 2 of their
-    prefix sum, which keeps any span within SPAN; a longer turn starts a span
-    and ends it.
+    rows = rows.withColumn("chapter", F.coalesce(F.floor(F.col("turn") / CHAPTER), F.lit(-1 << 62)))
+    opened = F.concat(F.lit(_OPEN), escape(F.col("role")), F.lit(_NAMED))
+    body = escape(F.col("text"))
+    order = Window.partitionBy(*_CONV, "chapter").orderBy("turn", "role", "text")
+    rows = rows.select(
+        *_CONV, "chapter", "role",
+        (F.row_number().over(order) - 1).alias("here"),
+        F.concat(opened, body, F.lit(_CLOSE)).alias("part"),
+        F.length(opened).alias("lead"),
+        F.length(body).alias("size"),
+    )
+    return rows.withColumn("n", tokens(F.col("part")))
+
+
+def cut(turns_: Column, system: Column, first: Column) -> Column:
+    """array<struct<start, hist>>: where a chapter's spans start, and how many turns before each are repeated.
+
+    ``turns_`` is array<struct<here, n>> in order; ``system`` the tokens of the
+    system turn (null if there is none); ``first`` whether this is the chapter
+    that the system turn opens.
     """
-    half = SPAN // 2
-    large = F.col("n") > half
-    order = Window.partitionBy("conv_id").orderBy("pos")
-    step = F.floor((F.col("upto") - 1) / half)
-    rows = rows.withColumns({"__step": step, "__large": large})
-    new = F.col("__large") | F.coalesce(F.lag("__large").over(order), F.lit(True)) | (F.col("__step") != F.lag("__step").over(order))
-    return rows.withColumn("__new", new.cast("int")).withColumn("span", F.sum("__new").over(order) - 1).drop("__step", "__large", "__new")
+    none = F.array().cast("array<bigint>")
+    start = F.struct(
+        F.array().cast("array<struct<start:int,hist:int>>").alias("spans"),
+        F.lit(0).cast("long").alias("total"),
+        none.alias("recent"),  # tokens of the turns just before, the nearest first
+    )
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def add(acc: Column, turn: Column) -> Column:
+        opens = first & (turn["here"] == 0)
+        kept = F.when(opens, F.lit(0)).otherwise(F.coalesce(system, F.lit(0)))
+        fits = (F.size(acc["spans"]) > 0) & (acc["total"] + turn["n"] <= WINDOW)
+
+        def room(k: int) -> Column:
+            again = total(F.slice(acc["recent"], 1, k))
+            return (F.size(acc["recent"]) >= k) & (again <= HISTORY_TOKENS) & (kept + again + turn["n"] <= WINDOW)
+
+        hist = sum((F.when(room(k), 1).otherwise(0) for k in range(1, HISTORY + 1)), F.lit(0))
+
+        def grown(hist: Column) -> Column:
+            span = F.struct(turn["here"].alias("start"), hist.alias("hist"))
+            fresh = kept + total(F.slice(acc["recent"], F.lit(1), hist)) + turn["n"]
+            recent = F.slice(F.concat(F.array(turn["n"]), acc["recent"]), 1, HISTORY)
+            return F.struct(
+                F.when(fits, acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"),
+                F.when(fits, acc["total"] + turn["n"]).otherwise(fresh).alias("total"),
+                F.when(opens & system.isNotNull(), none).otherwise(recent).alias("recent"),
+            )
+
+        return let(hist, grown)
+
+    return F.aggregate(turns_, start, add, lambda acc: acc["spans"])
+
+
+def chapters(rows: DataFrame) -> DataFrame:
+    """A row per chapter: first (of its conversation), spans, before (spans of earlier chapters), last (span), system."""
+    numbers = F.sort_array(F.collect_list(F.struct("here", "n")))
+    head = F.min_by(F.struct("role", "n"), "here")
+    found = rows.groupBy(*_CONV, "chapter").agg(numbers.alias("numbers"), head.alias("head"))
+    order = Window.partitionBy(*_CONV).orderBy("chapter")
+    found = found.withColumns({"head": F.first("head").over(order), "first": F.row_number().over(order) == 1})
+    system = F.when(F.col("head.role") == "system", F.col("head.n"))
+    found = found.select(*_CONV, "chapter", "first", system.alias("system"), cut(F.col("numbers"), system, F.col("first")).alias("spans"))
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*_CONV)
+    return found.withColumns(
+        {
+            "before": F.coalesce(F.sum(F.size("spans")).over(earlier), F.lit(0)),
+            "last": F.sum(F.size("spans")).over(every) - 1,
+        }
+    )
 
 
 def window_turns(rows: DataFrame) -> DataFrame:
-    """Every turn of every window: conv_id, span, kind (0 system, 1 history, 2 new), pos, role, text."""
-    order = Window.partitionBy("conv_id").orderBy("pos")
-    first = Window.partitionBy("conv_id", "span")
-    rows = rows.withColumn("start", F.min("pos").over(first))
-    system = (F.col("pos") == 0) & (F.col("role") == "system")
-    # what lies ahead: the spans that start within HISTORY turns, if the turns up to there are short enough
-    ahead = F.array(*(F.struct(F.lead("span", k).over(order).alias("span"), F.lead("start", k).over(order).alias("start"), (F.lead("upto", k).over(order) - F.lead("n", k).over(order) - F.col("upto") + F.col("n")).alias("n"), F.lead("pos", k).over(order).alias("pos")) for k in range(1, HISTORY + 1)))
-    ahead = F.filter(ahead, lambda x: (x["start"] == x["pos"]) & (x["n"] <= HISTORY_TOKENS))
-    own = F.array(F.struct(F.col("span"), F.lit(2).alias("kind")))
-    again = F.transform(ahead, lambda x: F.struct(x["span"].alias("span"), F.lit(1).alias("kind")))
-    rows = rows.withColumn("last", F.max("span").over(Window.partitionBy("conv_id"))).withColumn("again", again)
-    # the system turn comes again in every later window, and is never history
-    every = F.transform(F.when(F.col("last") > F.col("span"), F.sequence(F.col("span") + 1, F.col("last"))).otherwise(F.array().cast("array<bigint>")), lambda s: F.struct(s.alias("span"), F.lit(0).alias("kind")))
-    placed = F.concat(own, F.when(system, every).otherwise(F.col("again")))
-    return rows.select("conv_id", "pos", "role", "text", F.explode(placed).alias("w")).select("conv_id", "w.span", "w.kind", "pos", "role", "text")
+    """Every turn of every window, with span (its number) and kind: 0 system, 1 history, 2 new."""
+    known = chapters(rows).withColumnsRenamed({c: f"k_{c}" for c in (*_CONV, "chapter")})
+    rows = rows.join(known, [F.col(c) == F.col(f"k_{c}") for c in (*_CONV, "chapter")])
+    here, kind = F.col("here"), lambda span, k: F.struct(span.cast("long").alias("span"), F.lit(k).alias("kind"))
+    mine = F.col("before") + F.size(F.filter("spans", lambda s: s["start"] <= here)) - 1
+    numbered = F.transform("spans", lambda s, i: F.struct(s["start"].alias("start"), s["hist"].alias("hist"), i.alias("i")))
+    ahead = F.filter(numbered, lambda s: (s["start"] > here) & (s["start"] - s["hist"] <= here))
+    again = F.transform(ahead, lambda s: kind(F.col("before") + s["i"], 1))
+    opens = F.col("first") & (here == 0) & F.col("system").isNotNull()
+    later = F.transform(F.sequence(F.lit(1).cast("long"), F.col("last")), lambda s: kind(s, 0))
+    none = F.array().cast("array<struct<span:bigint,kind:int>>")
+    repeated = F.when(opens & (F.col("last") > 0), later).when(opens, none).otherwise(again)
+    placed = rows.withColumn("w", F.explode(F.concat(F.array(kind(mine, 2)), repeated)))
+    return placed.select(*_CONV, "chapter", "here", "role", "part", "lead", "size", "n", "w.span", "w.kind")
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """One row per window: conv_id, span, formatted, loss (array of start and length in code points), repeated (turns)."""
-    placed = window_turns(spans(turns(conversations)))
-    opened = F.concat(F.lit(_OPEN), escape(F.col("role")), F.lit(_NAMED))
-    body = escape(F.col("text"))
-    placed = placed.select(
-        "conv_id", "span", "kind", "pos",
-        F.concat(opened, body, F.lit(_CLOSE)).alias("part"), F.length(opened).alias("lead"), F.length(body).alias("size"),
-        ((F.col("kind") == 2) & (F.col("role") == "assistant")).alias("target"),
+    """One row per window: conv_id, span, formatted, loss (array of start and length in code points), repeated (turns), tokens, over."""
+    placed = window_turns(turns(conversations))
+    target = (F.col("kind") == 2) & (F.col("role") == "assistant")
+    turn = F.struct(
+        F.when(F.col("kind") == 0, 0).otherwise(1).alias("rank"), "chapter", "here", "part", "lead", "size", target.alias("target"), "kind"
     )
-    parts = F.sort_array(F.collect_list(F.struct("pos", "part", "lead", "size", "target", "kind")))
-    grouped = placed.groupBy("conv_id", "span").agg(parts.alias("parts"))
-    started = F.aggregate(
-        "parts",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("loss")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["part"])).alias("at"),
-            F.when(p["target"], F.concat(acc["loss"], F.array(F.struct((acc["at"] + p["lead"]).alias("start"), p["size"].cast("long").alias("length"))))).otherwise(acc["loss"]).alias("loss"),
-        ),
-    )["loss"]
+    grouped = placed.groupBy(*_CONV, "span").agg(F.sort_array(F.collect_list(turn)).alias("parts"), F.sum("n").alias("tokens"))
+    none = F.array().cast("array<struct<start:bigint,length:bigint>>")
+
+    def mark(acc: Column, p: Column) -> Column:
+        one = F.struct((acc["at"] + p["lead"]).alias("start"), p["size"].cast("long").alias("length"))
+        loss = F.when(p["target"], F.concat(acc["loss"], F.array(one))).otherwise(acc["loss"])
+        return F.struct((acc["at"] + F.length(p["part"])).alias("at"), loss.alias("loss"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("loss"))
     return grouped.select(
-        "conv_id", "span", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("formatted"), started.alias("loss"),
+        F.when(~F.col("c_null"), F.col("c_id")).alias("conv_id"),
+        "span",
+        F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("formatted"),
+        F.aggregate("parts", start, mark, lambda acc: acc["loss"]).alias("loss"),
         F.size(F.filter("parts", lambda p: p["kind"] != 2)).alias("repeated"),
+        "tokens",
+        (F.col("tokens") > WINDOW).alias("over"),
     )
 
 
@@ -147,14 +219,23 @@ def query(spark, sf_dir: str) -> DataFrame:
     windows = stored(format_conversations(with_planted(table(spark, sf_dir, "conversations"))), "chat-windows")
     new = F.slice(parse(F.col("formatted")), F.col("repeated") + 1, F.length("formatted"))
     loss = F.transform("loss", lambda x: unescape(F.substring(F.col("formatted"), (x["start"] + 1).cast("int"), x["length"].cast("int"))))
-    read = windows.select(
-        "conv_id", "span", F.length("formatted").cast("long").alias("chars"), F.array_join(loss, "").alias("loss"), new.alias("turns"),
-    ).select(
-        "conv_id", "span", "chars", "loss", F.size("turns").cast("long").alias("n"),
-        F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"),
+    chars = F.length("formatted").cast("long")
+    read = windows.select("conv_id", "span", chars.alias("chars"), F.array_join(loss, "").alias("loss"), new.alias("turns"))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    read = read.select("conv_id", "span", "chars", "loss", F.size("turns").cast("long").alias("n"), F.array_join(said, "").alias("said"))
+    whole = read.groupBy("conv_id").agg(
+        F.sum("n").alias("n_turns"),
+        F.sum("chars").alias("formatted_chars"),
+        F.sort_array(F.collect_list(F.struct("span", "said", "loss"))).alias("parts"),
     )
-    whole = read.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.sort_array(F.collect_list(F.struct("span", "said", "loss"))).alias("parts"))
     joined = lambda c: F.array_join(F.transform("parts", lambda p: p[c]), "")
     whole = whole.select("conv_id", "n_turns", "formatted_chars", joined("said").alias("said"), joined("loss").alias("loss"))
     digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
-    return whole.select("conv_id", "n_turns", digest("said").alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), digest("loss").alias("loss_sha256"), "formatted_chars")
+    return whole.select(
+        "conv_id",
+        "n_turns",
+        digest("said").alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        digest("loss").alias("loss_sha256"),
+        "formatted_chars",
+    )

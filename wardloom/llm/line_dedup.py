@@ -4,20 +4,23 @@ Blank lines don't count.  Every window of three lines is hashed; the first
 place where a hash occurs in the corpus (smallest document id, then position)
 stands, and each later place is removed: the positions that any later window
 covers are merged per document and their lines dropped.  A document of one or
-two lines is a single, shorter window.  With ``passage_words`` shorter windows
-join in where they hold more words than that, so that a long passage on one or
-two lines goes whatever its neighbour lines are.
+two lines is a single, shorter window.  Windows of one or two lines join in
+where they hold more than ``passage_words`` words, so that a long passage goes
+whatever its neighbour lines are (None: three-line windows alone).
 
-Only hashes and positions are shuffled for the search.  The first place of a
+Only hashes (two of 64 bits, so that different windows aren't taken for equal)
+and positions are shuffled for the search.  The first place of a
 window comes from a partial aggregate, so a window that a third of all
 documents share is reduced before it moves; the join back is an ordinary
 equi-join whose large keys Spark splits.  The texts move once, to meet their
 removed positions.
 
 Defined results: null text is empty and stays so; white space at a line's ends
-is ignored in comparing; a null id counts as the largest; rows with the same id
-and text are one document seen twice and come out alike; other columns pass
-through (columns named like a result are replaced).
+is ignored in comparing; a long text's lines all count (they are one row's
+array); ids must be whole numbers (they are cast to long), and a null id counts
+as the largest; rows with the same id and text are one document seen twice and
+come out alike; an empty table gives no rows; other columns pass through
+(columns named like a result, or beginning with ``__``, are replaced).
 """
 
 from __future__ import annotations
@@ -41,19 +44,25 @@ def _filled(line: Column) -> Column:
 
 
 def _windows(text: str, window: int, passage_words: int | None = None) -> Column:
-    """array<struct<hash, width, pos, end>> of one text's windows; pos and end are line numbers from 0."""
+    """array<struct<hash, check, width, pos, end>> of one text's windows; pos and end are line numbers from 0."""
     numbered = F.filter(
         F.transform(_lines(text), lambda x, i: F.struct(i.alias("no"), F.btrim(x, F.lit(_EDGES)).alias("line"))),
         lambda x: x["line"] != "",
     )
     words = lambda x: F.size(words_of(x)) if passage_words is not None else F.lit(0)
-    hashed = F.transform(numbered, lambda x: F.struct(x["no"].alias("no"), F.xxhash64(x["line"]).alias("h"), words(x["line"]).alias("words")))
+    hashed = F.transform(
+        numbered,
+        lambda x: F.struct(
+            x["no"].alias("no"), F.xxhash64(x["line"]).alias("h"), F.xxhash64(F.lit(1), x["line"]).alias("c"), words(x["line"]).alias("words")
+        ),
+    )
 
     def at(s: Column, starts: Column, width: Column) -> Column:
         return F.transform(
             starts,
             lambda i: F.struct(
                 F.xxhash64(F.slice(s["h"], i + 1, width)).alias("hash"),
+                F.xxhash64(F.lit(1), F.slice(s["c"], i + 1, width)).alias("check"),
                 width.alias("width"),
                 F.get(s["no"], i).alias("pos"),
                 F.get(s["no"], i + width - 1).alias("end"),
@@ -74,19 +83,20 @@ def _windows(text: str, window: int, passage_words: int | None = None) -> Column
     return let(hashed, lambda s: F.when(F.size(s) > 0, of(s)))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, passage_words: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, passage_words: int | None = PASSAGE_WORDS) -> DataFrame:
     """``docs`` with ``text`` cleaned, and n_lines (non-blank, before) and n_removed (of those) added."""
+    docs = docs.drop(*(c for c in docs.columns if c.startswith("__")))
     place = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "__h": F.xxhash64(text_of(text))}
     found = docs.select(*(c.alias(n) for n, c in place.items()), F.explode(_windows(text, window, passage_words)).alias("w"))
     found = stored(found.select("__id", "__h", "w.*"), "line-windows")
     first = (
-        found.groupBy("hash", "width")
+        found.groupBy("hash", "check", "width")
         .agg(F.count("*").alias("n"), F.min(F.struct("__id", "__h", "pos")).alias("first"))
         .filter("n > 1")
         .drop("n")
     )
     gone = (
-        found.join(first, ["hash", "width"])
+        found.join(first, ["hash", "check", "width"])
         .filter(F.struct("__id", "__h", "pos") != F.col("first"))
         .groupBy("__id", "__h")
         .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("pos", "end")))).alias("__gone"))

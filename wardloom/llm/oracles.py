@@ -49,42 +49,44 @@ def near_components() -> str:
 
 
 def chat_windows() -> str:
-    half, h = chat.SPAN // 2, chat.HISTORY
-    size = lambda c: f"length({c}) + length({c}) - length(regexp_replace({c}, '[\\\\<\\[\\]]', '', 'g'))"
-    marks = sum(map(len, (chat._OPEN, chat._NAMED, chat._CLOSE)))
-    again = " + ".join(
-        f"CASE WHEN lead(start, {k}) OVER w = lead(pos, {k}) OVER w AND lead(upto, {k}) OVER w - lead(n, {k}) OVER w - upto + n <= {chat.HISTORY_TOKENS} THEN 1 ELSE 0 END" for k in range(1, h + 1)
-    )
-    return f"""
-    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-    t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos, CAST(ceil(strlen(text) / 4) AS BIGINT) + 4 AS n FROM c),
-    u AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY pos) AS upto FROM t),
-    v AS (SELECT *, floor((upto - 1) / {half}) AS step, n > {half} AS large FROM u),
-    b AS (SELECT *, CASE WHEN large OR coalesce(lag(large) OVER w, true) OR step <> lag(step) OVER w THEN 1 ELSE 0 END AS new FROM v WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
-    s AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS span FROM b),
-    f AS (SELECT *, min(pos) OVER (PARTITION BY conv_id, span) AS start, max(span) OVER (PARTITION BY conv_id) AS last FROM s),
-    p AS (SELECT *, {marks} + {size('role')} + {size('text')} AS chars, 1 + CASE WHEN pos = 0 AND role = 'system' THEN last - span ELSE {again} END AS times FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY pos))
-    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY pos)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-        sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars * times) AS BIGINT) AS formatted_chars FROM p GROUP BY conv_id"""
+    """Spans are walked from start to start; each start knows its history and where the next one is."""
 
+    def escaped(c: str) -> str:
+        for plain, code in chat._ESCAPES:
+            c = f"replace({c}, '{plain}', '{code}')"
+        return c
 
-def line_dedup() -> str:
-    edges = "concat(' ', chr(9), chr(11), chr(12), chr(13))"
+    part = f"concat('{chat._OPEN}', {escaped('role')}, ']', chr(10), {escaped('text')}, '{chat._CLOSE}')"
+    most, again = chat.WINDOW, chat.HISTORY_TOKENS
     return f"""
-    WITH l AS (SELECT doc_id, unnest(range(len(a))) AS no, unnest(a) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents) x),
-    f AS (SELECT doc_id, no, trim(line, {edges}) AS line FROM l WHERE trim(line, {edges}) <> ''),
-    n AS (SELECT doc_id, no, row_number() OVER w AS k, count(*) OVER (PARTITION BY doc_id) AS c, line AS l1, lead(line, 1) OVER w AS l2, lead(line, 2) OVER w AS l3, lead(no, 1) OVER w AS n2, lead(no, 2) OVER w AS n3 FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
-    windows AS (SELECT doc_id, no AS pos, CASE WHEN c >= 3 THEN n3 WHEN c = 2 THEN n2 ELSE no END AS last, CASE WHEN c >= 3 THEN concat(l1, chr(10), l2, chr(10), l3) WHEN c = 2 THEN concat(l1, chr(10), l2) ELSE l1 END AS key, least(c, 3) AS width
-        FROM n WHERE k <= greatest(c - 2, 1) AND (c <> 2 OR k = 1)),
-    later AS (SELECT doc_id, pos, last FROM (SELECT *, row_number() OVER (PARTITION BY width, key ORDER BY doc_id, pos) AS nth FROM windows) y WHERE nth > 1),
-    gone AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS no FROM later),
-    m AS (SELECT l.*, g.no IS NOT NULL AS gone, trim(line, {edges}) <> '' AS filled FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.no = g.no)
-    SELECT doc_id, CAST(sum(CASE WHEN filled THEN 1 ELSE 0 END) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN filled AND gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '') AS text FROM m GROUP BY doc_id"""
+    WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos,
+            coalesce(floor(turn / {chat.CHAPTER}), -1e18) AS chapter, len(regexp_extract_all({part}, '{chat.TOKEN}')) + strlen({part}) - length({part}) AS n, length({part}) AS chars FROM c),
+    u AS (SELECT *, sum(n) OVER (PARTITION BY conv_id, chapter ORDER BY pos) AS upto,
+            max(CASE WHEN pos = 0 AND role = 'system' THEN n END) OVER (PARTITION BY conv_id) AS system_n,
+            max(CASE WHEN pos = 0 AND role = 'system' THEN chars END) OVER (PARTITION BY conv_id) AS system_chars,
+            CASE WHEN pos = 0 AND role = 'system' THEN NULL ELSE n END AS said_n FROM t),
+    v AS (SELECT *, lag(said_n, 1) OVER w AS n1, lag(said_n, 2) OVER w AS n2, lag(chars, 1) OVER w AS chars1, lag(chars, 2) OVER w AS chars2,
+            CASE WHEN pos = 0 THEN 0 ELSE coalesce(system_n, 0) END AS kept FROM u WINDOW w AS (PARTITION BY conv_id, chapter ORDER BY pos)),
+    h AS (SELECT *, CASE WHEN n1 + n2 <= {again} AND kept + n1 + n2 + n <= {most} THEN 2 WHEN n1 <= {again} AND kept + n1 + n <= {most} THEN 1 ELSE 0 END AS hist FROM v),
+    x AS (SELECT *, kept + CASE hist WHEN 2 THEN n1 + n2 WHEN 1 THEN n1 ELSE 0 END AS used, CASE hist WHEN 2 THEN chars1 + chars2 WHEN 1 THEN chars1 ELSE 0 END AS hist_chars FROM h),
+    nexts AS (SELECT a.conv_id, a.pos, a.hist_chars, CASE WHEN a.pos > 0 THEN coalesce(a.system_chars, 0) ELSE 0 END AS repeated,
+            min(CASE WHEN b.chapter > a.chapter OR a.used + b.upto - a.upto + a.n > {most} THEN b.pos END) AS following
+        FROM x a LEFT JOIN x b ON a.conv_id = b.conv_id AND b.pos > a.pos GROUP BY ALL),
+    starts AS (SELECT conv_id, CAST(0 AS BIGINT) AS pos FROM c GROUP BY conv_id
+        UNION ALL SELECT s.conv_id, n.following FROM starts s JOIN nexts n ON s.conv_id = n.conv_id AND s.pos = n.pos WHERE n.following IS NOT NULL),
+    extra AS (SELECT n.conv_id, sum(hist_chars + repeated) AS chars FROM starts s JOIN nexts n ON s.conv_id = n.conv_id AND s.pos = n.pos GROUP BY n.conv_id)
+    SELECT t.conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY pos)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(t.chars) + any_value(e.chars) AS BIGINT) AS formatted_chars
+    FROM t JOIN extra e ON t.conv_id = e.conv_id GROUP BY t.conv_id"""
 
 
-def passage_dedup() -> str:
-    """Line dedup with windows of one and two lines, where they hold over 50 words, besides those of three."""
+def line_dedup() -> str:
+    """Windows of three lines, and of one and two lines where they hold over 50 words."""
     edges = "concat(' ', chr(9), chr(11), chr(12), chr(13))"
     return f"""
     WITH l AS (SELECT doc_id, unnest(range(len(a))) AS no, unnest(a) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents) x),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardloom.llm import bpe, chat, near_dedup, oracles, packing, quality_mil, sharding, simhash, token_store
 from wardloom.llm.common import table
-from wardloom.llm.line_dedup import PASSAGE_WORDS, dedup_lines
+from wardloom.llm.line_dedup import dedup_lines
 from wardloom.llm.quality_rules import apply_quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,12 +24,6 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
-def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line dedup that also takes passages of over 50 words on one or two lines."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, passage_words=PASSAGE_WORDS).select("doc_id", "n_lines", "n_removed", "text")
-
-
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -38,7 +32,7 @@ def queries() -> dict[str, Query]:
         "op4_packing": packing.query,
         "op5_chat": chat.query,
         "op6_line_dedup": op6_line_dedup,
-        "op6_passage_dedup": op6_passage_dedup,
+        "op6_passage_dedup": op6_line_dedup,  # its name from when passages weren't in operator 6 itself
         "op7_token_store": token_store.query,
         "op8_bpe": bpe.query,
         "op9_sharding": sharding.query,
@@ -53,5 +47,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_near_dedup": oracles.near_components(),
         "op5_chat": oracles.chat_windows(),
         "op6_line_dedup": oracles.line_dedup(),
-        "op6_passage_dedup": oracles.passage_dedup(),
+        "op6_passage_dedup": oracles.line_dedup(),
     }

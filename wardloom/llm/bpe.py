@@ -1,13 +1,17 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 Each task loads the ranks once.  Long texts are cut where the split pattern
-always has a boundary (after a character that isn't white space, before one
-that is), so no regular-expression match spans a cut and memory per call stays
-bounded.  Ids decode to raw bytes; a code point split over tokens is no matter.
+always has a boundary (before white space that follows another character, or
+after the last of some letters or digits), so no regular-expression match spans
+a cut.  A run of letters, digits or other marks is one piece by the pattern
+itself and is never cut, however long.  Cuts are known for PATTERN alone: with
+any other pattern a text is encoded whole.  Ids decode to raw bytes; a code
+point split over tokens is no matter.
 
 Defined results: null text is empty and has no ids; control strings are
 ordinary text; repeated rows come out alike; only the id and text columns are
-read, so other columns can't clash; an empty table gives no rows.
+read, so other columns can't clash (an id column named like a result is
+refused); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +31,9 @@ from wardloom.llm.tokens import packed
 
 #: A text longer than this is cut into parts of about this many code points.
 LONG = 50_000
-_CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \t\n\r])")
+# Fixed value: the split pattern of the rank file, for which the cuts below hold.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \t\n\r])|(?<=[A-Za-z])(?=[\x00-\x7f])(?![A-Za-z])|(?<=[0-9])(?=[\x00-\x7f])(?![0-9])")
 
 
 @functools.cache
@@ -52,13 +58,15 @@ def safe_parts(text: str, long: int = LONG) -> Iterator[str]:
 
 
 def encode(enc, text: str, long: int = LONG) -> list[int]:
-    if len(text) <= long:
+    if len(text) <= long or enc._pat_str != PATTERN:
         return enc.encode_ordinary(text)
     return [i for part in safe_parts(text, long) for i in enc.encode_ordinary(part)]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
     """Per row: the id column, n_tokens, and ``ids`` (array<int>) and/or digests of the ids and of their decoded bytes."""
+    if id_col in ("text", "n_tokens", "ids", "ids_sha256", "decoded_sha256"):
+        raise ValueError(f"the id column can't be named {id_col}")
     rows = docs.select(F.col(id_col), text_of(text).alias("text"))
     kind = {"n_tokens": "long"} | ({"ids": "array<int>"} if ids else {}) | ({"ids_sha256": "string", "decoded_sha256": "string"} if digests else {})
     schema = ", ".join([f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}", *(f"{k} {v}" for k, v in kind.items())])

@@ -27,7 +27,7 @@ def line_fails(line):
 
 
 def brute_pipeline(spark, sf, docs):
-    """The texts by id after each of the first four stages."""
+    """The texts by id after each of the first four stages; the classifier is trained on cleaned texts."""
     now, out = {}, []
     for r in docs.collect():
         n, chars, *_, repeats = counts(r["text"])
@@ -36,8 +36,9 @@ def brute_pipeline(spark, sf, docs):
         if not (n < 50 or 100 * repeats > 50 * n) and lost <= 1 - RULES.min_kept_share:
             now[r["doc_id"]] = clean
     out.append(dict(now))
-    model = quality_mil.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
-    now = {d: t for d, t in now.items() if model.score([t])[0] >= quality_mil.THRESHOLD}
+    cleaned = spark.createDataFrame([(d, "\n".join(x for x in (t or "").split("\n") if not line_fails(x))) for d, t in docs.select("doc_id", "text").collect()], "doc_id long, text string")
+    model = quality_mil.train(cleaned, spark.read.parquet(f"{sf}/labels.parquet"))
+    now = {d: t for d, t in now.items() if model.score(t) >= quality_mil.THRESHOLD}
     out.append(dict(now))
     clean = dedup(sorted(now.items()))
     now = {d: t for d, t in clean.items() if t == now[d] or re.search(r"[^\x20\x09-\x0D]", t)}

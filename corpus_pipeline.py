@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run``
 writes as Parquet and reads back as the next stage's input.  All but the last
 return the columns of documents.
+
+Defined results: null text is empty, which the rules reject; rows repeated whole
+are one document seen twice, of which near-dedup keeps one; of near copies, and
+in every tie, the smallest id stays, a null id after all others; an empty table
+passes every stage as such; other columns are dropped at the first stage;
+texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -27,15 +33,23 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return _documents(judged.filter("kept").withColumn("text", F.col("clean_text")))
 
 
+def _cleaned(docs: DataFrame) -> DataFrame:
+    """Texts as the first stage leaves them, of documents that it would reject too."""
+    return quality_rules.apply_quality_rules(docs).withColumn("text", F.col("clean_text"))
+
+
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier rejects; it is trained on the labelled rows of the whole table."""
-    model = quality_mil.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """Drops documents that the classifier rejects.
+
+    It is trained on the labelled rows of the whole table, cleaned like those it scores.
+    """
+    model = quality_mil.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), prepare=_cleaned)
     scored = quality_mil.score_documents(docs, model, keep=tuple(_COLUMNS))
     return scored.filter("predicted = 1").select(*_COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops repeated windows of lines; a document left without any line goes."""
+    """Drops repeated windows of lines and repeated long passages; a document left without any line goes."""
     cleaned = line_dedup.dedup_lines(docs.select(*_COLUMNS))
     return _documents(cleaned.filter("n_removed = 0 OR n_removed < n_lines"))
 
@@ -46,6 +60,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids, with the sequence and offset that each goes to."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))

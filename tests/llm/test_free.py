@@ -413,6 +413,8 @@ def test_fold_zero_never_trains(spark):
 
 # pipeline
 
+GOOD = "the quiet river bends past old mills where people mend nets and talk of rain until evening comes over fields".split()
+
 
 def test_pipeline_equals_its_stages_by_hand(spark):
     sf = "/root/testdata/sf0.001"
@@ -430,6 +432,24 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     check_packing(out, want[-1], library("byte_bpe_50k.json"))
 
 
+def test_classifier_drops_what_the_rules_let_pass(spark, tmp_path):
+    """Planted rows that pass every rule and read like the rows labelled low: the classifier drops them and no clean one."""
+    r = random.Random(4)
+    good = lambda: ". ".join(" ".join(r.choice(GOOD) for _ in range(12)).capitalize() for _ in range(9)) + "."
+    bad = lambda: ". ".join(" ".join("".join(r.choice("zxqkvj") for _ in range(5)) for _ in range(12)).capitalize() for _ in range(9)) + "."
+    rows = [(i, bad() if i % 3 == 0 else good(), "en", "s", 0) for i in range(300)] + [(900, None, "en", None, 0), (None, good(), None, "s", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(i % 3 != 0), 0) for i in range(240)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    passed = corpus_pipeline.quality_rules_stage(spark, docs, str(tmp_path)).cache()
+    assert {r["doc_id"] for r in passed.collect()} == {None, *range(300)}
+    kept = {r["doc_id"] for r in corpus_pipeline.classifier_stage(spark, passed, str(tmp_path)).collect()}
+    assert kept == {None, *(i for i in range(300) if i % 3)}
+    out = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert not out & {i for i in range(300) if i % 3 == 0} and len(out) > 150
+
+
 def test_pipeline_on_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))

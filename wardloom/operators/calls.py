@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardloom.functions import text as X
 
 
 def consent_state(log: DataFrame, keys: tuple[str, ...] = ("candidate", "ward", "serial")) -> DataFrame:
-    """Who has consented, since when, and the last valid number since; a revocation deletes all before it."""
-    order = Window.partitionBy(*keys).orderBy("seq")
-    rows = log.withColumn("island", F.sum(F.col("revoked").cast("int")).over(order))
-    rows = rows.withColumn("last", F.max("island").over(Window.partitionBy(*keys))).filter("island = last AND NOT revoked")
-    number = X.phone(F.col("phone"))
-    return rows.withColumn("number", number).groupBy(*keys).agg(
-        F.min_by("consent_at", "seq").alias("consent_at"), F.max_by("number", F.when(F.col("number").isNotNull(), F.col("seq"))).alias("phone")
-    )
+    """Who has consented, since when, and the last valid number since; a revocation deletes all before it.
+
+    One aggregate finds the last revocation, another folds what came after it,
+    so no window sorts a hot voter's entries.
+    """
+    revoked = log.groupBy(*keys).agg(F.max(F.when(F.col("revoked"), F.col("seq"))).alias("__last"))
+    rows = log.filter(~F.col("revoked")).withColumn("number", X.phone(F.col("phone")))
+    rows = rows.join(revoked, list(keys)).filter("__last IS NULL OR seq > __last")
+    valid = F.when(F.col("number").isNotNull(), F.col("seq"))
+    return rows.groupBy(*keys).agg(F.min_by("consent_at", "seq").alias("consent_at"), F.max_by("number", valid).alias("phone"))
 
 
 def call_list(consented: DataFrame, assignments: DataFrame, roll: DataFrame) -> DataFrame:
@@ -26,9 +28,10 @@ def call_list(consented: DataFrame, assignments: DataFrame, roll: DataFrame) ->
 
 
 def called_lookup(consented: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Assigned voters whose serial is consented in exactly one ward."""
-    one = consented.groupBy("serial").agg(F.count_distinct("ward").alias("wards"), F.min("ward").alias("ward")).filter("wards = 1")
-    return one.join(assignments.select("serial").distinct(), "serial", "left_semi").select("ward", "serial", X.voter_key(F.col("ward"), F.col("serial")).alias("voter_key"))
+    """For every team, assigned voters whose serial it has consent for in exactly one ward."""
+    one = consented.groupBy("candidate", "serial").agg(F.min("ward").alias("ward"), F.max("ward").alias("__other")).filter("ward = __other")
+    called = one.join(assignments.select("serial").distinct(), "serial", "left_semi")
+    return called.select("candidate", "ward", "serial", X.voter_key(F.col("ward"), F.col("serial")).alias("voter_key"))
 
 
 def roster_union(roster: DataFrame, assignments: DataFrame) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardloom.functions import text as X
 from wardloom.operators.ranking import numbered, with_previous
 
 ID = ("candidate", "id")
-MARK, CONTACT = "^mark:([^:]+):([0-9]+)$", "^contact:([^:]+):([0-9]+)$"
 SAFE = (1 << 53) - 1
+_NUMBER = "^-?[0-9]+(\\.[0-9]+)?$"
 
 
 def updated_ms(c: Column) -> Column:
@@ -20,16 +20,76 @@ def updated_ms(c: Column) -> Column:
     return F.coalesce(number, F.unix_millis(at))
 
 
+def is_newer(a: Column, b: Column) -> Column:
+    """Whether time ``a`` is strictly later than ``b``; both are texts as sent.
+
+    Two numbers compare as numbers and two other texts as texts; a number and a
+    text compare in milliseconds, and what is no time then is never newer.
+    """
+    numbers, texts = a.rlike(_NUMBER) & b.rlike(_NUMBER), ~a.rlike(_NUMBER) & ~b.rlike(_NUMBER)
+    later = F.when(numbers, a.try_cast("double") > b.try_cast("double")).when(texts, a > b).otherwise(updated_ms(a) > updated_ms(b))
+    return F.coalesce(later, F.lit(False))
+
+
 def valid_record() -> Column:
-    """An id of 1 to 200 characters, a time, and a device."""
-    return F.coalesce((F.length("id").between(1, 200)) & F.col("updated_at").isNotNull() & F.col("device").isNotNull(), F.lit(False))
+    """An id of 1 to 200 characters, a time, and a sealed payload (ciphertext and iv) that isn't empty."""
+    full = lambda c: F.length(c) > 0
+    sound = F.length("id").between(1, 200) & F.col("updated_at").isNotNull() & full("ciphertext") & full("iv")
+    return F.coalesce(sound, F.lit(False))
+
+
+def _payload(df: DataFrame) -> DataFrame:
+    """``df`` with the fields of its JSON ``data``: text fields null unless they are texts, serial unless it is a safe whole number."""
+    doc = F.try_parse_json("data")
+
+    def field(name: str, kind: str) -> Column:
+        return F.try_variant_get(doc, f"$.{name}", kind)
+
+    def of_kind(name: str) -> Column:
+        return F.schema_of_variant(field(name, "variant"))
+
+    def text(name: str) -> Column:
+        return F.when(of_kind(name) == "STRING", field(name, "string"))
+
+    number = F.when(~of_kind("serial").isin("STRING", "BOOLEAN", "VOID"), field("serial", "decimal(38,6)"))
+    return df.withColumns(
+        {
+            "ward": text("wardId"),
+            "serial": F.when((number == F.floor(number)) & number.between(0, SAFE), number.cast("bigint")),
+            "worker": text("workerId"),
+            "marked_at": text("markedAt"),
+            "consent_at": text("consentAt"),
+            "raw_phone": text("phone"),
+            "phone_kind": of_kind("phone"),
+            "revoked": F.coalesce((of_kind("revoked") == "BOOLEAN") & field("revoked", "boolean"), F.lit(False)),
+        }
+    )
 
 
-def parsed(df: DataFrame, pattern: str) -> DataFrame:
-    """Rows whose id fits, with ward and a safe serial."""
-    part = lambda k: F.regexp_extract("id", pattern, k)
-    rows = df.filter(F.col("id").rlike(pattern)).withColumns({"ward": X.key_part(part(1)), "serial": part(2).try_cast("bigint")})
-    return rows.filter(F.col("serial").between(1, SAFE))
+def _agrees(prefix: str) -> Column:
+    """The id is the one that the payload's ward and serial make."""
+    return F.coalesce(F.col("id") == F.concat(F.lit(f"{prefix}:"), "ward", F.lit(":"), F.col("serial").cast("string")), F.lit(False))
+
+
+def mark_records(df: DataFrame) -> DataFrame:
+    """Well-formed marks among sync records (id, and the opened JSON payload in ``data``), with ward, serial, worker and marked_at."""
+    rows = _payload(df)
+    ward = (F.length("ward") > 0) & ~F.col("ward").contains(":")
+    sound = ward & F.length("worker").between(1, 100) & (F.length("marked_at") > 0)
+    return rows.filter(_agrees("mark") & sound).select(*df.columns, "ward", "serial", "worker", "marked_at")
+
+
+def contact_records(df: DataFrame) -> DataFrame:
+    """Well-formed contacts among sync records, with ward, serial, phone, consent_at and revoked.
+
+    A revoked contact carries neither phone nor time; a number that is none
+    drops its record, a missing one doesn't.
+    """
+    rows = _payload(df).withColumn("phone", X.phone(F.col("raw_phone")))
+    unset = F.coalesce(F.col("phone_kind") == "VOID", F.lit(True))
+    fine = F.col("revoked") | ((F.length("consent_at") > 0) & (unset | F.col("phone").isNotNull()))
+    kept = lambda c: F.when(~F.col("revoked"), F.col(c)).alias(c)
+    return rows.filter(_agrees("contact") & fine).select(*df.columns, "ward", "serial", kept("phone"), kept("consent_at"), "revoked")
 
 
 def latest(df: DataFrame, keys: tuple[str, ...] = ID, time: str = "updated_at", order: str = "seq", later_wins: bool = False) -> DataFrame:
@@ -77,10 +137,12 @@ def gaps(log: DataFrame) -> DataFrame:
     return with_previous(log, ["candidate"], "seq").filter("seq - before <> 1").select("candidate", "before", "seq")
 
 
-def page(log: DataFrame, candidate: str, cursor: int, size: int = 1000) -> tuple[DataFrame, bool]:
-    """The next page after a cursor, and whether more follow (one row is read beyond it)."""
+def page(log: DataFrame, candidate: str, cursor: int, size: int = 1000) -> DataFrame:
+    """The next page after a cursor, with ``more``: whether others follow (one row is read beyond it)."""
     rows = log.filter((F.col("candidate") == candidate) & (F.col("seq") > cursor)).orderBy("seq").limit(size + 1)
-    return rows.limit(size), rows.count() > size
+    whole = Window.partitionBy("candidate")  # of size + 1 rows at most
+    rows = rows.withColumns({"more": F.count("*").over(whole) > size, "__nth": F.row_number().over(whole.orderBy("seq"))})
+    return rows.filter(F.col("__nth") <= size).drop("__nth")
 
 
 def collisions(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("candidate", "seq"), payload: tuple[str, ...] = ("id", "device")) -> DataFrame:
@@ -104,10 +166,15 @@ def route_dump(dump: DataFrame) -> DataFrame:
 
 
 def dump_entries(dump: DataFrame, doc: str = "doc") -> DataFrame:
-    """(name, value) of a dump document that is a list of {name, value} or a map from name to value."""
-    listed = F.from_json(doc, "array<struct<name:string,value:string>>")
-    mapped = F.transform(F.map_entries(F.from_json(doc, "map<string,string>")), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
-    return dump.select(F.explode(F.when(F.trim(F.col(doc)).startswith("["), listed).otherwise(mapped)).alias("e")).select("e.name", "e.value")
+    """(name, value) of a dump document: a list of {name, value}, lists of them wrapped as {results}, or a map."""
+    rows = "array<struct<name:string,value:string>>"
+    text = F.trim(F.col(doc))
+    wrapped = F.flatten(F.transform(F.from_json(doc, f"array<struct<results:{rows}>>"), lambda r: r["results"]))
+    pairs = F.map_entries(F.from_json(doc, "map<string,string>"))
+    mapped = F.transform(pairs, lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
+    is_wrapped = text.rlike(r'^\[\s*\{\s*"(results|success|meta)"')
+    entries = F.when(is_wrapped, wrapped).when(text.startswith("["), F.from_json(doc, rows)).otherwise(mapped)
+    return dump.select(F.explode(entries).alias("e")).select("e.name", "e.value")
 
 
 def explode_json(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
@@ -115,15 +182,25 @@ def explode_json(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.explode(F.from_json(column, "map<string,string>")).alias("field", "value"))
 
 
+def explode_array(df: DataFrame, column: str, paths: dict[str, tuple[str, str]], keep: list[str]) -> DataFrame:
+    """A row per element of a JSON array, numbered from 0 (``nth``), with fields by path: {name: (path, type)}."""
+    doc = F.try_parse_json(column)
+    each = df.select(*keep, F.posexplode(F.try_variant_get(doc, "$", "array<variant>")).alias("nth", "__e"))
+    return each.select(*keep, "nth", *(F.try_variant_get("__e", path, kind).alias(name) for name, (path, kind) in paths.items()))
+
+
 def team_isolation(log: DataFrame) -> DataFrame:
     """Ids that several candidates use, with how many: each keeps rows of its own."""
     return log.groupBy("id").agg(F.count_distinct("candidate").alias("candidates"), F.count("*").alias("records")).filter("candidates > 1")
 
 
 def seal(df: DataFrame, column: str, secret: Column, key: Column) -> DataFrame:
-    """``df`` with ``sealed``: AES-GCM under a secret, with the record's key as additional data."""
-    iv = F.unhex(F.substring(F.sha2(F.concat(key, F.lit("/"), F.coalesce(F.col(column), F.lit(""))), 256), 1, 24))
-    return df.withColumn("sealed", F.aes_encrypt(F.col(column), secret, F.lit("GCM"), F.lit("DEFAULT"), iv, key))
+    """``df`` with ``sealed``: AES-GCM under a secret, with the record's key as additional data.
+
+    Spark draws a fresh random IV for every value (the empty one given asks for
+    that) and writes it in front, so equal values seal differently.
+    """
+    return df.withColumn("sealed", F.aes_encrypt(F.col(column), secret, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), key))
 
 
 def unseal(df: DataFrame, secret: Column, key: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardloom.functions import text as X
@@ -21,25 +21,36 @@ def minimise(df: DataFrame) -> DataFrame:
 def apply_supplements(base: DataFrame, supplements: DataFrame, keys: tuple[str, ...] = ("ward", "serial")) -> DataFrame:
     """Rolls after their supplements, in publication order (pub, pos).
 
-    The first record of a serial gives its fields, the last one whether it is
-    struck; the tag is the last change of that, 'deletion' or 'addition'.  Of a
-    base roll's repeats the last stands.  Merging in stages, or again, changes
-    nothing.
+    ``base`` has the keys, pos, struck, any other columns, and the tag
+    ``supplement`` if it was merged before; the result has the same columns, so
+    it can be merged further, and merging in stages equals merging at once.  The
+    first record of a serial gives its fields (columns that supplements lack are
+    null for added serials), the last one whether it is struck.  The tag is the
+    last change of that, 'deletion' or 'addition', else the base's own.  Of a
+    base roll's repeats the last stands.
     """
-    last = Window.partitionBy(*keys).orderBy(F.desc("pos"))
-    first = base.withColumn("__n", F.row_number().over(last)).filter("__n = 1").select(*keys, F.lit(0).alias("pub"), "pos", "name", "struck")
-    every = first.unionByName(supplements.select(*keys, "pub", "pos", "name", "struck"))
-    order = Window.partitionBy(*keys).orderBy("pub", "pos")
-    before = F.lag("struck").over(order)
+    fields = [c for c in base.columns if c not in (*keys, "struck", "supplement")]
+    tag = F.col("supplement") if "supplement" in base.columns else F.lit(None)
+    whole = F.struct(*fields, "struck", tag.cast("string").alias("supplement"))
+    own = base.groupBy(*keys).agg(F.max_by(whole, "pos").alias("r")).select(*keys, "r.*")
+    own = own.withColumn("__at", F.struct(F.lit(0).alias("k"), F.lit(0).alias("pub"), F.col("pos").cast("bigint").alias("pos")))
+    later = supplements.withColumns(
+        {
+            "supplement": F.lit(None).cast("string"),
+            "__at": F.struct(F.lit(1).alias("k"), F.col("pub").cast("int").alias("pub"), F.col("pos").cast("bigint").alias("pos")),
+        }
+    ).drop("pub")
+    every = own.unionByName(later, allowMissingColumns=True).select(*keys, *fields, "struck", "supplement", "__at")
+    order = Window.partitionBy(*keys).orderBy("__at")
     new = F.row_number().over(order) == 1
-    change = F.when(new & (F.col("pub") == 0), False).when(new, True).otherwise(F.col("struck") != before)
-    at = F.struct("pub", "pos")
-    marked = every.withColumns({"__change": change, "__at": at})
-    return marked.groupBy(*keys).agg(
-        F.min_by("name", "__at").alias("name"),
+    change = F.when(new, F.col("__at.k") == 1).otherwise(F.col("struck") != F.lag("struck").over(order))
+    said = F.when(F.col("struck"), "deletion").otherwise("addition")
+    merged = every.withColumn("__change", change).groupBy(*keys).agg(
+        F.min_by(F.struct(*fields), "__at").alias("f"),
         F.max_by("struck", "__at").alias("struck"),
-        F.max_by(F.when(F.col("struck"), "deletion").otherwise("addition"), F.when(F.col("__change"), F.col("__at"))).alias("supplement"),
+        F.coalesce(F.max_by(said, F.when(F.col("__change"), F.col("__at"))), F.min_by("supplement", "__at")).alias("supplement"),
     )
+    return merged.select(*keys, "f.*", "struck", "supplement")
 
 
 def hide_deletions(df: DataFrame) -> DataFrame:
@@ -101,14 +112,58 @@ def cover_names(lines: DataFrame, label: str, same_row: float = 2.0) -> DataFram
     first = lines.filter(F.col("text").rlike(label)).groupBy("doc").agg(F.min_by(F.struct("pos", "x", "y"), "pos").alias("l"))
     near = lines.join(first, "doc").filter((F.col("pos") != F.col("l.pos")) & (F.abs(F.col("y") - F.col("l.y")) < same_row) & (F.col("x") > F.col("l.x")))
     words = near.select("doc", "x", "pos", F.regexp_replace("text", "^:\\s*", "").alias("text")).filter("text <> ''")
-    return words.groupBy("doc").agg(X.squeeze(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "pos", "text"))), lambda w: w["text"]), " ")).alias("name"))
+    inside = F.transform(F.sort_array(F.collect_list(F.struct("x", "pos", "text"))), lambda w: w["text"])
+    return words.groupBy("doc").agg(X.squeeze(F.array_join(inside, " ")).alias("name"))
 
 
-def voter_card(df: DataFrame, fields: list[str]) -> DataFrame:
-    """Fields for a card: blank or missing ones show a dash."""
-    return df.select(*(F.coalesce(F.nullif(F.trim(F.col(f).cast("string")), F.lit("")), F.lit("—")).alias(f) for f in fields))
+# What a name on a cover looks like, and the labels beside it.
+COVER_NAME = "^[ऀ-ॿ॰]+(?:[ -][ऀ-ॿ॰]+)*$"
+SAMITI_LABEL = "^पंचायत\\s*समिति\\s*का\\s*नाम\\s*:\\s*(.+)$"
+ZILLA_LABEL = "^जिलापरिषद\\s*का\\s*नाम\\s*:\\s*(.+?)\\s*जि॰\\s*प॰"
+DISTRICT_LABEL = "^जिला\\s*:?$"
 
 
-def share_text(df: DataFrame, fields: list[str], footer: str) -> DataFrame:
-    lines = [F.concat(F.lit(f"{f}: "), F.col(f)) for f in fields]
-    return voter_card(df, fields).select(*fields, F.concat_ws("\n", *lines, F.lit(footer)).alias("share"))
+def cover_readings(lines: DataFrame) -> DataFrame:
+    """doc, district and samiti of every document's cover lines (doc, pos, x, y, text); null where unreadable.
+
+    The samiti stands after its label in one line; the district on the row of
+    its label, else after the label of its council.
+    """
+    clean = lambda c: F.when(X.squeeze(c).rlike(COVER_NAME), X.squeeze(c))
+    label = lambda p: F.when(F.col("text").rlike(p), F.regexp_extract("text", p, 1))
+    first = lambda p: F.min_by(clean(label(p)), F.when(F.col("text").rlike(p), F.col("pos")))
+    inline = lines.groupBy("doc").agg(first(SAMITI_LABEL).alias("samiti"), first(ZILLA_LABEL).alias("council"))
+    beside = cover_names(lines, DISTRICT_LABEL).select("doc", clean(F.col("name")).alias("district"))
+    return inline.join(beside, "doc", "left").select("doc", F.coalesce("district", "council").alias("district"), "samiti")
+
+
+# Fixed value: a voter card's fields, in order.
+CARD = ("name", "relation", "age", "gender", "house", "epic", "serial", "ward", "booth_name", "booth_address")
+MISSING = "—"
+
+
+def card_text(c: Column) -> Column:
+    """A value as a card shows it: blank or missing ones as a dash."""
+    return F.coalesce(F.nullif(X.strip_white(c.cast("string")), F.lit("")), F.lit(MISSING))
+
+
+def voter_card(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The ten fields of a voter's card; how they are related and to whom share one; columns that ``df`` lacks show a dash."""
+    has = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    shown = lambda c: F.nullif(X.strip_white(has(c).cast("string")), F.lit(""))
+    relation = F.concat_ws(" ", shown("relation"), shown("relative"))
+    return df.select(*keep, *(card_text(relation if f == "relation" else has(f)).alias(f) for f in CARD))
+
+
+def share_text(card: DataFrame, labels: dict[str, str], footer: tuple[str, ...]) -> DataFrame:
+    """``card`` with ``share``: a line 'label: value' per field, a blank line, the footer's lines."""
+    lines = [F.concat(F.lit(f"{labels[f]}: "), F.col(f)) for f in CARD]
+    return card.withColumn("share", F.concat_ws("\n", *lines, F.lit(""), *(F.lit(x) for x in footer)))
+
+
+def to_voter(entries: DataFrame) -> DataFrame:
+    """Stored entries in the shape that a name search takes."""
+    return entries.select(
+        "ward", F.col("serial").alias("id"), "serial", "name", F.col("relative").alias("relative_name"), F.col("house").alias("house_no"),
+        F.coalesce("struck", F.lit(False)).alias("struck"),
+    )

@@ -2,8 +2,9 @@
 
 Each job is a foreachBatch whose writes are keyed by the batch id, so a batch
 that runs again after a crash overwrites its own rows: delivery is at least
-once, the tables are exactly once.  State lives in tables in a shared folder,
-never in the driver, and every key carries the candidate.
+once, the tables are exactly once.  State lives in tables in a shared folder
+(see ``State``), never in the driver, and every key carries the candidate.
+Malformed records never stop a batch: they are kept apart.
 """
 
 from __future__ import annotations
@@ -17,61 +18,218 @@ from pyspark.sql.streaming import StreamingQuery
 from wardloom.operators import synclog, tally
 
 Handler = Callable[[DataFrame, int], None]
-LOG_SCHEMA = "candidate string, seq bigint, id string, updated_at timestamp, device bigint"
+LOG_SCHEMA = (
+    "candidate string, seq bigint, id string, updated_at timestamp, device bigint, ciphertext string, iv string, data string"
+)
+COUNTS_SCHEMA = "candidate string, ward string, voters bigint"
+SMS_SCHEMA = "candidate string, ward bigint, serial bigint, state string, inside boolean"
 
 
-def log_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def log_stream(spark: SparkSession, path: str, files_per_batch: int = 1, team: str | None = None) -> DataFrame:
+    """The log's files in order of arrival, of one team if asked."""
+    rows = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return rows if team is None else rows.filter(F.col("candidate") == team)
 
 
-def _so_far(spark: SparkSession, path: str, batch: int, schema: str) -> DataFrame:
-    """Rows of earlier batches; a replayed batch doesn't see what it wrote before."""
+def message_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """One message per line of text files as they arrive."""
+    return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path).withColumnRenamed("value", "text")
+
+
+def checkpoint_of(root: str, team: str) -> str:
+    """A checkpoint for each team: another team starts from the beginning, the same one resumes."""
+    return f"{root}/team={team.encode('utf-8').hex()}"
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
-        return spark.read.schema(f"{schema}, batch bigint").parquet(path).filter(F.col("batch") < batch).drop("batch")
+        return spark.read.schema(schema).parquet(path)
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], schema)
         raise
 
 
-def _write(rows: DataFrame, path: str, batch: int) -> None:
-    rows.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+def _write(rows: DataFrame, path: str, batch: int, *by: str) -> None:
+    out = rows.withColumn("batch", F.lit(batch).cast("bigint"))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch").parquet(path)
+
+
+def stored(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFrame:
+    """All rows that a handler has written."""
+    return _read(spark, path, f"{schema}, batch bigint").drop("batch")
+
+
+class State:
+    """One row per key, in buckets of keys; a batch reads and rewrites only the buckets that its keys fall in.
+
+    A bucket's versions are named by batch.  A batch starts from the newest
+    version before its own, so running it again gives the same; older versions
+    than that one are deleted.  So the cost of a batch goes with the keys in its
+    buckets, not with the records that ever came.
+    """
+
+    def __init__(self, path: str, keys: tuple[str, ...], schema: str, buckets: int = 16) -> None:
+        self.path, self.keys, self.buckets = path, list(keys), buckets
+        self.schema = f"{schema}, bucket int, batch bigint"
+
+    def bucketed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+
+    def _versions(self, spark: SparkSession) -> dict[int, list[int]]:
+        """The batches of each bucket's versions, by the names of their folders."""
+        root = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket=*/batch=*")
+        found: dict[int, list[int]] = {}
+        for status in root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root) or []:
+            place = status.getPath()
+            bucket, batch = (int(x.getName().split("=")[1]) for x in (place.getParent(), place))
+            found.setdefault(bucket, []).append(batch)
+        return found
+
+    def before(self, rows: DataFrame, batch: int) -> DataFrame:
+        """The state of the buckets that ``rows`` fall in, as earlier batches left it (with bucket)."""
+        spark = rows.sparkSession
+        touched = {r[0] for r in self.bucketed(rows).select("bucket").distinct().collect()}  # ``buckets`` at most
+        current = {b: max((v for v in vs if v < batch), default=None) for b, vs in self._versions(spark).items() if b in touched}
+        wanted = F.lit(False)
+        for b, v in current.items():
+            if v is not None:
+                wanted = wanted | ((F.col("bucket") == b) & (F.col("batch") == v))
+        return _read(spark, self.path, self.schema).filter(wanted).drop("batch")
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        """``rows`` (with bucket) become the state of their buckets; versions that no run can need are deleted."""
+        spark = rows.sparkSession
+        _write(rows, self.path, batch, "bucket")
+        for b, versions in self._versions(spark).items():
+            needed = max((v for v in versions if v < batch), default=batch)
+            for v in versions:
+                if v < needed:
+                    old = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket={b}/batch={v}")
+                    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    def keep_new(self, rows: DataFrame, batch: int) -> DataFrame:
+        """Distinct rows of the schema whose key wasn't there yet; the state takes them in."""
+        known = self.before(rows, batch).persist()
+        fresh = self.bucketed(rows).join(known.select(*self.keys), self.keys, "left_anti").persist()
+        touched = fresh.select("bucket").distinct()
+        self.write(known.join(F.broadcast(touched), "bucket", "left_semi").unionByName(fresh.select(*known.columns)), batch)
+        known.unpersist()
+        return fresh
+
+
+def _sound(rows: DataFrame, path: str, batch: int) -> DataFrame:
+    """The valid records; the others go to ``<path>-rejected``."""
+    rows = rows.withColumn("__sound", synclog.valid_record())
+    _write(rows.filter(~F.col("__sound")).drop("__sound"), f"{path}-rejected", batch)
+    return rows.filter("__sound").drop("__sound")
 
 
 def append_handler(path: str) -> Handler:
     """Stores a mark id once per candidate; records with other ids are all kept."""
+    marks = State(f"{path}-marks", ("candidate", "id"), "candidate string, id string")
 
     def handle(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        known = _so_far(spark, path, batch, LOG_SCHEMA).filter("id LIKE 'mark:%'").select("candidate", "id")
+        rows = _sound(rows, path, batch)
         is_mark = F.col("id").startswith("mark:")
-        marks = synclog.latest(rows.filter(is_mark).withColumn("t", F.lit(0)), time="t").select(*rows.columns)
-        fresh = marks.join(known, ["candidate", "id"], "left_anti")
-        _write(fresh.unionByName(rows.filter(~is_mark)), path, batch)
+        fresh = marks.keep_new(rows.filter(is_mark).select("candidate", "id").distinct(), batch)
+        first = synclog.latest(rows.filter(is_mark).withColumn("t", F.lit(0)), time="t").select(*rows.columns)
+        kept = first.join(fresh.select("candidate", "id"), ["candidate", "id"], "left_semi")
+        _write(kept.unionByName(rows.filter(~is_mark)), path, batch)
+        fresh.unpersist()
+
+    return handle
+
+
+def push_handler(path: str) -> Handler:
+    """As ``append_handler``, and numbers the stored records contiguously per candidate, on from a stored counter."""
+    appended = append_handler(f"{path}-kept")
+    counters, kind = f"{path}-counters", "candidate string, counter bigint, batch bigint"
+
+    def handle(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        appended(rows, batch)
+        mine = _read(spark, f"{path}-kept", f"{LOG_SCHEMA}, batch bigint").filter(F.col("batch") == batch).drop("batch")
+        known = _read(spark, counters, kind).filter(F.col("batch") < batch)
+        known = known.groupBy("candidate").agg(F.max("counter").alias("counter"))
+        numbered = synclog.assign_sequence(mine, known, "seq")
+        _write(numbered.withColumn("seq", F.col("new_seq").cast("bigint")).drop("new_seq"), path, batch)
+        tops = _read(spark, path, f"{LOG_SCHEMA}, batch bigint").filter(F.col("batch") == batch)
+        _write(tops.groupBy("candidate").agg(F.max("seq").alias("counter")), counters, batch)
 
     return handle
 
 
 def latest_handler(path: str) -> Handler:
-    """Emits records that are strictly newer than anything stored for their id."""
+    """Emits records that are strictly newer than anything before for their id; ``<path>-state`` holds the newest time per id."""
+    state = State(f"{path}-state", synclog.ID, "candidate string, id string, updated_at timestamp")
 
     def handle(rows: DataFrame, batch: int) -> None:
-        known = _so_far(rows.sparkSession, path, batch, LOG_SCHEMA)
-        none = known.limit(0)
-        _write(synclog.newer_than(rows, known, none).select(*rows.columns), path, batch)
+        rows = _sound(rows, path, batch)
+        known = state.before(rows, batch).persist()
+        newer = synclog.newer_than(rows, known, known.limit(0)).select(*rows.columns).persist()
+        _write(newer, path, batch)
+        fresh = state.bucketed(newer.select("candidate", "id", "updated_at"))
+        touched = F.broadcast(fresh.select("bucket").distinct())
+        old = known.join(touched, "bucket", "left_semi").join(fresh, list(synclog.ID), "left_anti")
+        state.write(old.unionByName(fresh.select(*old.columns)), batch)
+        newer.unpersist()
+        known.unpersist()
 
     return handle
 
 
+def count_handler(path: str) -> Handler:
+    """Keeps a running count of voters marked per candidate and ward: the rows of the newest batch (see ``live_counts``)."""
+    voters = State(f"{path}-voters", tally.VOTER, "candidate string, ward string, serial bigint")
+
+    def handle(rows: DataFrame, batch: int) -> None:
+        marks = synclog.mark_records(_sound(rows, path, batch)).select(*tally.VOTER).distinct()
+        fresh = voters.keep_new(marks, batch)
+        added = fresh.groupBy("candidate", "ward").agg(F.count("*").alias("voters"))
+        before = live_counts(rows.sparkSession, path, batch)
+        _write(before.unionByName(added).groupBy("candidate", "ward").agg(F.sum("voters").alias("voters")), path, batch)
+        fresh.unpersist()
+
+    return handle
+
+
+def live_counts(spark: SparkSession, path: str, before: int = 1 << 62) -> DataFrame:
+    """The counts as the newest batch before ``before`` left them (a row per candidate and ward)."""
+    rows = _read(spark, path, f"{COUNTS_SCHEMA}, batch bigint").filter(F.col("batch") < before)
+    newest = rows.groupBy("candidate", "ward").agg(F.max_by("voters", "batch").alias("voters"))
+    return newest
+
+
+def live_contacts(spark: SparkSession, path: str) -> DataFrame:
+    """Voters with consent by the contact records that a ``latest_handler`` emitted: the newest each, but revoked ones."""
+    newest = synclog.latest(stored(spark, path))
+    return synclog.contact_records(newest).filter(~F.col("revoked")).select("candidate", "ward", "serial", "phone", "consent_at")
+
+
 def message_handler(path: str, roll: DataFrame) -> Handler:
-    """Decodes messages, unions their serials, and stores voters with whether the roll has them."""
-    schema = "candidate string, ward bigint, serial bigint, inside boolean"
+    """Decodes messages (candidate, ward, text) and reports every serial: 'new' or 'duplicate', and whether the roll has it.
+
+    ``<path>-rejected`` holds the messages that can't be read, with the reason.
+    """
+    seen = State(f"{path}-seen", tally.VOTER, "candidate string, ward bigint, serial bigint")
 
     def handle(rows: DataFrame, batch: int) -> None:
-        known = _so_far(rows.sparkSession, path, batch, schema)
-        fine = tally.decode_messages(rows).filter("reason IS NULL").select("candidate", "ward", F.explode("serials").alias("serial")).distinct()
-        fresh = fine.join(known.select("candidate", "ward", "serial"), ["candidate", "ward", "serial"], "left_anti")
-        _write(tally.in_roll(fresh, roll), path, batch)
+        read = tally.decode_messages(rows).persist()
+        _write(read.filter("reason IS NOT NULL").select(*rows.columns, "reason"), f"{path}-rejected", batch)
+        sent = read.filter("reason IS NULL").select("candidate", "ward", F.explode("serials").alias("serial"))
+        sent = sent.groupBy("candidate", "ward", "serial").agg(F.count("*").alias("times")).persist()
+        fresh = seen.keep_new(sent.drop("times"), batch).select(*tally.VOTER).withColumn("fresh", F.lit(True))
+        both = sent.join(fresh, list(tally.VOTER), "left")
+        again = F.col("times") - F.when(F.col("fresh"), 1).otherwise(0)
+        states = F.concat(
+            F.when(F.col("fresh"), F.array(F.lit("new"))).otherwise(F.array().cast("array<string>")),
+            F.array_repeat(F.lit("duplicate"), again.cast("int")),
+        )
+        report = both.select("candidate", "ward", "serial", F.explode(states).alias("state"))
+        _write(tally.in_roll(report, roll).select("candidate", "ward", "serial", "state", "inside"), path, batch)
+        sent.unpersist()
+        read.unpersist()
 
     return handle
 
@@ -83,18 +241,17 @@ def run(stream: DataFrame, handlers: list[Handler], checkpoint: str, every: str
     """
 
     def each(rows: DataFrame, batch: int) -> None:
+        rows = rows.persist()
         failed = []
         for handle in handlers:
             try:
                 handle(rows, batch)
             except Exception as e:  # the batch fails in the end and is delivered again
                 failed.append(e)
+        rows.unpersist()
         if failed:
             raise failed[0]
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(**trigger).start()
 
-
-def stored(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFrame:
-    return _so_far(spark, path, 1 << 62, schema)

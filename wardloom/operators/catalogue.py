@@ -2,27 +2,48 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardloom.functions import text as X
 
 
-def grid_wards(cells: DataFrame) -> DataFrame:
-    """(page, row, col, text, linked) cells of saved grids to a row per ward line.
+@dataclass(frozen=True)
+class GridColumns:
+    """How a grid's columns are named; the defaults are the portal's."""
+
+    ward: str = "Ward No."
+    name: str = "Grampanchayat"
+    final: str = "Final PDF"
+    supplement: str = r"(?i)^Final\s+With\s+Supp"
+
 
-    The first row with a 'Ward' cell is the header; later rows of its width
-    count.  Returns page, row, ward, name, final, supplement.
+def grid_wards(cells: DataFrame, columns: GridColumns = GridColumns()) -> DataFrame:
+    """(page, row, col, text, linked) cells of saved grids (see ``pages.grid_cells``) to a row per ward line.
+
+    The first row with a ward column is the header; later rows of its width
+    count.  Returns page, row, ward, name, final and supplement (whether the
+    cells under those headers hold a link).
     """
     wide = cells.groupBy("page", "row").agg(F.sort_array(F.collect_list(F.struct("col", "text", "linked"))).alias("cells"))
-    named = wide.withColumn("head", F.exists("cells", lambda c: c["text"] == "Ward"))
+    named = wide.withColumn("head", F.exists("cells", lambda c: c["text"] == columns.ward))
     order = Window.partitionBy("page").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     names = F.when(F.col("head"), F.transform("cells", lambda c: c["text"]))
-    body = named.withColumn("headers", F.first(names, ignorenulls=True).over(order)).filter("headers IS NOT NULL AND size(headers) = size(cells)")
-    by_name = body.select("page", "row", F.explode(F.arrays_zip("headers", "cells")).alias("z")).select("page", "row", F.col("z.headers").alias("name"), "z.cells.text", "z.cells.linked")
-    pick = lambda name, c: F.max(F.when(F.col("name") == name, F.col(c)))
-    return by_name.groupBy("page", "row").agg(
-        pick("Ward", "text").alias("ward"), pick("Grampanchayat", "text").alias("name"), pick("Final", "linked").alias("final"), pick("Supplement", "linked").alias("supplement")
+    body = named.withColumn("headers", F.first(names, ignorenulls=True).over(order))
+    body = body.filter("headers IS NOT NULL AND size(headers) = size(cells)")
+    zipped = F.arrays_zip("headers", "cells")
+    under = lambda test: F.filter(zipped, lambda z: test(z["headers"]))
+    text = lambda name: F.get(F.transform(under(lambda h: h == name), lambda z: z["cells"]["text"]), F.lit(0))
+    linked = lambda test: F.exists(under(test), lambda z: z["cells"]["linked"])
+    return body.select(
+        "page",
+        "row",
+        text(columns.ward).alias("ward"),
+        text(columns.name).alias("name"),
+        linked(lambda h: h == columns.final).alias("final"),
+        linked(lambda h: h.rlike(columns.supplement)).alias("supplement"),
     )
 
 
@@ -34,11 +55,49 @@ def read_catalogue(wards: DataFrame) -> DataFrame:
     )
 
 
-def build_catalogue(panchayats: DataFrame, grid: DataFrame) -> DataFrame:
-    """Every panchayat with its ward count, links and, where a child is missing, why."""
-    children = grid.groupBy("panchayat_id").agg(F.count("*").alias("wards"), F.count_if("final").alias("with_final"), F.count_if("supplement").alias("with_supplement"))
-    rows = panchayats.join(children, "panchayat_id", "left")
-    return rows.withColumn("error", F.when(F.col("wards").isNull(), "no grid").when(F.col("with_final") < F.col("wards"), "no link")).fillna(0, ["wards", "with_final", "with_supplement"])
+def build_catalogue(districts: DataFrame, samitis: DataFrame, panchayats: DataFrame, grid: DataFrame) -> DataFrame:
+    """Every district, rural samiti and panchayat with what lies below it and, where a child is missing, why.
+
+    ``districts`` (district_id), ``samitis`` (district_id, samiti_id, samiti),
+    ``panchayats`` (samiti_id, panchayat_id) and ``grid`` (panchayat_id, final,
+    supplement) are what was saved of each level.  Returns level, id, children,
+    with_final, with_supplement and error; only children of saved parents count.
+    """
+    rural = samitis.join(districts.select("district_id"), "district_id", "left_semi").filter(X.entry_kind(F.col("samiti")) == "rural")
+    inside = panchayats.join(rural.select("samiti_id"), "samiti_id", "left_semi")
+
+    def level(name: str, rows: DataFrame, key: str, below: DataFrame, missing: str) -> DataFrame:
+        links = [F.count_if(c).alias(f"with_{c}") for c in ("final", "supplement")] if name == "panchayat" else []
+        found = below.groupBy(key).agg(F.count("*").alias("children"), *links)
+        out = rows.select(key).join(found, key, "left")
+        zero = lambda c: F.coalesce(F.col(c) if c in found.columns else F.lit(0), F.lit(0)).cast("bigint")
+        error = F.when(F.col("children").isNull(), missing)
+        if links:
+            error = error.when(F.col("with_final") < F.col("children"), "no link")
+        counts = [zero(c).alias(c) for c in ("children", "with_final", "with_supplement")]
+        return out.select(F.lit(name).alias("level"), F.col(key).alias("id"), *counts, error.alias("error"))
+
+    parts = (
+        level("district", districts, "district_id", samitis, "no samitis"),
+        level("samiti", rural, "samiti_id", panchayats, "no panchayats"),
+        level("panchayat", inside, "panchayat_id", grid, "no grid"),
+    )
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def assemble(districts: DataFrame, samitis: DataFrame, panchayats: DataFrame, grid: DataFrame) -> DataFrame:
+    """A row per usable ward, with its whole path: linked, of a numbered grid line, once; of saved rural parents alone."""
+    number = F.when(F.col("ward_text").rlike("^[0-9]+$"), F.col("ward_text")).try_cast("int")
+    wards = grid.withColumn("ward", number).filter("ward > 0 AND final").groupBy("panchayat_id", "ward").agg(F.bool_or("supplement").alias("supplement"))
+    rural = samitis.filter(X.entry_kind(F.col("samiti")) == "rural")
+    up = panchayats.join(rural, "samiti_id").join(districts, "district_id")
+    return wards.join(up, "panchayat_id")
+
+
+def in_order(df: DataFrame, within: list[str], name: str, latin: str, key: str) -> DataFrame:
+    """``df`` with ``place`` (from 1): catalogue order within a parent, by name, Latin name and id, by code point."""
+    order = Window.partitionBy(*within).orderBy(name, latin, F.col(key).cast("string"))
+    return df.withColumn("place", F.row_number().over(order))
 
 
 def cover_fallbacks(samitis: DataFrame, readings: DataFrame) -> DataFrame:
@@ -55,9 +114,11 @@ def majority_names(readings: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def summary(wards: DataFrame) -> DataFrame:
-    """Counts by kind of samiti: bodies per level, wards and those with a supplement."""
+    """Counts by kind of samiti: bodies per level, wards, those with a supplement, and samitis that a rural catalogue skips."""
     kind = X.entry_kind(F.col("samiti"))
     return wards.groupBy(kind.alias("kind")).agg(
+        F.count_distinct(F.when(kind != "rural", F.col("samiti_id"))).alias("skipped"),
+        
         F.count_distinct("district_id").alias("districts"), F.count_distinct("samiti_id").alias("samitis"), F.count_distinct("panchayat_id").alias("panchayats"), F.count("*").alias("wards"), F.count_if("supplement").alias("with_supplement")
     )
 
@@ -72,6 +133,7 @@ def errors(panchayats: DataFrame, grid: DataFrame) -> DataFrame:
         grid.filter(number.isNull() | (number < 1)).select("panchayat_id", F.lit("bad ward number").alias("error"), F.col("ward_text").alias("detail")),
         grid.groupBy("panchayat_id", "ward_text").agg(F.count("*").alias("n")).filter("n > 1").select("panchayat_id", F.lit("repeated ward").alias("error"), F.col("ward_text").alias("detail")),
         grid.filter(~F.col("final")).select("panchayat_id", F.lit("no link").alias("error"), F.col("ward_text").alias("detail")),
+        grid.groupBy("panchayat_id").agg(F.count("ward_text").alias("n")).filter("n = 0").select("panchayat_id", F.lit("zero wards").alias("error"), F.lit("").alias("detail")),
     ]
     out = rules[0]
     for r in rules[1:]:
@@ -92,11 +154,69 @@ def ward_collisions(wards: DataFrame) -> DataFrame:
 
 
 def nested(wards: DataFrame) -> DataFrame:
-    """One JSON document per district: samitis, panchayats, wards."""
-    p = wards.groupBy("district_id", "district", "samiti_id", "samiti", "panchayat_id", "panchayat").agg(F.sort_array(F.collect_list("ward")).alias("wards"))
-    s = p.groupBy("district_id", "district", "samiti_id", "samiti").agg(F.sort_array(F.collect_list(F.struct(F.col("panchayat_id").alias("id"), F.col("panchayat").alias("name"), "wards"))).alias("panchayats"))
-    d = s.groupBy("district_id", "district").agg(F.sort_array(F.collect_list(F.struct(F.col("samiti_id").alias("id"), F.col("samiti").alias("name"), "panchayats"))).alias("samitis"))
-    return d.select("district_id", F.to_json(F.struct(F.col("district_id").alias("id"), F.col("district").alias("name"), "samitis")).alias("document"))
+    """One JSON document per samiti: its panchayats with their wards (a district's documents together are its tree)."""
+    keys = ["district_id", "district", "samiti_id", "samiti"]
+    p = wards.groupBy(*keys, "panchayat_id", "panchayat").agg(F.sort_array(F.collect_list("ward")).alias("wards"))
+    rows = F.sort_array(F.collect_list(F.struct(F.col("panchayat_id").alias("id"), F.col("panchayat").alias("name"), "wards")))
+    s = p.groupBy(*keys).agg(rows.alias("panchayats"))
+    district = F.struct(F.col("district_id").alias("id"), F.col("district").alias("name"))
+    document = F.struct(district.alias("district"), F.col("samiti_id").alias("id"), F.col("samiti").alias("name"), "panchayats")
+    return s.select("district_id", "samiti_id", F.to_json(document).alias("document"))
+
+
+# The version of catalogue documents, and names that a document's file may have.
+VERSION = 1
+SHARD_FILE = "^[a-z0-9][a-z0-9-]*\\.json$"
+_BODY = "id:string,name:string,nameLatin:string"
+INDEX = f"schemaVersion int, districts array<struct<{_BODY},file:string>>"
+SHARD = (
+    "schemaVersion int, id string, name string, nameLatin string, "
+    f"panchayats array<struct<{_BODY},block:struct<{_BODY}>,wards:array<struct<ward:int,pdfUrl:string>>>>"
+)
+
+
+def _gated(documents: DataFrame, schema: str, column: str) -> DataFrame:
+    """Documents parsed; one of another version, or that is none, is an error."""
+    rows = documents.withColumn("__d", F.from_json(column, schema))
+    known = F.coalesce(F.col("__d.schemaVersion") == VERSION, F.lit(False))
+    return rows.filter(F.when(known, True).otherwise(F.raise_error(F.lit("unknown catalogue version")).cast("boolean")))
+
+
+def _text(c: Column) -> Column:
+    return F.coalesce(F.trim(c) != "", F.lit(False))
+
+
+def _body(c: str) -> list[Column]:
+    """id, name (the Latin one where it is blank) and name_latin of a struct."""
+    latin = F.when(_text(F.col(f"{c}.nameLatin")), F.col(f"{c}.nameLatin")).otherwise("")
+    return [F.col(f"{c}.id").alias("id"), F.when(_text(F.col(f"{c}.name")), F.col(f"{c}.name")).otherwise(latin).alias("name"), latin.alias("name_latin")]
+
+
+def _usable(c: str) -> Column:
+    return _text(F.col(f"{c}.id")) & (_text(F.col(f"{c}.name")) | _text(F.col(f"{c}.nameLatin")))
+
+
+def index_documents(districts: DataFrame, key: str) -> DataFrame:
+    """A JSON document per ``key`` (a state) that lists its districts (id, name, name_latin, file), in catalogue order."""
+    entry = F.struct("name", F.col("name_latin").alias("nameLatin"), F.col("id").cast("string").alias("id"), "file")
+    listed = districts.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("districts"))
+    return listed.select(key, F.to_json(F.struct(F.lit(VERSION).alias("schemaVersion"), "districts")).alias("document"))
+
+
+def read_index(documents: DataFrame, column: str = "document") -> DataFrame:
+    """id, name, name_latin and file of the usable districts of index documents; unsafe file names are dropped."""
+    rows = _gated(documents, INDEX, column).select(F.explode("__d.districts").alias("d"))
+    fine = _usable("d") & F.coalesce(F.col("d.file").rlike(SHARD_FILE), F.lit(False))
+    return rows.filter(fine).select(*_body("d"), "d.file")
+
+
+def read_shards(documents: DataFrame, column: str = "document") -> DataFrame:
+    """A row per ward (district, id, name, name_latin, ward, url) of the usable panchayats of shard documents; of repeats the first stands."""
+    rows = _gated(documents, SHARD, column).select(F.col("__d.id").alias("district"), F.explode("__d.panchayats").alias("p")).filter(_usable("p"))
+    each = rows.select("district", *_body("p"), F.posexplode("p.wards").alias("at", "w"))
+    fine = each.filter((F.col("w.ward") > 0) & _text(F.col("w.pdfUrl")))
+    first = fine.groupBy("district", "id", "name", "name_latin", F.col("w.ward").alias("ward")).agg(F.min_by("w.pdfUrl", "at").alias("url"))
+    return first
 
 
 def partial_merge(old: DataFrame, rebuilt: DataFrame, key: str = "district_id") -> DataFrame:
@@ -124,6 +244,21 @@ def selection(wards: DataFrame, seat: str, panchayat_id: int, ward: int | None =
     return rows.filter(F.col("ward") == ward)
 
 
+def ward_key(district: Column, samiti: Column, panchayat: Column, ward: Column) -> Column:
+    """'district/samiti/panchayat/ward'."""
+    return F.concat_ws("/", *(c.cast("string") for c in (district, samiti, panchayat, ward)))
+
+
+def ward_of_key(key: Column) -> Column:
+    return F.element_at(F.split(key, "/", -1), -1)
+
+
+def sibling_key(key: Column, ward: Column) -> Column:
+    """The key of another ward of the same panchayat; null unless the key has four parts."""
+    parts = F.split(key, "/", -1)
+    return F.when(F.size(parts) == 4, F.concat_ws("/", F.slice(parts, 1, 3), ward.cast("string")))
+
+
 def resolve(paths: DataFrame, wards: DataFrame) -> DataFrame:
     """'district/samiti/panchayat/ward' paths to their ward's row; ``found`` is false where a level is absent."""
     parts = F.split("path", "/", -1)
@@ -157,3 +292,16 @@ def roll_selection(picks: DataFrame) -> DataFrame:
     return one.filter("w.url IS NOT NULL").select(
         F.col("district_id").cast("string").alias("district"), F.coalesce(F.col("samiti_id").cast("string"), F.lit("")).alias("samiti"), F.col("panchayat_id").cast("string").alias("panchayat"), F.col("w.ward").cast("string").alias("ward"), "w.url"
     )
+
+
+def seat_from_pick(picks: DataFrame) -> DataFrame:
+    """seat_type, panchayat and ward (null for a sarpanch) of every pick that names a seat.
+
+    ``picks``: seat, panchayat, wards (array of ward and url).
+    """
+    kind = F.when(F.col("seat") == "ward-panch", "ward").when(F.col("seat") == "sarpanch", "sarpanch")
+    one = F.when(F.size("wards") == 1, F.col("wards")[0]["ward"])
+    ward = F.when((kind == "ward") & (one > 0), one.cast("string"))
+    named = _text(F.col("panchayat")) & (F.size("wards") > 0)
+    rows = picks.select("*", kind.alias("seat_type"), ward.alias("ward")).filter(named & F.col("seat_type").isNotNull())
+    return rows.filter((F.col("seat_type") == "sarpanch") | F.col("ward").isNotNull())

@@ -6,9 +6,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where none is set (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """``spark.checkpoint.dir`` of the session; a local folder where none is set, under a local master alone (tests)."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
-        spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints/wardloom")
-        folder = spark.sparkContext.getCheckpointDir()
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir("file:///tmp/checkpoints/wardloom")
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")

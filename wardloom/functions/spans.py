@@ -13,10 +13,10 @@ from typing import NamedTuple
 
 from wardloom.functions import text as X
 
-_SOUNDS = {**X.INDEPENDENT_VOWELS, **X.VOWEL_SIGNS, **X.CONSONANTS, **X.SYLLABLES, **X.LATIN, **dict(zip(X.DEVANAGARI_DIGITS, X.ASCII_DIGITS, strict=True))}
+_SOUNDS = {**X.SOUNDS, **dict(zip(X.DEVANAGARI_DIGITS, X.ASCII_DIGITS, strict=True))}
 _SILENT = re.compile(f"[{X.SILENT}]")
 _NASAL = re.compile(f"[ंँ](?=[{X.SILENT}]*ह)")
-#: Marks that belong to the letter before them.
+# Fixed value: marks that belong to the letter before them.
 _MARKS = re.compile("[ऀ-ःऺ-ॏ॑-ॗॢॣ‌‍]")
 #: What the skeleton makes of letters, in order; a rule's source goes to what it leaves.
 _RULES = [

@@ -13,16 +13,19 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters of both scripts and the skeleton letter each one sounds as.
-INDEPENDENT_VOWELS = {"अ": "a", "आ": "a", "इ": "i", "ई": "i", "उ": "u", "ऊ": "u", "ऍ": "e", "ऎ": "e", "ए": "e", "ऐ": "i", "ऑ": "o", "ऒ": "o", "ओ": "o", "औ": "u"}
-VOWEL_SIGNS = {"ा": "a", "ि": "i", "ी": "i", "ु": "u", "ू": "u", "ॅ": "e", "ॆ": "e", "े": "e", "ै": "i", "ॉ": "o", "ॊ": "o", "ो": "o", "ौ": "u"}
-CONSONANTS = {
+# Letters of both scripts and the skeleton letters each one sounds as.
+SOUNDS = {
+    "अ": "a", "आ": "a", "इ": "i", "ई": "i", "उ": "u", "ऊ": "u", "ऋ": "ri", "ॠ": "ri", "ऌ": "li", "ऍ": "e", "ऎ": "e", "ए": "e", "ऐ": "i",
+    "ऑ": "o", "ऒ": "o", "ओ": "o", "औ": "u", "ॐ": "om",
+    "ा": "a", "ि": "i", "ी": "i", "ु": "u", "ू": "u", "ृ": "ri", "ॄ": "ri", "ॅ": "e", "ॆ": "e", "े": "e", "ै": "i", "ॉ": "o", "ॊ": "o", "ो": "o", "ौ": "u",
     "क": "k", "ख": "k", "ग": "g", "घ": "g", "ङ": "n", "च": "c", "छ": "c", "ज": "j", "झ": "j", "ञ": "n", "ट": "t", "ठ": "t", "ड": "d", "ढ": "d", "ण": "n",
     "त": "t", "थ": "t", "द": "d", "ध": "d", "न": "n", "प": "p", "फ": "p", "ब": "b", "भ": "b", "म": "m", "य": "y", "र": "r", "ल": "l", "ळ": "l", "व": "v",
     "श": "s", "ष": "s", "स": "s", "ह": "h", "ं": "n", "ँ": "n", "ः": "h",
+    "w": "v", "z": "j", "q": "k", "f": "p", "x": "ks",
 }
-LATIN = {"w": "v", "z": "j", "q": "k", "f": "p"}
-SYLLABLES = {"ऋ": "ri", "ॠ": "ri", "ृ": "ri", "ॄ": "ri", "ऌ": "li", "ॐ": "om", "x": "ks"}
+#: Letters that sound as several; the others map one to one.
+SYLLABLES = {letter: sound for letter, sound in SOUNDS.items() if len(sound) > 1}
+LETTERS = {letter: sound for letter, sound in SOUNDS.items() if len(sound) == 1}
 #: Marks that sound as nothing and don't split a word.
 SILENT = "़्ऽ॑-॔‌‍̀-ͯ"
 _SILENT_MARKS = [chr(c) for c in range(0x300, 0xA00) if re.match(f"[{SILENT}]", chr(c))] + ["\u200c", "\u200d"]
@@ -79,21 +82,41 @@ def normalise(c: Column) -> Column:
     return squeeze(F.translate(bare, "ँ", "ं"))
 
 
+def _heard() -> dict[str, str]:
+    """What becomes of each character once syllables are written out: its sound, or nothing ('a' is never heard)."""
+    bare = {a: b for a, b in {**NUKTA_LETTERS, **ACCENTED}.items() if a == a.lower()}
+    digits = dict(zip(DEVANAGARI_DIGITS, ASCII_DIGITS, strict=True))
+    sounds = {**LETTERS, **digits, "a": "a"}
+    found = {**sounds, **{a: sounds.get(b, b) for a, b in bare.items()}, **dict.fromkeys(_SILENT_MARKS, "")}
+    return {a: b.replace("a", "") for a, b in found.items()}
+
+
 def phonetic_key(c: Column) -> Column:
-    """The skeleton by which spellings of one name agree across scripts."""
-    bare = {**NUKTA_LETTERS, **{a: b for a, b in ACCENTED.items() if a == a.lower()}}
-    s = F.translate(F.lower(F.coalesce(c, F.lit(""))), "".join(bare) + "".join(_SILENT_MARKS), "".join(bare.values()))
-    s = F.regexp_replace(s, "[ंँ](?=ह)", "ng")
+    """The skeleton by which spellings of one name agree across scripts.
+
+    Texts without Devanagari skip its own rules, ASCII ones the letter map too.
+    """
+    s = F.lower(F.coalesce(c, F.lit("")))
+    marks = {**NUKTA_LETTERS, **dict.fromkeys(_SILENT_MARKS, "")}
+    devanagari = _swap(s, dict(sorted(marks.items(), key=lambda m: not m[1])))
+    devanagari = F.regexp_replace(devanagari, "[ंँ](?=ह)", "ng")
     for letter, sound in SYLLABLES.items():
-        s = F.replace(s, F.lit(letter), F.lit(sound))
-    heard = {**INDEPENDENT_VOWELS, **VOWEL_SIGNS, **CONSONANTS, **LATIN, **dict(zip(DEVANAGARI_DIGITS, ASCII_DIGITS, strict=True)), "a": "a"}
-    said = {k: v for k, v in heard.items() if v != "a"}
-    s = F.translate(s, "".join(said) + "".join(k for k in heard if k not in said), "".join(said.values()))  # "a" is never heard
+        if not letter.isascii():
+            devanagari = F.replace(devanagari, F.lit(letter), F.lit(sound))
+    heard = _heard()
+    letters = F.replace(F.when(has_devanagari(s), devanagari).otherwise(s), F.lit("x"), F.lit("ks"))
+    letters = _swap(letters, dict(sorted(heard.items(), key=lambda m: not m[1])))
+    plain = F.replace(s, F.lit("x"), F.lit("ks"))
+    for letter, sound in heard.items():
+        if letter.isascii():
+            plain = F.replace(plain, F.lit(letter), F.lit(sound))
+    s = F.when(F.length(s) == F.octet_length(s), plain).otherwise(letters)
     s = F.ltrim(F.regexp_replace(s, "[^a-z0-9]+", " "))
     s = F.replace(F.replace(s, F.lit("ee"), F.lit("i")), F.lit("oo"), F.lit("u"))
-    s = F.regexp_replace(s, "([kgcjtdpbs])h+", "$1")
-    s = F.regexp_replace(F.regexp_replace(s, "m(?=[pb])", "n"), "y(?= |$)", "i")
-    return F.rtrim(F.regexp_replace(s, "([a-z])\\1+", "$1"))
+    s = F.regexp_replace(s, "(?<=[kgcjtdpbs])h+", "")
+    s = F.replace(F.replace(s, F.lit("mp"), F.lit("np")), F.lit("mb"), F.lit("nb"))
+    s = F.regexp_replace(s, "y(?= |$)", "i")
+    return F.rtrim(F.regexp_replace(s, "([a-z])(?=\\1)", ""))
 
 
 def code_key(c: Column) -> Column:
@@ -164,6 +187,11 @@ def entry_kind(c: Column) -> Column:
     return F.when(s.rlike(ZILLA), "zillaParishad").when(s.rlike(URBAN), "urban").when(s.rlike(RURAL), "rural").otherwise("other")
 
 
+def samiti_name(c: Column) -> Column:
+    """The name without 'Panchayat Samiti' at its end; the whole name if nothing else is left."""
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(c, r"(?i)\s*PANCHAYAT\s*SAMITI\s*$", "")), F.lit("")), c)
+
+
 def quoted(c: Column) -> Column:
     """Percent-encoding of all but A-Z, a-z, 0-9 and ``-._~``."""
     s = F.url_encode(c)

@@ -31,19 +31,22 @@ def score(decoded: DataFrame, expected: DataFrame) -> DataFrame:
 def asof_page(missing: DataFrame, decoded: DataFrame, ranges: int = 1000) -> DataFrame:
     """For each missing serial the page of the nearest decoded serial at or before it, else the first page.
 
-    Rows are dealt by ranges of serials; the last page before a range comes
-    from the (few) ranges' own maxima, so no single task sees every row.
+    Rows are dealt by ranges of serials.  What lies before a range comes from a
+    row per range, dealt by ranges of ranges in turn, and before those from a
+    row for each of them: one in ``ranges`` squared serials.
     """
-    bucket = F.floor(F.col("serial") / ranges)
-    d = decoded.select("serial", "page").withColumn("b", bucket)
-    tops = d.groupBy("b").agg(F.max_by("page", "serial").alias("top"))
-    carry = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    both = d.withColumn("ask", F.lit(False)).unionByName(missing.select("serial", F.lit(None).cast("int").alias("page"), bucket.alias("b"), F.lit(True).alias("ask")))
-    starts = both.select("b").distinct().join(tops, "b", "left").withColumn("before", F.last("top", ignorenulls=True).over(carry)).select("b", "before")
-    order = Window.partitionBy("b").orderBy("serial", "ask")
-    found = both.withColumn("near", F.last("page", ignorenulls=True).over(order)).filter("ask").join(starts, "b")
-    first = decoded.agg(F.min_by("page", "serial").alias("first"))
-    return found.crossJoin(F.broadcast(first)).select("serial", F.coalesce("near", "before", "first").alias("page"))
+    d = decoded.select("serial", "page").withColumns({"b": F.floor(F.col("serial") / ranges), "c": F.floor(F.col("serial") / ranges**2)})
+    ask = missing.select("serial", F.lit(None).cast("int").alias("page")).withColumns({"b": F.floor(F.col("serial") / ranges), "c": F.floor(F.col("serial") / ranges**2)})
+    both = d.withColumn("ask", F.lit(False)).unionByName(ask.withColumn("ask", F.lit(True)))
+    past = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = both.groupBy("c", "b").agg(F.max_by("page", F.when(~F.col("ask"), F.col("serial"))).alias("top"))
+    near = tops.withColumn("before", F.last("top", ignorenulls=True).over(past(["c"], "b"))).select("c", "b", "before")
+    wide = tops.groupBy("c").agg(F.max_by("top", F.when(F.col("top").isNotNull(), F.col("b"))).alias("top")).withColumn("one", F.lit(1))
+    wide = wide.withColumn("long_before", F.last("top", ignorenulls=True).over(past(["one"], "c"))).select("c", "long_before")
+    order = Window.partitionBy("c", "b").orderBy("serial", "ask")
+    found = both.withColumn("near", F.last("page", ignorenulls=True).over(order)).filter("ask").join(near, ["c", "b"]).join(wide, "c")
+    first = decoded.agg(F.min_by("page", "serial")).scalar()
+    return found.select("serial", F.coalesce("near", "before", "long_before", first).alias("page"))
 
 
 def percentiles(samples: DataFrame, kind: str, value: str) -> DataFrame:
@@ -53,8 +56,13 @@ def percentiles(samples: DataFrame, kind: str, value: str) -> DataFrame:
 
 
 def sample_matched(matched: DataFrame, least: int) -> DataFrame:
-    """The first entry of each page, topped up in order to ``least`` entries."""
-    first = F.row_number().over(Window.partitionBy("page").orderBy("serial")) == 1
-    rows = matched.withColumn("first", first)
-    pages = rows.filter("first").count()
-    return rows.orderBy(F.desc("first"), "serial").limit(max(least, pages)).select("page", "serial")
+    """The first entry of each page, topped up in order to ``least`` entries.
+
+    Pages are dealt out; only the top-up, of ``least`` rows at most, is in one place.
+    """
+    firsts = matched.groupBy("page").agg(F.min("serial").alias("serial"))
+    rest = matched.join(firsts.select("page", F.col("serial").alias("__first")), "page").filter("serial > __first").select("page", "serial")
+    short = F.lit(least) - firsts.agg(F.count("*")).scalar()
+    nth = F.row_number().over(Window.partitionBy(F.lit(True)).orderBy("serial"))
+    extra = rest.orderBy("serial").limit(least).withColumn("__nth", nth).filter(F.col("__nth") <= short).select("page", "serial")
+    return firsts.unionByName(extra)

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wardloom.functions import spans
 from wardloom.functions import text as X
@@ -54,11 +58,15 @@ def age_filter(df: DataFrame, low: int | None = None, high: int | None = None) -
     return df
 
 
-def lookup_filter(df: DataFrame, lookup: DataFrame, wanted: str | None = None, negate: bool = False) -> DataFrame:
+def lookup_filter(df: DataFrame, lookup: DataFrame | Column, wanted: str | None = None, negate: bool = False) -> DataFrame:
     """Rows whose voter key is in ``lookup`` (voter_key, and value: a string or an array), with the wanted value if given.
 
-    ``negate`` keeps the others.
+    ``lookup`` may also be a column over ``df`` that is the row's value, null for
+    none.  ``negate`` keeps the others.
     """
+    if isinstance(lookup, Column):
+        passes = F.coalesce(lookup.isNotNull() if wanted is None else lookup == wanted, F.lit(False))
+        return df.filter(~passes if negate else passes)
     rows = lookup
     if wanted is not None:
         kind = lookup.schema["value"].dataType.typeName()
@@ -73,14 +81,30 @@ def grams(df: DataFrame, id_col: str, key: str) -> DataFrame:
     return df.select(id_col, F.explode(F.array_distinct(windows)).alias("gram"))
 
 
-def gram_candidates(index: DataFrame, id_col: str, query: str) -> DataFrame:
-    """Ids whose gram rows hold every gram of the query key; the query must have three letters."""
+def gram_candidates(index: DataFrame, id_col: str, query: str, corpus: DataFrame | None = None, key: str = "key") -> DataFrame:
+    """Ids whose gram rows hold every gram of the query key; for a key of under three letters, a scan of ``corpus``."""
     if len(query) < GRAM:
-        raise ValueError("a key this short needs a full scan")
+        if corpus is None:
+            raise ValueError("a key this short needs the corpus, for a full scan")
+        return corpus.filter(F.col(key).contains(query)).select(id_col)
     wanted = sorted({query[i : i + GRAM] for i in range(len(query) - GRAM + 1)})
     return index.filter(F.col("gram").isin(wanted)).groupBy(id_col).agg(F.count("*").alias("n")).filter(F.col("n") == len(wanted)).select(id_col)
 
 
+def gram_index(keyed: DataFrame, id_col: str) -> DataFrame:
+    """(id, gram, code): grams of every searched field's key, and whether it is a code key; worth storing once per roll."""
+    found = [grams(keyed, id_col, f"k_{field}").withColumn("code", F.lit(key is X.code_key)) for field, key in FIELDS]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def likely(keyed: DataFrame, index: DataFrame, id_col: str, phonetic: str, code: str) -> DataFrame:
+    """The rows of ``keyed`` that hold all grams of either key of a query; all rows, if a key is too short for grams."""
+    if any(0 < len(q) < GRAM for q in (phonetic, code)):
+        return keyed
+    ids = [gram_candidates(index.filter(F.col("code") == is_code), id_col, q) for q, is_code in ((phonetic, False), (code, True)) if q]
+    return keyed.join(reduce(DataFrame.unionByName, ids).distinct(), id_col, "left_semi") if ids else keyed
+
+
 def best_match(keyed: DataFrame, phonetic: str, code: str) -> DataFrame:
     """Rows that match with their best tier and field (lowest tier, then field rank)."""
     found = []
@@ -113,11 +137,20 @@ def sorted_roll(df: DataFrame, order: str = "serial") -> DataFrame:
     return df.orderBy(*ORDERS[order](), *key_order("ward"), *key_order("serial"))
 
 
-def search_voters(keyed: DataFrame, query: str, *, order: str = "relevance", limit: int | float | None = None) -> DataFrame:
+def search_voters(
+    keyed: DataFrame,
+    query: str,
+    *,
+    order: str = "relevance",
+    limit: int | float | None = None,
+    index: DataFrame | None = None,
+    id_col: str = "pos",
+) -> DataFrame:
     """The best matches of a query over ``keyed`` (see ``with_keys``; filter it first).
 
     A query 'ward/serial' puts that voter first (tier -1).  An empty query
-    lists every row, one without letters or digits matches none.
+    lists every row, one without letters or digits matches none.  With an
+    ``index`` (see ``gram_index``) of the roll only likely rows are compared.
     """
     spark = keyed.sparkSession
     text = X.squeeze(F.coalesce(F.lit(query), F.lit("")))
@@ -125,7 +158,8 @@ def search_voters(keyed: DataFrame, query: str, *, order: str = "relevance", lim
     if not plain:
         rows = keyed.withColumns({"tier": F.lit(EXACT), "rank": F.lit(0), "field": F.lit("")})
     else:
-        rows = best_match(keyed, phonetic, code)
+        some = keyed if index is None else likely(keyed, index, id_col, phonetic, code)
+        rows = best_match(some.select(*keyed.columns), phonetic, code)
     if jump is not None:
         here = X.voter_key(F.col("ward"), F.col("serial")) == f"{jump['ward']}:{jump['serial']}"
         rows = rows.filter(~here).unionByName(keyed.filter(here).withColumns({"tier": F.lit(JUMP), "rank": F.lit(-1), "field": F.lit("")}))
@@ -133,6 +167,12 @@ def search_voters(keyed: DataFrame, query: str, *, order: str = "relevance", lim
     return rows.orderBy(*first, *ORDERS[order](), *key_order("ward"), *key_order("serial")).limit(limit_of(limit))
 
 
+def with_capped(found: DataFrame, limit: int | float | None = None) -> DataFrame:
+    """Rows of a search with ``capped``: whether they are as many as the limit that it was asked for, so others may be left out."""
+    whole = Window.partitionBy(F.lit(True))  # of at most ``limit`` rows
+    return found.withColumn("capped", F.count("*").over(whole) >= limit_of(limit))
+
+
 def search_names(df: DataFrame, query: str, *, name: str = "name", order: tuple[str, ...] = ("serial",), limit: int | None = None) -> DataFrame:
     """Best matches over one normalised name; ties by serial; a blank query finds none."""
     wanted = df.sparkSession.range(1).select(X.normalise(F.lit(query))).first()[0]
@@ -141,34 +181,145 @@ def search_names(df: DataFrame, query: str, *, name: str = "name", order: tuple[
     return rows.filter("tier IS NOT NULL").orderBy("tier", *(F.col(c).asc_nulls_last() for c in order)).limit(limit_of(limit))
 
 
-def batch_search(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str, query_col: str, key: str = "key") -> DataFrame:
-    """The ``k`` best rows of ``corpus`` for every query key, by tier, then id.
-
-    Candidates are rows that hold the query's rarest gram (by its count in the
-    corpus), so a frequent gram is never what a join is on; the tier is then
-    checked on the whole key.  The corpus rows of the queries' grams are stored,
-    as they are counted first and joined then.
+#: Query keys of up to so many bytes together are sent to every task; more are joined.
+SMALL_BATCH = 16 << 20
+
+
+def _codes(keys: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the key, code) of every window of three bytes in some keys."""
+    raw = [(k or "").encode() for k in keys]
+    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)
+    at = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+    inside = at[2:] == at[:-2]
+    return at[2:][inside], (data[:-2] << 16 | data[1:-1] << 8 | data[2:])[inside]
+
+
+def _gram_counts(corpus: DataFrame, key: str, wanted: np.ndarray) -> DataFrame:
+    """(code, n): how many windows of the corpus are each of the wanted grams (a flag per possible gram: 2 ** 24 of them)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.unpackbits(wanted).view(bool)
+        total: dict[int, int] = {}
+        for batch in batches:
+            _, codes = _codes(batch.column(0).to_pylist())
+            for code, n in zip(*(x.tolist() for x in np.unique(codes[flags[codes]], return_counts=True)), strict=True):
+                total[code] = total.get(code, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["code", "n"])
+
+    return corpus.select(key).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def _query_codes(queries: DataFrame, query_col: str, key: str) -> DataFrame:
+    """(query, code) of the grams of every query key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, codes = _codes(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(codes, pa.int32())], names=[query_col, "code"])
+
+    kind = queries.schema[query_col].dataType.simpleString()
+    return queries.select(query_col, key).mapInArrow(run, f"`{query_col}` {kind}, code int").distinct()
+
+
+def _holders(corpus: DataFrame, id_col: str, key: str, wanted: np.ndarray) -> DataFrame:
+    """(id, code): the wanted grams that each corpus row holds."""
+    kind = corpus.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.unpackbits(wanted).view(bool)
+        for batch in batches:
+            at, codes = _codes(batch.column(1).to_pylist())
+            keep = flags[codes]
+            pairs = np.unique(at[keep].astype(np.int64) << 24 | codes[keep])
+            ids = batch.column(0).take(pa.array(pairs >> 24, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array((pairs & 0xFFFFFF).astype(np.int32))], names=[id_col, "code"])
+
+    return corpus.select(id_col, key).mapInArrow(run, f"`{id_col}` {kind}, code int")
+
+
+def _tiers_here(corpus: DataFrame, id_col: str, key: str, queries: DataFrame, query_col: str, rows: list[tuple]) -> DataFrame:
+    """(id, query, tier) of every match, compared where the corpus row lies; ``rows`` are (query, its key, its rarest gram)."""
+    kind, query_kind = corpus.schema[id_col].dataType.simpleString(), queries.schema[query_col].dataType.simpleString()
+    of_query = to_arrow_schema(queries.select(query_col).schema).field(0).type
+    by_code: dict[int, list[tuple]] = {}
+    for query, text, code in rows:
+        by_code.setdefault(code, []).append((query, text))
+    wanted = np.zeros(1 << 24, bool)
+    wanted[list(by_code)] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(1).to_pylist()
+            at, codes = _codes(keys)
+            keep = wanted[codes]
+            pairs = np.unique(at[keep].astype(np.int64) << 24 | codes[keep])
+            row, query, tiers = [], [], []
+            for p in pairs.tolist():
+                text = keys[p >> 24]
+                for q, t in by_code[p & 0xFFFFFF]:
+                    if t in text:
+                        row.append(p >> 24)
+                        query.append(q)
+                        tiers.append(EXACT if t == text else PREFIX if text.startswith(t) else WORD_PREFIX if f" {t}" in text else SUBSTRING)
+            columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(query, of_query), pa.array(tiers, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, query_col, "tier"])
+
+    return corpus.select(id_col, key).mapInArrow(run, f"`{id_col}` {kind}, `{query_col}` {query_kind}, tier int")
+
+
+def batch_search(
+    corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str, query_col: str, key: str = "key", small: int = SMALL_BATCH
+) -> DataFrame:
+    """The ``k`` best rows of ``corpus`` for every query key (three bytes at least), by tier, then id.
+
+    Candidates are rows that hold the query's rarest gram (three bytes; by its
+    count in the corpus), so a frequent gram is never what a match starts from;
+    the tier is then checked on the whole key.  Grams are counted and found in
+    numpy, a batch of keys at a time, and no gram of the corpus is moved but the
+    counts.  Query keys that are small together go to the corpus rows; others
+    meet them in joins.  ``corpus`` is read twice, so its keys should be stored.
     """
     spark = corpus.sparkSession
-    wanted = grams(queries, query_col, key)
-    path = f"{shared_folder(spark)}/grams-{uuid.uuid4().hex}"
-    grams(corpus, id_col, key).join(wanted.select("gram").distinct(), "gram", "left_semi").write.parquet(path)
-    index = spark.read.parquet(path)
-    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = wanted.join(counts, "gram", "left").groupBy(query_col).agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    met = index.join(rarest, "gram").select(id_col, query_col)
-    q = queries.select(query_col, F.col(key).alias("q"))
-    both = met.join(q, query_col).join(corpus.select(id_col, key), id_col)
-    c = F.col(key)
-    t = F.when(c == F.col("q"), EXACT).when(c.startswith(F.col("q")), PREFIX).when(c.contains(F.concat(F.lit(" "), F.col("q"))), WORD_PREFIX).when(c.contains(F.col("q")), SUBSTRING)
+    asked = _query_codes(queries, query_col, key)
+    flags = np.zeros(1 << 24, bool)
+    flags[[r[0] for r in asked.select("code").distinct().collect()]] = True  # 2 ** 24 grams at most
+    counts = _gram_counts(corpus, key, np.packbits(flags))
+    order = F.struct(F.coalesce("n", F.lit(0)), "code")
+    rarest = asked.join(counts, "code", "left").groupBy(query_col).agg(F.min_by("code", order).alias("code"))
+    rarest = rarest.join(queries.select(query_col, F.col(key).alias("q")), query_col)
+    path = f"{shared_folder(spark)}/rarest-{uuid.uuid4().hex}"
+    rarest.select(query_col, "q", "code").write.parquet(path)
+    rarest = spark.read.schema(rarest.select(query_col, "q", "code").schema).parquet(path)
+    size = rarest.agg(F.sum(F.octet_length("q") + 64)).first()[0] or 0
+    if size <= small:
+        rows = [tuple(r) for r in rarest.collect()]
+        found = _tiers_here(corpus, id_col, key, queries, query_col, rows)
+    else:
+        flags[:] = False
+        flags[[r[0] for r in rarest.select("code").distinct().collect()]] = True
+        met = _holders(corpus, id_col, key, np.packbits(flags)).join(rarest, "code")
+        c, q = F.col(key), F.col("q")
+        t = F.when(c == q, EXACT).when(c.startswith(q), PREFIX).when(c.contains(F.concat(F.lit(" "), q)), WORD_PREFIX).when(c.contains(q), SUBSTRING)
+        found = met.join(corpus.select(id_col, key), id_col).withColumn("tier", t).filter("tier IS NOT NULL")
     best = Window.partitionBy(query_col).orderBy("tier", id_col)
-    return both.withColumn("tier", t).filter("tier IS NOT NULL").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).select(query_col, "place", id_col, "tier")
+    return found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).select(query_col, "place", id_col, "tier")
 
 
 def facets(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(facet, value): the distinct values of each column."""
-    each = [df.select(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")).distinct() for c in columns]
-    return reduce(DataFrame.unionByName, each).filter("value IS NOT NULL")
+    """(facet, value, place): the distinct values of each column, an array's one by one; numbers by value come first."""
+
+    def values(c: str) -> DataFrame:
+        listed = df.schema[c].dataType.typeName() == "array"
+        return df.select(F.lit(c).alias("facet"), (F.explode(c) if listed else F.col(c)).cast("string").alias("value")).distinct()
+
+    found = reduce(DataFrame.unionByName, [values(c) for c in columns]).filter("value IS NOT NULL")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("facet").orderBy(*key_order("value"))))
+
+
+def team_lookup(df: DataFrame, lookup: DataFrame) -> DataFrame:
+    """(candidate, and the columns of ``df``): each team's rows whose voter key it has in ``lookup`` (candidate, voter_key)."""
+    keyed = df.withColumn("voter_key", X.voter_key(F.col("ward"), F.col("serial")))
+    return keyed.join(lookup.select("candidate", "voter_key").distinct(), "voter_key").select("candidate", *df.columns)
 
 
 def match_ranges(df: DataFrame, text: str, query: str, kind: str = "phonetic") -> DataFrame:

@@ -103,8 +103,8 @@ def decode_messages(sms: DataFrame, team: str = "candidate") -> DataFrame:
 
 
 def turnout_beside_counts(counts: DataFrame, official: DataFrame) -> DataFrame:
-    """Official figure and team count per ward; an absent side is null."""
-    return counts.join(official, "ward", "full_outer").select("ward", "voters", "official")
+    """Official figure and each team's count (candidate, ward, voters) per ward; an absent side is null."""
+    return counts.join(official, "ward", "full_outer").select("candidate", "ward", "voters", "official")
 
 
 def sorted_marks(marks: DataFrame) -> DataFrame:

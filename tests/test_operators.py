@@ -48,6 +48,9 @@ def test_filters(spark, keyed):
     tags = spark.createDataFrame([("3:1", ["vip", "old"]), ("4:2", ["old"])], "voter_key string, value array<string>")
     assert search.lookup_filter(keyed, tags, "vip").count() == 1
     assert search.lookup_filter(keyed, tags, negate=True).count() == 3
+    own = F.when(F.col("age") > 30, "old")
+    assert search.lookup_filter(keyed, own).count() == 2 and search.lookup_filter(keyed, own, "young").count() == 0
+    assert search.lookup_filter(keyed, own, negate=True).count() == 3
 
 
 def test_batch_search_equals_single_scans(spark):
@@ -57,6 +60,22 @@ def test_batch_search_equals_single_scans(spark):
     asked = [(i, q) for i, q in enumerate({k[2:6] for k in keys if len(k[2:6]) > 3})]
     got = {(r["q_id"], r["doc"]) for r in search.batch_search(corpus, spark.createDataFrame(asked, "q_id int, key string"), 1000, id_col="doc", query_col="q_id").collect()}
     assert got == {(i, d) for i, q in asked for d, k in enumerate(keys) if q in k}
+    queries = spark.createDataFrame([*asked, (900, "no such key"), (901, "abc" * 9)], "q_id int, key string")
+    both = [sorted(map(tuple, search.batch_search(corpus, queries, 3, id_col="doc", query_col="q_id", small=n).collect())) for n in (0, 1 << 20)]
+    assert both[0] == both[1] and both[0]
+    tier = lambda k, q: 0 if k == q else 1 if k.startswith(q) else 2 if f" {q}" in k else 3
+    for i, q in asked:
+        want = sorted((tier(k, q), d) for d, k in enumerate(keys) if q in k)[:3]
+        assert [(t, d) for n, _, d, t in both[0] if n == i] == want
+
+
+def test_index_narrows_a_search_without_changing_it(spark, keyed):
+    rows = keyed.withColumn("pos", F.monotonically_increasing_id()).cache()
+    index = search.gram_index(rows, "pos").cache()
+    for query in ("ram lal", "ram", "सीता", "12", "RJ00", "", "!?", "4 / २", "zzz"):
+        assert found(search.search_voters(rows, query, index=index)) == found(search.search_voters(rows, query)), query
+    assert search.gram_candidates(index, "pos", "rm", rows, "k_name").count() == 4
+    assert [r["capped"] for r in search.with_capped(search.search_voters(keyed, "ram", limit=2), 2).collect()] == [True, True]
 
 
 def test_match_ranges(spark):
@@ -94,10 +113,25 @@ def test_supplements_equal_the_loop_however_they_are_staged(spark):
     lists = [(random.randrange(1, 4), 100 + i, random.randrange(40), f"s{i}", random.random() < 0.5) for i in range(90)]
     schema = "pub int, pos int, serial int, name string, struck boolean"
     b, s = spark.createDataFrame(base, schema).withColumn("ward", F.lit(1)), spark.createDataFrame(lists, schema).withColumn("ward", F.lit(1))
-    got = {r["serial"]: (r["name"], r["struck"], r["supplement"]) for r in rolls.apply_supplements(b.drop("pub"), s).collect()}
+    read = lambda df: {r["serial"]: (r["name"], r["struck"], r["supplement"]) for r in df.collect()}
+    got = read(rolls.apply_supplements(b.drop("pub"), s))
     assert got == sequential(base, lists)
-    again = {r["serial"]: (r["name"], r["struck"], r["supplement"]) for r in rolls.apply_supplements(b.drop("pub"), s.orderBy(F.rand(1))).collect()}
-    assert again == got
+    assert read(rolls.apply_supplements(b.drop("pub"), s.orderBy(F.rand(1)))) == got
+    staged = b.drop("pub")
+    for pub in (1, 2, 3):
+        staged = rolls.apply_supplements(staged, s.filter(F.col("pub") == pub))
+        again = rolls.apply_supplements(staged, s.filter(F.col("pub") == pub).limit(0))
+        assert read(again) == read(staged)
+    assert read(staged) == got and staged.columns == ["ward", "serial", "pos", "name", "struck", "supplement"]
+
+
+def test_supplements_keep_the_bases_columns_and_tags(spark):
+    base = spark.createDataFrame([(1, 1, 5, "a", 40, "h", True, "deletion"), (1, 2, 6, "b", 41, None, False, None)], "ward int, serial int, pos int, name string, age int, house string, struck boolean, supplement string")
+    supp = spark.createDataFrame([(1, 1, 1, 7, "x", True), (1, 9, 1, 8, "new", False)], "ward int, serial int, pub int, pos int, name string, struck boolean")
+    out = {r["serial"]: r for r in rolls.apply_supplements(base, supp).collect()}
+    assert tuple(out[1]) == (1, 1, 5, "a", 40, "h", True, "deletion")  # struck before and after: its own tag stays
+    assert tuple(out[2]) == (1, 2, 6, "b", 41, None, False, None)
+    assert (out[9]["name"], out[9]["age"], out[9]["supplement"]) == ("new", None, "addition")
 
 
 def test_households_group_spellings(spark):
@@ -106,6 +140,95 @@ def test_households_group_spellings(spark):
     assert got == {"12/a": ("12/A", [1, 2]), "12a": ("12A", [3])}
 
 
+def test_household_cards_show_a_teams_own_numbers_alone(spark):
+    roll = spark.createDataFrame([(1, s, s, f"n{s}", "7", False) for s in (1, 2, 3)], "ward int, serial int, pos int, name string, house string, struck boolean")
+    log = [("t", 1, 1, 1, "9876543210", False), ("u", 1, 1, 2, "9876543211", False), ("t", 1, 2, 3, "9876543212", False), ("t", 1, 2, 4, None, True), ("t", 1, 3, 5, "12", False)]
+    contacts = spark.createDataFrame([(*r, "at") for r in log], "candidate string, ward int, serial int, seq int, phone string, revoked boolean, consent_at string")
+    tags = spark.createDataFrame([("1:1", "vip"), ("1:1", "old"), ("1:3", "new")], "voter_key string, value string")
+    cards = households.household_members(households.households(roll), calls.consent_state(contacts), tags, tags.limit(0))
+    got = sorted((r["serial"], r["candidate"] or "", r["phone"], r["tag"], r["visit"]) for r in cards.collect())
+    assert got == [(1, "t", "9876543210", "old, vip", None), (1, "u", "9876543211", "old, vip", None), (2, "", None, None, None), (3, "t", None, "new", None)]
+
+
+def test_seals_of_one_value_differ_and_open_with_their_key_alone(spark):
+    secret, key = F.lit(b"0123456789abcdef"), F.col("k")
+    rows = synclog.seal(spark.createDataFrame([(str(i), "9876543210") for i in range(20)] + [("n", None)], "k string, phone string"), "phone", secret, key).cache()
+    sealed = [bytes(r["sealed"]) for r in rows.filter("phone IS NOT NULL").collect()]
+    assert len({x[:12] for x in sealed}) == 20
+    again = [bytes(r["sealed"]) for r in synclog.seal(rows.drop("sealed"), "phone", secret, key).filter("phone IS NOT NULL").collect()]
+    assert not set(sealed) & set(again)
+    assert {r["opened"] for r in synclog.unseal(rows, secret, key).collect()} == {"9876543210", None}
+    assert {r["opened"] for r in synclog.unseal(rows, secret, F.concat(key, F.lit("x"))).collect()} == {None}
+
+
+def test_records_are_read_from_their_payload(spark):
+    mark = '{"wardId":"%s","serial":%s,"workerId":"%s","markedAt":"now"}'
+    marks = [("mark:3:0", mark % (3, 0, "w")), ("mark:3:7", mark % (3, 8, "w")), ("mark:3:7", mark % (3, 7, "")), ("mark:3:7", mark % (3, 7, "w" * 101)), ("mark:3:9", mark % (3, '"9"', "w")), ("contact:3:7", mark % (3, 7, "w")), ("mark:3:4", None), ("mark:3:5", "[1"), ("mark:3:6", mark % (3, 6.5, "w"))]
+    df = spark.createDataFrame(marks, "id string, data string")
+    assert [(r["ward"], r["serial"], r["worker"]) for r in synclog.mark_records(df).collect()] == [("3", 0, "w")]
+    body = '{"wardId":"3","serial":%d%s}'
+    contacts = [(1, ',"consentAt":"a","phone":"+91 98765 43210"'), (2, ',"consentAt":"a"'), (3, ',"consentAt":"a","phone":null'), (4, ',"consentAt":"a","phone":"12"'), (5, ',"phone":"9876543210","consentAt":""'), (6, ',"revoked":true,"phone":"12"'), (7, ',"revoked":"true"')]
+    df = spark.createDataFrame([(f"contact:3:{s}", body % (s, rest)) for s, rest in contacts], "id string, data string")
+    got = {r["serial"]: (r["phone"], r["consent_at"], r["revoked"]) for r in synclog.contact_records(df).collect()}
+    assert got == {1: ("9876543210", "a", False), 2: (None, "a", False), 3: (None, "a", False), 6: (None, None, True)}
+
+
+def test_validity_wants_a_sealed_payload(spark):
+    rows = [("a", 1, "c", "i", True), ("", 1, "c", "i", False), ("a" * 201, 1, "c", "i", False), ("a", None, "c", "i", False), ("a", 1, "", "i", False), ("a", 1, "c", None, False), (None, 1, "c", "i", False)]
+    df = spark.createDataFrame(rows, "id string, updated_at int, ciphertext string, iv string, want boolean")
+    assert all(r["v"] == r["want"] for r in df.withColumn("v", synclog.valid_record()).collect())
+
+
+def test_newer_among_mixed_times(spark):
+    rows = [("2", "10", False), ("10", "2", True), ("b", "a", True), ("2024-01-01T00:00:00Z", "1704067199999", True), ("1704067200000", "2024-01-01T00:00:00Z", False), ("x", "5", False), (None, "5", False)]
+    got = spark.createDataFrame(rows, "a string, b string, want boolean").withColumn("n", synclog.is_newer(F.col("a"), F.col("b"))).collect()
+    assert all(r["n"] == r["want"] for r in got)
+
+
+def test_pages_and_arrays(spark):
+    log = spark.range(30).select(F.lit("t").alias("candidate"), F.col("id").alias("seq"))
+    assert {(r["seq"], r["more"]) for r in synclog.page(log, "t", 24, 5).collect()} == {(s, False) for s in range(25, 30)}
+    assert {(r["seq"], r["more"]) for r in synclog.page(log, "t", -1, 2).collect()} == {(0, True), (1, True)}
+    assert synclog.page(log, "u", 0).count() == 0
+    df = spark.createDataFrame([(1, '[{"id":"a","n":{"x":5}},{"id":7}]'), (2, "no"), (3, "[]")], "k int, doc string")
+    got = synclog.explode_array(df, "doc", {"id": ("$.id", "string"), "x": ("$.n.x", "bigint")}, ["k"]).collect()
+    assert [tuple(r) for r in got] == [(1, 0, "a", 5), (1, 1, "7", None)]
+
+
+def test_covers_are_read_by_label(spark):
+    lines = [
+        (1, 0, 0.0, 0.0, "जिलापरिषद का नाम : अजमेर जि॰ प॰ अजमेर"), (1, 1, 0.0, 5.0, "पंचायत समिति का नाम:  पीसांगन"), (1, 2, 0.0, 9.0, "जिला :"), (1, 3, 9.0, 9.5, "अजमेर"), (1, 4, 5.0, 9.0, ": नया"),
+        (2, 0, 0.0, 0.0, "जिलापरिषद का नाम : कोटा जि॰ प॰"), (2, 1, 0.0, 5.0, "पंचायत समिति का नाम : x9"), (3, 0, 0.0, 0.0, "other"),
+    ]
+    got = {r["doc"]: (r["district"], r["samiti"]) for r in rolls.cover_readings(spark.createDataFrame(lines, "doc int, pos int, x double, y double, text string")).collect()}
+    assert got == {1: ("नया अजमेर", "पीसांगन"), 2: ("कोटा", None), 3: (None, None)}
+
+
+def test_catalogue_documents_are_gated(spark):
+    doc = lambda v, file: '{"schemaVersion":%d,"districts":[{"id":"1","name":" ","nameLatin":"A","file":"%s"},{"id":"","name":"B","file":"b.json"}]}' % (v, file)
+    read = lambda d: [tuple(r) for r in catalogue.read_index(spark.createDataFrame([(d,)], "document string")).collect()]
+    assert read(doc(1, "a-1.json")) == [("1", "A", "A", "a-1.json")] and read(doc(1, "../a.json")) == []
+    for bad in (doc(2, "a.json"), "nonsense"):
+        with pytest.raises(Exception, match="unknown catalogue version"):
+            read(bad)
+
+
+def test_sibling_keys_and_seats(spark):
+    df = spark.createDataFrame([("1/2/3/4", 9), ("1/2", 9)], "k string, w int")
+    assert [r[0] for r in df.select(catalogue.sibling_key(F.col("k"), F.col("w"))).collect()] == ["1/2/3/9", None]
+    picks = [("ward-panch", "P", [4]), ("ward-panch", "P", [4, 5]), ("sarpanch", "P", [4, 5]), ("sarpanch", " ", [4]), ("sarpanch", "P", []), ("x", "P", [4])]
+    rows = spark.createDataFrame([(s, p, [(w, "u") for w in ws]) for s, p, ws in picks], "seat string, panchayat string, wards array<struct<ward:int,url:string>>")
+    assert [(r["seat_type"], r["ward"]) for r in catalogue.seat_from_pick(rows).collect()] == [("ward", "4"), ("sarpanch", None)]
+
+
+def test_samples_top_up_to_the_least(spark):
+    rows = [(p, 10 * p + i) for p in range(4) for i in range(5)]
+    df = spark.createDataFrame(rows, "page int, serial int")
+    for least in (2, 4, 7, 50):
+        want = sorted(rows, key=lambda r: (r[1] % 10 != 0, r[1]))[: max(least, 4)]
+        assert sorted((r["page"], r["serial"]) for r in quality.sample_matched(df, least).collect()) == sorted(want)
+
+
 MARK = "candidate string, ward bigint, serial bigint, worker string, seq bigint"
 
 
@@ -152,8 +275,9 @@ def test_mixed_timestamps(spark):
 def test_asof_page_over_ranges(spark):
     decoded = spark.createDataFrame([(5, 1), (1500, 2), (5000, 3)], "serial int, page int")
     missing = spark.createDataFrame([(1,), (6,), (1400,), (4999,), (9000,)], "serial int")
-    got = {r["serial"]: r["page"] for r in quality.asof_page(missing, decoded).collect()}
-    assert got == {1: 1, 6: 1, 1400: 1, 4999: 2, 9000: 3}
+    for ranges in (1000, 7):
+        got = {r["serial"]: r["page"] for r in quality.asof_page(missing, decoded, ranges).collect()}
+        assert got == {1: 1, 6: 1, 1400: 1, 4999: 2, 9000: 3}
 
 
 def test_catalogue_errors_one_per_rule(spark):

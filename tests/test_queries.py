@@ -45,8 +45,6 @@ def test_queries_without_sql(spark):
     found = registry.queries()["match_ranges"](spark, DATA).collect()
     assert found and all(r["name"][a:b] == "ring" for r in found for a, b in r["ranges"])
     assert all(len(r["ranges"]) == r["name"].count("ring") for r in found)
-    reasons = {r["reason"] for r in registry.queries()["sms_decode"](spark, DATA).collect()}
-    assert reasons == {"ok", "checksum"}
 
 
 def test_batch_search_asks_for_whole_passages(spark, tmp_path):
@@ -55,5 +53,5 @@ def test_batch_search_asks_for_whole_passages(spark, tmp_path):
     docs = [(i, f"{passage[:12]} and other words {i}") for i in range(20)] + [(20, f"before. {passage} after")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(64, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = registry.queries()["batch_search_passages"](spark, str(tmp_path)).collect()
+    got = registry.queries()["batch_search"](spark, str(tmp_path)).collect()
     assert [tuple(r[c] for c in ("item_id", "place", "doc_id", "tier")) for r in got] == [(64, 1, 20, 2)]

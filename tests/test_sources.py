@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from wardloom.sources import pages, rolls
 
-HTML = """<form><input type="hidden" name="v" value="1"><select name="d"><option value="0">--Select--<option value="7">Jaipur</option></select>
+HTML = """<form><input type="hidden" name="v" value="1"><select name="d"><option value="0">--Select--<option value="7" selected>Jaipur</option></select>
 <table><tr><th>Ward</th><th>Final</th></tr><tr><td> 1 </td><td><a href="a.pdf">View</a></td></tr></table></form>"""
 
 
@@ -15,6 +15,7 @@ def test_page_rows(spark):
     got = {(r["kind"], r["row"], r["col"], r["name"], r["value"], r["text"]) for r in rows.filter("page_id = 1").collect()}
     assert ("hidden", None, None, "v", "1", "") in got and ("link", 1, 1, "", "a.pdf", "View") in got and ("cell", 1, 0, "", "", "1") in got
     assert [r["text"] for r in pages.real_options(rows).collect()] == ["Jaipur"]
+    assert [tuple(r) for r in pages.selected(rows, "d").collect()] == [(1, "7", "Jaipur")] and pages.selected(rows, "x").count() == 0
     assert rows.filter("page_id = 2").count() == 0
 
 
@@ -43,3 +44,22 @@ def test_catalogue_builds(spark, tmp_path):
     assert spark.read.json(path).groupBy("district_id").count().orderBy("district_id").collect() == [(1, 2), (2, 4)]
     rolls.write_catalogue(rows.filter("district_id = 2"), path)
     assert [r[0] for r in spark.read.json(path).select("district_id").distinct().collect()] == [2]
+
+
+PORTAL = """<table><tr><td>Search</td></tr></table><table><tr><th>Sr</th><th>Grampanchayat</th><th>Ward No.</th><th>Final PDF</th><th>Final With Supp-2 PDF</th></tr>
+<tr><td>1</td><td>ग्राम</td><td> 1 </td><td><a href="javascript:__doPostBack('g$1','')">View</a></td><td><input type="image" src="p.png"></td></tr>
+<tr><td>2</td><td>ग्राम</td><td>2</td><td><a href="x/y.PDF">View</a></td><td><a href="#">none</a></td></tr>
+<tr><td>3</td><td>ग्राम</td><td>x</td><td><a href="#" onclick="go()">View</a></td><td><a name="n">-</a></td></tr><tr><td colspan="5">1 2 3</td></tr></table>"""
+
+
+def test_a_portal_page_becomes_ward_rows(spark):
+    from wardloom.operators import catalogue
+
+    df = spark.createDataFrame([(1, PORTAL), (2, "<table><tr><td>error</td></tr></table>")], "page_id long, html string")
+    rows = catalogue.grid_wards(pages.grid_cells(pages.page_rows(df))).orderBy("row").collect()
+    assert [tuple(r)[2:] for r in rows] == [("1", "ग्राम", True, True), ("2", "ग्राम", True, False), ("x", "ग्राम", True, False)]
+
+
+def test_messages_are_read_line_by_line(spark, tmp_path):
+    (tmp_path / "sms.txt").write_text("PT1 a b c d\n\nx\n")
+    assert [r["text"] for r in rolls.read_messages(spark, str(tmp_path / "sms.txt")).collect()] == ["PT1 a b c d", "", "x"]

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from wardloom.operators import synclog
+from wardloom.operators import synclog, tally
 from wardloom.streaming import jobs
 
 
@@ -10,16 +10,19 @@ def log(spark, n=300):
     rows = spark.range(n).select(
         F.concat(F.lit("t"), (F.col("id") % 2).cast("string")).alias("candidate"), F.col("id").alias("seq"),
         F.when(F.col("id") % 3 == 0, F.concat(F.lit("mark:1:"), (F.col("id") % 17).cast("string"))).otherwise(F.concat(F.lit("contact:1:"), (F.col("id") % 11).cast("string"))).alias("id"),
-        F.timestamp_seconds(1_700_000_000 + F.col("id") * 7919 % 1000).alias("updated_at"), (F.col("id") % 5).alias("device"),
+        F.timestamp_seconds(1_700_000_000 + F.col("id") * 7919 % 1000).alias("updated_at"), (F.col("id") % 5).alias("device"), F.lit("c").alias("ciphertext"), F.lit("i").alias("iv"),
     )
-    return rows
+    part = F.split("id", ":")
+    number = F.concat(F.lit(',"serial":'), part[2], F.lit(',"workerId":"w","markedAt":"n","consentAt":"n"'), F.when(F.col("seq") % 7 == 0, ',"revoked":true').otherwise(""), F.lit("}"))
+    return rows.withColumn("data", F.concat(F.lit('{"wardId":"'), part[1], F.lit('"'), number))
 
 
 def test_append_and_latest_equal_batch_and_survive_a_replay(spark, tmp_path):
     rows = log(spark).cache()
     rows.repartitionByRange(5, "seq").write.parquet(str(tmp_path / "log"))
     tables = [str(tmp_path / "append"), str(tmp_path / "latest")]
-    handlers = [jobs.append_handler(tables[0]), jobs.latest_handler(tables[1])]
+    pushed, counts = str(tmp_path / "push"), str(tmp_path / "counts")
+    handlers = [jobs.append_handler(tables[0]), jobs.latest_handler(tables[1]), jobs.push_handler(pushed), jobs.count_handler(counts)]
     seen = []
     jobs.run(jobs.log_stream(spark, str(tmp_path / "log")), [*handlers, lambda df, b: seen.append((b, [tuple(r) for r in df.collect()]))], str(tmp_path / "cp")).awaitTermination()
     assert len(seen) == 5
@@ -27,13 +30,20 @@ def test_append_and_latest_equal_batch_and_survive_a_replay(spark, tmp_path):
     def answers():
         append = jobs.stored(spark, tables[0]).groupBy("candidate", "id").count().collect()
         latest = synclog.latest(jobs.stored(spark, tables[1])).select("candidate", "id", "updated_at").collect()
-        return sorted(map(tuple, append)), sorted(map(tuple, latest))
+        numbers = sorted(map(tuple, jobs.stored(spark, pushed).select("candidate", "seq", "id").collect()))
+        voters = sorted(map(tuple, jobs.live_counts(spark, counts).collect()))
+        return sorted(map(tuple, append)), sorted(map(tuple, latest)), numbers, voters
 
     first = answers()
     marks = rows.filter("id LIKE 'mark:%'").select("candidate", "id").distinct().withColumn("count", F.lit(1))
     others = rows.filter("id NOT LIKE 'mark:%'").groupBy("candidate", "id").count()
     assert first[0] == sorted(map(tuple, marks.unionByName(others.withColumn("count", F.col("count").cast("int"))).collect()))
     assert first[1] == sorted(map(tuple, synclog.latest(rows).select("candidate", "id", "updated_at").collect()))
+    for team in ("t0", "t1"):
+        mine = [n for c, n, _ in first[2] if c == team]
+        assert mine == list(range(1, len(mine) + 1))
+    voters = synclog.mark_records(rows).select("candidate", "ward", "serial").distinct().groupBy("candidate", "ward").count()
+    assert first[3] == sorted(map(tuple, voters.collect()))
     batch, again = seen[-1]
     for h in handlers:
         h(spark.createDataFrame(again, jobs.LOG_SCHEMA), batch)
@@ -52,3 +62,60 @@ def test_one_failing_handler_leaves_the_others(spark, tmp_path):
     with pytest.raises(Exception, match="no"):
         q.awaitTermination()
     assert jobs.stored(spark, str(tmp_path / "t")).count() > 0
+
+
+def test_malformed_records_are_kept_apart(spark, tmp_path):
+    bad = [("t", 900, None, None, 1, "c", "i", None), ("t", 901, "mark:1:1", None, 1, "c", "i", None), ("t", 902, "x" * 201, None, 1, "c", "i", None), (None, 903, "note", None, 1, "", "i", None)]
+    rows = log(spark, 20).unionByName(spark.createDataFrame(bad, jobs.LOG_SCHEMA))
+    rows.repartition(1).write.parquet(str(tmp_path / "log"))
+    table = str(tmp_path / "t")
+    jobs.run(jobs.log_stream(spark, str(tmp_path / "log")), [jobs.append_handler(table), jobs.latest_handler(f"{table}-latest")], str(tmp_path / "cp")).awaitTermination()
+    assert {r["seq"] for r in jobs.stored(spark, f"{table}-rejected").collect()} == {900, 901, 902, 903}
+    assert not {r["seq"] for r in jobs.stored(spark, table).collect()} & {900, 901, 902, 903}
+
+
+def test_a_team_reads_its_own_records_from_the_start(spark, tmp_path):
+    log(spark, 40).repartition(2).write.parquet(str(tmp_path / "log"))
+    for team in ("t0", "t1"):
+        stream = jobs.log_stream(spark, str(tmp_path / "log"), team=team)
+        for _ in range(2):  # the second run resumes and finds nothing
+            jobs.run(stream, [jobs.append_handler(str(tmp_path / team))], jobs.checkpoint_of(str(tmp_path / "cp"), team)).awaitTermination()
+        assert {r["candidate"] for r in jobs.stored(spark, str(tmp_path / team)).collect()} == {team}
+
+
+def test_state_keeps_few_versions(spark, tmp_path):
+    state = jobs.State(str(tmp_path / "s"), ("k",), "k long", buckets=2)
+    for batch in range(5):
+        fresh = state.keep_new(spark.range(batch * 3, batch * 3 + 10).withColumnRenamed("id", "k"), batch)
+        assert sorted(r["k"] for r in fresh.collect()) == list(range(batch * 3 + (7 if batch else 0), batch * 3 + 10))
+    assert all(len(v) <= 2 for v in state._versions(spark).values())
+    again = state.keep_new(spark.range(12, 22).withColumnRenamed("id", "k"), 4)
+    assert sorted(r["k"] for r in again.collect()) == [19, 20, 21]
+
+
+def test_contacts_and_messages(spark, tmp_path):
+    rows = log(spark)
+    rows.repartitionByRange(3, "seq").write.parquet(str(tmp_path / "log"))
+    table = str(tmp_path / "c")
+    jobs.run(jobs.log_stream(spark, str(tmp_path / "log")), [jobs.latest_handler(table)], str(tmp_path / "cp")).awaitTermination()
+    want = synclog.contact_records(synclog.latest(rows)).filter("NOT revoked").select("candidate", "ward", "serial").collect()
+    assert sorted(map(tuple, want)) == sorted(tuple(r)[:3] for r in jobs.live_contacts(spark, table).collect())
+
+    marks = spark.createDataFrame([("team", 1, n, "w1", n) for n in range(1, 40)], "candidate string, ward bigint, serial bigint, worker string, seq bigint")
+    sms = tally.encode_messages(marks).select("candidate", "ward", "text")
+    roll = spark.createDataFrame([(1, n, False) for n in range(1, 30)], "ward bigint, serial bigint, struck boolean")
+    handle = jobs.message_handler(str(tmp_path / "m"), roll)
+    handle(sms.unionByName(sms), 0)
+    handle(sms.unionByName(sms.withColumn("text", F.lit("PT1 x"))), 1)
+    out = jobs.stored(spark, str(tmp_path / "m"), jobs.SMS_SCHEMA).collect()
+    assert sum(r["state"] == "new" for r in out) == 39 and sum(r["state"] == "duplicate" for r in out) == 78
+    assert {r["serial"] for r in out if not r["inside"]} == set(range(30, 40))
+    assert [r["reason"] for r in jobs.stored(spark, str(tmp_path / "m-rejected"), "candidate string, ward bigint, text string, reason string").collect()] == ["format"]
+
+
+def test_messages_come_line_by_line(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one\ntwo\n")
+    got = []
+    jobs.run(jobs.message_stream(spark, str(tmp_path / "in")), [lambda df, b: got.extend(r["text"] for r in df.collect())], str(tmp_path / "cp")).awaitTermination()
+    assert got == ["one", "two"]

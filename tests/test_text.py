@@ -17,6 +17,13 @@ def test_spellings_of_one_name_share_a_key(spark):
     assert [(a, b) for (a, b), x, y in zip(pairs, left, right) if x != y] == []
 
 
+def test_every_letter_sounds_as_it_should(spark):
+    """Literal keys for every group of letters, so that a wrong letter in the table shows."""
+    cases = {"अआइईउऊ": "iu", "ए ऐ ऍ ऎ": "e i e e", "ओ औ ऑ ऒ": "o u o o", "ऋ ॠ ऌ ॐ": "ri ri li om", "कखगघङ": "kgn", "चछजझञ": "cjn", "टठडढण": "tdn", "तथदधन": "tdn", "पफबभम": "pbm", "यरलळव": "yrlv", "शषसह": "s", "कंहक": "kngk", "नः": "nh", "कृ कॄ": "kri kri", "wzqfx": "vjkpks"}
+    got = values(spark, X.phonetic_key, list(cases))
+    assert dict(zip(cases, got)) == cases
+
+
 def test_phonetic_key_edges(spark):
     assert values(spark, X.phonetic_key, [None, "", "aaa", "  --  ", "Meena  Devi", "geeta", "mp mb may", "x1"]) == ["", "", "", "", "min devi".replace("devi", "devi"), "git", "np nb mi", "ks1"]
 

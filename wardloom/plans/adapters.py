@@ -15,24 +15,33 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 VIEWS: dict[str, str] = {
     "roll": """
         SELECT ward, serial, pos, name, relative, age, gender, ward * 10 + CAST(FLOOR(serial / 400.0) AS BIGINT) + 1 AS booth,
-            CASE WHEN pos % 53 = 0 THEN NULL WHEN pos % 7 = 0 THEN CAST(n AS STRING) WHEN pos % 7 = 1 THEN substring('०१२३४५६७८९', n + 1, 1)
+            CASE WHEN pos % 53 = 0 THEN NULL WHEN pos % 7 = 0 THEN CAST(n AS STRING) WHEN pos % 7 = 1 THEN translate(CAST(n AS STRING), '0123456789', '०१२३४५६७८९')
                 WHEN pos % 7 = 2 THEN concat(' ', CAST(n AS STRING), ' ') WHEN pos % 7 = 3 THEN concat(CAST(n AS STRING), ' / 2')
                 WHEN pos % 7 = 4 THEN concat(CAST(n AS STRING), '/२') WHEN pos % 7 = 5 THEN concat(CAST(n AS STRING), 'A') ELSE concat(CAST(n AS STRING), 'a') END AS house,
             CASE WHEN pos % 3 = 0 THEN NULL ELSE concat('RJ', lpad(CAST(pos AS STRING), 7, '0')) END AS epic, pos % 11 = 0 AS struck
         FROM (SELECT CAST(c_nationkey + 1 AS BIGINT) AS ward, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS BIGINT) AS serial,
                 c_custkey AS pos, p_name AS name, p_type AS relative, CASE WHEN c_custkey % 37 = 0 THEN NULL ELSE CAST(18 + c_custkey % 70 AS INT) END AS age,
-                CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender, CAST(CAST(FLOOR(c_custkey / 7.0) AS BIGINT) % 8 + 1 AS INT) AS n
+                CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender, CAST(CAST(FLOOR(c_custkey / 200.0) AS BIGINT) + 1 AS INT) AS n
             FROM {customer} JOIN {part} ON p_partkey = c_custkey) numbered""",
     "supp": """
         SELECT roll.ward, CASE WHEN o_custkey % 13 = 0 THEN serial + 100000 ELSE serial END AS serial, CAST(year(o_orderdate) AS INT) AS pub,
             o_orderkey AS pos, concat(name, ' ', CAST(o_orderkey % 5 AS STRING)) AS name, o_orderstatus = 'F' AS struck
         FROM {orders} JOIN roll ON o_custkey = roll.pos""",
     "sync_log": """
-        SELECT candidate, CAST(row_number() OVER (PARTITION BY candidate ORDER BY event_id) AS BIGINT) AS seq, id, updated_at, device, event_id
+        SELECT candidate, CAST(row_number() OVER (PARTITION BY candidate ORDER BY event_id) AS BIGINT) AS seq, updated_at, device, event_id,
+            CASE kind WHEN 'none' THEN concat('mark:', w) ELSE concat(kind, ':', w, ':', CAST(s AS STRING)) END AS id,
+            CASE WHEN event_id % 23 = 0 THEN '' ELSE concat('ct', CAST(event_id AS STRING)) END AS ciphertext,
+            CASE WHEN event_id % 29 = 0 THEN NULL ELSE concat('iv', CAST(event_id AS STRING)) END AS iv,
+            CASE WHEN event_id % 47 = 0 THEN NULL
+                WHEN kind = 'mark' THEN concat('{"wardId":"', w, '","serial":', CAST(s + CASE WHEN event_id % 41 = 0 THEN 1 ELSE 0 END AS STRING),
+                    ',"workerId":"', CASE WHEN event_id % 43 = 0 THEN '' ELSE concat('w', CAST(device % 20 AS STRING)) END, '","markedAt":"e', CAST(event_id AS STRING), '"}')
+                WHEN kind = 'contact' THEN concat('{"wardId":"', w, '","serial":', CAST(s AS STRING), ',"phone":',
+                    CASE WHEN event_id % 37 = 0 THEN '"12"' WHEN event_id % 4 = 0 THEN 'null' ELSE concat('"098', lpad(CAST(event_id AS STRING), 8, '0'), '"') END,
+                    CASE WHEN event_id % 7 = 0 THEN ',"revoked":true' ELSE '' END, ',"consentAt":"', CASE WHEN event_id % 53 = 0 THEN '' ELSE concat('e', CAST(event_id AS STRING)) END, '"}')
+                ELSE '{}' END AS data
         FROM (SELECT concat('t', CAST(user_id % 5 AS STRING)) AS candidate, event_id, user_id AS device, ts AS updated_at,
-                CASE WHEN event_type IN ('click', 'view') THEN concat('mark:', CAST(event_id % 7 + 1 AS STRING), ':', CAST(1 + CAST(FLOOR(value) AS BIGINT) AS STRING))
-                    WHEN event_type IN ('purchase', 'signup') THEN concat('contact:', CAST(event_id % 7 + 1 AS STRING), ':', CAST(1 + CAST(FLOOR(value) AS BIGINT) AS STRING))
-                    ELSE concat('mark:', CAST(event_id % 7 + 1 AS STRING)) END AS id
+                CAST(event_id % 7 + 1 AS STRING) AS w, 1 + CAST(FLOOR(value) AS BIGINT) AS s,
+                CASE WHEN event_type IN ('click', 'view') THEN 'mark' WHEN event_type IN ('purchase', 'signup') THEN 'contact' ELSE 'none' END AS kind
             FROM {events}) keyed""",
     "marks": """
         SELECT candidate, CAST(split_part(id, ':', 2) AS BIGINT) AS ward, CAST(split_part(id, ':', 3) AS BIGINT) AS serial,
@@ -45,11 +54,21 @@ VIEWS: dict[str, str] = {
         FROM sync_log WHERE id LIKE 'contact:%'""",
     "assignments": """
         SELECT s_suppkey AS serial, concat('w', CAST(s_nationkey AS STRING)) AS worker_id, s_name AS worker_name FROM {supplier}""",
+    "tags": """
+        SELECT concat(CAST(1 + doc_id % 25 AS STRING), ':', CAST(1 + doc_id % 60 AS STRING)) AS voter_key, CASE WHEN quality = 1 THEN 'supporter' ELSE 'undecided' END AS value FROM {labels}""",
+    "visits": """
+        SELECT concat(CAST(1 + doc_id % 25 AS STRING), ':', CAST(1 + doc_id % 40 AS STRING)) AS voter_key, CASE WHEN toxic = 1 THEN 'no one home' ELSE 'met' END AS value FROM {labels}""",
     "cat_ward": """
         SELECT CAST(r_regionkey AS BIGINT) AS district_id, r_name AS district, CAST(n_nationkey AS BIGINT) AS samiti_id, n_name AS samiti, s_suppkey AS panchayat_id, s_name AS panchayat,
             CAST(l_linenumber AS INT) AS ward, MAX(CASE WHEN l_returnflag <> 'N' THEN 1 ELSE 0 END) = 1 AS final, MAX(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) = 1 AS supplement
         FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
         GROUP BY r_regionkey, r_name, n_nationkey, n_name, s_suppkey, s_name, l_linenumber""",
+    "cat_samiti": """
+        SELECT CAST(n_regionkey AS BIGINT) AS district_id, CAST(n_nationkey AS BIGINT) AS samiti_id,
+            concat(n_name, CASE WHEN n_nationkey % 5 = 3 THEN ' NAGAR PALIKA' WHEN n_nationkey % 5 = 4 THEN ' ZILLA PARISHAD' ELSE ' PANCHAYAT SAMITI' END) AS samiti
+        FROM {nation} WHERE n_regionkey <> 4""",
+    "cat_panchayat": """
+        SELECT CAST(s_nationkey AS BIGINT) AS samiti_id, s_suppkey AS panchayat_id, s_name AS panchayat FROM {supplier} WHERE s_nationkey % 6 <> 2""",
     "cat_grid": """
         SELECT panchayat_id, CAST(row_number() OVER (PARTITION BY panchayat_id ORDER BY ward) AS INT) AS row_no,
             CASE WHEN panchayat_id % 19 = 0 AND ward = 3 THEN 'x' WHEN panchayat_id % 23 = 0 AND ward = 4 THEN '2' ELSE CAST(ward AS STRING) END AS ward_text,
@@ -84,8 +103,9 @@ def _with(sql: str, place) -> str:
     add(sql)
     ctes = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in wanted)
     # a text that has a WITH of its own goes on with it
-    own = re.sub(r"^\s*WITH\s+", "", sql, flags=re.I)
-    whole = f"WITH {ctes}" + (",\n" + own if own != sql else "\n" + sql) if wanted else sql
+    head = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql, flags=re.I)
+    kind = "WITH RECURSIVE" if head and head[1] else "WITH"
+    whole = f"{kind} {ctes}" + (",\n" + sql[head.end() :] if head else "\n" + sql) if wanted else sql
     return re.sub(r"\{(\w+)\}", lambda m: place(m[1]) if m[1] in TABLES else m[0], whole)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wardloom.operators import catalogue as C, quality, rolls, synclog, tally
 from wardloom.plans.book import Book
-from wardloom.plans.text_queries import BASE, _URL, _KIND
+from wardloom.plans.text_queries import BASE, _CONTACTS, _KIND, _MESSAGES, _PAYLOAD, _URL
 from wardloom.functions import text as X
 from wardloom.sources import pages as P
 from wardloom.sources.shared import shared_folder
@@ -31,17 +31,28 @@ def outbox_state(v):
     return synclog.latest(rows, time="t", later_wins=True).select("candidate", "id", "seq")
 
 
-@query(f"""WITH inc AS (SELECT * FROM sync_log WHERE seq % 2 = 1), l AS ({_LATEST.format(src='inc')}), t AS (SELECT candidate, id, max(updated_at) AS m FROM inc GROUP BY candidate, id),
-    s AS (SELECT candidate, id, max(updated_at) AS m FROM sync_log WHERE seq % 4 = 0 GROUP BY candidate, id), p AS (SELECT candidate, id, max(updated_at) AS m FROM sync_log WHERE seq % 4 = 2 GROUP BY candidate, id)
+_OFF = "(SELECT candidate, id, seq, device, updated_at + to_minutes({}) AS updated_at FROM sync_log)"
+
+
+def _off(v, minutes: str):
+    """The whole log with its times moved by so many minutes."""
+    log = v.sync_log.select("candidate", "id", "seq", "device", "updated_at")
+    return log.withColumn("updated_at", F.expr(f"updated_at + make_interval(0, 0, 0, 0, 0, CAST({minutes} AS INT))"))
+
+
+@query(f"""WITH inc AS {_OFF.format('seq % 5 - 1')}, l AS ({_LATEST.format(src='inc')}), t AS (SELECT candidate, id, max(updated_at) AS m FROM inc GROUP BY candidate, id),
+    s AS (SELECT candidate, id, max(updated_at) AS m FROM sync_log GROUP BY candidate, id), p AS (SELECT candidate, id, max(updated_at) AS m FROM {_OFF.format('seq % 3 - 1')} o GROUP BY candidate, id)
     SELECT l.candidate, l.id, l.seq FROM l JOIN t USING (candidate, id) LEFT JOIN s USING (candidate, id) LEFT JOIN p USING (candidate, id) WHERE (s.m IS NULL OR t.m > s.m) AND (p.m IS NULL OR t.m > p.m)""")
 def newer_than_state(v):
-    log = v.sync_log
-    return synclog.newer_than(log.filter("seq % 2 = 1"), log.filter("seq % 4 = 0"), log.filter("seq % 4 = 2")).select("candidate", "id", "seq")
+    """All records sent again some minutes earlier or later, against the log and against what waits."""
+    return synclog.newer_than(_off(v, "seq % 5 - 1"), v.sync_log, _off(v, "seq % 3 - 1")).select("candidate", "id", "seq")
 
 
-@query("SELECT candidate, id, seq FROM sync_log o WHERE seq % 2 = 0 AND NOT EXISTS (SELECT 1 FROM sync_log d WHERE d.seq % 6 = 0 AND d.candidate = o.candidate AND d.id = o.id AND d.updated_at = o.updated_at)")
+@query("SELECT candidate, id, seq FROM sync_log o WHERE NOT EXISTS (SELECT 1 FROM sync_log d WHERE d.seq % 3 <> 0 AND d.candidate = o.candidate AND d.id = o.id AND d.updated_at = o.updated_at)")
 def outbox_after_push(v):
-    return synclog.after_push(v.sync_log.filter("seq % 2 = 0"), v.sync_log.filter("seq % 6 = 0")).select("candidate", "id", "seq")
+    """Every third record was saved again, a minute later, since it was sent."""
+    sent = _off(v, "CASE WHEN seq % 3 = 0 THEN 1 ELSE 0 END")
+    return synclog.after_push(v.sync_log, sent.select("candidate", "id", "updated_at")).select("candidate", "id", "seq")
 
 
 @query("SELECT event_id, candidate, 100 * (CAST(substr(candidate, 2) AS BIGINT) % 3) + row_number() OVER (PARTITION BY candidate ORDER BY event_id) AS new_seq FROM sync_log")
@@ -65,8 +76,7 @@ def seq_gaps(v):
 @query("SELECT seq, id, true AS more FROM sync_log WHERE candidate = 't1' AND seq > 20 ORDER BY seq LIMIT 100")
 def sync_page(v):
     """A page of 100 after a cursor, and whether more follow."""
-    rows, more = synclog.page(v.sync_log, "t1", 20, 100)
-    return rows.select("seq", "id", F.lit(more).alias("more"))
+    return synclog.page(v.sync_log, "t1", 20, 100).select("seq", "id", "more")
 
 
 @query("SELECT candidate, CAST(floor((row_number() OVER (PARTITION BY candidate ORDER BY seq) - 1) / 500) AS BIGINT) AS batch, seq FROM sync_log")
@@ -74,11 +84,11 @@ def batch_ids(v):
     return tally.numbered_batches(v.sync_log, ["candidate"], "seq", 500).select("candidate", "batch", "seq")
 
 
-@query("SELECT candidate, seq, id AS a_id, concat(id, '!') AS b_id FROM sync_log WHERE seq % 12 = 0")
+@query("SELECT candidate, seq, id AS a_id, concat(id, '!') AS b_id FROM sync_log WHERE seq % 4 = 0")
 def collisions(v):
-    log = v.sync_log
-    other = log.filter("seq % 3 = 0").withColumn("id", F.when(F.col("seq") % 4 == 0, F.concat("id", F.lit("!"))).otherwise(F.col("id")))
-    return synclog.collisions(log, other).select("candidate", "seq", "a_id", "b_id")
+    """The log against itself with every fourth payload changed."""
+    other = v.sync_log.withColumn("id", F.when(F.col("seq") % 4 == 0, F.concat("id", F.lit("!"))).otherwise(F.col("id")))
+    return synclog.collisions(v.sync_log, other).select("candidate", "seq", "a_id", "b_id")
 
 
 @query("SELECT id, count(DISTINCT candidate) AS candidates, count(*) AS records FROM sync_log GROUP BY id HAVING count(DISTINCT candidate) > 1")
@@ -94,10 +104,12 @@ _VALUE = "CASE event_id % 5 WHEN 0 THEN CASE WHEN event_id % 2 = 0 THEN '{\"id\"
     CASE k WHEN 0 THEN split_part(name, '/', 4) WHEN 1 THEN split_part(name, '/', 4) WHEN 2 THEN 'seq' WHEN 3 THEN 'verifier' END AS key,
     CASE WHEN k = 4 THEN 'name' WHEN k = 2 AND value = 'x' THEN 'counter' WHEN k = 0 AND value = '{{}}' THEN 'record' END AS reason FROM (SELECT event_id % 5 AS k, {_NAME} AS name, {_VALUE} AS value FROM events) d""")
 def kv_route(v):
-    """Events as a dump of one-entry documents, half lists and half maps."""
+    """Events as a dump of one-entry documents: lists, lists wrapped as results, and maps."""
     e = v.events.select("event_id", F.expr(_NAME).alias("name"), F.expr(_VALUE).alias("value"))
     listed = F.to_json(F.array(F.struct("name", "value")))
-    doc = F.when(F.col("event_id") % 2 == 0, listed).otherwise(F.to_json(F.create_map("name", "value")))
+    wrapped = F.to_json(F.array(F.struct(F.array(F.struct("name", "value")).alias("results"))))
+    kind = F.col("event_id") % 3
+    doc = F.when(kind == 0, listed).when(kind == 1, wrapped).otherwise(F.to_json(F.create_map("name", "value")))
     return synclog.route_dump(synclog.dump_entries(e.select(doc.alias("doc"))))
 
 
@@ -106,14 +118,23 @@ def kv_route(v):
 
 @query("SELECT panchayat_id, row_no, ward_text AS ward, name, final, supplement FROM cat_grid")
 def grid_wards(v):
-    """Grids as cells under a header row, read back by column name."""
-    g = v.cat_grid
-    cell = lambda col, text, linked=None: F.struct(F.lit(col).alias("col"), text.alias("text"), (F.lit(False) if linked is None else linked).alias("linked"))
-    body = g.select(F.col("panchayat_id").alias("page"), F.col("row_no").alias("row"), F.explode(F.array(cell(0, F.col("name")), cell(1, F.col("ward_text")), cell(2, F.lit("pdf"), F.col("final")), cell(3, F.lit("pdf"), F.col("supplement")))).alias("c"))
-    names = F.array(*(cell(i, F.lit(t)) for i, t in enumerate(("Grampanchayat", "Ward", "Final", "Supplement"))))
-    head = g.select(F.col("panchayat_id").alias("page")).distinct().select("page", F.lit(0).alias("row"), F.explode(names).alias("c"))
-    cells = body.unionByName(head).select("page", "row", "c.*")
-    return C.grid_wards(cells).select(F.col("page").alias("panchayat_id"), F.col("row").alias("row_no"), "ward", "name", "final", "supplement")
+    """Saved search pages, one per panchayat, parsed to cells and links, then read by the portal's column names."""
+    cell = lambda *parts: F.concat(F.lit("<td>"), *parts, F.lit("</td>"))
+    back = F.lit("<a href=\"javascript:__doPostBack('grid$lnk','')\">View</a>")
+    button = F.lit('<input type="image" name="b" src="pdf.png">')
+    plain = F.lit('<a href="#top">-</a>')
+    line = F.concat(
+        F.lit("<tr>"), cell(F.col("name")), cell(F.lit(" "), F.col("ward_text"), F.lit("\n")),
+        cell(F.when(F.col("final"), back).otherwise(plain)), cell(F.when(F.col("supplement"), button).otherwise(plain)), F.lit("</tr>"),
+    )
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_no", line.alias("html")))), lambda x: x["html"]), "\n")
+    names = C.GridColumns()
+    head = f"<table><tr><th>{names.name}</th><th>{names.ward}</th><th>{names.final}</th><th>Final With Supp-2 PDF</th></tr>"
+    form = f'<form><input type="hidden" name="__VIEWSTATE" value="x"><select name="d"><option value="0">--Select--</option><option value="7" selected>A</option></select>{head}'
+    html = F.concat(F.lit(form), lines, F.lit("<tr><td colspan=4>1 2</td></tr></table></form>"))
+    saved = v.cat_grid.groupBy(F.col("panchayat_id").alias("page_id")).agg(html.alias("html"))
+    grid = C.grid_wards(P.grid_cells(P.page_rows(saved)))
+    return grid.select(F.col("page").alias("panchayat_id"), F.col("row").alias("row_no"), "ward", "name", "final", "supplement")
 
 
 @query("SELECT district_id, panchayat_id, min(panchayat) AS name, string_agg(CAST(ward AS VARCHAR), ',' ORDER BY ward) AS wards FROM cat_ward WHERE final GROUP BY district_id, panchayat_id")
@@ -121,10 +142,57 @@ def catalogue_read(v):
     return C.read_catalogue(v.cat_ward)
 
 
-@query("""SELECT p.panchayat_id, coalesce(wards, 0) AS wards, coalesce(with_final, 0) AS with_final, coalesce(with_supplement, 0) AS with_supplement, CASE WHEN wards IS NULL THEN 'no grid' WHEN with_final < wards THEN 'no link' END AS error
-    FROM (SELECT DISTINCT panchayat_id FROM cat_ward) p LEFT JOIN (SELECT panchayat_id, count(*) AS wards, sum(CASE WHEN final THEN 1 ELSE 0 END) AS with_final, sum(CASE WHEN supplement THEN 1 ELSE 0 END) AS with_supplement FROM cat_grid GROUP BY panchayat_id) g USING (panchayat_id)""")
+_RURAL = f"rural AS (SELECT * FROM cat_samiti WHERE {_KIND('samiti')} = 'rural')"
+
+
+def _levels(v):
+    return v.region.select(F.col("r_regionkey").cast("bigint").alias("district_id")), v.cat_samiti, v.cat_panchayat, v.cat_grid
+
+
+@query(f"""WITH {_RURAL}, s AS (SELECT district_id, count(*) AS n FROM cat_samiti GROUP BY district_id), p AS (SELECT samiti_id, count(*) AS n FROM cat_panchayat GROUP BY samiti_id),
+    g AS (SELECT panchayat_id, count(*) AS n, sum(CASE WHEN final THEN 1 ELSE 0 END) AS f, sum(CASE WHEN supplement THEN 1 ELSE 0 END) AS u FROM cat_grid GROUP BY panchayat_id)
+    SELECT 'district' AS level, CAST(r_regionkey AS BIGINT) AS id, coalesce(n, 0) AS children, 0 AS with_final, 0 AS with_supplement, CASE WHEN n IS NULL THEN 'no samitis' END AS error FROM region LEFT JOIN s ON r_regionkey = district_id
+    UNION ALL SELECT 'samiti', r.samiti_id, coalesce(n, 0), 0, 0, CASE WHEN n IS NULL THEN 'no panchayats' END FROM rural r LEFT JOIN p ON r.samiti_id = p.samiti_id
+    UNION ALL SELECT 'panchayat', c.panchayat_id, coalesce(n, 0), coalesce(f, 0), coalesce(u, 0), CASE WHEN n IS NULL THEN 'no grid' WHEN f < n THEN 'no link' END FROM cat_panchayat c JOIN rural r ON c.samiti_id = r.samiti_id LEFT JOIN g ON c.panchayat_id = g.panchayat_id""")
 def catalogue_build(v):
-    return C.build_catalogue(v.cat_ward.select("panchayat_id").distinct(), v.cat_grid)
+    """District, samiti, panchayat and ward, with what is missing at each level."""
+    return C.build_catalogue(*_levels(v))
+
+
+@query(f"""WITH {_RURAL} SELECT district_id, r.samiti_id, samiti, c.panchayat_id, panchayat, CAST(ward_text AS INT) AS ward, bool_or(supplement) AS supplement
+    FROM cat_grid g JOIN cat_panchayat c ON g.panchayat_id = c.panchayat_id JOIN rural r ON c.samiti_id = r.samiti_id WHERE final AND regexp_full_match(ward_text, '[0-9]+') GROUP BY ALL""")
+def catalogue_assemble(v):
+    return C.assemble(*_levels(v)).select("district_id", "samiti_id", "samiti", "panchayat_id", "panchayat", "ward", "supplement")
+
+
+@query("""SELECT panchayat_id, CAST(row_number() OVER (PARTITION BY samiti_id ORDER BY left(panchayat, 17), panchayat, CAST(panchayat_id AS VARCHAR)) AS INT) AS place FROM cat_panchayat""")
+def catalogue_order(v):
+    rows = v.cat_panchayat.withColumn("name", F.substring("panchayat", 1, 17))
+    return C.in_order(rows, ["samiti_id"], "name", "panchayat", "panchayat_id").select("panchayat_id", "place")
+
+
+@query("""SELECT CAST(samiti_id AS VARCHAR) AS district, CAST(panchayat_id AS VARCHAR) AS id, CASE WHEN panchayat_id % 5 = 0 THEN panchayat ELSE concat('ग्राम ', panchayat) END AS name, panchayat AS name_latin, ward, concat('u', ward) AS url
+    FROM cat_ward WHERE final AND panchayat_id % 7 <> 0""")
+def catalogue_documents(v):
+    """A document per samiti read back: blank names, repeated and unlinked wards, panchayats without an id."""
+    url = F.when(F.col("final"), F.concat(F.lit("u"), "ward")).otherwise(F.lit(" "))
+    again = F.struct("ward", F.lit("again").alias("pdfUrl"))
+    ward = F.when(F.col("final"), F.array(F.struct("ward", url.alias("pdfUrl")), again)).otherwise(F.array(F.struct("ward", url.alias("pdfUrl"))))
+    rows = v.cat_ward.groupBy("samiti_id", "samiti", "panchayat_id", "panchayat").agg(F.flatten(F.collect_list(ward)).alias("wards"))
+    name = F.when(F.col("panchayat_id") % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit("ग्राम "), "panchayat"))
+    key = F.when(F.col("panchayat_id") % 7 == 0, F.lit("")).otherwise(F.col("panchayat_id").cast("string"))
+    p = F.struct(key.alias("id"), name.alias("name"), F.col("panchayat").alias("nameLatin"), "wards")
+    doc = F.struct(F.lit(C.VERSION).alias("schemaVersion"), F.col("samiti_id").cast("string").alias("id"), F.col("samiti").alias("nameLatin"), "panchayats")
+    shards = rows.groupBy("samiti_id", "samiti").agg(F.collect_list(p).alias("panchayats")).select(F.to_json(doc).alias("document"))
+    return C.read_shards(shards)
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, s_name AS name_latin, concat('s-', s_suppkey, '.json') AS file FROM supplier WHERE s_suppkey % 4 <> 0""")
+def catalogue_index(v):
+    """Index documents, one per nation, written and read back; unsafe file names are dropped."""
+    file = F.when(F.col("s_suppkey") % 4 == 0, F.lit("../up.json")).otherwise(F.concat(F.lit("s-"), "s_suppkey", F.lit(".json")))
+    rows = v.supplier.select("s_nationkey", F.col("s_suppkey").alias("id"), F.lit("").alias("name"), F.col("s_name").alias("name_latin"), file.alias("file"))
+    return C.read_index(C.index_documents(rows, "s_nationkey"))
 
 
 _READINGS = "SELECT samiti_id, CASE WHEN panchayat_id % 6 = 0 THEN NULL WHEN panchayat_id % 4 = 1 THEN concat(samiti, ' B') ELSE samiti END AS cover FROM cat_ward WHERE samiti_id % 5 <> 0"
@@ -155,7 +223,7 @@ def catalogue_fallbacks(v):
 _KINDS = "concat(samiti, CASE WHEN samiti_id % 3 = 0 THEN ' Panchayat Samiti' WHEN samiti_id % 3 = 1 THEN ' Nagar Palika' ELSE '' END)"
 
 
-@query(f"SELECT {_KIND(_KINDS)} AS kind, count(DISTINCT district_id) AS districts, count(DISTINCT samiti_id) AS samitis, count(DISTINCT panchayat_id) AS panchayats, count(*) AS wards, sum(CASE WHEN supplement THEN 1 ELSE 0 END) AS with_supplement FROM cat_ward GROUP BY 1")
+@query(f"SELECT {_KIND(_KINDS)} AS kind, count(DISTINCT CASE WHEN samiti_id % 3 <> 0 THEN samiti_id END) AS skipped, count(DISTINCT district_id) AS districts, count(DISTINCT samiti_id) AS samitis, count(DISTINCT panchayat_id) AS panchayats, count(*) AS wards, sum(CASE WHEN supplement THEN 1 ELSE 0 END) AS with_supplement FROM cat_ward GROUP BY 1")
 def catalogue_summary(v):
     return C.summary(v.cat_ward.withColumn("samiti", F.expr(_KINDS)))
 
@@ -182,15 +250,17 @@ def ward_collisions(v):
     return C.ward_collisions(v.cat_ward)
 
 
-@query("SELECT DISTINCT district_id, panchayat_id, concat(CAST(district_id AS VARCHAR), '/', CAST(samiti_id AS VARCHAR), '/', CAST(panchayat_id AS VARCHAR), '/', CAST(ward AS VARCHAR)) AS ward_key, CAST(ward AS VARCHAR) AS ward FROM cat_ward")
+@query("""SELECT DISTINCT concat(CAST(district_id AS VARCHAR), '/', CAST(samiti_id AS VARCHAR), '/', CAST(panchayat_id AS VARCHAR), '/', CAST(ward AS VARCHAR)) AS ward_key, CAST(ward AS VARCHAR) AS ward,
+    concat(CAST(district_id AS VARCHAR), '/', CAST(samiti_id AS VARCHAR), '/', CAST(panchayat_id AS VARCHAR), '/', CAST(ward + 1 AS VARCHAR)) AS sibling FROM cat_ward""")
 def ward_key(v):
-    key = F.concat_ws("/", *(F.col(c).cast("string") for c in ("district_id", "samiti_id", "panchayat_id", "ward")))
-    return v.cat_ward.select("district_id", "panchayat_id", key.alias("ward_key")).withColumn("ward", F.element_at(F.split("ward_key", "/"), -1))
+    key = C.ward_key(*(F.col(c) for c in ("district_id", "samiti_id", "panchayat_id", "ward")))
+    rows = v.cat_ward.select(key.alias("ward_key"), (F.col("ward") + 1).alias("other"))
+    return rows.select("ward_key", C.ward_of_key(F.col("ward_key")).alias("ward"), C.sibling_key(F.col("ward_key"), F.col("other")).alias("sibling"))
 
 
-@query("""WITH p AS (SELECT district_id, district, samiti_id, samiti, panchayat_id, panchayat, string_agg(CAST(ward AS VARCHAR), ',' ORDER BY ward) AS w FROM cat_ward GROUP BY ALL),
-    s AS (SELECT district_id, district, samiti_id, samiti, string_agg(concat('{"id":', panchayat_id, ',"name":"', panchayat, '","wards":[', w, ']}'), ',' ORDER BY panchayat_id) AS p FROM p GROUP BY ALL)
-    SELECT district_id, concat('{"id":', district_id, ',"name":"', district, '","samitis":[', string_agg(concat('{"id":', samiti_id, ',"name":"', samiti, '","panchayats":[', p, ']}'), ',' ORDER BY samiti_id), ']}') AS document FROM s GROUP BY district_id, district""")
+@query("""WITH p AS (SELECT district_id, district, samiti_id, samiti, panchayat_id, panchayat, string_agg(CAST(ward AS VARCHAR), ',' ORDER BY ward) AS w FROM cat_ward GROUP BY ALL)
+    SELECT district_id, samiti_id, concat('{"district":{"id":', district_id, ',"name":"', district, '"},"id":', samiti_id, ',"name":"', samiti, '","panchayats":[', string_agg(concat('{"id":', panchayat_id, ',"name":"', panchayat, '","wards":[', w, ']}'), ',' ORDER BY panchayat_id), ']}') AS document
+    FROM p GROUP BY district_id, district, samiti_id, samiti""")
 def catalogue_nested(v):
     return C.nested(v.cat_ward.select("district_id", "district", "samiti_id", "samiti", "panchayat_id", "panchayat", "ward"))
 
@@ -233,6 +303,14 @@ def roll_selections(v):
     return C.roll_selection(v.cat_ward.select(seat.alias("seat"), "district_id", "samiti_id", "panchayat_id", F.array(F.struct("ward", url.alias("url"))).alias("wards")))
 
 
+@query("""SELECT panchayat_id, ward AS seat_ward, CASE WHEN ward % 2 = 0 THEN 'ward' ELSE 'sarpanch' END AS seat_type, panchayat, CASE WHEN ward % 2 = 0 THEN CAST(ward AS VARCHAR) END AS ward FROM cat_ward WHERE ward % 3 <> 0""")
+def seats_from_picks(v):
+    """A pick for every ward; every third has no seat of a known kind."""
+    seat = F.when(F.col("ward") % 3 == 0, "other").when(F.col("ward") % 2 == 0, "ward-panch").otherwise("sarpanch")
+    picks = v.cat_ward.select("panchayat_id", F.col("ward").alias("seat_ward"), seat.alias("seat"), "panchayat", F.array(F.struct("ward", F.lit("u").alias("url"))).alias("wards"))
+    return C.seat_from_pick(picks).select("panchayat_id", "seat_ward", "seat_type", "panchayat", "ward")
+
+
 @query("""WITH m AS (SELECT doc, pos, y, is_start AS is_serial, NOT is_start AND length(text) % 2 = 0 AS is_mark FROM lines), p AS (SELECT *, max(CASE WHEN is_serial THEN pos END) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sp FROM m)
     SELECT DISTINCT p.doc, p.sp AS pos FROM p JOIN m s ON s.doc = p.doc AND s.pos = p.sp WHERE p.is_mark AND abs(s.y - p.y) < 2""")
 def struck_marks(v):
@@ -243,10 +321,11 @@ def struck_marks(v):
 
 @query(f"SELECT DISTINCT {_URL} AS url FROM cat_ward WHERE final")
 def allowed_urls(v):
-    """URLs flattened from a nested tree of districts, panchayats and wards."""
+    """URLs flattened from trees, one per samiti, of panchayats and wards."""
     url = X.ward_url(BASE, F.col("samiti_id"), F.col("panchayat"), F.col("ward"))
     leaf = v.cat_ward.withColumn("url", F.when(F.col("final"), url))
-    tree = leaf.groupBy("district_id", "panchayat_id").agg(F.collect_list(F.struct("ward", "url")).alias("wards")).groupBy("district_id").agg(F.collect_list(F.struct("panchayat_id", "wards")).alias("panchayats"))
+    leaves = leaf.groupBy("samiti_id", "panchayat_id").agg(F.collect_list(F.struct("ward", "url")).alias("wards"))
+    tree = leaves.groupBy("samiti_id").agg(F.collect_list(F.struct("panchayat_id", "wards")).alias("panchayats"))
     flat = tree.select(F.explode_outer("panchayats").alias("p")).select(F.explode_outer("p.wards").alias("w")).select("w.url")
     return flat.filter("url LIKE 'https://%'").distinct()
 
@@ -301,11 +380,14 @@ def sample_matched(v):
 
 # streams
 
+_SOUND = "event_id % 23 <> 0 AND event_id % 29 <> 0"
+
 
 def _logged(v, name: str, files: int = 6):
     """The log as a folder of files, in order of arrival, and a stream over it."""
     root = f"{shared_folder(v.spark)}/{name}-{uuid.uuid4().hex}"
-    rows = v.sync_log.select("candidate", "seq", "id", F.col("updated_at").cast("timestamp").alias("updated_at"), "device")
+    times = F.col("updated_at").cast("timestamp").alias("updated_at")
+    rows = v.sync_log.select("candidate", "seq", "id", times, "device", "ciphertext", "iv", "data")
     rows.repartitionByRange(files, "updated_at").write.parquet(f"{root}/log")
     return root, jobs.log_stream(v.spark, f"{root}/log")
 
@@ -314,50 +396,63 @@ def _finish(started) -> None:
     started.awaitTermination()
 
 
-@query("SELECT candidate, id, count(*) AS records FROM (SELECT DISTINCT candidate, id, CASE WHEN id LIKE 'mark:%' THEN 0 ELSE seq END AS k FROM sync_log) x GROUP BY candidate, id")
+@query(f"SELECT candidate, id, count(*) AS records FROM (SELECT DISTINCT candidate, id, CASE WHEN id LIKE 'mark:%' THEN 0 ELSE seq END AS k FROM sync_log WHERE {_SOUND}) x GROUP BY candidate, id")
 def stream_append(v):
-    """Mark ids once per candidate, all other records kept."""
+    """Mark ids once per candidate, all other valid records kept."""
     root, stream = _logged(v, "append")
     _finish(jobs.run(stream, [jobs.append_handler(f"{root}/table")], f"{root}/checkpoint"))
     return jobs.stored(v.spark, f"{root}/table").groupBy("candidate", "id").agg(F.count("*").alias("records"))
 
 
-_NEWEST = "SELECT candidate, id, epoch_us(max(updated_at)) // 1000 AS ms FROM sync_log {where} GROUP BY candidate, id"
+@query(f"SELECT candidate, count(*) AS records, CAST(1 AS BIGINT) AS first, count(*) AS last, count(*) AS numbers FROM (SELECT DISTINCT candidate, id, CASE WHEN id LIKE 'mark:%' THEN 0 ELSE seq END AS k FROM sync_log WHERE {_SOUND}) x GROUP BY candidate")
+def stream_push(v):
+    """The same, numbered on from a stored counter: each candidate's numbers run from 1 without a hole."""
+    root, stream = _logged(v, "push")
+    _finish(jobs.run(stream, [jobs.push_handler(f"{root}/table")], f"{root}/checkpoint"))
+    rows = jobs.stored(v.spark, f"{root}/table")
+    return rows.groupBy("candidate").agg(
+        F.count("*").alias("records"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.count_distinct("seq").alias("numbers")
+    )
+
+
+_NEWEST = f"SELECT candidate, id, epoch_us(max(updated_at)) // 1000 AS ms FROM sync_log WHERE {_SOUND} GROUP BY candidate, id"
 
 
-@query(_NEWEST.format(where=""))
+@query(_NEWEST)
 def stream_latest(v):
     root, stream = _logged(v, "latest")
     _finish(jobs.run(stream, [jobs.latest_handler(f"{root}/table")], f"{root}/checkpoint"))
     return synclog.latest(jobs.stored(v.spark, f"{root}/table")).select("candidate", "id", F.unix_millis("updated_at").alias("ms"))
 
 
-@query("SELECT candidate, ward, count(DISTINCT serial) AS voters FROM marks GROUP BY candidate, ward")
+@query(f"SELECT candidate, ward, count(DISTINCT serial) AS voters FROM {_PAYLOAD} WHERE {_SOUND} AND id = concat('mark:', ward, ':', serial) AND length(worker) BETWEEN 1 AND 100 GROUP BY candidate, ward")
 def stream_ward_counts(v):
+    """Counts that every batch brings up to date, as the last one left them."""
     root, stream = _logged(v, "counts")
-    _finish(jobs.run(stream, [jobs.append_handler(f"{root}/table")], f"{root}/checkpoint"))
-    marks = synclog.parsed(jobs.stored(v.spark, f"{root}/table"), synclog.MARK)
-    return marks.groupBy("candidate", F.col("ward").cast("bigint").alias("ward")).agg(F.count_distinct("serial").alias("voters"))
+    _finish(jobs.run(stream, [jobs.count_handler(f"{root}/table")], f"{root}/checkpoint"))
+    return jobs.live_counts(v.spark, f"{root}/table")
 
 
-@query("SELECT candidate, id, ms FROM (" + _NEWEST.format(where="WHERE id LIKE 'contact:%'") + ") c WHERE ms % 7 <> 0")
+@query(f"""WITH newest AS (SELECT candidate, id, arg_max(event_id, (updated_at, -seq)) AS event_id FROM sync_log WHERE {_SOUND} AND id LIKE 'contact:%' GROUP BY candidate, id)
+    SELECT n.candidate, ward, serial, phone FROM newest n JOIN {_CONTACTS} ON n.event_id = c.event_id WHERE NOT revoked""")
 def stream_contacts(v):
-    """Contacts' latest records but the revoked ones (here: by time)."""
+    """Voters whose newest contact record isn't a revocation."""
     root, stream = _logged(v, "contacts")
     _finish(jobs.run(stream.filter("id LIKE 'contact:%'"), [jobs.latest_handler(f"{root}/table")], f"{root}/checkpoint"))
-    rows = synclog.latest(jobs.stored(v.spark, f"{root}/table")).select("candidate", "id", F.unix_millis("updated_at").alias("ms"))
-    return rows.filter("ms % 7 <> 0")
+    return jobs.live_contacts(v.spark, f"{root}/table").select("candidate", "ward", "serial", "phone")
 
 
-@query("SELECT DISTINCT candidate, ward, serial, (ward, serial) IN (SELECT (ward, serial) FROM roll WHERE NOT struck) AS inside FROM marks")
+@query(f"""WITH RECURSIVE {_MESSAGES}, sent AS (SELECT t.candidate, t.ward, t.serial, t.worker, CASE WHEN t.worker IN ('w1', 'w2', 'w3') THEN 2 ELSE 1 END AS times FROM t),
+    voters AS (SELECT candidate, ward, serial, sum(times) AS n FROM sent GROUP BY candidate, ward, serial),
+    r AS (SELECT candidate, ward, serial, unnest(range(CAST(n AS BIGINT))) AS k FROM voters)
+    SELECT candidate, ward, serial, CASE WHEN k = 0 THEN 'new' ELSE 'duplicate' END AS state, (ward, serial) IN (SELECT (ward, serial) FROM roll WHERE NOT struck) AS inside FROM r""")
 def stream_sms(v):
-    """Every mark sent as messages, half of them twice."""
+    """Every mark sent as messages, some workers' twice; each serial reported as new or duplicate, inside the roll or not."""
     root = f"{shared_folder(v.spark)}/sms-{uuid.uuid4().hex}"
-    sms = tally.encode_messages(v.marks).select("candidate", "ward", "text")
-    again = sms.filter(F.pmod(F.xxhash64("text"), F.lit(2)) == 0)
-    sms.unionByName(again).repartition(4).write.parquet(f"{root}/sms")
+    sms = tally.encode_messages(v.marks)
+    again = sms.filter(F.col("worker").isin("w1", "w2", "w3"))
+    sms = sms.unionByName(again).select("candidate", "ward", "text")
+    sms.repartition(4).write.parquet(f"{root}/sms")
     stream = v.spark.readStream.schema(sms.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/sms")
     _finish(jobs.run(stream, [jobs.message_handler(f"{root}/table", v.roll)], f"{root}/checkpoint"))
-    return jobs.stored(v.spark, f"{root}/table", "candidate string, ward bigint, serial bigint, inside boolean")
-
-
+    return jobs.stored(v.spark, f"{root}/table", jobs.SMS_SCHEMA)

@@ -64,10 +64,23 @@ def filter_age(v):
     return search.age_filter(v.roll, 30, 45).select("ward", "serial", "age")
 
 
-@query("SELECT ward, serial FROM roll WHERE (ward, serial) IN (SELECT (ward, serial) FROM contacts WHERE phone IS NOT NULL)")
+_PHONE = "CASE WHEN regexp_full_match(regexp_replace(replace(phone, ' ', ''), '^(\\+91|0)', ''), '[0-9]{10}') THEN regexp_replace(replace(phone, ' ', ''), '^(\\+91|0)', '') END"
+_CONSENT = f"""island AS (SELECT *, sum(CASE WHEN revoked THEN 1 ELSE 0 END) OVER (PARTITION BY candidate, ward, serial ORDER BY seq) AS n, {_PHONE} AS number FROM contacts),
+    current AS (SELECT * FROM (SELECT *, max(n) OVER (PARTITION BY candidate, ward, serial) AS last FROM island) x WHERE n = last AND NOT revoked),
+    consented AS (SELECT candidate, ward, serial, arg_min(consent_at, seq) AS consent_at, arg_max(number, seq) FILTER (WHERE number IS NOT NULL) AS phone FROM current GROUP BY candidate, ward, serial)"""
+
+
+@query(f"WITH {_CONSENT} SELECT candidate, r.ward, r.serial FROM roll r JOIN consented c ON r.ward = c.ward AND r.serial = c.serial WHERE phone IS NOT NULL")
 def semi_lookup(v):
-    has = v.contacts.filter("phone IS NOT NULL").select(X.voter_key(F.col("ward"), F.col("serial")).alias("voter_key"))
-    return search.lookup_filter(v.roll, has).select("ward", "serial")
+    """For each team, the voters whose number it may use."""
+    has = calls.consent_state(v.contacts).filter("phone IS NOT NULL")
+    has = has.select("candidate", X.voter_key(F.col("ward"), F.col("serial")).alias("voter_key"))
+    return search.team_lookup(v.roll, has).select("candidate", "ward", "serial")
+
+
+@query("SELECT ward, serial FROM roll WHERE concat(ward, ':', serial) IN (SELECT voter_key FROM tags WHERE value = 'undecided')")
+def tag_lookup(v):
+    return search.lookup_filter(v.roll, v.tags, "undecided").select("ward", "serial")
 
 
 @query("SELECT ward, serial FROM roll WHERE (ward, serial) NOT IN (SELECT (1 + serial % 25, serial) FROM assignments)")
@@ -81,43 +94,57 @@ def jump_lookup(v):
     return search.search_voters(search.with_keys(v.roll), " 3 / ५ ").filter(F.col("tier") == search.JUMP).select("ward", "serial", "tier")
 
 
+@query(search_sql("sml ring", "smallring"))
+def indexed_search(v):
+    """The same search over all wards, comparing only rows that an index of grams finds likely."""
+    keyed = search.with_keys(v.roll)
+    path = f"{shared_folder(v.spark)}/roll-grams-{uuid.uuid4().hex}"
+    search.gram_index(keyed, "pos").write.parquet(path)
+    index = v.spark.read.schema("pos bigint, gram string, code boolean").parquet(path)
+    return search.search_voters(keyed, "small ring", index=index).select("ward", "serial", "tier", "rank")
+
+
+@query("SELECT ward, serial, count(*) OVER () >= 50 AS capped FROM (SELECT ward, serial FROM roll WHERE contains(CAST(serial AS VARCHAR), '1') AND ward <= 2 ORDER BY CAST(serial AS VARCHAR) <> '1', NOT starts_with(CAST(serial AS VARCHAR), '1'), ward, serial LIMIT 50) x")
+def capped_search(v):
+    """A search by serial that finds more than it may show."""
+    some = search.with_keys(search.place_filter(v.roll, "ward", ["1", "2"]).select("ward", "serial", *(F.lit("").alias(c) for c in ("name", "relative", "house", "epic"))))
+    return search.with_capped(search.search_voters(some, "1")).select("ward", "serial", "capped")
+
+
 @query(f"SELECT doc_id FROM (SELECT doc_id, {phonetic_sql('text')} AS key FROM documents) k WHERE contains(key, 'ton') AND contains(key, 'oni') AND contains(key, 'nin')")
 def gram_candidates(v):
     index = search.grams(v.documents.select("doc_id", X.phonetic_key(F.col("text")).alias("key")), "doc_id", "key")
     return search.gram_candidates(index, "doc_id", "tonin")
 
 
-_QUERY = "substr(text, 1, 12)"
-
-
-@query(f"""WITH q AS (SELECT item_id, {phonetic_sql(_QUERY)} AS q FROM benchmark), c AS (SELECT doc_id, {phonetic_sql('text')} AS key FROM documents),
+_PASSAGES = f"""WITH q AS (SELECT item_id, {phonetic_sql('text')} AS q FROM benchmark), c AS (SELECT doc_id, {phonetic_sql('text')} AS key FROM documents),
     m AS (SELECT item_id, doc_id, CASE WHEN key = q THEN 0 WHEN starts_with(key, q) THEN 1 WHEN contains(key, concat(' ', q)) THEN 2 ELSE 3 END AS tier FROM q JOIN c ON contains(key, q) WHERE length(q) >= 3)
-    SELECT item_id, CAST(place AS INT) AS place, doc_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY tier, doc_id) AS place FROM m) r WHERE place <= 10""")
-def batch_search(v):
-    """The start of every benchmark passage against all documents, ten best each.
+    SELECT item_id, CAST(place AS INT) AS place, doc_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY tier, doc_id) AS place FROM m) r WHERE place <= 10"""
+
 
-    The documents' keys are stored once, as a corpus that is searched often would have them.
-    """
+def _passages(v, **how):
+    """The documents' keys are stored once, as a corpus that is searched often would have them."""
     path = f"{shared_folder(v.spark)}/keys-{uuid.uuid4().hex}"
     v.documents.select("doc_id", X.phonetic_key(F.col("text")).alias("key")).write.parquet(path)
     corpus = v.spark.read.schema("doc_id bigint, key string").parquet(path)
-    asked = v.benchmark.select("item_id", X.phonetic_key(F.substring("text", 1, 12)).alias("key")).filter(F.length("key") >= search.GRAM)
-    return search.batch_search(corpus, asked, 10, id_col="doc_id", query_col="item_id")
+    asked = v.benchmark.select("item_id", X.phonetic_key(F.col("text")).alias("key")).filter(F.length("key") >= search.GRAM)
+    return search.batch_search(corpus, asked, 10, id_col="doc_id", query_col="item_id", **how)
 
 
-@query(f"""WITH q AS (SELECT item_id, {phonetic_sql('text')} AS q FROM benchmark), c AS (SELECT doc_id, {phonetic_sql('text')} AS key FROM documents),
-    m AS (SELECT item_id, doc_id, CASE WHEN key = q THEN 0 WHEN starts_with(key, q) THEN 1 WHEN contains(key, concat(' ', q)) THEN 2 ELSE 3 END AS tier FROM q JOIN c ON contains(key, q) WHERE length(q) >= 3)
-    SELECT item_id, CAST(place AS INT) AS place, doc_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY tier, doc_id) AS place FROM m) r WHERE place <= 10""")
-def batch_search_passages(v):
+@query(_PASSAGES)
+def batch_search(v):
     """Every benchmark passage, whole, against all documents, ten best each."""
-    path = f"{shared_folder(v.spark)}/keys-{uuid.uuid4().hex}"
-    v.documents.select("doc_id", X.phonetic_key(F.col("text")).alias("key")).write.parquet(path)
-    corpus = v.spark.read.schema("doc_id bigint, key string").parquet(path)
-    asked = v.benchmark.select("item_id", X.phonetic_key(F.col("text")).alias("key")).filter(F.length("key") >= search.GRAM)
-    return search.batch_search(corpus, asked, 10, id_col="doc_id", query_col="item_id")
+    return _passages(v)
+
+
+@query(_PASSAGES)
+def batch_search_passages(v):
+    """The same by joins, as for more queries than tasks can hold."""
+    return _passages(v, small=0)
 
 
-@query("SELECT DISTINCT 'ward' AS facet, CAST(ward AS VARCHAR) AS value FROM roll UNION ALL SELECT DISTINCT 'booth', CAST(booth AS VARCHAR) FROM roll UNION ALL SELECT DISTINCT 'gender', gender FROM roll")
+@query("""WITH f AS (SELECT DISTINCT 'ward' AS facet, CAST(ward AS VARCHAR) AS value FROM roll UNION ALL SELECT DISTINCT 'booth', CAST(booth AS VARCHAR) FROM roll UNION ALL SELECT DISTINCT 'gender', gender FROM roll)
+    SELECT facet, value, CAST(row_number() OVER (PARTITION BY facet ORDER BY try_cast(value AS BIGINT) NULLS LAST, value) AS INT) AS place FROM f""")
 def facets(v):
     return search.facets(v.roll, ["ward", "booth", "gender"])
 
@@ -150,15 +177,20 @@ def roll_overwrite(v):
     return store.read_rolls(v.spark, path).groupBy("ward").agg(F.count("*").alias("entries"), F.count_if(F.col("supplement") == "addition").alias("replaced"))
 
 
-_SUPP = """every AS (SELECT ward, serial, 0 AS pub, pos, name, struck FROM roll UNION ALL SELECT ward, serial, pub, pos, name, struck FROM supp),
+_SUPP = """based AS (SELECT ward, serial, pos, name, age, struck, CASE WHEN pos % 17 = 0 THEN 'deletion' END AS tag FROM roll),
+    every AS (SELECT ward, serial, 0 AS pub, pos, name, age, struck, tag FROM based UNION ALL SELECT ward, serial, pub, pos, name, NULL, struck, NULL FROM supp),
     ordered AS (SELECT *, lag(struck) OVER w AS before, row_number() OVER w AS n FROM every WINDOW w AS (PARTITION BY ward, serial ORDER BY pub, pos)),
     changes AS (SELECT *, CASE WHEN n = 1 THEN pub <> 0 ELSE struck <> before END AS change FROM ordered),
-    merged AS (SELECT ward, serial, arg_min(name, (pub, pos)) AS name, arg_max(struck, (pub, pos)) AS struck,
-        arg_max(CASE WHEN struck THEN 'deletion' ELSE 'addition' END, (pub, pos)) FILTER (WHERE change) AS supplement FROM changes GROUP BY ward, serial)"""
+    merged AS (SELECT ward, serial, arg_min(pos, (pub, pos)) AS pos, arg_min(name, (pub, pos)) AS name, max(age) AS age, arg_max(struck, (pub, pos)) AS struck,
+        coalesce(arg_max(CASE WHEN struck THEN 'deletion' ELSE 'addition' END, (pub, pos)) FILTER (WHERE change), max(tag)) AS supplement FROM changes GROUP BY ward, serial)"""
+
+
+def _base(v):
+    return v.roll.select("ward", "serial", "pos", "name", "age", "struck", F.when(F.col("pos") % 17 == 0, "deletion").alias("supplement"))
 
 
 def _merged(v):
-    return rolls.apply_supplements(v.roll, v.supp)
+    return rolls.apply_supplements(_base(v), v.supp)
 
 
 @query(f"WITH {_SUPP} SELECT * FROM merged")
@@ -166,6 +198,13 @@ def apply_supplements(v):
     return _merged(v)
 
 
+@query(f"WITH {_SUPP} SELECT * FROM merged")
+def apply_supplements_staged(v):
+    """Each year's supplements merged into what came out before: equal to one merge."""
+    out = rolls.apply_supplements(_base(v), v.supp.filter("pub <= 1994"))
+    return rolls.apply_supplements(rolls.apply_supplements(out, v.supp.filter("pub = 1995")), v.supp.filter("pub > 1995"))
+
+
 @query(f"WITH {_SUPP} SELECT ward, serial FROM merged WHERE coalesce(supplement, '') <> 'deletion'")
 def hide_deletions(v):
     return rolls.hide_deletions(_merged(v)).select("ward", "serial")
@@ -226,15 +265,19 @@ def households(v):
     return H.households(v.roll).select("ward", "key", "house", "size", _serials())
 
 
-@query(f"SELECT ward, key, members FROM ({_HOUSES}) h WHERE key = '3/2'")
+@query(f"SELECT ward, key, members FROM ({_HOUSES}) h WHERE key = '1/2'")
 def find_household(v):
-    return H.find_household(H.households(v.roll), " ३ / 2 ").select("ward", "key", _serials())
+    return H.find_household(H.households(v.roll), " १ / 2 ").select("ward", "key", _serials())
+
+
+_VALUES = "(SELECT voter_key, string_agg(DISTINCT value, ', ' ORDER BY value) AS value FROM {} GROUP BY voter_key)"
 
 
-@query(f"""SELECT r.ward, r.key, r.serial, r.name, p.phone FROM (SELECT *, {_HOUSE('house')} AS key FROM roll WHERE NOT struck) r
-    LEFT JOIN (SELECT ward, serial, max(phone) AS phone FROM contacts GROUP BY ward, serial) p ON r.ward = p.ward AND r.serial = p.serial WHERE r.key <> ''""")
+@query(f"""WITH {_CONSENT} SELECT candidate, r.ward, r.key, r.serial, r.name, c.phone, t.value AS tag, s.value AS visit FROM (SELECT *, {_HOUSE('house')} AS key FROM roll WHERE NOT struck) r
+    LEFT JOIN consented c ON r.ward = c.ward AND r.serial = c.serial LEFT JOIN {_VALUES.format('tags')} t ON t.voter_key = concat(r.ward, ':', r.serial)
+    LEFT JOIN {_VALUES.format('visits')} s ON s.voter_key = concat(r.ward, ':', r.serial) WHERE r.key <> ''""")
 def household_members(v):
-    return H.household_members(H.households(v.roll), v.contacts)
+    return H.household_members(H.households(v.roll), calls.consent_state(v.contacts), v.tags, v.visits)
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS members FROM conversations GROUP BY conv_id")
@@ -244,11 +287,6 @@ def ordered_members(v):
 
 # calls
 
-_PHONE = "CASE WHEN regexp_full_match(regexp_replace(replace(phone, ' ', ''), '^(\\+91|0)', ''), '[0-9]{10}') THEN regexp_replace(replace(phone, ' ', ''), '^(\\+91|0)', '') END"
-_CONSENT = f"""island AS (SELECT *, sum(CASE WHEN revoked THEN 1 ELSE 0 END) OVER (PARTITION BY candidate, ward, serial ORDER BY seq) AS n, {_PHONE} AS number FROM contacts),
-    current AS (SELECT * FROM (SELECT *, max(n) OVER (PARTITION BY candidate, ward, serial) AS last FROM island) x WHERE n = last AND NOT revoked),
-    consented AS (SELECT candidate, ward, serial, arg_min(consent_at, seq) AS consent_at, arg_max(number, seq) FILTER (WHERE number IS NOT NULL) AS phone FROM current GROUP BY candidate, ward, serial)"""
-
 
 @query(f"WITH {_CONSENT} SELECT candidate, ward, serial, phone, epoch_us(consent_at) // 1000 AS since FROM consented")
 def consent_state(v):
@@ -260,10 +298,10 @@ def call_list(v):
     return calls.call_list(calls.consent_state(v.contacts), v.assignments, v.roll).select("candidate", "ward", "serial", "phone", "worker_id", "name")
 
 
-@query(f"WITH {_CONSENT} SELECT min(ward) AS ward, serial, concat(CAST(min(ward) AS VARCHAR), ':', CAST(serial AS VARCHAR)) AS voter_key FROM consented WHERE candidate = 't1' AND serial IN (SELECT serial FROM assignments) GROUP BY serial HAVING count(DISTINCT ward) = 1")
+@query(f"WITH {_CONSENT} SELECT candidate, min(ward) AS ward, serial, concat(CAST(min(ward) AS VARCHAR), ':', CAST(serial AS VARCHAR)) AS voter_key FROM consented WHERE serial IN (SELECT serial FROM assignments) GROUP BY candidate, serial HAVING count(DISTINCT ward) = 1")
 def called_lookup(v):
-    """For one team: its consented voters' serials against the assignments, which carry no ward."""
-    return calls.called_lookup(calls.consent_state(v.contacts).filter("candidate = 't1'"), v.assignments)
+    """Every team's consented voters' serials against the assignments, which carry no ward."""
+    return calls.called_lookup(calls.consent_state(v.contacts), v.assignments)
 
 
 @query("""SELECT concat('w', CAST(n_nationkey AS VARCHAR)) AS worker_id, n_name AS worker_name FROM nation WHERE n_nationkey % 2 = 0
@@ -318,18 +356,18 @@ def in_roll_split(v):
     return tally.in_roll(tally.first_marks(v.marks), v.roll).select("candidate", "ward", "serial", "inside")
 
 
-@query("""WITH a AS (SELECT DISTINCT candidate, ward, serial FROM marks WHERE seq % 2 = 0), b AS (SELECT DISTINCT candidate, ward, serial FROM marks WHERE seq % 3 = 0)
+@query("""WITH a AS (SELECT DISTINCT candidate, ward, serial FROM marks), b AS (SELECT DISTINCT candidate, ward, serial + seq % 3 AS serial FROM marks)
     SELECT coalesce(a.candidate, b.candidate) AS candidate, coalesce(a.ward, b.ward) AS ward, coalesce(a.serial, b.serial) AS serial, CASE WHEN a.serial IS NULL THEN 'new' WHEN b.serial IS NOT NULL THEN 'duplicate' ELSE 'applied' END AS state
     FROM a FULL JOIN b ON a.candidate = b.candidate AND a.ward = b.ward AND a.serial = b.serial""")
 def tally_union(v):
-    return tally.union_tally(v.marks.filter("seq % 2 = 0"), v.marks.filter("seq % 3 = 0"))
+    """All marks as applied, against the same with some serials shifted."""
+    return tally.union_tally(v.marks, v.marks.withColumn("serial", F.col("serial") + F.col("seq") % 3))
 
 
-@query("""SELECT coalesce(c.ward, o.ward) AS ward, voters, official FROM (SELECT ward, count(DISTINCT serial) AS voters FROM marks WHERE candidate = 't1' GROUP BY ward) c
+@query("""SELECT candidate, coalesce(c.ward, o.ward) AS ward, voters, official FROM (SELECT candidate, ward, count(DISTINCT serial) AS voters FROM marks GROUP BY candidate, ward) c
     FULL JOIN (SELECT CAST(n_nationkey + 3 AS BIGINT) AS ward, CAST(n_nationkey * 10 AS BIGINT) AS official FROM nation) o ON c.ward = o.ward""")
 def turnout_vs_count(v):
-    counts = tally.ward_counts(v.marks).filter("candidate = 't1' AND ward IS NOT NULL").select("ward", "voters")
+    """Every team's counts beside the official figures of their wards."""
+    counts = tally.ward_counts(v.marks).filter("ward IS NOT NULL")
     official = v.nation.select((F.col("n_nationkey") + 3).cast("bigint").alias("ward"), (F.col("n_nationkey") * 10).cast("bigint").alias("official"))
     return tally.turnout_beside_counts(counts, official)
-
-

@@ -28,7 +28,7 @@ def phonetic_sql(e: str) -> str:
     s = f"replace(replace({s}, 'ंह', 'ngह'), 'ँह', 'ngह')"
     for letter, sound in X.SYLLABLES.items():
         s = f"replace({s}, '{letter}', '{sound}')"
-    s = _swap(s, {**X.INDEPENDENT_VOWELS, **X.VOWEL_SIGNS, **X.CONSONANTS, **X.LATIN, **dict(zip(X.DEVANAGARI_DIGITS, X.ASCII_DIGITS, strict=True))})
+    s = _swap(s, {**X.LETTERS, **dict(zip(X.DEVANAGARI_DIGITS, X.ASCII_DIGITS, strict=True))})
     s = f"ltrim(regexp_replace(replace(regexp_replace({s}, '[^a-z0-9]', ' ', 'g'), 'a', ''), ' +', ' ', 'g'))"
     s = f"regexp_replace(replace(replace({s}, 'ee', 'i'), 'oo', 'u'), '([kgcjtdpbs])h+', '\\1', 'g')"
     s = f"regexp_replace(replace(replace({s}, 'mp', 'np'), 'mb', 'nb'), 'y( |$)', 'i\\1', 'g')"
@@ -143,18 +143,53 @@ def slug(v):
     return v.supplier.select("s_suppkey", X.slug(F.col("s_name")).alias("slug"))
 
 
-CARD = ["name", "relative", "age", "gender", "house", "epic"]
 _SHOWN = lambda f: f"coalesce(nullif(trim(CAST({f} AS VARCHAR)), ''), '—')"
+_SOURCES = dict.fromkeys(rolls.CARD) | {f: f for f in rolls.CARD if f not in ("relation", "booth_address")} | {
+    "relation": "concat_ws(' ', CASE WHEN gender = 'F' THEN 'w/o' END, nullif(trim(relative), ''))", "booth_name": "concat('Booth ', booth)", "booth_address": "NULL",
+}
+_CARD = ", ".join(f"{_SHOWN(e)} AS {f}" for f, e in _SOURCES.items())
 
 
-@query(f"SELECT pos, {', '.join(f'{_SHOWN(f)} AS {f}' for f in CARD)} FROM roll")
+def _card(v):
+    entries = v.roll.withColumn("relation", F.when(F.col("gender") == "F", "w/o")).withColumn("booth_name", F.concat(F.lit("Booth "), "booth"))
+    return rolls.voter_card(entries, ("pos",))
+
+
+@query(f"SELECT pos, {_CARD} FROM roll")
 def voter_card(v):
-    return rolls.voter_card(v.roll, ["pos", *CARD]).withColumn("pos", F.col("pos").cast("bigint"))
+    return _card(v)
+
+
+LABELS = {f: f.replace("_", " ") for f in rolls.CARD}
+FOOTER = ("From the ward roll", "of the election commission")
 
 
-@query(f"SELECT {', '.join(f'{_SHOWN(f)} AS {f}' for f in CARD)}, concat({", chr(10), ".join(f"'{f}: ', {_SHOWN(f)}" for f in CARD)}, chr(10), 'From the ward roll') AS share FROM roll")
+@query(f"""SELECT pos, concat({", chr(10), ".join(f"'{LABELS[f]}: ', {f}" for f in rolls.CARD)}, chr(10), chr(10), '{FOOTER[0]}', chr(10), '{FOOTER[1]}') AS share FROM (SELECT pos, {_CARD} FROM roll) c""")
 def voter_share_text(v):
-    return rolls.share_text(v.roll, CARD, "From the ward roll")
+    return rolls.share_text(_card(v), LABELS, FOOTER).select("pos", "share")
+
+
+@query("SELECT ward, serial AS id, serial, name, relative AS relative_name, house AS house_no, struck FROM roll")
+def to_voter(v):
+    return rolls.to_voter(v.roll)
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN n_name WHEN n_nationkey % 3 = 1 THEN 'Panchayat  SAMITI' ELSE n_name END AS name FROM nation""")
+def samiti_name(v):
+    full = F.when(F.col("n_nationkey") % 3 == 0, F.concat("n_name", F.lit("  PANCHAYAT samiti "))).when(F.col("n_nationkey") % 3 == 1, F.lit("Panchayat  SAMITI")).otherwise(F.col("n_name"))
+    return v.nation.select("n_nationkey", X.samiti_name(full).alias("name"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN a > b WHEN event_id % 3 <> 0 AND event_id % 2 = 1 THEN sa > sb ELSE a > b END AS newer
+    FROM (SELECT event_id, epoch_us(ts) // 1000 AS a, epoch_us(ts) // 1000 + event_id % 5 - 2 AS b, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') AS sa, strftime(ts + to_milliseconds(event_id % 5 - 2), '%Y-%m-%dT%H:%M:%S.%g') AS sb FROM events) t""")
+def is_newer(v):
+    """Times as they are sent, some as numbers and some as texts, against ones up to two milliseconds off."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    text = lambda m: F.date_format(F.timestamp_millis(m), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    other = ms + F.col("event_id") % 5 - 2
+    a = F.when(F.col("event_id") % 3 == 0, ms.cast("string")).otherwise(text(ms))
+    b = F.when(F.col("event_id") % 2 == 0, other.cast("string")).otherwise(text(other))
+    return v.events.select("event_id", synclog.is_newer(a, b).alias("newer"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id * 1000 ELSE epoch_us(ts) // 1000 END AS ms FROM events""")
@@ -163,22 +198,27 @@ def updated_ms(v):
     return v.events.select("event_id", synclog.updated_ms(raw).alias("ms"))
 
 
-@query("SELECT event_id, coalesce(length(id) BETWEEN 1 AND 200 AND updated_at IS NOT NULL AND device IS NOT NULL, false) AS valid FROM sync_log")
+@query("SELECT event_id, length(id) BETWEEN 1 AND 200 AND updated_at IS NOT NULL AND event_id % 23 <> 0 AND event_id % 29 <> 0 AS valid FROM sync_log")
 def record_valid(v):
     return v.sync_log.select("event_id", synclog.valid_record().alias("valid"))
 
 
-_PARSED = "SELECT event_id, CAST(CAST(split_part(id, ':', 2) AS BIGINT) AS VARCHAR) AS ward, CAST(split_part(id, ':', 3) AS BIGINT) AS serial FROM sync_log WHERE regexp_full_match(id, '{}:[^:]+:[0-9]+') AND CAST(split_part(id, ':', 3) AS BIGINT) >= 1"
+_PAYLOAD = """(SELECT candidate, event_id, id, updated_at, seq, ciphertext, iv, json_extract_string(data, '$.wardId') AS ward, CAST(json_extract(data, '$.serial') AS BIGINT) AS serial, json_extract_string(data, '$.workerId') AS worker,
+    json_extract_string(data, '$.markedAt') AS marked_at, json_extract_string(data, '$.phone') AS raw, json_extract_string(data, '$.consentAt') AS consent_at, coalesce(json_extract_string(data, '$.revoked') = 'true', false) AS revoked
+    FROM sync_log WHERE data IS NOT NULL AND data <> '{}') p"""
+_CONTACTS = f"""(SELECT candidate, event_id, id, updated_at, seq, ciphertext, iv, ward, serial, CASE WHEN NOT revoked THEN substr(raw, 2) END AS phone, CASE WHEN NOT revoked THEN consent_at END AS consent_at, revoked
+    FROM {_PAYLOAD} WHERE id = concat('contact:', ward, ':', serial) AND (revoked OR (consent_at <> '' AND (raw IS NULL OR length(raw) = 11)))) c"""
 
 
-@query(_PARSED.format("mark"))
+@query(f"SELECT event_id, ward, serial, worker, marked_at FROM {_PAYLOAD} WHERE id = concat('mark:', ward, ':', serial) AND length(worker) BETWEEN 1 AND 100")
 def mark_parse(v):
-    return synclog.parsed(v.sync_log, synclog.MARK).select("event_id", "ward", "serial")
+    """Marks read from their payload; ids that disagree with it, and payloads without a worker, are dropped."""
+    return synclog.mark_records(v.sync_log).select("event_id", "ward", "serial", "worker", "marked_at")
 
 
-@query(_PARSED.format("contact"))
+@query(f"SELECT event_id, ward, serial, phone, consent_at, revoked FROM {_CONTACTS}")
 def contact_parse(v):
-    return synclog.parsed(v.sync_log, synclog.CONTACT).select("event_id", "ward", "serial")
+    return synclog.contact_records(v.sync_log).select("event_id", "ward", "serial", "phone", "consent_at", "revoked")
 
 
 @query("""SELECT page_id, CAST(page_id % 40 AS VARCHAR) AS ward, CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) AS serial, concat('#/voter/', CAST(page_id % 40 AS VARCHAR), '/', CAST(CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) AS VARCHAR)) AS address
@@ -200,6 +240,14 @@ def json_explode(v):
     return synclog.explode_json(v.events, "props", ["event_id"])
 
 
+@query("""SELECT page_id, CAST(nth AS INT) AS nth, concat('m', page_id) AS id, CASE WHEN nth = 0 THEN CAST(page_id AS BIGINT) END AS at FROM pages, (SELECT unnest([0, 1]) AS nth) n""")
+def json_array(v):
+    """Arrays of records as a push carries them, exploded with fields by path."""
+    doc = F.concat(F.lit('[{"id":"m'), "page_id", F.lit('","at":'), "page_id", F.lit('},{"id":"m'), "page_id", F.lit('"}]'))
+    rows = v.pages.select("page_id", doc.alias("doc"))
+    return synclog.explode_array(rows, "doc", {"id": ("$.id", "string"), "at": ("$.at", "bigint")}, ["page_id"])
+
+
 @query()
 def match_ranges(v):
     """Where 'ring' lies in the names of the voters that it finds; tested against a plain reading."""
@@ -215,21 +263,35 @@ def seal_roundtrip(v):
     return synclog.unseal(rows, secret, key).select("event_id", "opened", wrong.alias("wrong_key_fails"))
 
 
-_SEALED = "concat_ws(' ', 'PT1', candidate, worker, tokens)"
+_MESSAGES = f"""t AS (SELECT *, lower(to_base(serial, 36)) AS token, row_number() OVER (PARTITION BY candidate, worker, ward ORDER BY serial) AS i FROM (SELECT DISTINCT candidate, worker, ward, serial FROM marks) d),
+    u AS (SELECT *, sum(length(token) + 1) OVER (PARTITION BY candidate, worker, ward ORDER BY i) AS upto, {tally.MAX_CHARS - 2 - tally.SUM_CHARS} - length(concat_ws(' ', '{tally.PREFIX}', candidate, worker)) AS room FROM t),
+    nexts AS (SELECT a.candidate, a.worker, a.ward, a.i, min(CASE WHEN b.upto - a.upto + length(a.token) > a.room THEN b.i END) AS following
+        FROM u a JOIN u b ON a.candidate = b.candidate AND a.worker = b.worker AND a.ward = b.ward AND b.i >= a.i GROUP BY ALL),
+    starts AS (SELECT candidate, worker, ward, CAST(1 AS BIGINT) AS i, CAST(0 AS INT) AS part FROM t GROUP BY candidate, worker, ward
+        UNION ALL SELECT s.candidate, s.worker, s.ward, n.following, s.part + 1 FROM starts s JOIN nexts n ON s.candidate = n.candidate AND s.worker = n.worker AND s.ward = n.ward AND s.i = n.i WHERE n.following IS NOT NULL),
+    bodies AS (SELECT s.candidate, s.worker, s.ward, s.part, concat_ws(' ', '{tally.PREFIX}', s.candidate, s.worker, string_agg(t.token, '.' ORDER BY t.i)) AS body, count(*) AS n
+        FROM starts s JOIN nexts x ON s.candidate = x.candidate AND s.worker = x.worker AND s.ward = x.ward AND s.i = x.i
+        JOIN t ON s.candidate = t.candidate AND s.worker = t.worker AND s.ward = t.ward AND t.i >= s.i AND (x.following IS NULL OR t.i < x.following) GROUP BY s.candidate, s.worker, s.ward, s.part)"""
 
 
-@query("""SELECT candidate, worker, ward, sum(serial) AS serials, count(*) AS n FROM (SELECT DISTINCT candidate, worker, ward, serial FROM marks) d GROUP BY candidate, worker, ward""")
+@query(f"WITH RECURSIVE {_MESSAGES} SELECT candidate, worker, ward, part, concat(body, ' ', left(sha256(body), {tally.SUM_CHARS})) AS text FROM bodies")
 def sms_encode(v):
-    """Messages packed and read back: what each worker's messages carry per ward; none is longer than allowed."""
-    sms = tally.encode_messages(v.marks)
-    whole = sms.withColumn("fits", F.assert_true(F.length("text") <= tally.MAX_CHARS))
-    read = tally.decode_messages(whole.filter("fits IS NULL"))
-    return read.select("candidate", "worker", "ward", F.explode("serials").alias("serial")).groupBy("candidate", "worker", "ward").agg(F.sum("serial").alias("serials"), F.count("*").alias("n"))
+    return tally.encode_messages(v.marks)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_MESSAGES} SELECT candidate, worker, CASE ward WHEN 1 THEN 'checksum' WHEN 2 THEN 'prefix' WHEN 3 THEN 'format' WHEN 4 THEN 'team' ELSE 'ok' END AS reason, count(*) AS messages,
+    CAST(sum(CASE WHEN ward BETWEEN 1 AND 4 THEN 0 ELSE n END) AS BIGINT) AS serials FROM bodies GROUP BY ALL""")
 def sms_decode(v):
-    """Messages decoded after every 17th lost its last character; tested against a plain reading."""
-    sms = tally.encode_messages(v.marks).withColumn("bad", F.pmod(F.xxhash64("text"), F.lit(17)) == 0)
-    sent = sms.withColumn("text", F.when(F.col("bad"), F.expr("substring(text, 1, length(text) - 1)")).otherwise(F.col("text")))
-    return tally.decode_messages(sent).groupBy("candidate", "worker", F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("messages"))
+    """Messages decoded after four wards' were damaged, each in its way."""
+    ward, text = F.col("ward"), F.col("text")
+    damaged = (
+        F.when(ward == 1, F.expr("substring(text, 1, length(text) - 1)"))
+        .when(ward == 2, F.replace(text, F.lit("PT1"), F.lit("PT2")))
+        .when(ward == 3, F.concat(text, F.lit(" 1")))
+        .otherwise(text)
+    )
+    team = F.when(ward == 4, F.concat(F.lit("x"), "candidate")).otherwise(F.col("candidate"))
+    read = tally.decode_messages(tally.encode_messages(v.marks).withColumns({"text": damaged, "team": team}), "team")
+    sent = F.coalesce(F.size("serials"), F.lit(0))
+    sent = F.when(F.col("serials").isNull(), 0).otherwise(sent)
+    return read.groupBy("candidate", "worker", F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("messages"), F.sum(sent).alias("serials"))

@@ -44,7 +44,8 @@ def add_workers(roster: DataFrame, names: DataFrame) -> DataFrame:
     """The roster after adding ``names`` (name): a name that it has already adds nobody."""
     new = names.select(X.strip_white(F.col("name")).alias("worker_name")).filter("worker_name <> ''").distinct()
     known = roster.select(X.strip_white(F.col("worker_name")).alias("worker_name"))
-    added = new.join(known, "worker_name", "left_anti").select(F.concat(F.lit("new-"), F.substring(F.sha2("worker_name", 256), 1, 8)).alias("worker_id"), "worker_name")
+    key = F.concat(F.lit("new-"), F.substring(F.sha2("worker_name", 256), 1, 8))
+    added = new.join(known, "worker_name", "left_anti").select(key.alias("worker_id"), "worker_name")
     return roster.select("worker_id", "worker_name").unionByName(added)
 
 

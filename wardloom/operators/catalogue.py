@@ -50,9 +50,9 @@ def grid_wards(cells: DataFrame, columns: GridColumns = GridColumns()) -> DataFr
 def read_catalogue(wards: DataFrame) -> DataFrame:
     """Usable panchayats with their wards once each, by number; a blank Hindi name falls back to the Latin one."""
     rows = wards.filter("final").dropDuplicates(["panchayat_id", "ward"])
-    return rows.groupBy("district_id", "panchayat_id").agg(
-        F.coalesce(F.max(F.when(X.has_devanagari(F.col("panchayat")), F.col("panchayat"))), F.max("panchayat")).alias("name"), F.array_join(F.sort_array(F.collect_list("ward")), ",").alias("wards")
-    )
+    hindi = F.max(F.when(X.has_devanagari(F.col("panchayat")), F.col("panchayat")))
+    listed = F.array_join(F.sort_array(F.collect_list("ward")), ",")
+    return rows.groupBy("district_id", "panchayat_id").agg(F.coalesce(hindi, F.max("panchayat")).alias("name"), listed.alias("wards"))
 
 
 def build_catalogue(districts: DataFrame, samitis: DataFrame, panchayats: DataFrame, grid: DataFrame) -> DataFrame:
@@ -103,14 +103,17 @@ def in_order(df: DataFrame, within: list[str], name: str, latin: str, key: str)
 def cover_fallbacks(samitis: DataFrame, readings: DataFrame) -> DataFrame:
     """Each samiti's name from its cover readings, else its own, with the reason."""
     rows = samitis.join(readings, "samiti_id", "left")
-    return rows.select("samiti_id", F.coalesce("cover", "samiti").alias("name"), F.when(F.col("readings").isNull(), "no cover").when(F.col("cover").isNull(), "unreadable").alias("reason"))
+    reason = F.when(F.col("readings").isNull(), "no cover").when(F.col("cover").isNull(), "unreadable")
+    return rows.select("samiti_id", F.coalesce("cover", "samiti").alias("name"), reason.alias("reason"))
 
 
 def majority_names(readings: DataFrame, key: str, name: str) -> DataFrame:
     """The commonest name per key, ties to the lower, and whether readings disagree."""
     counts = readings.groupBy(key, name).agg(F.count("*").alias("n"))
-    best = counts.groupBy(key).agg(F.min_by(name, F.struct(-F.col("n"), F.col(name))).alias("name"), (F.count("*") > 1).alias("disagree"), F.sum("n").alias("readings"))
-    return best
+    commonest = F.min_by(name, F.struct(-F.col("n"), F.col(name)))
+    return counts.groupBy(key).agg(
+        commonest.alias("name"), (F.count("*") > 1).alias("disagree"), F.sum("n").alias("readings")
+    )
 
 
 def summary(wards: DataFrame) -> DataFrame:
@@ -119,7 +122,11 @@ def summary(wards: DataFrame) -> DataFrame:
     return wards.groupBy(kind.alias("kind")).agg(
         F.count_distinct(F.when(kind != "rural", F.col("samiti_id"))).alias("skipped"),
         
-        F.count_distinct("district_id").alias("districts"), F.count_distinct("samiti_id").alias("samitis"), F.count_distinct("panchayat_id").alias("panchayats"), F.count("*").alias("wards"), F.count_if("supplement").alias("with_supplement")
+        F.count_distinct("district_id").alias("districts"),
+        F.count_distinct("samiti_id").alias("samitis"),
+        F.count_distinct("panchayat_id").alias("panchayats"),
+        F.count("*").alias("wards"),
+        F.count_if("supplement").alias("with_supplement"),
     )
 
 
@@ -127,13 +134,20 @@ def errors(panchayats: DataFrame, grid: DataFrame) -> DataFrame:
     """(panchayat_id, error, detail): one rule at a time."""
     number = F.col("ward_text").try_cast("int")
     ids = panchayats.select("panchayat_id").distinct()
+
+    def found(rows: DataFrame, error: str, detail: Column | str) -> DataFrame:
+        said = F.lit(detail) if isinstance(detail, str) else detail.cast("string")
+        return rows.select("panchayat_id", F.lit(error).alias("error"), said.alias("detail"))
+
+    each = grid.groupBy("panchayat_id")
+    repeats = grid.groupBy("panchayat_id", "ward_text").agg(F.count("*").alias("n")).filter("n > 1")
     rules = [
-        ids.join(grid, "panchayat_id", "left_anti").select("panchayat_id", F.lit("no grid").alias("error"), F.lit("").alias("detail")),
-        grid.groupBy("panchayat_id").agg(F.count_distinct("name").alias("n")).filter("n > 1").select("panchayat_id", F.lit("names disagree").alias("error"), F.col("n").cast("string").alias("detail")),
-        grid.filter(number.isNull() | (number < 1)).select("panchayat_id", F.lit("bad ward number").alias("error"), F.col("ward_text").alias("detail")),
-        grid.groupBy("panchayat_id", "ward_text").agg(F.count("*").alias("n")).filter("n > 1").select("panchayat_id", F.lit("repeated ward").alias("error"), F.col("ward_text").alias("detail")),
-        grid.filter(~F.col("final")).select("panchayat_id", F.lit("no link").alias("error"), F.col("ward_text").alias("detail")),
-        grid.groupBy("panchayat_id").agg(F.count("ward_text").alias("n")).filter("n = 0").select("panchayat_id", F.lit("zero wards").alias("error"), F.lit("").alias("detail")),
+        found(ids.join(grid, "panchayat_id", "left_anti"), "no grid", ""),
+        found(each.agg(F.count_distinct("name").alias("n")).filter("n > 1"), "names disagree", F.col("n")),
+        found(grid.filter(number.isNull() | (number < 1)), "bad ward number", F.col("ward_text")),
+        found(repeats, "repeated ward", F.col("ward_text")),
+        found(grid.filter(~F.col("final")), "no link", F.col("ward_text")),
+        found(each.agg(F.count("ward_text").alias("n")).filter("n = 0"), "zero wards", ""),
     ]
     out = rules[0]
     for r in rules[1:]:
@@ -143,7 +157,8 @@ def errors(panchayats: DataFrame, grid: DataFrame) -> DataFrame:
 
 def shard_names(districts: DataFrame, key: str, name: str) -> DataFrame:
     """File names: the slug, with the id where slugs repeat."""
-    rows = districts.withColumn("slug", X.slug(F.col(name))).withColumn("slug", F.when(F.col("slug") == "", F.concat(F.lit("district-"), F.col(key).cast("string"))).otherwise(F.col("slug")))
+    plain = F.concat(F.lit("district-"), F.col(key).cast("string"))
+    rows = districts.withColumn("slug", F.coalesce(F.nullif(X.slug(F.col(name)), F.lit("")), plain))
     twice = (F.count("*").over(Window.partitionBy("slug")) > 1) | (F.col("slug") == "index")
     return rows.select(key, F.concat("slug", F.when(twice, F.concat(F.lit("-"), F.col(key).cast("string"))).otherwise(F.lit("")), F.lit(".json")).alias("file"))
 
@@ -289,8 +304,13 @@ def roll_selection(picks: DataFrame) -> DataFrame:
     ``picks``: seat, district_id, samiti_id, panchayat_id, wards (array of ward and url).
     """
     one = picks.filter((F.col("seat") == "ward-panch") & (F.size("wards") == 1)).withColumn("w", F.col("wards")[0])
+    text = lambda c: F.col(c).cast("string")
     return one.filter("w.url IS NOT NULL").select(
-        F.col("district_id").cast("string").alias("district"), F.coalesce(F.col("samiti_id").cast("string"), F.lit("")).alias("samiti"), F.col("panchayat_id").cast("string").alias("panchayat"), F.col("w.ward").cast("string").alias("ward"), "w.url"
+        text("district_id").alias("district"),
+        F.coalesce(text("samiti_id"), F.lit("")).alias("samiti"),
+        text("panchayat_id").alias("panchayat"),
+        text("w.ward").alias("ward"),
+        "w.url",
     )
 
 

@@ -14,9 +14,11 @@ def compare(decoded: DataFrame, expected: DataFrame, fields: tuple[str, ...] = C
     e = expected.select("serial", F.lit(True).alias("__e"), *(F.col(f).cast("string").alias(f"e_{f}") for f in fields))
     both = d.join(e, "serial", "full_outer")
     one = F.when(F.col("__d").isNull(), "missing").when(F.col("__e").isNull(), "extra")
-    whole = both.filter(one.isNotNull()).select("serial", one.alias("field"), F.lit(None).cast("string").alias("decoded"), F.lit(None).cast("string").alias("expected"))
+    none = F.lit(None).cast("string")
+    whole = both.filter(one.isNotNull()).select("serial", one.alias("field"), none.alias("decoded"), none.alias("expected"))
     pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"d_{f}").alias("decoded"), F.col(f"e_{f}").alias("expected")) for f in fields))
-    differ = both.filter(one.isNull()).select("serial", F.explode(F.filter(pairs, lambda p: ~p["decoded"].eqNullSafe(p["expected"]))).alias("p")).select("serial", "p.*")
+    wrong = F.filter(pairs, lambda p: ~p["decoded"].eqNullSafe(p["expected"]))
+    differ = both.filter(one.isNull()).select("serial", F.explode(wrong).alias("p")).select("serial", "p.*")
     return whole.unionByName(differ)
 
 
@@ -25,7 +27,10 @@ def score(decoded: DataFrame, expected: DataFrame) -> DataFrame:
     wrong = compare(decoded, expected).filter("field <> 'extra'").select("serial").distinct().withColumn("wrong", F.lit(1))
     rows = expected.join(wrong, "serial", "left")
     percent = F.coalesce(F.round(100.0 * F.col("matched") / F.nullif(F.col("total"), F.lit(0)), 2), F.lit(0.0))
-    return rows.agg(F.count("*").alias("total"), F.count_if(F.col("wrong").isNull()).alias("matched"), F.count_if("struck").alias("struck")).withColumn("percent", percent)
+    counts = rows.agg(
+        F.count("*").alias("total"), F.count_if(F.col("wrong").isNull()).alias("matched"), F.count_if("struck").alias("struck")
+    )
+    return counts.withColumn("percent", percent)
 
 
 def asof_page(missing: DataFrame, decoded: DataFrame, ranges: int = 1000) -> DataFrame:
@@ -35,9 +40,9 @@ def asof_page(missing: DataFrame, decoded: DataFrame, ranges: int = 1000) -> Dat
     row per range, dealt by ranges of ranges in turn, and before those from a
     row for each of them: one in ``ranges`` squared serials.
     """
-    d = decoded.select("serial", "page").withColumns({"b": F.floor(F.col("serial") / ranges), "c": F.floor(F.col("serial") / ranges**2)})
-    ask = missing.select("serial", F.lit(None).cast("int").alias("page")).withColumns({"b": F.floor(F.col("serial") / ranges), "c": F.floor(F.col("serial") / ranges**2)})
-    both = d.withColumn("ask", F.lit(False)).unionByName(ask.withColumn("ask", F.lit(True)))
+    held = decoded.select("serial", "page", F.lit(False).alias("ask"))
+    both = held.unionByName(missing.select("serial", F.lit(None).cast("int").alias("page"), F.lit(True).alias("ask")))
+    both = both.withColumns({"b": F.floor(F.col("serial") / ranges), "c": F.floor(F.col("serial") / ranges**2)})
     past = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     tops = both.groupBy("c", "b").agg(F.max_by("page", F.when(~F.col("ask"), F.col("serial"))).alias("top"))
     near = tops.withColumn("before", F.last("top", ignorenulls=True).over(past(["c"], "b"))).select("c", "b", "before")

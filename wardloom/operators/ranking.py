@@ -24,7 +24,8 @@ def numbered(df: DataFrame, keys: list[str], order: str, out: str = "n", width:
     earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(earlier), F.lit(0))).drop("__size")
     here = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(order))
-    return rows.withColumn("__here", here).join(sizes, [*keys, "__range"]).withColumn(out, F.col("__before") + F.col("__here")).drop("__range", "__here", "__before")
+    placed = rows.withColumn("__here", here).join(sizes, [*keys, "__range"])
+    return placed.withColumn(out, F.col("__before") + F.col("__here")).drop("__range", "__here", "__before")
 
 
 def with_previous(df: DataFrame, keys: list[str], order: str, out: str = "before", width: int = WIDTH) -> DataFrame:

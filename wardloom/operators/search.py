@@ -111,7 +111,8 @@ def best_match(keyed: DataFrame, phonetic: str, code: str) -> DataFrame:
     for rank, (field, key) in enumerate(FIELDS):
         q = phonetic if key is X.phonetic_key else code
         if q:
-            found.append(F.when(tier(F.col(f"k_{field}"), q).isNotNull(), F.struct(tier(F.col(f"k_{field}"), q).alias("tier"), F.lit(rank).alias("rank"), F.lit(field).alias("field"))))
+            t = tier(F.col(f"k_{field}"), q)
+            found.append(F.when(t.isNotNull(), F.struct(t.alias("tier"), F.lit(rank).alias("rank"), F.lit(field).alias("field"))))
     if not found:
         return keyed.limit(0).withColumns({"tier": F.lit(0), "rank": F.lit(0), "field": F.lit("")})
     best = F.array_min(F.array_compact(F.array(*found)))

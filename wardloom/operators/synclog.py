@@ -161,8 +161,13 @@ def route_dump(dump: DataFrame) -> DataFrame:
     part = lambda k: F.regexp_extract("name", DUMP_NAME, k)
     kind = F.when(part(2) == "verifier", "verifiers").when(part(2) == "seq", "counters").when(part(3) != "", "records").when(part(4) != "", "marks")
     key = F.when(part(3) != "", part(3)).when(part(4) != "", part(4)).otherwise(part(2))
-    reason = F.when(kind.isNull(), "name").when((kind == "counters") & ~F.col("value").rlike("^[0-9]+$"), "counter").when((kind == "records") & F.get_json_object("value", "$.id").isNull(), "record")
-    return dump.select("name", F.nullif(part(1), F.lit("")).alias("candidate"), kind.alias("target"), F.when(kind.isNotNull(), key).alias("key"), reason.alias("reason"))
+    reason = (
+        F.when(kind.isNull(), "name")
+        .when((kind == "counters") & ~F.col("value").rlike("^[0-9]+$"), "counter")
+        .when((kind == "records") & F.get_json_object("value", "$.id").isNull(), "record")
+    )
+    candidate, key = F.nullif(part(1), F.lit("")), F.when(kind.isNotNull(), key)
+    return dump.select("name", candidate.alias("candidate"), kind.alias("target"), key.alias("key"), reason.alias("reason"))
 
 
 def dump_entries(dump: DataFrame, doc: str = "doc") -> DataFrame:

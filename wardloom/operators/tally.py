@@ -72,7 +72,8 @@ def encode_messages(marks: DataFrame) -> DataFrame:
         token = F.lower(F.conv(serial.cast("string"), 10, 36))
         longer = F.when(acc["open"] == "", token).otherwise(F.concat(acc["open"], F.lit("."), token))
         fits = F.length(longer) <= room
-        return F.struct(F.when(fits, acc["full"]).otherwise(F.concat(acc["full"], F.array(acc["open"]))).alias("full"), F.when(fits, longer).otherwise(token).alias("open"))
+        full = F.when(fits, acc["full"]).otherwise(F.concat(acc["full"], F.array(acc["open"])))
+        return F.struct(full.alias("full"), F.when(fits, longer).otherwise(token).alias("open"))
 
     packed = F.aggregate("serials", start, add, lambda acc: F.concat(acc["full"], F.array(acc["open"])))
     parts = rows.select("candidate", "worker", "ward", "header", F.posexplode(packed).alias("part", "tokens"))

@@ -54,6 +54,8 @@ PIVOTS = 4
 WORK = 20_000
 MAX_DEPTH = 6
 BRANCHES = 2
+#: A node's members meet what is known of the node in so many tasks.
+SALTS = 16
 #: Hashed tokens in a chunk of a large node; a block holds two chunks.
 BLOCK_BYTES = 8 << 20
 _NO_ID = -(1 << 63)
@@ -109,8 +111,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 roots.append(m[:TREES].view(np.int64))
                 sketches.append((m[TREES:] >> np.uint64(40)).astype(np.uint8).view(np.int64))
             s = np.stack(sketches) if sketches else np.empty((0, WORDS), np.int64)
+            columns = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(roots, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("th"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(roots, pa.list_(pa.int64())), *(pa.array(s[:, i]) for i in range(WORDS))],
+                [batch.column("doc_id"), batch.column("th"), *columns, *(pa.array(s[:, i]) for i in range(WORDS))],
                 names=["doc_id", "th", "n_shingles", "set_key", "roots", *_S],
             )
 
@@ -141,7 +144,8 @@ def texts_of(cids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) of classes whose full sets, from the texts ``found``, reach the threshold."""
-    both = pairs.join(found.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b").join(found.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
+    of = lambda side: found.select(F.col("cid").alias(side), F.col("text").alias(f"text_{side}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, tokens = None, None
@@ -173,7 +177,8 @@ def components(links: DataFrame) -> DataFrame:
         low = ways.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         edges = ways.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        edges = edges.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
+        two = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
+        edges = edges.join(low, "u").select(F.explode(two).alias("e")).select("e.*").filter("u <> v").distinct()
         edges = stored(edges, "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
         if now == before:
@@ -185,13 +190,22 @@ def _with_comp(classes: DataFrame, comp: DataFrame) -> DataFrame:
     return classes.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
 
 
+def _join_nodes(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members (node, cid, ...) with what is known of their node (a row each), however large one node is."""
+    salted = members.withColumn("__salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)))
+    every = nodes.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(every, ["node", "__salt"]).drop("__salt")
+
+
 def pivot_pairs(roots: DataFrame, classes: DataFrame) -> DataFrame:
     """Members of root nodes with their node's pivots, if their sketches are alike enough."""
     picks = [F.min_by("cid", F.xxhash64("cid", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)]
-    chosen = roots.groupBy("node").agg(F.count("*").alias("n"), *picks).filter("n > 1").select("node", F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("p"))
-    pairs = roots.join(chosen, "node").select("cid", F.explode("p").alias("p")).filter("cid <> p")
+    pivots = F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))
+    chosen = roots.groupBy("node").agg(F.count("*").alias("n"), *picks).filter("n > 1").select("node", pivots.alias("p"))
+    pairs = _join_nodes(roots, chosen).select("cid", F.explode("p").alias("p")).filter("cid <> p")
     pairs = pairs.select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct()
-    near = pairs.join(_prefixed(classes, "a_"), F.col("a") == F.col("a_cid")).join(_prefixed(classes, "b_"), (F.col("b") == F.col("b_cid")) & (alike("a_", "b_") >= ALIKE))
+    with_a = pairs.join(_prefixed(classes, "a_"), F.col("a") == F.col("a_cid"))
+    near = with_a.join(_prefixed(classes, "b_"), (F.col("b") == F.col("b_cid")) & (alike("a_", "b_") >= ALIKE))
     return near.select("a", "b")
 
 
@@ -211,27 +225,38 @@ def path_pairs(roots: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFra
     branching doesn't take apart.  A pair that meets in several root nodes is
     reported by the first.
     """
-    byte = lambda c: F.call_function("shiftrightunsigned", F.get(F.array(*_S), (c / 8).cast("int")), ((c % 8) * 8).cast("int")).bitwiseAND(F.lit(255))
+
+    def byte(c: Column) -> Column:
+        """Byte ``c`` of the sketch."""
+        word = F.get(F.array(*_S), (c / 8).cast("int"))
+        return F.call_function("shiftrightunsigned", word, ((c % 8) * 8).cast("int")).bitwiseAND(F.lit(255))
+
     fields = ["cid", "comp", "roots", *_S]
     level = roots.join(classes.select(*fields), "cid").select("node", "tree", F.lit(None).cast("long").alias("parent"), *fields)
     pairs = stuck = done = None
     for depth in range(MAX_DEPTH + 1):
         by_comp = level.groupBy("node", "comp").agg(F.count("*").alias("k"), F.max("parent").alias("parent"))
-        nodes = by_comp.groupBy("node").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("comp", F.struct("k", "comp")).alias("major"), F.count("*").alias("comps"), F.max("parent").alias("parent"))
+        nodes = by_comp.groupBy("node").agg(
+            F.sum("k").alias("n"),
+            F.max("k").alias("most"),
+            F.max_by("comp", F.struct("k", "comp")).alias("major"),
+            F.count("*").alias("comps"),
+            F.max("parent").alias("parent"),
+        )
         small = (F.col("n") - F.col("most")) * F.col("n") <= WORK
         whole = F.lit(depth == MAX_DEPTH) | (F.coalesce(2 * F.col("n") > F.col("parent"), F.lit(False)))
         nodes = nodes.filter("comps > 1").withColumn("kind", F.when(small, 0).when(whole, 1).otherwise(2))
-        level = stored(level.drop("parent").join(nodes.select("node", "n", "major", "kind"), "node"), "nodes")
+        level = stored(_join_nodes(level.drop("parent"), nodes.select("node", "n", "major", "kind")), "nodes")
         ready = level.filter("kind = 0")
         if depth == 0:
             done = stored(ready.groupBy("cid").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("tree"))).alias("done")), "done")
         ready = ready.join(done, "cid", "left").withColumn("done", F.coalesce("done", F.lit(0)))
         side = lambda df, p: df.select(*(F.col(c).alias(p + c) for c in ("node", "tree", "major", "done", *fields)))
-        met = side(ready.filter("comp <> major"), "a_").join(
-            side(ready, "b_"),
-            (F.col("a_node") == F.col("b_node")) & (F.col("a_comp") != F.col("b_comp")) & ((F.col("b_comp") == F.col("b_major")) | (F.col("a_cid") < F.col("b_cid")))
-            & (alike("a_", "b_") >= ALIKE) & ~_shared_before(F.col("a_tree") if depth == 0 else F.lit(TREES)),
-        ).select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b"))
+        once = (F.col("b_comp") == F.col("b_major")) | (F.col("a_cid") < F.col("b_cid"))
+        apart = (F.col("a_node") == F.col("b_node")) & (F.col("a_comp") != F.col("b_comp")) & once
+        new = ~_shared_before(F.col("a_tree") if depth == 0 else F.lit(TREES))
+        met = side(ready.filter("comp <> major"), "a_").join(side(ready, "b_"), apart & (alike("a_", "b_") >= ALIKE) & new)
+        met = met.select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b"))
         pairs = met if pairs is None else pairs.unionByName(met)
         kept = level.filter("kind = 1").select("node", "cid", "comp", "major")
         stuck = kept if stuck is None else stuck.unionByName(kept)
@@ -239,7 +264,8 @@ def path_pairs(roots: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFra
         if depth == MAX_DEPTH or rest.isEmpty():
             break
         branch = F.explode(F.array(*(F.pmod(F.xxhash64("node", F.lit(depth * BRANCHES + k)), F.lit(SKETCH)) for k in range(BRANCHES)))).alias("c")
-        level = rest.select("node", "tree", F.col("n").alias("parent"), *fields, branch).withColumn("node", F.xxhash64("node", "c", byte(F.col("c")))).select("node", "tree", "parent", *fields)
+        level = rest.select("node", "tree", F.col("n").alias("parent"), *fields, branch)
+        level = level.withColumn("node", F.xxhash64("node", "c", byte(F.col("c")))).select("node", "tree", "parent", *fields)
     return pairs.distinct(), stuck.distinct()
 
 
@@ -272,7 +298,7 @@ def block_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     sizes = rows.groupBy("node").agg(
         chunks(F.sum(size)).alias("chunks"), chunks(F.sum(F.when(F.col("asks"), size))).alias("ask_chunks"), F.max("asks").alias("any")
     )
-    rows = rows.join(sizes.filter("any").drop("any"), "node")
+    rows = _join_nodes(rows, sizes.filter("any").drop("any"))
     dealt = lambda n, seed: F.pmod(F.xxhash64("cid", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     kept = ["cid", "comp", "tokens"]
@@ -318,7 +344,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     links = stored(confirmed(tried, texts_of(ends(tried), classes, docs)), "links")
     known = stored(_with_comp(classes, components(links)), "components")
     nodes = roots.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node")
-    pairs, stuck = path_pairs(roots.join(nodes, "node"), known)
+    pairs, stuck = path_pairs(_join_nodes(roots, nodes), known)
     pairs, stuck = stored(pairs.join(tried, ["a", "b"], "left_anti"), "path-pairs"), stored(stuck, "large-nodes")
     texts = texts_of(ends(pairs).unionByName(stuck.select("cid")), classes, docs)
     more = stored(confirmed(pairs, texts).unionByName(block_links(stuck, texts)), "links")

@@ -63,7 +63,9 @@ def encode(enc, text: str, long: int = LONG) -> list[int]:
     return [i for part in safe_parts(text, long) for i in enc.encode_ordinary(part)]
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
+def encode_documents(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text", ids: bool = True, digests: bool = False
+) -> DataFrame:
     """Per row: the id column, n_tokens, and ``ids`` (array<int>) and/or digests of the ids and of their decoded bytes."""
     if id_col in ("text", "n_tokens", "ids", "ids_sha256", "decoded_sha256"):
         raise ValueError(f"the id column can't be named {id_col}")

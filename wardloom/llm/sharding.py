@@ -31,7 +31,6 @@ from hashlib import blake2b
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wardloom.llm.common import stored, table, text_of
 
@@ -93,7 +92,7 @@ def shard_rows(df: DataFrame, key: str, n_shards: int) -> DataFrame:
     rows = rows.join(F.broadcast(cut), "__arc").withColumn("__part", F.pmod("__row", F.col("__parts")).cast("int")).drop("__parts")
     counts = {(r[0], r[1]): r[2] for r in rows.groupBy("__arc", "__part").count().collect()}
     ranges = walk(counts, ring(n_shards), n_shards)
-    schema = T.StructType([T.StructField(n, t()) for n, t in (("__arc", T.IntegerType), ("__part", T.IntegerType), ("__lo", T.LongType), ("__hi", T.LongType), ("__shard", T.IntegerType), ("__slot", T.LongType))])
+    schema = "__arc int, __part int, __lo long, __hi long, __shard int, __slot long"
     ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__arc", "__part").orderBy("__h", "__row")).cast("long") - 1)
     given = F.broadcast(spark.createDataFrame(ranges, schema))  # a range per segment, and one more for each shard that fills up
     found = ranked.join(given, ["__arc", "__part"]).filter("__rank >= __lo AND __rank < __hi")

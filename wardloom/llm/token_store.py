@@ -119,7 +119,8 @@ def write_store(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id",
             f.write(b"".join(index))
         for end in ("bin", "idx"):
             files.move(f"{root}/_{own}.{end}", f"{root}/{no:06d}.{end}")
-        yield pa.RecordBatch.from_pydict({"no": [no], "n_docs": [n], "n_ids": [before]}, schema=pa.schema({"no": pa.int64(), "n_docs": pa.int64(), "n_ids": pa.int64()}))
+        names = ["no", "n_docs", "n_ids"]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (no, n, before)], names=names)
 
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = min(MAX_FILES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES)))

@@ -27,16 +27,16 @@ def line_fails(line):
 
 
 def brute_pipeline(spark, sf, docs):
-    """The texts by id after each of the first four stages; the classifier is trained on cleaned texts."""
-    now, out = {}, []
-    for r in docs.collect():
+    """The texts by id after each of the first four stages; the classifier is trained on kept texts as cleaned, rejected ones as they came."""
+    now, out, rows = {}, [], docs.collect()
+    for r in rows:
         n, chars, *_, repeats = counts(r["text"])
         clean = "\n".join(x for x in r["text"].split("\n") if not line_fails(x))
         lost = 1 - sum(map(len, WORD.findall(clean))) / chars if chars else 0
         if not (n < 50 or 100 * repeats > 50 * n) and lost <= 1 - RULES.min_kept_share:
             now[r["doc_id"]] = clean
     out.append(dict(now))
-    cleaned = spark.createDataFrame([(d, "\n".join(x for x in (t or "").split("\n") if not line_fails(x))) for d, t in docs.select("doc_id", "text").collect()], "doc_id long, text string")
+    cleaned = spark.createDataFrame([(r["doc_id"], now.get(r["doc_id"], r["text"])) for r in rows], "doc_id long, text string")
     model = quality_mil.train(cleaned, spark.read.parquet(f"{sf}/labels.parquet"))
     now = {d: t for d, t in now.items() if model.score(t) >= quality_mil.THRESHOLD}
     out.append(dict(now))

@@ -34,14 +34,18 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def _cleaned(docs: DataFrame) -> DataFrame:
-    """Texts as the first stage leaves them, of documents that it would reject too."""
-    return quality_rules.apply_quality_rules(docs).withColumn("text", F.col("clean_text"))
+    """Texts as the first stage leaves them; those of documents that it rejects as they came.
+
+    What the rules leave of a rejected document may read well, so its label says nothing of that.
+    """
+    judged = quality_rules.apply_quality_rules(docs)
+    return judged.withColumn("text", F.when(F.col("kept"), F.col("clean_text")).otherwise(F.col("text")))
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier rejects.
 
-    It is trained on the labelled rows of the whole table, cleaned like those it scores.
+    It is trained on the labelled rows of the whole table, cleaned like those it scores if the rules keep them.
     """
     model = quality_mil.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), prepare=_cleaned)
     scored = quality_mil.score_documents(docs, model, keep=tuple(_COLUMNS))

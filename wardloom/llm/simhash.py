@@ -33,8 +33,9 @@ BITS = 128
 BLOCKS = (22, 21, 21)  # bits of the blocks of each of the two words
 RADIUS = 17
 FLIPS = 2
-#: Bytes of text in a range of ids; ranges of ids at most (their bounds are literals of the plan).
-RANGE_BYTES, MAX_RANGES = 32 << 20, 8192
+#: Bytes of text for a task; ids in a range, and ranges at most (their bounds are literals of the plan).
+TASK_BYTES = 32 << 20
+RANGE_ROWS, MAX_RANGES = 1_000_000, 8192
 _NO_ID = -(1 << 63)
 _LOW = (1 << 32) - 1
 
@@ -111,10 +112,6 @@ def within_radius(queries: DataFrame, index: DataFrame) -> DataFrame:
     return pairs.select("q_hi", "q_lo", "hi", "lo", d.alias("distance"))
 
 
-def _ranges(size: int | None) -> int:
-    return max(1, min(MAX_RANGES, math.ceil((size or 0) / RANGE_BYTES)))
-
-
 def _bucket(bounds: list[int]) -> Column:
     """How many of the ascending bounds lie above ``__id``: first by groups of them, then inside a group."""
     width = max(1, math.isqrt(len(bounds)))
@@ -131,39 +128,55 @@ def _bucket(bounds: list[int]) -> Column:
     return (inside + rest).cast("int")
 
 
+def next_keys(keys: DataFrame, parts: int | None = None) -> DataFrame:
+    """Distinct (__id, __h, n) with ``next``: the key after it in descending order (after the last: the first).
+
+    Keys fall into ranges of about equal count; the first key of each range,
+    which follows the last one of the range before, is found by an aggregate.
+    """
+    parts = parts or max(1, min(MAX_RANGES, math.ceil(keys.count() / RANGE_ROWS)))
+    at = [i / parts for i in range(1, parts)]
+    bounds = sorted(set(keys.agg(F.percentile_approx("__id", at, max(10_000, 10 * parts))).first()[0] or [])) if at else []
+    rows = keys.withColumn("bucket", _bucket(bounds))  # 0 holds the largest ids
+    tops = sorted(rows.groupBy("bucket").agg(F.max(F.struct("__id", "__h")).alias("m")).collect())  # a row per range
+    after = [(b, tuple(tops[(i + 1) % len(tops)]["m"])) for i, (b, _) in enumerate(tops)]
+    known = keys.sparkSession.createDataFrame(after, "bucket int, __after struct<__id:bigint,__h:bigint>")
+    order = Window.partitionBy("bucket").orderBy(F.desc("__id"), F.desc("__h"))
+    rows = rows.withColumn("next", F.lead(F.struct("__id", "__h")).over(order)).join(F.broadcast(known), "bucket")
+    return rows.select("__id", "__h", "n", F.coalesce("next", "__after").alias("next"))
+
+
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Each row with the text of the next one in descending id order (after the last: the first).
+    """Each row with as much of the next one's text, in descending id order, as a third of its own.
 
-    Returns bucket, place, guest, doc_id, text and next_text, dealt by bucket.
-    Ids fall into ranges of about equal size, as many as the texts' bytes ask
-    for; the first row of each range visits the range before it as a guest, so
-    that one shuffle of the texts does.
+    Returns __id, __h (hash of the text), nth (from 1, among rows alike), doc_id,
+    text, next (key of the next row) and following.  Texts are dealt by key
+    once; of the next text only the part that is wanted moves.
     """
     rows = docs.select("doc_id", text_of().alias("text")).withColumns(
         {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "__h": F.xxhash64("text")}
     )
-    ids = rows.select("__id", "__h")
-    parts = parts or _ranges(rows.agg(F.sum(F.octet_length("text"))).first()[0])
-    at = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(ids.agg(F.percentile_approx("__id", at, max(10_000, 10 * parts))).first()[0] or [])) if at else []
-    bucket = _bucket(bounds)  # 0 holds the largest ids
-    rows = rows.withColumn("bucket", bucket)
-    found = ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.max(F.struct("__id", "__h")).alias("m"))
-    firsts = {}  # of each range: its first row's id and hash, and the range before it
-    tops = sorted(found.collect())  # a row per range
-    for i, (b, top) in enumerate(tops):
-        firsts[b] = (top["__id"], top["__h"], tops[i - 1]["bucket"])
-    known = docs.sparkSession.createDataFrame(
-        [(b, *x) for b, x in firsts.items()], "bucket int, __first long, __first_h long, __before int"
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
+    keys = stored(rows.select("__id", "__h", F.length("text").alias("n")).distinct(), "document-keys")
+    pairs = next_keys(keys, parts)
+    alike = Window.partitionBy("__id", "__h").orderBy("__id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dealt = rows.repartition(n, "__id", "__h").withColumn("nth", F.count("*").over(alike))
+    wanted = pairs.select("next.*", F.struct("__id", "__h").alias("asks"), F.floor(F.col("n") / 3).cast("int").alias("k"))
+    first = dealt.filter("nth = 1").join(wanted, ["__id", "__h"])
+    heads = first.select("asks.*", F.col("doc_id").alias("next_doc_id"), F.substring("text", F.lit(1), F.col("k")).alias("head"))
+    both = dealt.join(pairs.select("__id", "__h", "next"), ["__id", "__h"]).join(heads, ["__id", "__h"])
+    again = F.col("nth") > 1  # a row like the one before, which is its next
+    return both.select(
+        "__id",
+        "__h",
+        "nth",
+        "doc_id",
+        "text",
+        F.when(again, F.struct("__id", "__h")).otherwise(F.col("next")).alias("next"),
+        F.when(again, F.col("doc_id")).otherwise(F.col("next_doc_id")).alias("next_doc_id"),
+        F.when(again, F.col("text")).otherwise(F.col("head")).alias("following"),
     )
-    rows = rows.join(F.broadcast(known), "bucket")  # MAX_RANGES rows at most
-    visits = F.when((F.col("__id") == F.col("__first")) & (F.col("__h") == F.col("__first_h")), F.col("__before"))
-    own = F.struct(F.col("bucket"), F.lit(False).alias("guest"))
-    guest = F.when(visits.isNotNull(), F.struct(visits.alias("bucket"), F.lit(True).alias("guest")))
-    dealt = rows.select("doc_id", "text", "__id", "__h", F.explode(F.array_compact(F.array(own, guest))).alias("b"))
-    dealt = dealt.select("doc_id", "text", "__id", "__h", "b.bucket", "b.guest").repartition(parts, "bucket")
-    order = Window.partitionBy("bucket").orderBy("guest", F.desc("__id"), F.desc("__h"))
-    return dealt.withColumns({"next_text": F.lead("text").over(order), "place": F.row_number().over(order)}).drop("__id", "__h")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -174,23 +187,22 @@ def edited(text: Column, following: Column) -> Column:
 
 def fingerprint_documents(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """One row per document: fingerprints of its text and of its edited text, and of the next document's text."""
-    near = with_next(docs, parts).withColumn("edited", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
-    keys = ["bucket", "place", "guest", "doc_id", "n_chars", "edited_sha256"]
-    plain = F.struct(F.lit(0).alias("kind"), F.col("text").alias("text"))
-    changed = F.struct(F.lit(1).alias("kind"), F.when(~F.col("guest"), F.col("edited")).alias("text"))
+    near = with_next(docs, parts).withColumn("edited", edited(F.col("text"), F.col("following")))
+    keys = ["__id", "__h", "nth", "next", "doc_id", "next_doc_id", "n_chars", "edited_sha256"]
+    texts = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("text")) for k, c in enumerate(("text", "edited"))))
     both = near.select(
-        "bucket", "place", "guest", "doc_id",
+        "__id", "__h", "nth", "next", "doc_id", "next_doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        F.explode(F.array(plain, changed)).alias("t"),
+        F.explode(texts).alias("t"),
     )
-    terms = both.select(*keys, "t.kind", F.explode_outer(weighted_terms(F.coalesce("t.text", F.lit("")))).alias("term"))
+    terms = both.select(*keys, "t.kind", F.explode_outer(weighted_terms(F.col("t.text"))).alias("term"))
     prints = fingerprints(terms, [*keys, "kind"])
     pick = lambda c, k: F.max(F.when(F.col("kind") == k, F.col(c)))
     wide = prints.groupBy(*keys).agg(*(pick(c, k).alias(f"{p}{c}") for k, p in ((0, ""), (1, "e_")) for c in ("hi", "lo")))
-    order = Window.partitionBy("bucket").orderBy("place")
-    wide = wide.withColumns({f"n_{c}": F.lead(c).over(order) for c in ("hi", "lo")})
-    return wide.filter(~F.col("guest")).drop("guest", "place", "bucket")
+    wide = stored(wide, "fingerprints")
+    following = wide.filter("nth = 1").select(F.struct("__id", "__h").alias("next"), F.col("hi").alias("n_hi"), F.col("lo").alias("n_lo"))
+    return wide.join(following, "next").drop("__id", "__h", "nth", "next")
 
 
 def _hex(hi: str, lo: str) -> Column:
@@ -199,9 +211,10 @@ def _hex(hi: str, lo: str) -> Column:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents; ids divisible by 50 also ask the block tables how many lie within RADIUS."""
-    docs = stored(fingerprint_documents(table(spark, sf_dir, "documents")), "fingerprints")
+    docs = fingerprint_documents(table(spark, sf_dir, "documents"))
     asks = F.coalesce(F.pmod("doc_id", F.lit(50)) == 0, F.lit(False))
-    classes = stored(docs.groupBy("hi", "lo").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.max(asks).alias("asks")), "fingerprint-classes")
+    alike = docs.groupBy("hi", "lo").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.max(asks).alias("asks"))
+    classes = stored(alike, "fingerprint-classes")
     met = within_radius(classes.filter("asks"), classes.select("hi", "lo"))
     around = (
         met.join(classes.select("hi", "lo", "copies"), ["hi", "lo"])

@@ -35,7 +35,7 @@ RADIUS = 17
 FLIPS = 2
 #: Bytes of text for a task; ids in a range, and ranges at most (their bounds are literals of the plan).
 TASK_BYTES = 32 << 20
-RANGE_ROWS, MAX_RANGES = 1_000_000, 8192
+RANGE_ROWS, MAX_RANGES = 50_000, 8192
 _NO_ID = -(1 << 63)
 _LOW = (1 << 32) - 1
 

@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 
 from wardloom.plans import registry
 
+#: Python workers import the package too, wherever this is started from.
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [os.path.dirname(os.path.abspath(__file__)), os.environ.get("PYTHONPATH")]))
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 #: Each query with the rows that it works through, for rows a second.

@@ -100,7 +100,7 @@ class State:
     def write(self, rows: DataFrame, batch: int) -> None:
         """``rows`` (with bucket) become the state of their buckets; versions that no run can need are deleted."""
         spark = rows.sparkSession
-        _write(rows, self.path, batch, "bucket")
+        _write(rows.repartition("bucket"), self.path, batch, "bucket")
         for b, versions in self._versions(spark).items():
             needed = max((v for v in versions if v < batch), default=batch)
             for v in versions:

@@ -421,7 +421,7 @@ _NEWEST = f"SELECT candidate, id, epoch_us(max(updated_at)) // 1000 AS ms FROM s
 @query(_NEWEST)
 def stream_latest(v):
     root, stream = _logged(v, "latest")
-    _finish(jobs.run(stream, [jobs.latest_handler(f"{root}/table")], f"{root}/checkpoint"))
+    _finish(jobs.run(stream, [jobs.latest_handler(f"{root}/table", buckets=2)], f"{root}/checkpoint"))
     return synclog.latest(jobs.stored(v.spark, f"{root}/table")).select("candidate", "id", F.unix_millis("updated_at").alias("ms"))
 
 
@@ -438,7 +438,7 @@ def stream_ward_counts(v):
 def stream_contacts(v):
     """Voters whose newest contact record isn't a revocation."""
     root, stream = _logged(v, "contacts")
-    _finish(jobs.run(stream.filter("id LIKE 'contact:%'"), [jobs.latest_handler(f"{root}/table")], f"{root}/checkpoint"))
+    _finish(jobs.run(stream.filter("id LIKE 'contact:%'"), [jobs.latest_handler(f"{root}/table", buckets=2)], f"{root}/checkpoint"))
     return jobs.live_contacts(v.spark, f"{root}/table").select("candidate", "ward", "serial", "phone")
 
 

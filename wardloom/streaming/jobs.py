@@ -160,9 +160,9 @@ def push_handler(path: str) -> Handler:
     return handle
 
 
-def latest_handler(path: str) -> Handler:
+def latest_handler(path: str, buckets: int = 16) -> Handler:
     """Emits records that are strictly newer than anything before for their id; ``<path>-state`` holds the newest time per id."""
-    state = State(f"{path}-state", synclog.ID, "candidate string, id string, updated_at timestamp")
+    state = State(f"{path}-state", synclog.ID, "candidate string, id string, updated_at timestamp", buckets)
 
     def handle(rows: DataFrame, batch: int) -> None:
         rows = _sound(rows, path, batch)

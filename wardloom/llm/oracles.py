@@ -1,4 +1,4 @@
-"""SQL for DuckDB that says what the queries of operators 1, 3, 5 and 6 return."""
+"""SQL for DuckDB that says what the queries of operators 1, 3, 5, 6 and 12 return."""
 
 from __future__ import annotations
 
@@ -98,3 +98,71 @@ def line_dedup() -> str:
     gone AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS no FROM later),
     m AS (SELECT l.*, g.no IS NOT NULL AS gone, trim(line, {edges}) <> '' AS filled FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.no = g.no)
     SELECT doc_id, CAST(sum(CASE WHEN filled THEN 1 ELSE 0 END) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN filled AND gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '') AS text FROM m GROUP BY doc_id"""
+
+
+def dialogue_repair() -> str:
+    """The search is a recursion over rows that keeps the best (cost, letters) of each state; crc32 is folded bit by bit."""
+    return r"""
+    WITH RECURSIVE raw AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations
+    ), hashed AS (
+      SELECT *, xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(name, ''),
+          lambda x: [ascii(x)::UBIGINT, 256::UBIGINT, 256::UBIGINT, 256::UBIGINT, 256::UBIGINT, 256::UBIGINT, 256::UBIGINT, 256::UBIGINT, 256::UBIGINT]))),
+        lambda c, e: CASE WHEN e < 256 THEN xor(c, e) ELSE xor(c >> 1, (c & 1::UBIGINT) * 3988292384::UBIGINT) END), 4294967295::UBIGINT) % 20 AS kind
+      FROM raw
+    ), damaged AS (
+      SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+      FROM hashed, (VALUES (1), (2)) AS c(copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)
+    ), numbered AS (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+             left(role, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM damaged
+    ), flagged AS (
+      SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+             lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM numbered
+    ), rws AS (
+      SELECT *, NOT blank AND NOT again AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM flagged
+    ), inserts(s, t, ins) AS (
+      VALUES (0, 0, ''), (1, 1, ''), (2, 2, ''), (3, 3, ''), (0, 2, 'I'), (1, 2, 'I'), (2, 3, 'I'), (3, 2, 'I'), (0, 3, 'II'), (1, 3, 'II')
+    ), edits(t, initial, letter, u, price) AS (
+      VALUES (0, 's', 'K', 1, 0), (0, 'u', 'K', 2, 0), (1, 'u', 'K', 2, 0), (3, 'u', 'K', 2, 0), (2, 'a', 'K', 3, 0),
+             (0, NULL, 'R', 2, 3), (1, NULL, 'R', 2, 3), (3, NULL, 'R', 2, 3), (2, NULL, 'R', 3, 3),
+             (0, NULL, 'D', 0, 4), (1, NULL, 'D', 1, 4), (2, NULL, 'D', 2, 4), (3, NULL, 'D', 3, 4)
+    ), steps AS (
+      SELECT s, initial, ins || letter AS letters, letter, u, price + 3 * length(ins) AS price FROM inserts JOIN edits USING (t)
+    ), best(conv_id, i, s, p) AS (
+      SELECT DISTINCT conv_id, 0::BIGINT, 0, {'cost': 0, 'audit': ''} FROM rws
+      UNION ALL
+      SELECT b.conv_id, b.i + 1, e.u, min({'cost': b.p.cost + e.price + CASE WHEN r.cut AND e.letter <> 'D' THEN 3 ELSE 0 END, 'audit': b.p.audit || e.letters})
+      FROM best b JOIN rws r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i + 1
+      JOIN steps e ON e.s = b.s AND (e.letter = 'D' OR NOT (r.blank OR r.again)) AND (e.initial IS NULL OR e.initial = r.initial)
+      GROUP BY 1, 2, 3
+    ), stats AS (
+      SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+             count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (cut) AS truncated,
+             count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rws GROUP BY 1
+    ), final AS (
+      SELECT st.conv_id, min({'cost': b.p.cost + 3 * length(x.ins), 'audit': b.p.audit || x.ins}) AS p
+      FROM stats st JOIN best b ON b.conv_id IS NOT DISTINCT FROM st.conv_id AND b.i = st.n JOIN inserts x ON x.s = b.s AND x.t IN (0, 3) GROUP BY 1
+    ), letters AS (
+      SELECT conv_id, k, p.audit[k] AS letter FROM final, LATERAL (SELECT unnest(generate_series(1, length(p.audit))) AS k)
+    ), placed AS (
+      SELECT conv_id, k, letter, count(*) FILTER (letter <> 'I') OVER w AS i, count(*) FILTER (letter <> 'D') OVER w AS place
+      FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING)
+    ), lines AS (
+      SELECT p.conv_id, p.place, p.letter, CASE WHEN p.letter = 'K' THEN r.role END AS role, CASE WHEN p.letter = 'I' THEN '' ELSE r.text END AS text
+      FROM placed p LEFT JOIN rws r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i WHERE p.letter <> 'D'
+    ), roles AS (
+      SELECT *, max(CASE WHEN place = 1 AND left(role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS shift FROM lines
+    ), digests AS (
+      SELECT conv_id, sha256(string_agg(coalesce(role, CASE WHEN (place - shift) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY place)) AS digest
+      FROM roles GROUP BY 1
+    )
+    SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+           coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(f.p.cost, 0)::BIGINT AS cost,
+           coalesce(f.p.audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c
+    LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+    LEFT JOIN final f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+    LEFT JOIN digests d ON d.conv_id IS NOT DISTINCT FROM c.conv_id"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardloom.llm import bpe, chat, near_dedup, oracles, packing, quality_mil, sharding, simhash, token_store
+from wardloom.llm import bpe, chat, dialogue_repair, near_dedup, oracles, packing, quality_mil, runs, sharding, simhash, token_store, toxicity
 from wardloom.llm.common import table
 from wardloom.llm.line_dedup import dedup_lines
 from wardloom.llm.quality_rules import apply_quality_rules
@@ -32,11 +32,13 @@ def queries() -> dict[str, Query]:
         "op4_packing": packing.query,
         "op5_chat": chat.query,
         "op6_line_dedup": op6_line_dedup,
-        "op6_passage_dedup": op6_line_dedup,  # its name from when passages weren't in operator 6 itself
         "op7_token_store": token_store.query,
         "op8_bpe": bpe.query,
         "op9_sharding": sharding.query,
         "op10_quality_mil": quality_mil.query,
+        "op11_runs": runs.query,
+        "op12_dialogue_repair": dialogue_repair.query,
+        "op13_toxicity": toxicity.query,
     }
 
 
@@ -47,5 +49,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_near_dedup": oracles.near_components(),
         "op5_chat": oracles.chat_windows(),
         "op6_line_dedup": oracles.line_dedup(),
-        "op6_passage_dedup": oracles.line_dedup(),
+        "op12_dialogue_repair": oracles.dialogue_repair(),
     }

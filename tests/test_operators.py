@@ -175,16 +175,35 @@ def test_records_are_read_from_their_payload(spark):
 
 def test_validity_wants_a_sealed_payload(spark):
     rows = [("a", 1, "c", "i", True), ("", 1, "c", "i", False), ("a" * 201, 1, "c", "i", False), ("a", None, "c", "i", False), ("a", 1, "", "i", False), ("a", 1, "c", None, False), (None, 1, "c", "i", False)]
-    df = spark.createDataFrame(rows, "id string, updated_at int, ciphertext string, iv string, want boolean")
+    rows = [("t", *r) for r in rows] + [(None, "a", 1, "c", "i", False), ("", "a", 1, "c", "i", False)]
+    df = spark.createDataFrame(rows, "candidate string, id string, updated_at int, ciphertext string, iv string, want boolean")
     assert all(r["v"] == r["want"] for r in df.withColumn("v", synclog.valid_record()).collect())
 
 
 def test_newer_among_mixed_times(spark):
-    rows = [("2", "10", False), ("10", "2", True), ("b", "a", True), ("2024-01-01T00:00:00Z", "1704067199999", True), ("1704067200000", "2024-01-01T00:00:00Z", False), ("x", "5", False), (None, "5", False)]
-    got = spark.createDataFrame(rows, "a string, b string, want boolean").withColumn("n", synclog.is_newer(F.col("a"), F.col("b"))).collect()
+    rows = [
+        ("2", "10", False), ("10", "2", True), ('"b"', '"a"', True), ('"2"', '"10"', True), ('"2024-01-01T00:00:00Z"', "1704067199999", True),
+        ("1704067200000", '"2024-01-01T00:00:00Z"', False), ('"x"', "5", False), (None, "5", False), ("1.5", "1", True), ("true", "1", False),
+    ]
+    df = spark.createDataFrame(rows, "a string, b string, want boolean")
+    got = df.withColumn("n", synclog.is_newer(F.parse_json("a"), F.parse_json("b"))).collect()
     assert all(r["n"] == r["want"] for r in got)
 
 
+def test_mixed_times_are_folded_in_order_of_arrival(spark):
+    """Over mixed types 'newer' runs in circles: a text beats a text that beats a number that beats the first text."""
+    circle = ['"2024-01-01T05:30:00+05:30"', "1704067200500", '"2024-01-01T00:00:01Z"']  # 00:00:00, 00:00:00.5, 00:00:01; as texts the first is greatest
+    rows = [("t", "a", n, t) for n, t in enumerate(circle)] + [("t", "b", n, t) for n, t in enumerate(reversed(circle))]
+    rows += [("t", "c", n, t) for n, t in enumerate([circle[0], circle[2]])] + [("t", "n", n, str(t)) for n, t in enumerate([5, 9, 9, 7])]
+    rows += [("t", "bad", 1, '"soon"'), ("t", "bad", 2, "true"), ("t", "half", 1, '"soon"'), ("t", "half", 2, "3")]
+    df = spark.createDataFrame(rows, "candidate string, id string, seq long, t string").select("candidate", "id", "seq", F.parse_json("t").alias("updated_at"))
+    got = {r["id"]: r["seq"] for r in synclog.latest_mixed(df.repartition(5)).collect()}
+    assert got == {"a": 2, "b": 2, "c": 0, "n": 1, "half": 2}
+    state = df.filter("id IN ('a', 'n')").filter("seq = 1")
+    newer = {r["id"]: r["seq"] for r in synclog.newer_than(df, state, df.limit(0)).collect()}
+    assert newer == {"a": 2, "b": 2, "c": 0, "half": 2}
+
+
 def test_pages_and_arrays(spark):
     log = spark.range(30).select(F.lit("t").alias("candidate"), F.col("id").alias("seq"))
     assert {(r["seq"], r["more"]) for r in synclog.page(log, "t", 24, 5).collect()} == {(s, False) for s in range(25, 30)}

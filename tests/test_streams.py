@@ -1,5 +1,6 @@
 """Streams give the batch answer, also when a batch runs twice."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from wardloom.operators import synclog, tally
@@ -17,21 +18,32 @@ def log(spark, n=300):
     return rows.withColumn("data", F.concat(F.lit('{"wardId":"'), part[1], F.lit('"'), number))
 
 
-def test_append_and_latest_equal_batch_and_survive_a_replay(spark, tmp_path):
+def start(stream, handlers, checkpoint):
+    jobs.run(stream, handlers, str(checkpoint)).awaitTermination()
+
+
+def test_streams_equal_batch_and_survive_a_replay(spark, tmp_path):
     rows = log(spark).cache()
     rows.repartitionByRange(5, "seq").write.parquet(str(tmp_path / "log"))
-    tables = [str(tmp_path / "append"), str(tmp_path / "latest")]
-    pushed, counts = str(tmp_path / "push"), str(tmp_path / "counts")
-    handlers = [jobs.append_handler(tables[0]), jobs.latest_handler(tables[1]), jobs.push_handler(pushed), jobs.count_handler(counts)]
-    seen = []
-    jobs.run(jobs.log_stream(spark, str(tmp_path / "log")), [*handlers, lambda df, b: seen.append((b, [tuple(r) for r in df.collect()]))], str(tmp_path / "cp")).awaitTermination()
-    assert len(seen) == 5
+    stream = lambda: jobs.log_stream(spark, str(tmp_path / "log"))
+    path = lambda name: str(tmp_path / name)
+    seen = {}
+    made = {
+        "append": (jobs.append_once, jobs.table(path("append"))),
+        "latest": (jobs.newest, jobs.table(path("latest"))),
+        "push": (jobs.append_once, jobs.numbered_table(path("push"))),
+        "counts": (jobs.ward_counts, jobs.keyed_table(path("counts"), "candidate", "ward")),
+    }
+    for name, (job, sink) in made.items():
+        keep = lambda df, b, name=name: seen.setdefault(name, []).append((b, df.schema, [tuple(r) for r in df.collect()]))
+        start(job(stream()), [sink, keep], tmp_path / f"cp-{name}")
+        assert len(seen[name]) == 5
 
     def answers():
-        append = jobs.stored(spark, tables[0]).groupBy("candidate", "id").count().collect()
-        latest = synclog.latest(jobs.stored(spark, tables[1])).select("candidate", "id", "updated_at").collect()
-        numbers = sorted(map(tuple, jobs.stored(spark, pushed).select("candidate", "seq", "id").collect()))
-        voters = sorted(map(tuple, jobs.live_counts(spark, counts).collect()))
+        append = jobs.stored(spark, path("append")).groupBy("candidate", "id").count().collect()
+        latest = synclog.latest(jobs.stored(spark, path("latest"))).select("candidate", "id", "updated_at").collect()
+        numbers = sorted(map(tuple, jobs.stored(spark, path("push")).select("candidate", "seq", "id").collect()))
+        voters = sorted(map(tuple, jobs.live_counts(spark, path("counts")).collect()))
         return sorted(map(tuple, append)), sorted(map(tuple, latest)), numbers, voters
 
     first = answers()
@@ -44,73 +56,158 @@ def test_append_and_latest_equal_batch_and_survive_a_replay(spark, tmp_path):
         assert mine == list(range(1, len(mine) + 1))
     voters = synclog.mark_records(rows).select("candidate", "ward", "serial").distinct().groupBy("candidate", "ward").count()
     assert first[3] == sorted(map(tuple, voters.collect()))
-    batch, again = seen[-1]
-    for h in handlers:
-        h(spark.createDataFrame(again, jobs.LOG_SCHEMA), batch)
+    # each record is emitted once, and never one that isn't newer
+    emitted = [(r[0], r[2], r[3]) for _, _, batch in seen["latest"] for r in batch]
+    newest = {}
+    for c, i, t in emitted:
+        assert (c, i) not in newest or t > newest[c, i]
+        newest[c, i] = t
+    for name, (_, sink) in made.items():  # the last batch once more, as after a crash
+        batch, schema, again = seen[name][-1]
+        sink(spark.createDataFrame(again, schema), batch)
     assert answers() == first
+    start(jobs.newest(stream()), [lambda df, b: seen.setdefault("more", []).append(b)], tmp_path / "cp-latest")
+    assert "more" not in seen  # a run that resumes finds nothing
 
 
-def test_one_failing_handler_leaves_the_others(spark, tmp_path):
-    import pytest
+def test_a_batch_writes_its_own_keys_alone(spark, tmp_path):
+    """Equal batches of new ids: what the checkpoint's state and the table grow by doesn't grow with the ids that were there."""
+    import os
+
+    def size(folder, ends):
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names if f.endswith(ends))
+
+    spark.range(24 * 400).repartitionByRange(24, "id").select(
+        F.lit("t").alias("candidate"), F.col("id").alias("seq"), F.concat(F.lit("note:"), F.format_string("%09d", "id")).alias("id"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("updated_at"), F.lit(1).cast("long").alias("device"), F.lit("c").alias("ciphertext"), F.lit("i").alias("iv"), F.lit(None).cast("string").alias("data"),
+    ).write.parquet(str(tmp_path / "log"))
+    grown, sizes = [], []
+    stream = jobs.newest(jobs.log_stream(spark, str(tmp_path / "log")))
+
+    def measure(df, batch):
+        sizes.append(size(str(tmp_path / "cp" / "state"), ".changelog") + size(str(tmp_path / "table"), ".parquet"))
+
+    assert jobs.pull(stream, [jobs.table(str(tmp_path / "table")), measure], str(tmp_path / "cp")) == 24
+    grown = [b - a for a, b in zip(sizes, sizes[1:])]
+    assert abs(grown[20] - grown[5]) < 0.2 * grown[5] and grown[5] > 0, grown
+
+
+def test_counts_hold_a_row_for_each_ward(spark, tmp_path):
+    log(spark, 600).repartitionByRange(6, "seq").write.parquet(str(tmp_path / "log"))
+    jobs.pull(jobs.ward_counts(jobs.log_stream(spark, str(tmp_path / "log"))), [jobs.keyed_table(str(tmp_path / "c"), "candidate", "ward")], str(tmp_path / "cp"))
+    raw = spark.read.parquet(str(tmp_path / "c"))
+    assert raw.count() == raw.select("candidate", "ward").distinct().count() == 2
 
+
+def test_a_run_takes_so_many_pages(spark, tmp_path):
+    log(spark, 70).repartitionByRange(7, "seq").write.parquet(str(tmp_path / "log"))
+    table = str(tmp_path / "t")
+    stream = jobs.append_once(jobs.log_stream(spark, str(tmp_path / "log")))
+    assert [jobs.pull(stream, [jobs.table(table)], str(tmp_path / "cp"), pages=3) for _ in range(4)] == [3, 3, 1, 0]
+    assert jobs.stored(spark, table).filter("id NOT LIKE 'mark:%'").count() == log(spark, 70).filter("id NOT LIKE 'mark:%'").count()
+
+
+def test_counters_have_two_versions(spark, tmp_path):
+    log(spark, 90).filter("id NOT LIKE 'mark:%'").repartitionByRange(6, "seq").write.parquet(str(tmp_path / "log"))
+    start(jobs.append_once(jobs.log_stream(spark, str(tmp_path / "log"))), [jobs.numbered_table(str(tmp_path / "p"))], tmp_path / "cp")
+    assert len(list((tmp_path / "p-counters").glob("batch=*"))) == 2
+    assert jobs.stored(spark, str(tmp_path / "p")).groupBy("candidate").agg(F.max("seq") - F.count("*")).collect() == [("t0", 0), ("t1", 0)]
+
+
+def test_one_failing_handler_leaves_the_others(spark, tmp_path):
     log(spark, 20).write.parquet(str(tmp_path / "log"))
 
     def fails(df, batch):
         raise RuntimeError("no")
 
-    q = jobs.run(jobs.log_stream(spark, str(tmp_path / "log")), [fails, jobs.append_handler(str(tmp_path / "t"))], str(tmp_path / "cp"))
+    stream = jobs.append_once(jobs.log_stream(spark, str(tmp_path / "log")))
+    q = jobs.run(stream, [fails, jobs.table(str(tmp_path / "t"))], str(tmp_path / "cp"))
     with pytest.raises(Exception, match="no"):
         q.awaitTermination()
     assert jobs.stored(spark, str(tmp_path / "t")).count() > 0
 
 
 def test_malformed_records_are_kept_apart(spark, tmp_path):
-    bad = [("t", 900, None, None, 1, "c", "i", None), ("t", 901, "mark:1:1", None, 1, "c", "i", None), ("t", 902, "x" * 201, None, 1, "c", "i", None), (None, 903, "note", None, 1, "", "i", None)]
-    rows = log(spark, 20).unionByName(spark.createDataFrame(bad, jobs.LOG_SCHEMA))
-    rows.repartition(1).write.parquet(str(tmp_path / "log"))
-    table = str(tmp_path / "t")
-    jobs.run(jobs.log_stream(spark, str(tmp_path / "log")), [jobs.append_handler(table), jobs.latest_handler(f"{table}-latest")], str(tmp_path / "cp")).awaitTermination()
-    assert {r["seq"] for r in jobs.stored(spark, f"{table}-rejected").collect()} == {900, 901, 902, 903}
-    assert not {r["seq"] for r in jobs.stored(spark, table).collect()} & {900, 901, 902, 903}
+    bad = [("t", 900, None, None, 1, "c", "i", None), ("t", 901, "mark:1:1", None, 1, "c", "i", None), ("t", 902, "x" * 201, None, 1, "c", "i", None), (None, 903, "mark:1:2", None, 1, "c", "i", None)]
+    at = F.timestamp_seconds(F.lit(1_700_000_000))
+    odd = spark.createDataFrame(bad, jobs.LOG_SCHEMA).withColumn("updated_at", F.when(F.col("seq").isin(902, 903), at))
+    log(spark, 20).unionByName(odd).repartition(1).write.parquet(str(tmp_path / "log"))
+    stream = lambda: jobs.log_stream(spark, str(tmp_path / "log"))
+    for job, name in ((jobs.append_once, "append"), (jobs.newest, "latest"), (jobs.malformed, "rejected")):
+        start(job(stream()), [jobs.table(str(tmp_path / name))], tmp_path / f"cp-{name}")
+    seqs = lambda name: {r["seq"] for r in jobs.stored(spark, str(tmp_path / name)).collect()}
+    assert seqs("rejected") == {900, 901, 902, 903} and not (seqs("append") | seqs("latest")) & seqs("rejected")
 
 
 def test_a_team_reads_its_own_records_from_the_start(spark, tmp_path):
     log(spark, 40).repartition(2).write.parquet(str(tmp_path / "log"))
     for team in ("t0", "t1"):
-        stream = jobs.log_stream(spark, str(tmp_path / "log"), team=team)
+        stream = jobs.append_once(jobs.log_stream(spark, str(tmp_path / "log"), team=team))
         for _ in range(2):  # the second run resumes and finds nothing
-            jobs.run(stream, [jobs.append_handler(str(tmp_path / team))], jobs.checkpoint_of(str(tmp_path / "cp"), team)).awaitTermination()
+            start(stream, [jobs.table(str(tmp_path / team))], jobs.checkpoint_of(str(tmp_path / "cp"), team))
         assert {r["candidate"] for r in jobs.stored(spark, str(tmp_path / team)).collect()} == {team}
 
 
-def test_state_keeps_few_versions(spark, tmp_path):
-    state = jobs.State(str(tmp_path / "s"), ("k",), "k long", buckets=2)
-    for batch in range(5):
-        fresh = state.keep_new(spark.range(batch * 3, batch * 3 + 10).withColumnRenamed("id", "k"), batch)
-        assert sorted(r["k"] for r in fresh.collect()) == list(range(batch * 3 + (7 if batch else 0), batch * 3 + 10))
-    assert all(len(v) <= 2 for v in state._versions(spark).values())
-    again = state.keep_new(spark.range(12, 22).withColumnRenamed("id", "k"), 4)
-    assert sorted(r["k"] for r in again.collect()) == [19, 20, 21]
-
-
-def test_contacts_and_messages(spark, tmp_path):
-    rows = log(spark)
-    rows.repartitionByRange(3, "seq").write.parquet(str(tmp_path / "log"))
-    table = str(tmp_path / "c")
-    jobs.run(jobs.log_stream(spark, str(tmp_path / "log")), [jobs.latest_handler(table)], str(tmp_path / "cp")).awaitTermination()
-    want = synclog.contact_records(synclog.latest(rows)).filter("NOT revoked").select("candidate", "ward", "serial").collect()
-    assert sorted(map(tuple, want)) == sorted(tuple(r)[:3] for r in jobs.live_contacts(spark, table).collect())
-
-    marks = spark.createDataFrame([("team", 1, n, "w1", n) for n in range(1, 40)], "candidate string, ward bigint, serial bigint, worker string, seq bigint")
-    sms = tally.encode_messages(marks).select("candidate", "ward", "text")
-    roll = spark.createDataFrame([(1, n, False) for n in range(1, 30)], "ward bigint, serial bigint, struck boolean")
-    handle = jobs.message_handler(str(tmp_path / "m"), roll)
-    handle(sms.unionByName(sms), 0)
-    handle(sms.unionByName(sms.withColumn("text", F.lit("PT1 x"))), 1)
-    out = jobs.stored(spark, str(tmp_path / "m"), jobs.SMS_SCHEMA).collect()
-    assert sum(r["state"] == "new" for r in out) == 39 and sum(r["state"] == "duplicate" for r in out) == 78
-    assert {r["serial"] for r in out if not r["inside"]} == set(range(30, 40))
-    assert [r["reason"] for r in jobs.stored(spark, str(tmp_path / "m-rejected"), "candidate string, ward bigint, text string, reason string").collect()] == ["format"]
+def test_contacts_outlive_a_malformed_record(spark, tmp_path):
+    at = "2024-01-01 00:00:0"
+    record = lambda s, rest: '{"wardId":"3","serial":%d%s}' % (s, rest)
+    good, bad, gone = ',"phone":"9876543210","consentAt":"a"', ',"phone":"12","consentAt":"b"', ',"revoked":true'
+    rows = [(1, 1, good), (2, 1, bad), (3, 2, good), (4, 2, gone), (5, 3, bad), (6, 4, bad), (7, 4, good), (8, 5, gone), (9, 5, bad)]
+    made = [("t", n, f"contact:3:{s}", f"{at}{n}", 1, "c", "i", record(s, rest)) for n, s, rest in rows]
+    df = spark.createDataFrame(made, jobs.LOG_SCHEMA.replace("timestamp", "string")).withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+    for files in (1, 9):
+        df.repartitionByRange(files, "seq").write.parquet(str(tmp_path / f"log{files}"))
+        table = str(tmp_path / f"c{files}")
+        jobs.pull(jobs.newest_contacts(jobs.log_stream(spark, str(tmp_path / f"log{files}"))), [jobs.table(table)], str(tmp_path / f"cp{files}"))
+        got = sorted(tuple(r) for r in jobs.live_contacts(spark, table).collect())
+        assert got == [("t", "3", 1, "9876543210", "a"), ("t", "3", 4, "9876543210", "a")]
+
+
+def test_messages_join_the_marks(spark, tmp_path):
+    """A serial marked over the log is a duplicate by message, whichever came in an earlier batch; outside serials aren't marked."""
+    body = lambda s: '{"wardId":"1","serial":%d,"workerId":"w9","markedAt":"n"}' % s
+    entry = lambda n, s: ("team", n, f"mark:1:{s}", "2024-01-01 00:00:00", 1, "c", "i", body(s))
+    schema = jobs.LOG_SCHEMA.replace("timestamp", "string")
+    put = lambda rows: spark.createDataFrame(rows, schema).withColumn("updated_at", F.col("updated_at").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    marks = spark.createDataFrame([("team", "w1", 1, n) for n in (1, 2, 3, 77)], "candidate string, worker string, ward bigint, serial bigint")
+    sms = tally.encode_messages(marks).select("candidate", "ward", "text").coalesce(1)
+    roll = spark.createDataFrame([(1, n, n == 40) for n in range(1, 41)], "ward bigint, serial bigint, struck boolean")
+    put([entry(1, 1)])
+    sms.limit(0).write.parquet(str(tmp_path / "sms"))
+    messages = spark.readStream.schema(sms.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "sms"))
+    reports = jobs.message_marks(messages, roll, jobs.log_stream(spark, str(tmp_path / "log")))
+    seen = []
+
+    def pull():
+        seen.clear()
+        jobs.pull(reports, [lambda df, b: seen.extend((r["serial"], r["state"]) for r in df.collect())], str(tmp_path / "cp"))
+        return sorted(seen)
+
+    assert pull() == []
+    sms.write.mode("append").parquet(str(tmp_path / "sms"))
+    assert pull() == [(1, "duplicate"), (2, "new"), (3, "new"), (77, "outside")]
+    put([entry(2, 2), entry(3, 5)])
+    bad = sms.withColumn("text", F.lit("PT1 x"))
+    sms.unionByName(sms).unionByName(bad).coalesce(1).write.mode("append").parquet(str(tmp_path / "sms"))
+    assert pull() == [(n, "duplicate") for n in (1, 1, 2, 2, 3, 3)] + [(77, "outside")] * 2
+    tally.encode_messages(marks.withColumn("serial", F.col("serial") + 2).filter("serial < 9")).select("candidate", "ward", "text").coalesce(1).write.mode("append").parquet(str(tmp_path / "sms"))
+    assert pull() == [(3, "duplicate"), (4, "new"), (5, "duplicate")]
+
+
+def test_mixed_times_in_a_stream(spark, tmp_path):
+    """Batches of an id's records are folded one after the other, as the batch operator folds them at once."""
+    times = ['"2024-01-01T05:30:00+05:30"', "1704067200500", '"2024-01-01T00:00:01Z"', '"soon"', "1704067200999", "1704067201000", '"2024-01-01T00:00:02Z"', "5"]
+    rows = [("t", "abc"[n % 3], n, t) for n, t in enumerate(times * 4)]
+    df = spark.createDataFrame(rows, "candidate string, id string, seq bigint, t string")
+    df = df.select("candidate", "id", "seq", F.parse_json("t").alias("updated_at"), F.lit("c").alias("ciphertext"), F.lit("i").alias("iv"))
+    for k in range(0, 32, 8):
+        df.filter(F.col("seq").between(k, k + 7)).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    schema = "candidate string, id string, seq bigint, updated_at variant, ciphertext string, iv string"
+    stream = jobs.newest_mixed(jobs.log_stream(spark, str(tmp_path / "log"), schema=schema))
+    last = {}
+    keep = lambda rows, b: last.update({r["id"]: r["seq"] for r in rows.orderBy("seq").collect()})
+    jobs.pull(stream, [keep], str(tmp_path / "cp"))
+    assert last == {r["id"]: r["seq"] for r in synclog.latest_mixed(df).collect()} and len(last) == 3
 
 
 def test_messages_come_line_by_line(spark, tmp_path):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from wardloom.operators.ranking import numbered, with_previous
 
 ID = ("candidate", "id")
 SAFE = (1 << 53) - 1
-_NUMBER = "^-?[0-9]+(\\.[0-9]+)?$"
+_DATE = "^[+-]?[0-9]{4,6}-[0-9]{2}"
 
 
 def updated_ms(c: Column) -> Column:
@@ -20,21 +23,69 @@ def updated_ms(c: Column) -> Column:
     return F.coalesce(number, F.unix_millis(at))
 
 
+def time_number(c: Column) -> Column:
+    """The number that a VARIANT time is, else null."""
+    number = F.try_variant_get(c, "$", "double")
+    kind = F.schema_of_variant(c)
+    usable = ~kind.isin("STRING", "BOOLEAN", "VOID") & ~F.isnan(number) & (F.abs(number) != F.lit(float("inf")))
+    return F.when(usable, number)
+
+
+def time_text(c: Column) -> Column:
+    """The text that a VARIANT time is, else null."""
+    return F.when(F.schema_of_variant(c) == "STRING", F.try_variant_get(c, "$", "string"))
+
+
+def time_ms(c: Column) -> Column:
+    """Milliseconds since 1970 of a VARIANT time: a number is that already, a text is a date and time."""
+    text = time_text(c)
+    at = F.unix_millis(F.try_to_timestamp(F.when(text.rlike(_DATE), text)))
+    return F.coalesce(time_number(c), at.cast("double"))
+
+
+def valid_time(time: str = "updated_at") -> Column:
+    """Whether a VARIANT time can be compared with every other: a finite number, or a text that is a date."""
+    return time_ms(F.col(time)).isNotNull()
+
+
 def is_newer(a: Column, b: Column) -> Column:
-    """Whether time ``a`` is strictly later than ``b``; both are texts as sent.
+    """Whether time ``a`` is strictly later than ``b``; both are VARIANTs, numbers or texts as sent.
 
-    Two numbers compare as numbers and two other texts as texts; a number and a
-    text compare in milliseconds, and what is no time then is never newer.
+    Two numbers compare as numbers and two texts as texts; a number and a text
+    compare in milliseconds.  What is no time is never newer.  Over mixed types
+    this has circles, so it gives no maximum: fold in order of arrival.
     """
-    numbers, texts = a.rlike(_NUMBER) & b.rlike(_NUMBER), ~a.rlike(_NUMBER) & ~b.rlike(_NUMBER)
-    later = F.when(numbers, a.try_cast("double") > b.try_cast("double")).when(texts, a > b).otherwise(updated_ms(a) > updated_ms(b))
+    numbers = time_number(a).isNotNull() & time_number(b).isNotNull()
+    texts = time_text(a).isNotNull() & time_text(b).isNotNull()
+    later = F.when(numbers, time_number(a) > time_number(b)).when(texts, time_text(a) > time_text(b)).otherwise(time_ms(a) > time_ms(b))
     return F.coalesce(later, F.lit(False))
 
 
+def newer_time(a: tuple, b: tuple) -> bool:
+    """``is_newer`` of (number, text, ms) triples, as ``typed_time`` gives them."""
+    if a[0] is not None and b[0] is not None:
+        return a[0] > b[0]
+    if a[1] is not None and b[1] is not None:
+        return a[1].encode() > b[1].encode()
+    return a[2] > b[2]
+
+
+def typed_time(df: DataFrame, time: str = "updated_at") -> DataFrame:
+    """``df`` with the VARIANT time as number, time (the text) and ms."""
+    c = F.col(time)
+    return df.withColumns({"number": time_number(c), "time": time_text(c), "ms": time_ms(c)})
+
+
+def untyped_time(df: DataFrame, time: str = "updated_at") -> DataFrame:
+    """The reverse of ``typed_time``, for rows that have lost the VARIANT: numbers come back as doubles."""
+    c = F.when(F.col("number").isNotNull(), F.col("number").cast("variant")).otherwise(F.col("time").cast("variant"))
+    return df.withColumn(time, c).drop("number", "time", "ms")
+
+
 def valid_record() -> Column:
-    """An id of 1 to 200 characters, a time, and a sealed payload (ciphertext and iv) that isn't empty."""
+    """A candidate, an id of 1 to 200 characters, a time, and a sealed payload (ciphertext and iv) that isn't empty."""
     full = lambda c: F.length(c) > 0
-    sound = F.length("id").between(1, 200) & F.col("updated_at").isNotNull() & full("ciphertext") & full("iv")
+    sound = full("candidate") & F.length("id").between(1, 200) & F.col("updated_at").isNotNull() & full("ciphertext") & full("iv")
     return F.coalesce(sound, F.lit(False))
 
 
@@ -103,12 +154,63 @@ def latest(df: DataFrame, keys: tuple[str, ...] = ID, time: str = "updated_at",
     return best.select(*keys, *(F.col(f"r.{c}").alias(c) for c in fields))
 
 
+def _fold(keys: list[str], order: str):
+    """For rows sorted by key and order: of each key the row that ``newer_time`` keeps, read as a stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = best = kept = None
+        for batch in batches:
+            times = zip(*(batch.column(c).to_pylist() for c in ("number", "time", "ms")), strict=True)
+            own = zip(*(batch.column(c).to_pylist() for c in keys), strict=True)
+            for i, (key, time) in enumerate(zip(own, times, strict=True)):
+                if key != now:
+                    if kept is not None:
+                        yield kept
+                    now, best, kept = key, time, batch.slice(i, 1)
+                elif newer_time(time, best):
+                    best, kept = time, batch.slice(i, 1)
+        if kept is not None:
+            yield kept
+
+    return run
+
+
+def latest_mixed(df: DataFrame, keys: tuple[str, ...] = ID, time: str = "updated_at", order: str = "seq") -> DataFrame:
+    """``latest`` over VARIANT times, which have no order of their own: each id's records are folded in order of arrival.
+
+    Rows without a usable time are dropped.  Where all of an id's times are
+    numbers, or all are texts, the fold is a maximum, so a partial aggregate
+    reduces the id before it moves, hot or not.  The ids that mix the two are
+    streamed in order through the task that they are dealt to, which holds two
+    rows at a time.
+    """
+    typed = typed_time(df.filter(valid_time(time)), time)
+    fields = [c for c in df.columns if c not in (*keys, time)]
+    whole = F.struct(*fields, "number", F.col("time").alias("time"), "ms")
+    pick = lambda by: F.max_by(F.when(F.col(by).isNotNull(), whole), F.when(F.col(by).isNotNull(), F.struct(F.col(by), -F.col(order))))
+    each = typed.drop(time).groupBy(*keys).agg(pick("number").alias("n"), pick("time").alias("t"))
+    mixed = each.filter("n IS NOT NULL AND t IS NOT NULL").select(*keys)
+    plain = each.filter("n IS NULL OR t IS NULL").select(*keys, F.coalesce("n", "t").alias("r")).select(*keys, "r.*")
+    again = typed.drop(time).join(mixed, list(keys), "left_semi").select(*plain.columns)
+    sorted_ = again.repartition(*keys).sortWithinPartitions(*keys, order)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_.schema)
+    folded = sorted_.mapInArrow(_fold(list(keys), order), kinds)
+    return untyped_time(plain.unionByName(folded), time).select(*df.columns)
+
+
 def newer_than(incoming: DataFrame, state: DataFrame, pending: DataFrame, time: str = "updated_at") -> DataFrame:
-    """Incoming records (latest per id) strictly newer than what is known and what waits to be sent."""
-    rows = latest(incoming)
+    """Incoming records (latest per id) strictly newer than what is known and what waits to be sent.
+
+    Times are of one ordered type or VARIANTs; ``state`` and ``pending`` may
+    hold several rows of an id, of which the latest counts.
+    """
+    mixed = incoming.schema[time].dataType.simpleString() == "variant"
+    newest = (lambda df: latest_mixed(df, time=time)) if mixed else (lambda df: latest(df, time=time))
+    later = is_newer if mixed else lambda a, b: a > b
+    rows = newest(incoming)
     for name, known in (("__seen", state), ("__waits", pending)):
-        rows = rows.join(known.groupBy(*ID).agg(F.max(time).alias(name)), list(ID), "left")
-    newer = lambda c: F.col(c).isNull() | (F.col(time) > F.col(c))
+        rows = rows.join(newest(known.select(*ID, time, "seq")).select(*ID, F.col(time).alias(name)), list(ID), "left")
+    newer = lambda c: F.col(c).isNull() | later(F.col(time), F.col(c))
     return rows.filter(newer("__seen") & newer("__waits")).drop("__seen", "__waits")
 
 

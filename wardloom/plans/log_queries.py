@@ -17,12 +17,30 @@ from wardloom.streaming import jobs
 book = Book()
 query = book.query
 
-_LATEST = "SELECT candidate, id, arg_max(seq, (updated_at, -seq)) AS seq, arg_max(device, (updated_at, -seq)) AS device FROM {src} GROUP BY candidate, id"
+# Times as they are sent: numbers, texts in UTC, texts with an offset.  A fold in order of arrival decides.
+_SENT = """SELECT candidate, id, seq, device, ms, CASE WHEN event_id % 3 = 0 THEN ms END AS num,
+    CASE event_id % 3 WHEN 1 THEN concat(strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%S.%g'), 'Z')
+        WHEN 2 THEN concat(strftime(make_timestamp(ms * 1000 + 19800000000), '%Y-%m-%dT%H:%M:%S.%g'), '+05:30') END AS txt
+    FROM (SELECT *, epoch_us(updated_at) // 1000 + 60000 * ({minutes}) AS ms FROM sync_log) l"""
+_LATER = "CASE WHEN {a}.num IS NOT NULL AND {b}.num IS NOT NULL THEN {a}.num > {b}.num WHEN {a}.txt IS NOT NULL AND {b}.txt IS NOT NULL THEN {a}.txt > {b}.txt ELSE {a}.ms > {b}.ms END"
+_FOLD = (
+    "SELECT candidate, id, list_reduce(list({{'seq': seq, 'device': device, 'num': num, 'txt': txt, 'ms': ms}} ORDER BY seq), "
+    f"lambda a, b: CASE WHEN {_LATER.format(a='b', b='a')} THEN b ELSE a END) AS r FROM ({_SENT}) s GROUP BY candidate, id"
+)
+
+
+def _sent(v, minutes: str = "0"):
+    """The whole log with its times as they are sent, moved by so many minutes."""
+    ms = F.unix_millis(F.col("updated_at").cast("timestamp")) + 60_000 * F.expr(f"CAST({minutes} AS BIGINT)")
+    text = lambda m, end: F.concat(F.date_format(F.timestamp_millis(m), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit(end)).cast("variant")
+    kind = F.col("event_id") % 3
+    time = F.when(kind == 0, ms.cast("variant")).when(kind == 1, text(ms, "Z")).otherwise(text(ms + 19_800_000, "+05:30"))
+    return v.sync_log.select("candidate", "id", "seq", "device", time.alias("updated_at"))
 
 
-@query(_LATEST.format(src="sync_log"))
+@query(f"SELECT candidate, id, r.seq AS seq, r.device AS device FROM ({_FOLD.format(minutes='0')}) x")
 def latest_per_id(v):
-    return synclog.latest(v.sync_log).select("candidate", "id", "seq", "device")
+    return synclog.latest_mixed(_sent(v)).select("candidate", "id", "seq", "device")
 
 
 @query("SELECT candidate, id, arg_max(seq, (t, seq)) AS seq FROM (SELECT *, date_trunc('day', updated_at) AS t FROM sync_log) x GROUP BY candidate, id")
@@ -40,12 +58,12 @@ def _off(v, minutes: str):
     return log.withColumn("updated_at", F.expr(f"updated_at + make_interval(0, 0, 0, 0, 0, CAST({minutes} AS INT))"))
 
 
-@query(f"""WITH inc AS {_OFF.format('seq % 5 - 1')}, l AS ({_LATEST.format(src='inc')}), t AS (SELECT candidate, id, max(updated_at) AS m FROM inc GROUP BY candidate, id),
-    s AS (SELECT candidate, id, max(updated_at) AS m FROM sync_log GROUP BY candidate, id), p AS (SELECT candidate, id, max(updated_at) AS m FROM {_OFF.format('seq % 3 - 1')} o GROUP BY candidate, id)
-    SELECT l.candidate, l.id, l.seq FROM l JOIN t USING (candidate, id) LEFT JOIN s USING (candidate, id) LEFT JOIN p USING (candidate, id) WHERE (s.m IS NULL OR t.m > s.m) AND (p.m IS NULL OR t.m > p.m)""")
+@query(f"""WITH l AS ({_FOLD.format(minutes='seq % 5 - 1')}), s AS ({_FOLD.format(minutes='0')}), p AS ({_FOLD.format(minutes='seq % 3 - 1')})
+    SELECT l.candidate, l.id, l.r.seq AS seq FROM l LEFT JOIN s USING (candidate, id) LEFT JOIN p USING (candidate, id)
+    WHERE (s.r IS NULL OR {_LATER.format(a='l.r', b='s.r')}) AND (p.r IS NULL OR {_LATER.format(a='l.r', b='p.r')})""")
 def newer_than_state(v):
     """All records sent again some minutes earlier or later, against the log and against what waits."""
-    return synclog.newer_than(_off(v, "seq % 5 - 1"), v.sync_log, _off(v, "seq % 3 - 1")).select("candidate", "id", "seq")
+    return synclog.newer_than(_sent(v, "seq % 5 - 1"), _sent(v), _sent(v, "seq % 3 - 1")).select("candidate", "id", "seq")
 
 
 @query("SELECT candidate, id, seq FROM sync_log o WHERE NOT EXISTS (SELECT 1 FROM sync_log d WHERE d.seq % 3 <> 0 AND d.candidate = o.candidate AND d.id = o.id AND d.updated_at = o.updated_at)")
@@ -392,15 +410,11 @@ def _logged(v, name: str, files: int = 6):
     return root, jobs.log_stream(v.spark, f"{root}/log")
 
 
-def _finish(started) -> None:
-    started.awaitTermination()
-
-
 @query(f"SELECT candidate, id, count(*) AS records FROM (SELECT DISTINCT candidate, id, CASE WHEN id LIKE 'mark:%' THEN 0 ELSE seq END AS k FROM sync_log WHERE {_SOUND}) x GROUP BY candidate, id")
 def stream_append(v):
     """Mark ids once per candidate, all other valid records kept."""
     root, stream = _logged(v, "append")
-    _finish(jobs.run(stream, [jobs.append_handler(f"{root}/table")], f"{root}/checkpoint"))
+    jobs.pull(jobs.append_once(stream), [jobs.table(f"{root}/table")], f"{root}/checkpoint")
     return jobs.stored(v.spark, f"{root}/table").groupBy("candidate", "id").agg(F.count("*").alias("records"))
 
 
@@ -408,7 +422,7 @@ def stream_append(v):
 def stream_push(v):
     """The same, numbered on from a stored counter: each candidate's numbers run from 1 without a hole."""
     root, stream = _logged(v, "push")
-    _finish(jobs.run(stream, [jobs.push_handler(f"{root}/table")], f"{root}/checkpoint"))
+    jobs.pull(jobs.append_once(stream), [jobs.numbered_table(f"{root}/table")], f"{root}/checkpoint")
     rows = jobs.stored(v.spark, f"{root}/table")
     return rows.groupBy("candidate").agg(
         F.count("*").alias("records"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.count_distinct("seq").alias("numbers")
@@ -421,38 +435,46 @@ _NEWEST = f"SELECT candidate, id, epoch_us(max(updated_at)) // 1000 AS ms FROM s
 @query(_NEWEST)
 def stream_latest(v):
     root, stream = _logged(v, "latest")
-    _finish(jobs.run(stream, [jobs.latest_handler(f"{root}/table", buckets=2)], f"{root}/checkpoint"))
+    jobs.pull(jobs.newest(stream), [jobs.table(f"{root}/table")], f"{root}/checkpoint")
     return synclog.latest(jobs.stored(v.spark, f"{root}/table")).select("candidate", "id", F.unix_millis("updated_at").alias("ms"))
 
 
 @query(f"SELECT candidate, ward, count(DISTINCT serial) AS voters FROM {_PAYLOAD} WHERE {_SOUND} AND id = concat('mark:', ward, ':', serial) AND length(worker) BETWEEN 1 AND 100 GROUP BY candidate, ward")
 def stream_ward_counts(v):
-    """Counts that every batch brings up to date, as the last one left them."""
+    """Counts that every batch brings up to date, for the wards it has."""
     root, stream = _logged(v, "counts")
-    _finish(jobs.run(stream, [jobs.count_handler(f"{root}/table")], f"{root}/checkpoint"))
+    jobs.pull(jobs.ward_counts(stream), [jobs.keyed_table(f"{root}/table", "candidate", "ward")], f"{root}/checkpoint")
     return jobs.live_counts(v.spark, f"{root}/table")
 
 
-@query(f"""WITH newest AS (SELECT candidate, id, arg_max(event_id, (updated_at, -seq)) AS event_id FROM sync_log WHERE {_SOUND} AND id LIKE 'contact:%' GROUP BY candidate, id)
-    SELECT n.candidate, ward, serial, phone FROM newest n JOIN {_CONTACTS} ON n.event_id = c.event_id WHERE NOT revoked""")
+@query(f"""WITH newest AS (SELECT candidate, ward, serial, arg_max(struct_pack(phone, revoked), (updated_at, -seq)) AS r FROM {_CONTACTS} WHERE {_SOUND} GROUP BY candidate, ward, serial)
+    SELECT candidate, ward, serial, r.phone AS phone FROM newest WHERE NOT r.revoked""")
 def stream_contacts(v):
-    """Voters whose newest contact record isn't a revocation."""
+    """Voters whose newest well-formed contact record isn't a revocation."""
     root, stream = _logged(v, "contacts")
-    _finish(jobs.run(stream.filter("id LIKE 'contact:%'"), [jobs.latest_handler(f"{root}/table", buckets=2)], f"{root}/checkpoint"))
+    jobs.pull(jobs.newest_contacts(stream), [jobs.table(f"{root}/table")], f"{root}/checkpoint")
     return jobs.live_contacts(v.spark, f"{root}/table").select("candidate", "ward", "serial", "phone")
 
 
-@query(f"""WITH RECURSIVE {_MESSAGES}, sent AS (SELECT t.candidate, t.ward, t.serial, t.worker, CASE WHEN t.worker IN ('w1', 'w2', 'w3') THEN 2 ELSE 1 END AS times FROM t),
-    voters AS (SELECT candidate, ward, serial, sum(times) AS n FROM sent GROUP BY candidate, ward, serial),
-    r AS (SELECT candidate, ward, serial, unnest(range(CAST(n AS BIGINT))) AS k FROM voters)
-    SELECT candidate, ward, serial, CASE WHEN k = 0 THEN 'new' ELSE 'duplicate' END AS state, (ward, serial) IN (SELECT (ward, serial) FROM roll WHERE NOT struck) AS inside FROM r""")
+@query(f"""WITH RECURSIVE {_MESSAGES}, sent AS (SELECT m.candidate, m.ward, m.serial, CASE WHEN m.worker IN ('w1', 'w2', 'w3') THEN 2 ELSE 1 END AS times FROM (SELECT DISTINCT candidate, worker, ward, serial FROM marks) m),
+    live AS (SELECT DISTINCT ward, serial FROM roll WHERE NOT struck),
+    synced AS (SELECT DISTINCT candidate, CAST(ward AS BIGINT) AS ward, serial FROM {_PAYLOAD} WHERE {_SOUND} AND seq % 2 = 0 AND id = concat('mark:', ward, ':', serial) AND length(worker) BETWEEN 1 AND 100),
+    voters AS (SELECT candidate, ward, serial, CAST(sum(times) AS BIGINT) AS n FROM sent GROUP BY candidate, ward, serial),
+    k AS (SELECT v.*, l.serial IS NOT NULL AS inside, y.serial IS NOT NULL AS known FROM voters v LEFT JOIN live l USING (ward, serial) LEFT JOIN synced y USING (candidate, ward, serial)),
+    r AS (SELECT *, unnest(range(n)) AS i FROM k)
+    SELECT candidate, ward, serial, CASE WHEN NOT inside THEN 'outside' WHEN i = 0 AND NOT known THEN 'new' ELSE 'duplicate' END AS state FROM r""")
 def stream_sms(v):
-    """Every mark sent as messages, some workers' twice; each serial reported as new or duplicate, inside the roll or not."""
+    """Half the log synced, then every mark sent as messages, some workers' twice: each serial new, marked before, or outside the roll."""
     root = f"{shared_folder(v.spark)}/sms-{uuid.uuid4().hex}"
+    half = v.sync_log.filter("seq % 2 = 0").withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+    half.select("candidate", "seq", "id", "updated_at", "device", "ciphertext", "iv", "data").repartition(2).write.parquet(f"{root}/log")
     sms = tally.encode_messages(v.marks)
     again = sms.filter(F.col("worker").isin("w1", "w2", "w3"))
     sms = sms.unionByName(again).select("candidate", "ward", "text")
-    sms.repartition(4).write.parquet(f"{root}/sms")
-    stream = v.spark.readStream.schema(sms.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/sms")
-    _finish(jobs.run(stream, [jobs.message_handler(f"{root}/table", v.roll)], f"{root}/checkpoint"))
-    return jobs.stored(v.spark, f"{root}/table", jobs.SMS_SCHEMA)
+    sms.limit(0).write.parquet(f"{root}/sms")
+    messages = v.spark.readStream.schema(sms.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/sms")
+    reports = jobs.message_marks(messages, v.roll, jobs.log_stream(v.spark, f"{root}/log", 2))
+    jobs.pull(reports, [jobs.table(f"{root}/table")], f"{root}/checkpoint")
+    sms.repartition(4).write.mode("append").parquet(f"{root}/sms")
+    jobs.pull(reports, [jobs.table(f"{root}/table")], f"{root}/checkpoint")
+    return jobs.stored(v.spark, f"{root}/table", jobs.SMS_SCHEMA).select("candidate", "ward", "serial", "state")

@@ -187,8 +187,8 @@ def is_newer(v):
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     text = lambda m: F.date_format(F.timestamp_millis(m), "yyyy-MM-dd'T'HH:mm:ss.SSS")
     other = ms + F.col("event_id") % 5 - 2
-    a = F.when(F.col("event_id") % 3 == 0, ms.cast("string")).otherwise(text(ms))
-    b = F.when(F.col("event_id") % 2 == 0, other.cast("string")).otherwise(text(other))
+    a = F.when(F.col("event_id") % 3 == 0, ms.cast("variant")).otherwise(text(ms).cast("variant"))
+    b = F.when(F.col("event_id") % 2 == 0, other.cast("variant")).otherwise(text(other).cast("variant"))
     return v.events.select("event_id", synclog.is_newer(a, b).alias("newer"))
 
 

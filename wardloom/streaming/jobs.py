@@ -1,19 +1,24 @@
 """Structured Streaming jobs over the sync log.
 
-Each job is a foreachBatch whose writes are keyed by the batch id, so a batch
-that runs again after a crash overwrites its own rows: delivery is at least
-once, the tables are exactly once.  State lives in tables in a shared folder
-(see ``State``), never in the driver, and every key carries the candidate.
-Malformed records never stop a batch: they are kept apart.
+State is Spark's own: one row per key in a state store (RocksDB with changelog
+checkpoints, see ``keyed_state``), which a batch touches for its own keys only.
+A transformation takes a stream and returns one; a sink writes its batches.  A
+batch that runs again after a crash finds the state as it was before it and
+overwrites what it wrote, by its number: delivery is at least once, the tables
+are exactly once.  Every key carries the candidate.  Malformed records never
+stop a batch: ``sound`` and ``malformed`` part them.
+
+Which rows came with the batch at hand is told by the batch's time, which Spark
+logs before it runs, so a batch that runs again has the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from wardloom.operators import synclog, tally
 
@@ -22,12 +27,24 @@ LOG_SCHEMA = (
     "candidate string, seq bigint, id string, updated_at timestamp, device bigint, ciphertext string, iv string, data string"
 )
 COUNTS_SCHEMA = "candidate string, ward string, voters bigint"
-SMS_SCHEMA = "candidate string, ward bigint, serial bigint, state string, inside boolean"
+SMS_SCHEMA = "candidate string, ward bigint, serial bigint, worker string, state string"
+#: Batches (pages) of one run, at most.
+PAGES = 50
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def log_stream(spark: SparkSession, path: str, files_per_batch: int = 1, team: str | None = None) -> DataFrame:
+def keyed_state(spark: SparkSession) -> None:
+    """Keeps the state of streams that start from now on in RocksDB, whose commits write changes alone."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+# sources
+
+
+def log_stream(spark: SparkSession, path: str, files_per_batch: int = 1, team: str | None = None, schema: str = LOG_SCHEMA) -> DataFrame:
     """The log's files in order of arrival, of one team if asked."""
-    rows = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     return rows if team is None else rows.filter(F.col("candidate") == team)
 
 
@@ -41,207 +58,218 @@ def checkpoint_of(root: str, team: str) -> str:
     return f"{root}/team={team.encode('utf-8').hex()}"
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], schema)
-        raise
+# transformations
 
 
-def _write(rows: DataFrame, path: str, batch: int, *by: str) -> None:
-    out = rows.withColumn("batch", F.lit(batch).cast("bigint"))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch").parquet(path)
+def sound(rows: DataFrame) -> DataFrame:
+    return rows.filter(synclog.valid_record())
 
 
-def stored(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFrame:
-    """All rows that a handler has written."""
-    return _read(spark, path, f"{schema}, batch bigint").drop("batch")
+def malformed(rows: DataFrame) -> DataFrame:
+    return rows.filter(~synclog.valid_record())
+
+
+def _one_per_key(rows: DataFrame, keys: tuple[str, ...], best: Callable[[Column], Column]) -> DataFrame:
+    """The row that ``best`` picks of each key's, in the batches that change the pick.  ``best`` gets the batch's time, earlier first."""
+    fields = [c for c in rows.columns if c not in keys]
+    now = F.current_timestamp()
+    kept = rows.withColumn("__came", now).groupBy(*keys).agg(best(F.struct(*fields, "__came")).alias("r"))
+    return kept.filter(F.col("r.__came") == now).select(*keys, *(F.col(f"r.{c}").alias(c) for c in fields)).select(*rows.columns)
+
+
+def append_once(rows: DataFrame) -> DataFrame:
+    """The sound records; a mark id once per candidate, the first that came (of one batch's the first by seq)."""
+    is_mark = F.col("id").startswith("mark:")
+    rows = sound(rows)
+    first = lambda r: F.min_by(r, F.struct("__came", "seq"))
+    return _one_per_key(rows.filter(is_mark), synclog.ID, first).unionByName(rows.filter(~is_mark))
+
+
+def newest(rows: DataFrame) -> DataFrame:
+    """The records that are strictly newer than all before for their id; of one batch's the newest, of equal times the first."""
+    last = lambda r: F.max_by(r, F.struct("updated_at", -F.unix_micros("__came"), -F.col("seq")))
+    return _one_per_key(sound(rows), synclog.ID, last)
+
 
+def newest_contacts(rows: DataFrame) -> DataFrame:
+    """``newest`` over well-formed contact records alone: a malformed later one leaves what was there."""
+    return newest(synclog.contact_records(sound(rows)))
 
-class State:
-    """One row per key, in buckets of keys; a batch reads and rewrites only the buckets that its keys fall in.
 
-    A bucket's versions are named by batch.  A batch starts from the newest
-    version before its own, so running it again gives the same; older versions
-    than that one are deleted.  So the cost of a batch goes with the keys in its
-    buckets, not with the records that ever came.
+def ward_counts(rows: DataFrame) -> DataFrame:
+    """Voters marked per candidate and ward, for the wards that a batch changes."""
+    marks = synclog.mark_records(sound(rows)).select(*tally.VOTER)
+    return marks.dropDuplicates(list(tally.VOTER)).groupBy("candidate", "ward").agg(F.count("*").alias("voters"))
+
+
+class _Newest(StatefulProcessor):
+    """Folds an id's records in order of arrival over times that are numbers or texts; the state is the last one taken."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "number double, text string, ms double")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = tuple(self.last.get()) if self.last.exists() else None
+        best, taken = known, None
+        for row in sorted(rows, key=lambda r: r.seq):
+            time = (row.number, row.time, row.ms)
+            if best is None or synclog.newer_time(time, best):
+                best, taken = time, row
+        if taken is not None:
+            self.last.update(best)
+            yield taken
+
+    def close(self) -> None:
+        pass
+
+
+def newest_mixed(rows: DataFrame) -> DataFrame:
+    """As ``newest``, for logs whose ``updated_at`` is a VARIANT: numbers, texts, or both under one id.
+
+    Such times have no order of their own (see ``synclog.is_newer``), so each
+    id's records are folded as they come: by batch, and by seq within one.
     """
+    rows = synclog.typed_time(rows.filter(synclog.valid_record() & synclog.valid_time("updated_at")))
+    flat = rows.drop("updated_at")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema)
+    found = flat.groupBy(*synclog.ID).transformWithState(_Newest(), kinds, "Update", "none")
+    return synclog.untyped_time(found)
 
-    def __init__(self, path: str, keys: tuple[str, ...], schema: str, buckets: int = 16) -> None:
-        self.path, self.keys, self.buckets = path, list(keys), buckets
-        self.schema = f"{schema}, bucket int, batch bigint"
-
-    def bucketed(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
-
-    def _versions(self, spark: SparkSession) -> dict[int, list[int]]:
-        """The batches of each bucket's versions, by the names of their folders."""
-        root = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket=*/batch=*")
-        found: dict[int, list[int]] = {}
-        for status in root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root) or []:
-            place = status.getPath()
-            bucket, batch = (int(x.getName().split("=")[1]) for x in (place.getParent(), place))
-            found.setdefault(bucket, []).append(batch)
-        return found
-
-    def before(self, rows: DataFrame, batch: int) -> DataFrame:
-        """The state of the buckets that ``rows`` fall in, as earlier batches left it (with bucket)."""
-        spark = rows.sparkSession
-        touched = {r[0] for r in self.bucketed(rows).select("bucket").distinct().collect()}  # ``buckets`` at most
-        current = {b: max((v for v in vs if v < batch), default=None) for b, vs in self._versions(spark).items() if b in touched}
-        wanted = F.lit(False)
-        for b, v in current.items():
-            if v is not None:
-                wanted = wanted | ((F.col("bucket") == b) & (F.col("batch") == v))
-        return _read(spark, self.path, self.schema).filter(wanted).drop("batch")
-
-    def write(self, rows: DataFrame, batch: int) -> None:
-        """``rows`` (with bucket) become the state of their buckets; versions that no run can need are deleted."""
-        spark = rows.sparkSession
-        _write(rows.repartition("bucket"), self.path, batch, "bucket")
-        for b, versions in self._versions(spark).items():
-            needed = max((v for v in versions if v < batch), default=batch)
-            for v in versions:
-                if v < needed:
-                    old = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket={b}/batch={v}")
-                    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
-
-    def keep_new(self, rows: DataFrame, batch: int) -> DataFrame:
-        """Distinct rows of the schema whose key wasn't there yet; the state takes them in."""
-        known = self.before(rows, batch).persist()
-        fresh = self.bucketed(rows).join(known.select(*self.keys), self.keys, "left_anti").persist()
-        touched = fresh.select("bucket").distinct()
-        self.write(known.join(F.broadcast(touched), "bucket", "left_semi").unionByName(fresh.select(*known.columns)), batch)
-        known.unpersist()
-        return fresh
-
-
-def _sound(rows: DataFrame, path: str, batch: int) -> DataFrame:
-    """The valid records; the others go to ``<path>-rejected``."""
-    rows = rows.withColumn("__sound", synclog.valid_record())
-    _write(rows.filter(~F.col("__sound")).drop("__sound"), f"{path}-rejected", batch)
-    return rows.filter("__sound").drop("__sound")
-
-
-def append_handler(path: str) -> Handler:
-    """Stores a mark id once per candidate; records with other ids are all kept."""
-    marks = State(f"{path}-marks", ("candidate", "id"), "candidate string, id string")
 
-    def handle(rows: DataFrame, batch: int) -> None:
-        rows = _sound(rows, path, batch)
-        is_mark = F.col("id").startswith("mark:")
-        fresh = marks.keep_new(rows.filter(is_mark).select("candidate", "id").distinct(), batch)
-        first = synclog.latest(rows.filter(is_mark).withColumn("t", F.lit(0)), time="t").select(*rows.columns)
-        kept = first.join(fresh.select("candidate", "id"), ["candidate", "id"], "left_semi")
-        _write(kept.unionByName(rows.filter(~is_mark)), path, batch)
-        fresh.unpersist()
+class _FirstMark(StatefulProcessor):
+    """A voter's first mark, by whichever way it came; reports each one that came by message."""
 
-    return handle
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.mark = handle.getValueState("mark", "worker string")
 
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.mark.exists()
+        for row in sorted(rows, key=lambda r: (r.by_message, r.seq)):
+            if row.by_message:
+                yield Row(candidate=key[0], ward=key[1], serial=key[2], worker=row.worker, state="duplicate" if known else "new")
+            if not known:
+                self.mark.update((row.worker,))
+                known = True
 
-def push_handler(path: str) -> Handler:
-    """As ``append_handler``, and numbers the stored records contiguously per candidate, on from a stored counter."""
-    appended = append_handler(f"{path}-kept")
-    counters, kind = f"{path}-counters", "candidate string, counter bigint, batch bigint"
+    def close(self) -> None:
+        pass
 
-    def handle(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        appended(rows, batch)
-        mine = _read(spark, f"{path}-kept", f"{LOG_SCHEMA}, batch bigint").filter(F.col("batch") == batch).drop("batch")
-        known = _read(spark, counters, kind).filter(F.col("batch") < batch)
-        known = known.groupBy("candidate").agg(F.max("counter").alias("counter"))
-        numbered = synclog.assign_sequence(mine, known, "seq")
-        _write(numbered.withColumn("seq", F.col("new_seq").cast("bigint")).drop("new_seq"), path, batch)
-        tops = _read(spark, path, f"{LOG_SCHEMA}, batch bigint").filter(F.col("batch") == batch)
-        _write(tops.groupBy("candidate").agg(F.max("seq").alias("counter")), counters, batch)
 
-    return handle
+def message_marks(messages: DataFrame, roll: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """Marks by message (candidate, ward, text) against those that came over the log, in one state: the first stands.
 
+    Every message reports each of its serials once: 'new', 'duplicate' (marked
+    before, over either way) or 'outside', which isn't marked: no unstruck entry
+    of ``roll`` has it.  Within a batch the log comes first.  Messages that
+    can't be read are left out; ``tally.decode_messages`` gives their reasons.
+    """
+    read = tally.decode_messages(messages).filter("reason IS NULL")
+    sent = read.select("candidate", "ward", F.col("sender").alias("worker"), F.explode(F.array_distinct("serials")).alias("serial"))
+    sent = tally.in_roll(sent, roll)
+    outside = sent.filter("NOT inside").select("candidate", "ward", "serial", "worker", F.lit("outside").alias("state"))
+    mark = ["candidate", "ward", "serial", "worker"]
+    rows = sent.filter("inside").select(*mark, F.lit(True).alias("by_message"), F.lit(0).cast("bigint").alias("seq"))
+    if log is not None:
+        synced = synclog.mark_records(sound(log)).withColumn("ward", F.col("ward").try_cast("bigint")).filter("ward IS NOT NULL")
+        rows = rows.unionByName(synced.select(*mark, F.lit(False).alias("by_message"), "seq"))
+    inside = rows.groupBy("candidate", "ward", "serial").transformWithState(_FirstMark(), SMS_SCHEMA, "Update", "none")
+    return inside.unionByName(outside)
 
-def latest_handler(path: str, buckets: int = 16) -> Handler:
-    """Emits records that are strictly newer than anything before for their id; ``<path>-state`` holds the newest time per id."""
-    state = State(f"{path}-state", synclog.ID, "candidate string, id string, updated_at timestamp", buckets)
 
-    def handle(rows: DataFrame, batch: int) -> None:
-        rows = _sound(rows, path, batch)
-        known = state.before(rows, batch).persist()
-        newer = synclog.newer_than(rows, known, known.limit(0)).select(*rows.columns).persist()
-        _write(newer, path, batch)
-        fresh = state.bucketed(newer.select("candidate", "id", "updated_at"))
-        touched = F.broadcast(fresh.select("bucket").distinct())
-        old = known.join(touched, "bucket", "left_semi").join(fresh, list(synclog.ID), "left_anti")
-        state.write(old.unionByName(fresh.select(*old.columns)), batch)
-        newer.unpersist()
-        known.unpersist()
+# sinks
 
-    return handle
 
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], schema)
+        raise
 
-def count_handler(path: str) -> Handler:
-    """Keeps a running count of voters marked per candidate and ward: the rows of the newest batch (see ``live_counts``)."""
-    voters = State(f"{path}-voters", tally.VOTER, "candidate string, ward string, serial bigint")
 
-    def handle(rows: DataFrame, batch: int) -> None:
-        marks = synclog.mark_records(_sound(rows, path, batch)).select(*tally.VOTER).distinct()
-        fresh = voters.keep_new(marks, batch)
-        added = fresh.groupBy("candidate", "ward").agg(F.count("*").alias("voters"))
-        before = live_counts(rows.sparkSession, path, batch)
-        _write(before.unionByName(added).groupBy("candidate", "ward").agg(F.sum("voters").alias("voters")), path, batch)
-        fresh.unpersist()
+def _write(rows: DataFrame, path: str, *by: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
-    return handle
 
+def _numbered(rows: DataFrame, batch: int) -> DataFrame:
+    return rows.withColumn("batch", F.lit(batch).cast("bigint"))
 
-def live_counts(spark: SparkSession, path: str, before: int = 1 << 62) -> DataFrame:
-    """The counts as the newest batch before ``before`` left them (a row per candidate and ward)."""
-    rows = _read(spark, path, f"{COUNTS_SCHEMA}, batch bigint").filter(F.col("batch") < before)
-    newest = rows.groupBy("candidate", "ward").agg(F.max_by("voters", "batch").alias("voters"))
-    return newest
 
+def stored(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFrame:
+    """All rows that ``table`` has written."""
+    return _read(spark, path, f"{schema}, batch bigint").drop("batch")
 
-def live_contacts(spark: SparkSession, path: str) -> DataFrame:
-    """Voters with consent by the contact records that a ``latest_handler`` emitted: the newest each, but revoked ones."""
-    newest = synclog.latest(stored(spark, path))
-    return synclog.contact_records(newest).filter(~F.col("revoked")).select("candidate", "ward", "serial", "phone", "consent_at")
 
+def table(path: str) -> Handler:
+    """Appends each batch's rows, under the batch's number."""
+    return lambda rows, batch: _write(_numbered(rows, batch), path, "batch")
 
-def message_handler(path: str, roll: DataFrame) -> Handler:
-    """Decodes messages (candidate, ward, text) and reports every serial: 'new' or 'duplicate', and whether the roll has it.
 
-    ``<path>-rejected`` holds the messages that can't be read, with the reason.
+def keyed_table(path: str, *keys: str) -> Handler:
+    """Keeps the newest rows of each key: a batch overwrites the keys that it has and no others."""
+    return lambda rows, batch: _write(rows.repartition(*keys), path, *keys)
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, str]:
+    """The batches under ``path`` and their folders, by the folders' names."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*")
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root) or []
+    return {int(s.getPath().getName().split("=")[1]): s.getPath().toString() for s in found}
+
+
+def numbered_table(path: str) -> Handler:
+    """As ``table``, and numbers the rows contiguously per candidate, on from the counters that the batch before left.
+
+    ``<path>-counters`` holds a row per candidate (a team) and the two newest
+    versions of it, whatever has been written.
     """
-    seen = State(f"{path}-seen", tally.VOTER, "candidate string, ward bigint, serial bigint")
+    counters, kind = f"{path}-counters", "candidate string, counter bigint"
 
     def handle(rows: DataFrame, batch: int) -> None:
-        read = tally.decode_messages(rows).persist()
-        _write(read.filter("reason IS NOT NULL").select(*rows.columns, "reason"), f"{path}-rejected", batch)
-        sent = read.filter("reason IS NULL").select("candidate", "ward", F.explode("serials").alias("serial"))
-        sent = sent.groupBy("candidate", "ward", "serial").agg(F.count("*").alias("times")).persist()
-        fresh = seen.keep_new(sent.drop("times"), batch).select(*tally.VOTER).withColumn("fresh", F.lit(True))
-        both = sent.join(fresh, list(tally.VOTER), "left")
-        again = F.col("times") - F.when(F.col("fresh"), 1).otherwise(0)
-        states = F.concat(
-            F.when(F.col("fresh"), F.array(F.lit("new"))).otherwise(F.array().cast("array<string>")),
-            F.array_repeat(F.lit("duplicate"), again.cast("int")),
-        )
-        report = both.select("candidate", "ward", "serial", F.explode(states).alias("state"))
-        _write(tally.in_roll(report, roll).select("candidate", "ward", "serial", "state", "inside"), path, batch)
-        sent.unpersist()
-        read.unpersist()
+        spark = rows.sparkSession
+        versions = _versions(spark, counters)
+        last = max((v for v in versions if v < batch), default=None)
+        known = spark.read.schema(kind).parquet(versions[last]) if last is not None else spark.createDataFrame([], kind)
+        numbered = synclog.assign_sequence(rows, known, "seq")
+        _write(_numbered(numbered.withColumn("seq", F.col("new_seq").cast("bigint")).drop("new_seq"), batch), path, "batch")
+        mine = spark.read.schema(LOG_SCHEMA).parquet(f"{path}/batch={batch}") if batch in _versions(spark, path) else spark.createDataFrame([], LOG_SCHEMA)
+        tops = mine.groupBy("candidate").agg(F.max("seq").alias("counter"))
+        synclog.merge_counters(known, tops).coalesce(1).write.mode("overwrite").parquet(f"{counters}/batch={batch}")
+        for v, folder in versions.items():
+            if last is not None and v < last:
+                old = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return handle
 
 
-def run(stream: DataFrame, handlers: list[Handler], checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Starts a query whose batches go to every handler; a handler that fails doesn't keep the others from running.
+def live_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The counts as ``keyed_table`` holds them: a row per candidate and ward."""
+    return _read(spark, path, COUNTS_SCHEMA).select("candidate", "ward", "voters")
 
-    Runs on what is available now, or at an interval such as '60 seconds'.
-    """
 
+def live_contacts(spark: SparkSession, path: str) -> DataFrame:
+    """Voters with consent by what ``newest_contacts`` gave: the newest record each, but revoked ones."""
+    schema = f"{LOG_SCHEMA}, ward string, phone string, consent_at string, revoked boolean, serial bigint"
+    latest = synclog.latest(stored(spark, path, schema))
+    return latest.filter(~F.col("revoked")).select("candidate", "ward", "serial", "phone", "consent_at")
+
+
+# runs
+
+
+class _Enough(Exception):
+    """A run has taken all the batches that it may."""
+
+
+def _each(handlers: list[Handler], pages: int | None, done: list[int]) -> Handler:
     def each(rows: DataFrame, batch: int) -> None:
-        rows = rows.persist()
+        if pages is not None and len(done) >= pages:
+            raise _Enough("the run's batches are used up")
+        # Read twice, a batch would touch its state twice.  Coalescing to more partitions than there are moves
+        # nothing, and hides the sorted order of a stateful plan, which a persisted batch can't carry.
+        rows = rows.coalesce(1 << 20).persist()
         failed = []
         for handle in handlers:
             try:
@@ -251,7 +279,32 @@ def run(stream: DataFrame, handlers: list[Handler], checkpoint: str, every: str
         rows.unpersist()
         if failed:
             raise failed[0]
+        done.append(batch)
+
+    return each
 
+
+def _start(stream: DataFrame, each: Handler, checkpoint: str, every: str | None) -> StreamingQuery:
+    keyed_state(stream.sparkSession)
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(**trigger).start()
+    return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each).trigger(**trigger).start()
+
 
+def run(stream: DataFrame, handlers: list[Handler], checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Starts a query whose batches go to every handler; a handler that fails doesn't keep the others from running.
+
+    Runs on what is available now, or at an interval such as '60 seconds'.
+    """
+    return _start(stream, _each(handlers, None, []), checkpoint, every)
+
+
+def pull(stream: DataFrame, handlers: list[Handler], checkpoint: str, pages: int = PAGES) -> int:
+    """Runs what is available now, ``pages`` batches at most, and says how many they were; the next run goes on after them."""
+    done: list[int] = []
+    started = _start(stream, _each(handlers, pages, done), checkpoint, None)
+    try:
+        started.awaitTermination()
+    except Exception as e:
+        if _Enough.__name__ not in str(e):
+            raise
+    return len(done)

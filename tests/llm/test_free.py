@@ -97,6 +97,20 @@ def test_one_of_each_group_stays(spark):
     assert near_dedup.near_components(frame(spark, [])).count() == 0
 
 
+def test_one_stays_where_ids_repeat_or_are_null(spark):
+    """Rows are told apart by id and text: a null id or a repeated one lets no near copy through."""
+    a, near = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(59))
+    b, c, d = "other words are here now", "some more words are here", "the last words of all"
+    rows = [(3, a), (5, a), (5, near), (5, b), (None, a), (None, c), (None, c), (None, c + " now"), (7, d), (7, d), (None, ""), (None, None), (8, "")]
+    got = sorted(((r["doc_id"], r["text"]) for r in near_dedup.keep_one(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(3, a), (5, b), (None, c), (None, c + " now"), (7, d), (8, ""), next((x, t) for x, t in got if x is None and not t)], key=str)
+    twice = [(1, a), (1, near), (2, a), (None, b), (None, b.upper())]
+    got = [(r["doc_id"], r["text"]) for r in near_dedup.keep_one(frame(spark, twice)).collect()]
+    assert sorted(x is None for x, _ in got) == [False, True] and {x for x, _ in got} == {1, None}
+    kept = near_dedup.near_components(frame(spark, rows)).filter("doc_id = 5 OR doc_id IS NULL").select("doc_id", "component_id", "kept").collect()
+    assert sum(r["kept"] for r in kept) == 6 and (5, 3, False) in {tuple(r) for r in kept}
+
+
 def test_components_of_a_long_chain(spark):
     n = 200
     links = [(i, i + 1) for i in range(n)]

@@ -39,13 +39,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     before it being done again, and several readers share one computation.
     The tables stay until ``clear_stored``, since results are lazy.
     """
-    path = f"{_own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = own_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path in this application's part of the shared folder, which ``clear_stored`` deletes too."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def clear_stored(spark: SparkSession) -> None:
-    """Deletes what ``stored`` wrote in this application; for when its results have been written out."""
+    """Deletes what the operators wrote in this application; for when its results have been written out."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -55,6 +60,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def spare_name(taken: tuple[str, ...] | list[str], name: str = "__text") -> str:
+    """``name``, longer where it is taken."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def text_of(column: str = "text") -> Column:
     """The text, with null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

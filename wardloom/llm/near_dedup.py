@@ -28,7 +28,7 @@ rows are copies of each other; ids must be whole numbers (they are cast to
 long); a row with a null id takes its group's component, is its own (null) one
 otherwise and isn't kept in a group that has an id; an empty table gives no
 rows; other columns are not read, so they can't clash (``keep_one`` replaces
-``__id`` and ``__text``).
+``__id`` and ``__th``).
 """
 
 from __future__ import annotations
@@ -171,8 +171,8 @@ def components(links: DataFrame) -> DataFrame:
     no longer changes; every step is a minimum by node and a join.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    before = None
     while True:
+        before = edges
         ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = ways.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         edges = ways.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -180,10 +180,8 @@ def components(links: DataFrame) -> DataFrame:
         two = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
         edges = edges.join(low, "u").select(F.explode(two).alias("e")).select("e.*").filter("u <> v").distinct()
         edges = stored(edges, "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
-        if now == before:
+        if edges.count() == before.count() and edges.join(before, ["u", "v"], "left_anti").isEmpty():  # both are distinct
             return edges.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "cid")
-        before = now
 
 
 def _with_comp(classes: DataFrame, comp: DataFrame) -> DataFrame:
@@ -333,6 +331,11 @@ def block_links(members: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id, component_id and kept."""
+    return _components_of(docs).drop("th", "comp")
+
+
+def _components_of(docs: DataFrame) -> DataFrame:
+    """``near_components`` with th (hash of the text) and comp (a number of the component, null without shingles)."""
     rows = stored(signatures(docs).withColumn("uid", F.monotonically_increasing_id()), "signatures")
     firsts = rows.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("class_id"))
     firsts = stored(firsts, "classes")
@@ -351,19 +354,25 @@ def near_components(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         known = stored(_with_comp(classes, components(links.unionByName(more))), "components")
     lowest = known.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-    named = firsts.join(known.select("cid", "comp").join(lowest, "comp").select("cid", "component_id"), "cid").select("set_key", "class_id", "component_id")
-    out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    named = firsts.join(known.select("cid", "comp").join(lowest, "comp").select("cid", "comp", "component_id"), "cid").select("set_key", "comp", "class_id", "component_id")
+    out = rows.select("doc_id", "th", "n_shingles", "set_key").join(named, "set_key", "left")
     alone = F.col("set_key").isNull()
     out = out.withColumns({c: F.when(alone, F.col("doc_id")).otherwise(F.col(c)) for c in ("class_id", "component_id")})
-    return out.select("doc_id", "n_shingles", "class_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "class_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "th", "comp")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose group has a smaller id; of rows with the same id and text one stays."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
-    stay = near_components(docs).filter("kept").select(key.alias("__id")).distinct()
-    rows = docs.withColumns({"__id": key, "__text": text_of()}).join(stay, "__id", "left_semi")
-    return rows.dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    """``docs`` with one row of each group of near copies: the smallest id's, of several texts with that id any one.
+
+    Rows are told apart by id and text, since ids may repeat or be null.  Texts
+    without words are in no group; of such rows with the same id and text one stays.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("__id")
+    kept = _components_of(docs).filter("kept").select(key, F.col("th").alias("__th"), "comp")
+    one = kept.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct("__id", "__th")).alias("r")).select("r.*")
+    stay = one.unionByName(kept.filter("comp IS NULL").select("__id", "__th").distinct())
+    rows = docs.withColumns({"__id": key, "__th": F.xxhash64(text_of())}).join(stay, ["__id", "__th"], "left_semi")
+    return rows.dropDuplicates(["__id", "__th"]).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardloom.llm.common import table, text_of
+from wardloom.llm.common import spare_name, table, text_of
 
 PASSAGE = 800  # bytes
 SLICE = PASSAGE * 1280
@@ -247,13 +247,14 @@ def score_documents(
 ) -> DataFrame:
     """The ``keep`` columns with score and predicted added."""
     keep = tuple(k for k in keep if k not in ("score", "predicted"))
-    rows = docs.select(*keep, text_of(text).alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"]
+    own_text = spare_name(keep)
+    rows = docs.select(*keep, text_of(text).alias(own_text))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != own_text]
     score = model.score if isinstance(model, Attention) else lambda t: model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = [score(t.as_py()) for t in batch.column("__text")]
+            p = [score(t.as_py()) for t in batch.column(own_text)]
             own = [pa.array(p, pa.float64()), pa.array([int(x >= THRESHOLD) for x in p], pa.int32())]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *own], names=[*keep, "score", "predicted"])
 

@@ -12,7 +12,7 @@ Everything is one projection of array functions: no shuffle, no Python.
 Defined results: null text counts as empty; an empty text has no words, so it
 fails the base limit; a text of any length is one row of arrays and takes the
 same path; repeated rows are judged alike, each on its own; other columns pass
-through untouched, but columns named like a result, or beginning with ``__``,
+through untouched, but columns named like a result, ``__counts`` or ``__lines``
 are replaced.
 """
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm.common import let, table, text_of, words_of
+from wardloom.llm.common import let, spare_name, table, text_of, words_of
 
 LEAST = 12
 CHUNK = 400_000
@@ -235,14 +235,15 @@ def detect_runs(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str
     a run after its first period.
     """
     keep = tuple(k for k in keep if k not in ADDED)
-    rows = docs.select(*keep, text_of(text).alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"]
+    own_text = spare_name(keep)
+    rows = docs.select(*keep, text_of(text).alias(own_text))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != own_text]
     own = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             begin, held, size = 0, [], 0
-            raw = batch.column("__text").cast(pa.binary())
+            raw = batch.column(own_text).cast(pa.binary())
             for k in range(len(raw)):
                 held.append(raw[k].as_py().split())  # of bytes: the six ASCII spaces
                 size += len(held[-1])

@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,7 +33,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm.common import shared_folder, table, text_of
+from wardloom.llm.common import own_path, table, text_of
 from wardloom.llm.tokens import encoder, packed
 
 END_ID = 1
@@ -217,6 +216,6 @@ def _reader(folder: str, digest: bool):
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    folder = f"{shared_folder(spark)}/token-store-{uuid.uuid4().hex}"
+    folder = own_path(spark, "token-store")
     manifest = write_store(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
     return read_digests(spark, folder, manifest)

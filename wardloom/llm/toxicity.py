@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm.common import table, text_of
+from wardloom.llm.common import spare_name, table, text_of
 
 SAMPLE = 8000
 TRAIN_WORDS = 1500
@@ -363,15 +363,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 def score_documents(docs: DataFrame, model: Convolution | float, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The ``keep`` columns with score and predicted added."""
     keep = tuple(k for k in keep if k not in ("score", "predicted"))
-    rows = docs.select(*keep, text_of(text).alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"]
+    own_text = spare_name(keep)
+    rows = docs.select(*keep, text_of(text).alias(own_text))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != own_text]
     spread = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the tables' sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = spread.value
         memory = Memory(model) if isinstance(model, Convolution) else None
         for batch in batches:
-            p = [model.score(t.as_py(), memory) if memory else model for t in batch.column("__text")]
+            p = [model.score(t.as_py(), memory) if memory else model for t in batch.column(own_text)]
             own = [pa.array(p, pa.float64()), pa.array([int(x >= THRESHOLD) for x in p], pa.int32())]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *own], names=[*keep, "score", "predicted"])
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator

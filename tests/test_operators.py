@@ -1,5 +1,6 @@
 """Operators: literal cases, and laws such as order not mattering."""
 
+import hashlib
 import random
 
 import pytest
@@ -299,17 +300,94 @@ def test_asof_page_over_ranges(spark):
         assert got == {1: 1, 6: 1, 1400: 1, 4999: 2, 9000: 3}
 
 
-def test_catalogue_errors_one_per_rule(spark):
-    p = spark.createDataFrame([(i,) for i in range(6)], "panchayat_id int")
-    grid = [(1, "1", "A", True), (1, "2", "B", True), (2, "x", "A", True), (3, "1", "A", True), (3, "1", "A", True), (4, "1", "A", False), (5, "1", "A", True)]
-    got = sorted((r["panchayat_id"], r["error"]) for r in catalogue.errors(p, spark.createDataFrame(grid, "panchayat_id int, ward_text string, name string, final boolean")).collect())
-    assert got == [(0, "no grid"), (1, "names disagree"), (2, "bad ward number"), (3, "repeated ward"), (4, "no link")]
+def test_catalogue_rules_in_order(spark):
+    """The first rule that a panchayat breaks stands; its lines are judged only if none is."""
+    k = "क"
+    grid = [
+        (1, 1, "1", k, True), (1, 2, "2", "ख", False), (1, 3, "x", k, True), (2, 1, "x", "A", True), (2, 2, "3", "B", True), (2, 3, "०३", "A", True),
+        (3, 2, "1", k, True), (3, 1, "01", k, False), (3, 3, "2", k, True), (4, 1, "9", "क\u093c", True), (4, 2, "8", "\u0958", True), (6, 1, "1", k, True), (7, 1, "1", k, True),
+    ]
+    df = spark.createDataFrame(grid, "panchayat_id int, row_no int, ward_text string, name string, final boolean").withColumn("supplement", F.col("ward_text") == "2")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "panchayat_id int")
+    args = (ids(*range(8)), df, ids(0, 1, 2, 3, 4, 5, 7), ids(1, 2, 3, 4, 5, 6))
+    got = sorted(tuple(r) for r in catalogue.errors(*args).collect())
+    assert got == [
+        (0, "no grid", ""), (1, "names disagree", "क, ख"), (2, "bad ward number", "x"), (2, "repeated ward", "3"),
+        (3, "no link", "1"), (3, "repeated ward", "1"), (5, "zero wards", ""), (6, "no response", ""), (7, "no grid", ""),
+    ]
+    usable = catalogue.judged_grid(*args).filter("error IS NULL").select("panchayat_id", "ward", "supplement").collect()
+    assert sorted(map(tuple, usable)) == [(2, 3, False), (3, 2, True), (4, 8, False), (4, 9, False)]
+
 
+def test_minimise_keeps_the_tag_and_whole_serials(spark):
+    rows = [(1, 1.0, "deletion"), (1, 2.0, "addition"), (1, 3.0, "odd"), (1, 1.5, None), (1, None, "deletion"), (1, 4.0, None)]
+    df = spark.createDataFrame(rows, "ward int, serial double, supplement string")
+    df = df.withColumns({c: F.lit(None).cast("string") for c in ("name", "relative", "age", "gender", "house")}).withColumn("struck", F.lit(None).cast("boolean"))
+    out = rolls.minimise(df)
+    assert [(r["serial"], r["supplement"]) for r in out.orderBy("serial").collect()] == [(1, "deletion"), (2, "addition"), (3, None), (4, None)]
+    assert rolls.minimise(out).collect() == out.collect() and rolls.minimise(df.drop("supplement")).filter("supplement IS NOT NULL").count() == 0
 
-def test_segment_records_attaches_by_row(spark):
-    lines = [(1, 0, 5.0, 9.0, False, "lost"), (1, 1, 0.0, 0.0, True, "L"), (1, 2, 2.0, 0.5, False, "a"), (1, 3, 2.0, 9.0, False, "far"), (1, 4, 3.0, 1.0, False, "b"), (1, 5, 0.0, 4.0, True, "M")]
-    df = spark.createDataFrame(lines, "doc int, pos int, x double, y double, is_start boolean, text string")
-    assert sorted(tuple(r) for r in rolls.segment_records(df).collect()) == [(1, 1, "L", "a b", 1), (1, 2, "M", "", 0)]
+
+def test_records_are_read_from_lines(spark):
+    lines = [
+        (0, 50.0, 0, "12", True), (9, 0, 0, "lost", False),
+        (0, 0, 10, "नाम", False), (5, 0, 9, "नाम :", False), (9, 9, 9, "open, dropped by the next", False),
+        (0, 100, 0, "नाम :", False), (5, 101, 0, "अ", False), (9, 99, 0, "ब", False), (0.5, 100, 0, "left", False), (0, 110, 0, "पति का नाम :", False), (5, 110, 0, "क", False),
+        (0, 120, 0, "पिता का नाम :", False), (6, 120, 0, "ख", False), (0, 130, 0, "मकान संख्या", False), (5, 130, 0, "1", False), (6, 131, 0, "2", False),
+        (0, 140, 0, "आयु :", False), (3, 140, 0, "33", False), (4, 140, 0, "लिग", False), (5, 140, 0, "अन्य", False), (6, 140, 0, "?", False), (0, 150, 0, "ABC123456", False),
+        (0, 160, 0, "Available", False), (0, 165, 0, "77", True), (3, 166, 0, "S", True), (3, 190, 0, "O", True), (1, 191, 0, "88", True),
+        (0, 200, 0, "नाम :", False), (5, 200, 0, "क\u093c", False), (5, 201, 0, "E", True), (1, 210, 0, "5", False), (1, 220, 0, "2", True),
+        (0, 300, 0, "नाम :", False), (5, 300, 0, "never closed", False),
+    ]
+    rows = [(1, n, float(x), float(y), bold, t) for n, (x, y, _, t, bold) in enumerate(lines)]
+    df = spark.createDataFrame(rows, "doc int, pos int, x double, y double, serial_font boolean, text string")
+    got = [tuple(r) for r in rolls.segment_records(df).orderBy("record").collect()]
+    assert got == [
+        (1, 1, 77, True, "अ ब", "पिता", "ख", 33, "अन्य", "2", "ABC123456", ["left", "पति का नाम :", "क", "?"]),
+        (1, 2, 2, False, "क\u093c E", None, None, None, None, None, None, ["5"]),
+    ]
+
+
+def loop_messages(team, worker, serials):
+    """Messages by the plain loop."""
+    digits = "0123456789abcdefghijklmnopqrstuvwxyz"
+
+    def token(n):
+        return token(n // 36) + digits[n % 36] if n >= 36 else digits[n]
+
+    header, out, part = f"PT1 {team} {worker}", [], []
+    for t in map(token, sorted(set(serials))):
+        if part and len(".".join([*part, t])) > 160 - len(header) - 6:
+            out.append(part)
+            part = []
+        part.append(t)
+    bodies = [f"{header} {'.'.join(p)}" for p in [*out, part] if p]
+    return [f"{b} {hashlib.sha256(b.encode()).hexdigest()[:4]}" for b in bodies]
+
+
+@pytest.mark.parametrize("span", [1, 83, 200, 20_000])
+def test_messages_by_ranges_equal_the_loop(spark, span):
+    r = random.Random(span)
+    sets = {("t1", f"w{k}"): [r.randrange(1, 10 ** r.randrange(1, 15)) for _ in range(n)] for k, n in enumerate((0, 1, 80, 81, 82, 83, 84, 160, 250, 900))}
+    sets["a-team-of-16-chr", "worker_of_16_chr"] = [2**53 - 1, *range(1, 300)]
+    rows = [(c, w, 3, s) for (c, w), own in sets.items() for s in own]
+    got = tally.encode_messages(spark.createDataFrame(rows, "candidate string, worker string, ward long, serial long").repartition(3), span).collect()
+    mine = {k: [t for _, t in sorted((r["part"], r["text"]) for r in got if (r["candidate"], r["worker"]) == k)] for k in sets}
+    assert mine == {k: loop_messages(*k, own) for k, own in sets.items()}
+    assert max(len(r["text"]) for r in got) <= 160
+
+
+def test_a_million_serials_of_one_worker(spark):
+    marks = spark.range(1, 3_000_001, 3).select(F.lit("t").alias("candidate"), F.lit("w").alias("worker"), F.lit(1).cast("long").alias("ward"), F.col("id").alias("serial"))
+    got = [r["text"] for r in tally.encode_messages(marks).orderBy("part").collect()]
+    assert got == loop_messages("t", "w", range(1, 3_000_001, 3))
+
+
+@pytest.mark.parametrize(("row", "why"), [(("a b", "w", 1, 5), "invalid team"), (("t", "", 1, 5), "invalid worker"), (("t", None, 1, 5), "invalid worker"), (("t", "w", 1, 0), "invalid serial"), (("t", "w", 1, 2**53), "invalid serial")])
+def test_what_decoding_rejects_is_not_encoded(spark, row, why):
+    df = spark.createDataFrame([("t", "w", 1, 4), row], "candidate string, worker string, ward long, serial long")
+    with pytest.raises(Exception, match=why):
+        tally.encode_messages(df).collect()
 
 
 def test_numbers_and_neighbours_over_ranges(spark):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from wardloom.sources import pages, rolls
+from wardloom.sources import builds, pages, rolls
 
 HTML = """<form><input type="hidden" name="v" value="1"><select name="d"><option value="0">--Select--<option value="7" selected>Jaipur</option></select>
 <table><tr><th>Ward</th><th>Final</th></tr><tr><td> 1 </td><td><a href="a.pdf">View</a></td></tr></table></form>"""
@@ -28,7 +28,8 @@ def test_rolls_replace_one_ward_and_gate_versions(spark, tmp_path):
     assert rolls.read_rolls(spark, path, [2]).count() == 3
     for version, ok in ((2, True), (9, False)):
         other = str(tmp_path / f"v{version}")
-        base.withColumn("schema_version", F.lit(version)).write.partitionBy("ward").parquet(other)
+        wards = base.select("ward").distinct()
+        builds.commit(base.withColumn("schema_version", F.lit(version)), wards, other, ["ward"], ["serial"], partial=True)
         if ok:
             assert rolls.read_rolls(spark, other).count() == 0
         else:
@@ -36,14 +37,52 @@ def test_rolls_replace_one_ward_and_gate_versions(spark, tmp_path):
                 rolls.read_rolls(spark, other).collect()
 
 
+def test_rolls_keep_state_urls_and_four_part_keys(spark, tmp_path):
+    path, by = str(tmp_path / "r"), rolls.WARD
+    rows = [("d", "s", "p/q", w, n, "deletion" if n == 1 else None) for w in ("1", "01") for n in (2, 1)]
+    entries = spark.createDataFrame(rows, "district string, samiti string, panchayat string, ward string, serial long, supplement string")
+    states = spark.createDataFrame([("d", "s", "p/q", "1", "merged", ["u1", "u2"]), ("d", "s", "p/q", "7", "failed", [])], f"{', '.join(c + ' string' for c in by)}, state string, urls array<string>")
+    rolls.write_rolls(entries, path, states, by)
+    got = {r["ward"]: (r["state"], r["urls"]) for r in rolls.read_states(spark, path, by).collect()}
+    assert got == {"1": ("merged", ["u1", "u2"]), "01": ("none", []), "7": ("failed", [])}
+    read = rolls.read_rolls(spark, path, by=by)
+    assert sorted((r["panchayat"], r["ward"], r["serial"], r["supplement"]) for r in read.collect()) == sorted((p, w, n, t) for _, _, p, w, n, t in rows)
+    assert "PartitionFilters: [" in read.filter("ward = '1'")._jdf.queryExecution().toString() and read.filter("ward = '1'").count() == 2
+    with pytest.raises(Exception, match="unknown supplement state"):
+        rolls.write_rolls(entries, path, states.withColumn("state", F.lit("odd")), by)
+    assert rolls.read_rolls(spark, path, by=by).count() == 4  # what failed has changed nothing
+
+
 def test_catalogue_builds(spark, tmp_path):
     path = str(tmp_path / "c")
-    rows = spark.createDataFrame([(d, p, w) for d in (1, 2) for p in (1, 2) for w in (2, 1)], "district_id int, panchayat_id int, ward int")
-    rolls.write_catalogue(rows, path)
-    rolls.write_catalogue(rows.filter("district_id = 1 AND ward = 1"), path, partial=True)
-    assert spark.read.json(path).groupBy("district_id").count().orderBy("district_id").collect() == [(1, 2), (2, 4)]
-    rolls.write_catalogue(rows.filter("district_id = 2"), path)
-    assert [r[0] for r in spark.read.json(path).select("district_id").distinct().collect()] == [2]
+    docs = lambda *rows: spark.createDataFrame([(d, f"n{d}", f"N{d}", f"{f}.json", t) for d, f, t in rows], "district_id string, name string, name_latin string, file string, document string")
+    read = lambda n=None: sorted((r["district_id"], r["file"], r["document"]) for r in rolls.read_documents(spark, path, n).collect())
+    listed = lambda: sorted((r["id"], r["file"]) for r in rolls.read_listing(spark, path).collect())
+    assert rolls.read_listing(spark, path).count() == 0 and rolls.read_documents(spark, path).count() == 0
+    assert rolls.write_catalogue(docs(("1", "a", "old"), ("2", "b", "old")), path) == 1
+    before = rolls.read_documents(spark, path)
+    assert rolls.write_catalogue(docs(("1", "a2", "new")), path, partial=True) == 2
+    assert read() == [("1", "a2.json", "new"), ("2", "b.json", "old")] and listed() == [("1", "a2.json"), ("2", "b.json")]
+    assert read(1) == sorted(map(tuple, before.select("district_id", "file", "document").collect())) == [("1", "a.json", "old"), ("2", "b.json", "old")]
+    rolls.write_catalogue(docs(("2", "b", "last")), path)
+    assert read() == [("2", "b.json", "last")] and listed() == [("2", "b.json")]
+    assert len(builds.clean(spark, path, keep=1)) == 2 and read() == [("2", "b.json", "last")]
+
+
+def test_a_build_that_fails_before_its_commit_is_not_seen(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "b")
+    rows = lambda v: spark.createDataFrame([(k, v) for k in (1, 2)], "k int, v string")
+    put = lambda v: builds.commit(rows(v), rows(v).select("k"), path, ["k"], ["v"], partial=True)
+    read = lambda: sorted(map(tuple, builds.read(spark, path, "v string, k int", ["k"]).collect()))
+    put("old")
+    monkeypatch.setattr(builds, "_numbers", lambda *_: [])  # a writer that began before the other's commit
+    with pytest.raises(Exception, match="exists"):
+        put("late")
+    monkeypatch.undo()
+    assert read() == [("old", 1), ("old", 2)]
+    put("new")
+    assert read() == [("new", 1), ("new", 2)]
+    assert len(builds.clean(spark, path, keep=1)) == 2 and read() == [("new", 1), ("new", 2)]
 
 
 PORTAL = """<table><tr><td>Search</td></tr></table><table><tr><th>Sr</th><th>Grampanchayat</th><th>Ward No.</th><th>Final PDF</th><th>Final With Supp-2 PDF</th></tr>

@@ -85,10 +85,53 @@ def build_catalogue(districts: DataFrame, samitis: DataFrame, panchayats: DataFr
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def assemble(districts: DataFrame, samitis: DataFrame, panchayats: DataFrame, grid: DataFrame) -> DataFrame:
-    """A row per usable ward, with its whole path: linked, of a numbered grid line, once; of saved rural parents alone."""
-    number = F.when(F.col("ward_text").rlike("^[0-9]+$"), F.col("ward_text")).try_cast("int")
-    wards = grid.withColumn("ward", number).filter("ward > 0 AND final").groupBy("panchayat_id", "ward").agg(F.bool_or("supplement").alias("supplement"))
+def judged_grid(panchayats: DataFrame, grid: DataFrame, responses: DataFrame | None = None, grids: DataFrame | None = None) -> DataFrame:
+    """Panchayats and their grid lines by the first rule that they break, in the portal's order.
+
+    Of a panchayat: no saved response, no grid in it, several Hindi names in the
+    grid (not one panchayat's), a grid without lines; each stops there.  Of a
+    line: a ward that is no number, one that stands further up, no link.
+    ``grid`` has panchayat_id, row_no, ward_text, name, final and supplement;
+    ``responses`` and ``grids`` have the ids with a saved response (all, if not
+    given) and those whose response has a grid (those with lines).
+
+    Returns panchayat_id, row_no (null for a panchayat's own rule), ward, supplement, error (null: a
+    usable line) and detail.
+    """
+    has = lambda df, c: df.select("panchayat_id").distinct().withColumn(c, F.lit(True))
+    ids = panchayats.select("panchayat_id").distinct()
+    known = ids.join(has(responses if responses is not None else ids, "__saved"), "panchayat_id", "left")
+    known = known.join(has(grids if grids is not None else grid, "__grid"), "panchayat_id", "left").join(has(grid, "__lines"), "panchayat_id", "left")
+    hindi = grid.filter(X.has_devanagari(F.col("name"))).groupBy("panchayat_id", "name").agg(F.min("row_no").alias("at"))
+    hindi = hindi.withColumn("name", X.nfc(F.col("name"))).groupBy("panchayat_id", "name").agg(F.min("at").alias("at"))
+    names = F.transform(F.sort_array(F.collect_list(F.struct("at", "name"))), lambda n: n["name"])
+    known = known.join(hindi.groupBy("panchayat_id").agg(names.alias("__names")), "panchayat_id", "left")
+    error = (
+        F.when(F.col("__saved").isNull(), "no response")
+        .when(F.col("__grid").isNull(), "no grid")
+        .when(F.size("__names") > 1, "names disagree")
+        .when(F.col("__lines").isNull(), "zero wards")
+    )
+    detail = F.when(F.col("error") == "names disagree", F.array_join("__names", ", ")).otherwise("")
+    known = known.withColumn("error", error)
+    own = known.filter("error IS NOT NULL").select("panchayat_id", F.lit(None).cast("int").alias("row_no"), F.lit(None).cast("int").alias("ward"), F.lit(False).alias("supplement"), "error", detail.alias("detail"))
+    digits = X.ascii_digits(F.col("ward_text"))
+    lines = grid.join(known.filter("error IS NULL").select("panchayat_id"), "panchayat_id", "left_semi")
+    lines = lines.withColumn("ward", F.when(digits.rlike("^[0-9]+$"), digits).try_cast("int"))
+    above = F.row_number().over(Window.partitionBy("panchayat_id", "ward").orderBy("row_no")) > 1
+    number = F.col("ward").cast("string")
+    wrong = F.when(F.col("ward").isNull(), "bad ward number").when(above, "repeated ward").when(~F.col("final"), "no link")
+    said = F.when(F.col("ward").isNull(), F.col("ward_text")).otherwise(number)
+    lines = lines.withColumn("error", wrong).select("panchayat_id", F.col("row_no").cast("int").alias("row_no"), "ward", "supplement", "error", F.when(F.col("error").isNotNull(), said).alias("detail"))
+    return own.unionByName(lines)
+
+
+def assemble(
+    districts: DataFrame, samitis: DataFrame, panchayats: DataFrame, grid: DataFrame, responses: DataFrame | None = None, grids: DataFrame | None = None
+) -> DataFrame:
+    """A row per usable ward (see ``judged_grid``), with its whole path, of saved rural parents alone."""
+    judged = judged_grid(panchayats, grid, responses, grids)
+    wards = judged.filter("error IS NULL").select("panchayat_id", "ward", "supplement")
     rural = samitis.filter(X.entry_kind(F.col("samiti")) == "rural")
     up = panchayats.join(rural, "samiti_id").join(districts, "district_id")
     return wards.join(up, "panchayat_id")
@@ -121,7 +164,6 @@ def summary(wards: DataFrame) -> DataFrame:
     kind = X.entry_kind(F.col("samiti"))
     return wards.groupBy(kind.alias("kind")).agg(
         F.count_distinct(F.when(kind != "rural", F.col("samiti_id"))).alias("skipped"),
-        
         F.count_distinct("district_id").alias("districts"),
         F.count_distinct("samiti_id").alias("samitis"),
         F.count_distinct("panchayat_id").alias("panchayats"),
@@ -130,29 +172,9 @@ def summary(wards: DataFrame) -> DataFrame:
     )
 
 
-def errors(panchayats: DataFrame, grid: DataFrame) -> DataFrame:
-    """(panchayat_id, error, detail): one rule at a time."""
-    number = F.col("ward_text").try_cast("int")
-    ids = panchayats.select("panchayat_id").distinct()
-
-    def found(rows: DataFrame, error: str, detail: Column | str) -> DataFrame:
-        said = F.lit(detail) if isinstance(detail, str) else detail.cast("string")
-        return rows.select("panchayat_id", F.lit(error).alias("error"), said.alias("detail"))
-
-    each = grid.groupBy("panchayat_id")
-    repeats = grid.groupBy("panchayat_id", "ward_text").agg(F.count("*").alias("n")).filter("n > 1")
-    rules = [
-        found(ids.join(grid, "panchayat_id", "left_anti"), "no grid", ""),
-        found(each.agg(F.count_distinct("name").alias("n")).filter("n > 1"), "names disagree", F.col("n")),
-        found(grid.filter(number.isNull() | (number < 1)), "bad ward number", F.col("ward_text")),
-        found(repeats, "repeated ward", F.col("ward_text")),
-        found(grid.filter(~F.col("final")), "no link", F.col("ward_text")),
-        found(each.agg(F.count("ward_text").alias("n")).filter("n = 0"), "zero wards", ""),
-    ]
-    out = rules[0]
-    for r in rules[1:]:
-        out = out.unionByName(r)
-    return out
+def errors(panchayats: DataFrame, grid: DataFrame, responses: DataFrame | None = None, grids: DataFrame | None = None) -> DataFrame:
+    """(panchayat_id, error, detail): what ``judged_grid`` finds wrong."""
+    return judged_grid(panchayats, grid, responses, grids).filter("error IS NOT NULL").select("panchayat_id", "error", F.coalesce("detail", F.lit("")).alias("detail"))
 
 
 def shard_names(districts: DataFrame, key: str, name: str) -> DataFrame:

@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 from wardloom.functions import text as X
 
 
+# The tags that a supplement leaves on an entry.
+TAGS = ("deletion", "addition")
+
+
 def minimise(df: DataFrame) -> DataFrame:
-    """The stored fields alone, coerced: missing text as '', rows without a whole serial dropped."""
+    """The stored fields and the supplement's tag alone, coerced: missing text as '', unknown tags as none.
+
+    Rows without a serial, or whose serial isn't whole, are dropped.
+    """
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = df.withColumn("serial", F.col("serial").try_cast("bigint")).filter("serial IS NOT NULL")
-    return rows.select(
+    number = F.col("serial").try_cast("decimal(38,6)")
+    tag = F.col("supplement") if "supplement" in df.columns else F.lit(None).cast("string")
+    rows = df.withColumns({"serial": F.when(number == F.floor(number), number).try_cast("bigint"), "supplement": F.when(tag.isin(*TAGS), tag)})
+    return rows.filter("serial IS NOT NULL").select(
         "ward", "serial", blank("name").alias("name"), blank("relative").alias("relative"), F.col("age").try_cast("int").alias("age"),
-        blank("gender").alias("gender"), blank("house").alias("house"), F.coalesce("struck", F.lit(False)).alias("struck"),
-    )
+        blank("gender").alias("gender"), blank("house").alias("house"), F.coalesce("struck", F.lit(False)).alias("struck"), "supplement",
+    )
 
 
 def apply_supplements(base: DataFrame, supplements: DataFrame, keys: tuple[str, ...] = ("ward", "serial")) -> DataFrame:
@@ -75,19 +84,82 @@ def supplement_plan(df: DataFrame, merged: str = "merged", listed: str = "listed
     return df.withColumn("plan", F.when(F.col(merged) == F.col(listed), "current").when(begins, "resume").otherwise("rebuild"))
 
 
+# What a printed roll's lines look like.
+EPIC = "^(?:UPY[0-9]+|RJ/[0-9]+/[0-9]+/[0-9]+|[A-Z]{3}[0-9]{6,7})$"
+LABELS = {
+    "name": "^नाम\\s*:?$",
+    "relative": "^(?:पति|पिता|माता|पत्नी|अन्य)\\s+का\\s+नाम\\s*:?$",
+    "house": "^मकान\\s+संख्या\\s*:?$",
+    "age": "^आयु\\s*:?$",
+}
+SEX_LABEL = "^लिं?ग\\s*:?$"
+GENDERS = ("स्त्री", "पुरूष", "पुरुष", "अन्य")
+STRUCK_MARKS = ("O", "E", "S", "R")
+NO_PHOTO = ("Photo is", "Available")
+
+
 def segment_records(lines: DataFrame, same_row: float = 2.0, right: float = 1.0) -> DataFrame:
-    """Lines (doc, pos, x, y, is_start, text) to records: a start opens one, values attach to the label on their row.
+    """Lines (doc, pos, x, y, serial_font, text) of printed pages to whole records, one per serial line that closes one.
+
+    A name label opens a record (one that is open is dropped), a number in the
+    serial's font closes it, a letter in that font on the row of the last serial
+    strikes its record off.  A value belongs to the first label (by where that
+    kind of label first stands) on its row and left of it; of a label that
+    repeats the last one counts.  Name and relative join their values, house,
+    age and gender take the last; what has no place goes to ``extra``.
 
-    Returns doc, record, label, value (texts on the label's row to its right,
-    in order) and rest (how many other lines the record holds).
+    Returns doc, record (from 1), serial, struck, name, relation, relative, age, gender, house, epic, extra.
     """
     order = Window.partitionBy("doc").orderBy("pos")
-    rows = lines.withColumn("record", F.sum(F.col("is_start").cast("int")).over(order)).filter("record > 0")
-    label = Window.partitionBy("doc", "record").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumns({f"l_{c}": F.first(c).over(label) for c in ("x", "y", "text")})
-    on_row = ~F.col("is_start") & (F.abs(F.col("y") - F.col("l_y")) < same_row) & (F.col("x") > F.col("l_x") + right)
-    values = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(on_row, F.struct("pos", "text")))), lambda v: v["text"]), " ")
-    return rows.groupBy("doc", "record").agg(F.max("l_text").alias("label"), values.alias("value"), F.count_if(~F.col("is_start") & ~on_row).alias("rest"))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    number = F.col("serial_font") & F.col("text").rlike("^[0-9]+$")
+    kind = F.when(F.col("text").rlike(LABELS["name"]), "open").when(number, "number")
+    rows = lines.withColumn("event", kind)
+    rows = rows.withColumn("last_event", F.last("event", ignorenulls=True).over(before))
+    rows = rows.withColumn("closes", F.coalesce((F.col("event") == "number") & (F.col("last_event") == "open"), F.lit(False)))
+    rows = rows.withColumns(
+        {
+            "block": F.sum((F.col("event") == "open").cast("int")).over(order),
+            "record": F.sum(F.col("closes").cast("int")).over(order),
+            "serial_y": F.last(F.when(F.col("closes"), F.col("y")), ignorenulls=True).over(before),
+        }
+    )
+    on_row = F.coalesce(F.abs(F.col("y") - F.col("serial_y")) < same_row, F.lit(False))
+    rows = rows.withColumn("marks", F.col("serial_font") & F.col("text").isin(*STRUCK_MARKS) & on_row)
+    rows = rows.withColumn("struck", F.max("marks").over(Window.partitionBy("doc", "record")))
+    is_open = F.coalesce((F.col("event") == "open") | (F.col("event").isNull() & (F.col("last_event") == "open")), F.lit(False))
+    held = F.when(is_open & ~F.col("marks"), F.struct("pos", "x", "y", "text"))
+    closer = F.struct("record", F.col("text").cast("decimal(38,0)").cast("bigint").alias("serial"), "struck")
+    blocks = rows.filter(is_open | F.col("closes")).groupBy("doc", "block").agg(F.sort_array(F.collect_list(held)).alias("held"), F.max(F.when(F.col("closes"), closer)).alias("end"))
+    blocks = blocks.filter("end IS NOT NULL").select("doc", "end.*", "held")
+
+    def matching(pattern: str) -> Column:
+        return F.filter("held", lambda ln: ln["text"].rlike(pattern))
+
+    found = {k: matching(p) for k, p in LABELS.items()}
+    label = lambda k: F.when(F.size(found[k]) > 0, F.struct(F.get(found[k], F.lit(0))["pos"].alias("first"), F.lit(k).alias("key"), F.element_at(found[k], -1).alias("at")))
+    blocks = blocks.withColumn("labels", F.sort_array(F.array_compact(F.array(*(label(k) for k in LABELS)))))
+    is_label = lambda ln: F.exists("labels", lambda lab: lab["at"]["pos"] == ln["pos"])
+    skipped = lambda ln: ln["text"].isin(*NO_PHOTO) | ln["text"].rlike(SEX_LABEL)
+    rest = F.filter("held", lambda ln: ~is_label(ln) & ~skipped(ln))
+    beside = lambda ln: F.filter("labels", lambda lab: (F.abs(ln["y"] - lab["at"]["y"]) < same_row) & (ln["x"] > lab["at"]["x"] + right))
+
+    def place(ln: Column) -> Column:
+        key = F.get(beside(ln), F.lit(0))["key"]
+        digits = ln["text"].rlike("^[0-9]+$")
+        of_age = F.when(digits, "age").when(ln["text"].isin(*GENDERS), "gender").otherwise("extra")
+        return F.when(ln["text"].rlike(EPIC), "epic").when(key == "age", of_age).otherwise(F.coalesce(key, F.lit("extra")))
+
+    blocks = blocks.withColumn("values", F.transform(rest, lambda ln: F.struct(place(ln).alias("key"), ln["text"].alias("text"))))
+    texts = lambda k: F.transform(F.filter("values", lambda v: v["key"] == k), lambda v: v["text"])
+    joined = lambda k: F.when(F.size(texts(k)) > 0, F.array_join(texts(k), " "))
+    last = lambda k: F.when(F.size(texts(k)) > 0, F.element_at(texts(k), -1))
+    relation = F.when(F.size(found["relative"]) > 0, F.get(F.split(F.element_at(found["relative"], -1)["text"], "\\s+"), F.lit(0)))
+    out = blocks.select(
+        "doc", "record", "serial", "struck", joined("name").alias("name"), relation.alias("relation"), joined("relative").alias("relative"),
+        last("age").try_cast("int").alias("age"), last("gender").alias("gender"), last("house").alias("house"), last("epic").alias("epic"), texts("extra").alias("extra"),
+    )
+    return out.withColumns({c: X.nfc(F.col(c)) for c in ("name", "relation", "relative", "gender", "house")})
 
 
 def struck_marks(lines: DataFrame, same_row: float = 2.0) -> DataFrame:

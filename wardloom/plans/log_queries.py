@@ -11,6 +11,7 @@ from wardloom.plans.book import Book
 from wardloom.plans.text_queries import BASE, _CONTACTS, _KIND, _MESSAGES, _PAYLOAD, _URL
 from wardloom.functions import text as X
 from wardloom.sources import pages as P
+from wardloom.sources import rolls as rolls_store
 from wardloom.sources.shared import shared_folder
 from wardloom.streaming import jobs
 
@@ -177,10 +178,31 @@ def catalogue_build(v):
     return C.build_catalogue(*_levels(v))
 
 
-@query(f"""WITH {_RURAL} SELECT district_id, r.samiti_id, samiti, c.panchayat_id, panchayat, CAST(ward_text AS INT) AS ward, bool_or(supplement) AS supplement
-    FROM cat_grid g JOIN cat_panchayat c ON g.panchayat_id = c.panchayat_id JOIN rural r ON c.samiti_id = r.samiti_id WHERE final AND regexp_full_match(ward_text, '[0-9]+') GROUP BY ALL""")
+# The grids as the portal has them: Hindi and Latin names, numbers written in several ways, responses and grids that are missing, grids without lines.
+_HINDI = "CASE WHEN panchayat_id % 2 = 0 THEN concat('ग्राम ', name) ELSE name END"
+_WRITTEN = "CASE WHEN panchayat_id % 23 = 0 AND row_no = 4 THEN '02' WHEN panchayat_id % 7 = 0 AND row_no = 1 THEN translate(ward_text, '0123456789', '०१२३४५६७८९') ELSE ward_text END"
+_GRID = f"grids AS (SELECT panchayat_id, row_no, {_WRITTEN} AS ward_text, {_HINDI} AS name, final, supplement FROM cat_grid WHERE panchayat_id % 37 <> 0 AND panchayat_id % 41 <> 0)"
+_JUDGED = f"""{_GRID}, numbers AS (SELECT *, CASE WHEN regexp_full_match(translate(ward_text, '०१२३४५६७८९', '0123456789'), '[0-9]+') THEN CAST(translate(ward_text, '०१२३४५६७८९', '0123456789') AS INT) END AS ward FROM grids),
+    hindi AS (SELECT panchayat_id, count(*) AS n, string_agg(name, ', ' ORDER BY place) AS names FROM (SELECT panchayat_id, name, min(row_no) AS place FROM grids WHERE panchayat_id % 2 = 0 GROUP BY ALL) x GROUP BY panchayat_id),
+    own AS (SELECT p.panchayat_id, CASE WHEN p.panchayat_id % 41 = 0 THEN 'no response' WHEN p.panchayat_id % 31 = 0 THEN 'no grid' WHEN h.n > 1 THEN 'names disagree' WHEN p.panchayat_id NOT IN (SELECT panchayat_id FROM grids) THEN 'zero wards' END AS error,
+        CASE WHEN h.n > 1 THEN h.names ELSE '' END AS detail FROM (SELECT DISTINCT panchayat_id FROM {{panchayats}}) p LEFT JOIN hindi h USING (panchayat_id)),
+    judged AS (SELECT l.*, CASE WHEN ward IS NULL THEN 'bad ward number' WHEN row_number() OVER (PARTITION BY panchayat_id, ward ORDER BY row_no) > 1 THEN 'repeated ward' WHEN NOT final THEN 'no link' END AS error
+        FROM numbers l WHERE panchayat_id IN (SELECT panchayat_id FROM own WHERE error IS NULL))"""
+
+
+def _portal(v, panchayats):
+    """Grid lines, ids with a saved response, ids whose response has a grid."""
+    grid = v.cat_grid.filter("panchayat_id % 37 <> 0 AND panchayat_id % 41 <> 0")
+    grid = grid.select("panchayat_id", "row_no", F.expr(_WRITTEN).alias("ward_text"), F.expr(_HINDI).alias("name"), "final", "supplement")
+    ids = panchayats.select("panchayat_id").distinct()
+    return grid, ids.filter("panchayat_id % 41 <> 0"), ids.filter("panchayat_id % 31 <> 0")
+
+
+@query(f"""WITH {_RURAL}, {_JUDGED.format(panchayats='cat_panchayat')} SELECT district_id, r.samiti_id, samiti, c.panchayat_id, panchayat, ward, supplement
+    FROM judged g JOIN cat_panchayat c ON g.panchayat_id = c.panchayat_id JOIN rural r ON c.samiti_id = r.samiti_id WHERE error IS NULL""")
 def catalogue_assemble(v):
-    return C.assemble(*_levels(v)).select("district_id", "samiti_id", "samiti", "panchayat_id", "panchayat", "ward", "supplement")
+    districts, samitis, panchayats, _ = _levels(v)
+    return C.assemble(districts, samitis, panchayats, *_portal(v, panchayats)).select("district_id", "samiti_id", "samiti", "panchayat_id", "panchayat", "ward", "supplement")
 
 
 @query("""SELECT panchayat_id, CAST(row_number() OVER (PARTITION BY samiti_id ORDER BY left(panchayat, 17), panchayat, CAST(panchayat_id AS VARCHAR)) AS INT) AS place FROM cat_panchayat""")
@@ -205,12 +227,23 @@ def catalogue_documents(v):
     return C.read_shards(shards)
 
 
-@query("""SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, s_name AS name_latin, concat('s-', s_suppkey, '.json') AS file FROM supplier WHERE s_suppkey % 4 <> 0""")
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, n_name AS name_latin, concat(CASE WHEN n_nationkey % 3 = 1 THEN 'new-' ELSE 'd-' END, n_nationkey, '.json') AS file,
+    CASE WHEN n_nationkey % 3 = 1 THEN 'new' ELSE 'old' END AS build FROM nation WHERE n_nationkey % 4 <> 0""")
 def catalogue_index(v):
-    """Index documents, one per nation, written and read back; unsafe file names are dropped."""
-    file = F.when(F.col("s_suppkey") % 4 == 0, F.lit("../up.json")).otherwise(F.concat(F.lit("s-"), "s_suppkey", F.lit(".json")))
-    rows = v.supplier.select("s_nationkey", F.col("s_suppkey").alias("id"), F.lit("").alias("name"), F.col("s_name").alias("name_latin"), file.alias("file"))
-    return C.read_index(C.index_documents(rows, "s_nationkey"))
+    """All districts built, then some of them once more under other names, then read: the index lists what is there; unsafe file names are dropped."""
+    path = f"{shared_folder(v.spark)}/catalogue-{uuid.uuid4().hex}"
+
+    def build(word: str, rows):
+        file = F.when(F.col("n_nationkey") % 4 == 0, F.lit("../up.json")).otherwise(F.concat(F.lit(f"{word}-"), "n_nationkey", F.lit(".json")))
+        build = "new" if word == "new" else "old"
+        return rows.select(F.col("n_nationkey").cast("string").alias("district_id"), F.lit("").alias("name"), F.col("n_name").alias("name_latin"), file.alias("file"), F.lit(build).alias("document"))
+
+    rolls_store.write_catalogue(build("d", v.nation), path)
+    rolls_store.write_catalogue(build("new", v.nation.filter("n_nationkey % 3 = 1")), path, partial=True)
+    listed = rolls_store.read_listing(v.spark, path).withColumn("state", F.lit(1))
+    index = C.read_index(C.index_documents(listed, "state"))
+    documents = rolls_store.read_documents(v.spark, path).select(F.col("district_id").alias("id"), F.col("document").alias("build"))
+    return index.join(documents, "id")
 
 
 _READINGS = "SELECT samiti_id, CASE WHEN panchayat_id % 6 = 0 THEN NULL WHEN panchayat_id % 4 = 1 THEN concat(samiti, ' B') ELSE samiti END AS cover FROM cat_ward WHERE samiti_id % 5 <> 0"
@@ -246,13 +279,11 @@ def catalogue_summary(v):
     return C.summary(v.cat_ward.withColumn("samiti", F.expr(_KINDS)))
 
 
-@query("""SELECT panchayat_id, 'no grid' AS error, '' AS detail FROM (SELECT DISTINCT panchayat_id FROM cat_ward) p WHERE panchayat_id NOT IN (SELECT panchayat_id FROM cat_grid)
-    UNION ALL SELECT panchayat_id, 'names disagree', CAST(count(DISTINCT name) AS VARCHAR) FROM cat_grid GROUP BY panchayat_id HAVING count(DISTINCT name) > 1
-    UNION ALL SELECT panchayat_id, 'bad ward number', ward_text FROM cat_grid WHERE NOT regexp_full_match(ward_text, '[0-9]+') OR ward_text = '0'
-    UNION ALL SELECT panchayat_id, 'repeated ward', ward_text FROM cat_grid GROUP BY panchayat_id, ward_text HAVING count(*) > 1
-    UNION ALL SELECT panchayat_id, 'no link', ward_text FROM cat_grid WHERE NOT final""")
+@query(f"""WITH {_JUDGED.format(panchayats='cat_ward')} SELECT panchayat_id, error, detail FROM own WHERE error IS NOT NULL
+    UNION ALL SELECT panchayat_id, error, CASE WHEN ward IS NULL THEN ward_text ELSE CAST(ward AS VARCHAR) END FROM judged WHERE error IS NOT NULL""")
 def catalogue_errors(v):
-    return C.errors(v.cat_ward, v.cat_grid)
+    """By the first rule that a panchayat breaks, then by line."""
+    return C.errors(v.cat_ward, *_portal(v, v.cat_ward))
 
 
 _SLUG = "trim(regexp_replace(lower(left(s_name, 17)), '[^a-z0-9]+', '-', 'g'), '-')"

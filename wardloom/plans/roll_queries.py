@@ -151,30 +151,42 @@ def facets(v):
 
 # rolls
 
-_MINIMISED = "SELECT ward, serial, name, relative, age, gender, coalesce(house, '') AS house, struck FROM roll"
+_TAGGED = "CASE WHEN pos % 17 = 0 THEN 'deletion' WHEN pos % 13 = 0 THEN 'addition' WHEN pos % 7 = 0 THEN 'other' END"
+_MINIMISED = f"""SELECT ward, serial, name, relative, age, gender, coalesce(house, '') AS house, struck,
+    CASE WHEN pos % 17 = 0 THEN 'deletion' WHEN pos % 13 = 0 THEN 'addition' END AS supplement FROM roll WHERE pos % 19 <> 0"""
+
+
+def _tagged(v):
+    """The roll with supplements' tags, some of no known kind; some serials aren't whole."""
+    serial = F.col("serial") + F.when(F.col("pos") % 19 == 0, F.lit(0.5)).otherwise(F.lit(0.0))
+    return v.roll.withColumns({"supplement": F.expr(_TAGGED), "serial": serial})
 
 
 @query(_MINIMISED)
 def minimise(v):
-    return rolls.minimise(v.roll)
+    return rolls.minimise(_tagged(v))
 
 
-@query(f"SELECT ward, serial, name, age FROM ({_MINIMISED}) m WHERE ward IN (2, 5)")
+@query(f"SELECT ward, serial, name, age FROM ({_MINIMISED}) m WHERE ward IN (2, 5) AND supplement IS DISTINCT FROM 'deletion'")
 def roll_scan(v):
-    """Written by ward and read back for two of them."""
+    """Written by ward and read back for two of them, without deleted entries."""
     path = f"{shared_folder(v.spark)}/rolls-{uuid.uuid4().hex}"
-    store.write_rolls(rolls.minimise(v.roll), path)
-    return store.read_rolls(v.spark, path, [2, 5]).select("ward", "serial", "name", "age")
+    store.write_rolls(rolls.minimise(_tagged(v)), path)
+    return rolls.hide_deletions(store.read_rolls(v.spark, path, [2, 5])).select("ward", "serial", "name", "age")
 
 
-@query("SELECT ward, count(*) AS entries, sum(CASE WHEN ward = 3 THEN 1 ELSE 0 END) AS replaced FROM roll WHERE ward <> 3 OR serial <= 5 GROUP BY ward")
+@query(f"""SELECT ward, count(m.serial) AS entries, count(CASE WHEN supplement = 'deletion' THEN 1 END) AS deletions, CASE WHEN ward = 3 THEN 'merged' WHEN ward = 4 THEN 'failed' ELSE 'none' END AS state,
+    CASE WHEN ward = 3 THEN 'a,b' ELSE '' END AS urls FROM (SELECT DISTINCT ward FROM roll) w LEFT JOIN (SELECT * FROM ({_MINIMISED}) x WHERE ward <> 4 AND (ward <> 3 OR serial <= 5)) m USING (ward) GROUP BY ward""")
 def roll_overwrite(v):
-    """All wards written, then one of them replaced."""
+    """All wards written, then two of them replaced with what their supplements came to, one by nothing."""
     path = f"{shared_folder(v.spark)}/rolls-{uuid.uuid4().hex}"
-    entries = rolls.minimise(v.roll)
+    entries = rolls.minimise(_tagged(v))
     store.write_rolls(entries, path)
-    store.write_rolls(entries.filter("ward = 3 AND serial <= 5").withColumn("supplement", F.lit("addition")), path)
-    return store.read_rolls(v.spark, path).groupBy("ward").agg(F.count("*").alias("entries"), F.count_if(F.col("supplement") == "addition").alias("replaced"))
+    states = v.spark.createDataFrame([(3, "merged", ["a", "b"]), (4, "failed", [])], "ward bigint, state string, urls array<string>")
+    store.write_rolls(entries.filter("ward = 3 AND serial <= 5"), path, states)
+    found = store.read_rolls(v.spark, path).groupBy("ward").agg(F.count("*").alias("entries"), F.count_if(F.col("supplement") == "deletion").alias("deletions"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return store.read_states(v.spark, path).join(found, "ward", "left").select("ward", zero("entries"), zero("deletions"), "state", F.array_join("urls", ",").alias("urls"))
 
 
 _SUPP = """based AS (SELECT ward, serial, pos, name, age, struck, CASE WHEN pos % 17 = 0 THEN 'deletion' END AS tag FROM roll),
@@ -236,11 +248,29 @@ def supp_plan(v):
     return rolls.supplement_plan(listed.withColumn("merged", merged)).select("ward", "plan")
 
 
-@query("""WITH r AS (SELECT *, sum(CASE WHEN is_start THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY pos) AS record FROM lines), l AS (SELECT doc, record, x AS lx, y AS ly, text AS label FROM r WHERE is_start AND record > 0),
-    j AS (SELECT r.doc, r.record, label, pos, text, NOT is_start AND abs(y - ly) < 2 AND x > lx + 1 AS on_row, is_start FROM r JOIN l ON r.doc = l.doc AND r.record = l.record)
-    SELECT doc, record, label, coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (WHERE on_row), '') AS value, sum(CASE WHEN NOT is_start AND NOT on_row THEN 1 ELSE 0 END) AS rest FROM j GROUP BY doc, record, label""")
+_GIVEN = "split_part(name, ' ', 1)"
+_PRINTED_SEX = "CASE WHEN gender = 'F' THEN 'स्त्री' ELSE 'पुरुष' END"
+_PRINTED_EPIC = "CASE WHEN pos % 3 <> 0 THEN concat('RJA', lpad(CAST(pos % 1000000 AS STRING), 6, '0')) END"
+
+
+@query(f"""SELECT ward AS doc, row_number() OVER (PARTITION BY ward ORDER BY serial) AS record, serial, struck, name, CASE WHEN pos % 2 = 0 THEN 'पति' ELSE 'पिता' END AS relation,
+    relative, age, {_PRINTED_SEX} AS gender, house, {_PRINTED_EPIC.replace('STRING', 'VARCHAR')} AS epic, CASE WHEN pos % 5 = 0 THEN 'aside' ELSE '' END AS extra
+    FROM (SELECT ward, serial, pos, name, relative, age, gender, struck, coalesce(CAST(pos % 90 AS VARCHAR), '') AS house FROM roll) r WHERE pos % 29 <> 0""")
 def segment_records(v):
-    return rolls.segment_records(v.lines)
+    """The roll printed as lines, a page to a ward, and read back; entries whose serial wasn't printed are lost."""
+    line = lambda k, x, y, text, bold=False: F.struct(F.lit(k).alias("k"), F.lit(float(x)).alias("x"), (F.col("serial") * 100.0 + y).alias("y"), F.lit(bold).alias("serial_font"), text.alias("text"))
+    t = F.lit
+    printed = F.array(
+        line(0, 0, 0, t("नाम :")), line(1, 5, 0.5, F.expr(_GIVEN)), line(2, 9, 0.3, F.expr(f"CASE WHEN name <> {_GIVEN} THEN substring(name, length({_GIVEN}) + 2) END")),
+        line(3, 0, 10, F.when(F.col("pos") % 2 == 0, "पति का नाम :").otherwise("पिता का नाम")), line(4, 6, 10.5, F.col("relative")),
+        line(5, 0, 20, t("मकान संख्या :")), line(6, 6, 19, (F.col("pos") % 90).cast("string")), line(7, 0, 30, t("आयु :")), line(8, 3, 30, F.col("age").cast("string")),
+        line(9, 6, 30, t("लिंग :")), line(10, 9, 30, F.expr(_PRINTED_SEX)), line(11, 3, 40, F.expr(_PRINTED_EPIC)), line(12, 20, 20, t("Photo is")),
+        line(13, 0, 50, F.when(F.col("pos") % 5 == 0, "aside")), line(14, 1, 60, F.when(F.col("pos") % 29 != 0, F.col("serial").cast("string")), True),
+        line(15, 4, 61, F.when(F.col("struck"), "O"), True), line(16, 4, 70, t("E"), True),
+    )
+    lines = v.roll.select(F.col("ward").alias("doc"), "serial", F.explode(printed).alias("l")).filter("l.text IS NOT NULL")
+    lines = lines.select("doc", (F.col("serial") * 20 + F.col("l.k")).alias("pos"), "l.x", "l.y", "l.serial_font", "l.text")
+    return rolls.segment_records(lines).withColumn("extra", F.array_join("extra", ","))
 
 
 @query("""SELECT l_partkey AS serial, arg_min(l_linenumber, (l_linenumber, l_orderkey, l_suppkey, l_quantity, l_extendedprice)) AS page, arg_min(l_suppkey, (l_linenumber, l_orderkey, l_suppkey, l_quantity, l_extendedprice)) AS name, bool_or(l_returnflag = 'R') AS struck, count(*) AS records

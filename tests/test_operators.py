@@ -1,6 +1,7 @@
 """Operators: literal cases, and laws such as order not mattering."""
 
 import hashlib
+import json
 import random
 
 import pytest
@@ -398,3 +399,42 @@ def test_numbers_and_neighbours_over_ranges(spark):
     for k in "abc":
         mine = sorted(x for key, x in rows if key == k)
         assert [got[k, x] for x in mine] == [(i + 1, mine[i - 1] if i else None) for i in range(len(mine))]
+
+
+def test_a_stored_index_reads_its_grams_buckets(spark, tmp_path):
+    rows = [(w, n, w * 1000 + n, f"{a} {b}", "", "", f"E{w}{n}") for w in (1, 2, 3) for n, (a, b) in enumerate([("golden", "ring"), ("silver", "spoon"), ("gold", "rings"), ("plain", "wood")])]
+    schema = "ward long, serial long, pos long, name string, relative string, house string, epic string"
+    old = spark.createDataFrame([(w, n, p, nm[::-1], r, h, e) for w, n, p, nm, r, h, e in rows], schema)
+    keyed = search.with_keys(spark.createDataFrame(rows, schema))
+    path = str(tmp_path / "index")
+    search.write_index(search.with_keys(old), path)
+    search.write_index(keyed.filter("ward < 3"), path)
+    index = search.read_index(spark, path)
+    ask = lambda i: sorted((r["ward"], r["serial"], r["tier"]) for r in search.search_voters(keyed, "gold ring", index=i).collect())
+    assert ask(index) == [x for x in ask(None) if x[0] < 3] and len(ask(index)) == 2  # ward 3's postings are still the old names'
+    search.write_index(keyed.filter("ward = 3"), path)
+    index = search.read_index(spark, path)
+    assert ask(index) == ask(None)
+    plan = search.search_voters(keyed, "gold ring", index=index)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket#" in plan[plan.index("PartitionFilters: [") :].split("]")[0]
+
+
+def test_trees_are_merged_by_district(spark):
+    d = lambda *x: spark.createDataFrame([(i, f"D{i}") for i in x], "district_id long, district string")
+    s = spark.createDataFrame([(1, 11, "A PANCHAYAT SAMITI"), (1, 12, "B NAGAR PALIKA"), (2, 21, "C PANCHAYAT SAMITI"), (9, 91, "X PANCHAYAT SAMITI")], "district_id long, samiti_id long, samiti string")
+    p = spark.createDataFrame([(11, 112, "p2"), (11, 111, "p1"), (12, 120, "no"), (91, 900, "far")], "samiti_id long, panchayat_id long, panchayat string")
+    read = lambda df: json.loads(df.first()["document"])
+    whole = catalogue.tree(d(1, 2, 3), s, p, ["n"])
+    doc = read(whole)
+    assert doc["counts"] == {"districts": 3, "samitis": 2, "panchayats": 2, "urban": 1, "zillaParishad": 0, "other": 0} and doc["notes"] == ["n"]
+    assert doc["districts"][0]["samitis"] == [
+        {"id": "11", "name": "A PANCHAYAT SAMITI", "kind": "rural", "panchayats": [{"id": "111", "name": "p1"}, {"id": "112", "name": "p2"}]},
+        {"id": "12", "name": "B NAGAR PALIKA", "kind": "urban", "panchayats": []},
+    ]
+    assert doc["districts"][2] == {"id": "3", "name": "D3", "samitis": []}
+    part = catalogue.tree(d(9, 1), s, p.filter("panchayat_id <> 112"), ["m"])
+    merged = read(catalogue.merge_trees(whole, part))
+    assert [x["id"] for x in merged["districts"]] == ["1", "2", "3", "9"] and merged["notes"] == ["n"] and merged["counts"]["districts"] == 2
+    assert len(merged["districts"][0]["samitis"][0]["panchayats"]) == 1
+    urls = spark.createDataFrame([('{"districts":[{"samitis":[{"panchayats":[{"wards":[{"pdfUrl":"https://a","supplementPdfUrls":["https://b","http://c",null]},{"pdfUrl":null},null]},{}]},{}]},{}]}',), ("{}",)], "document string")
+    assert sorted(r["url"] for r in catalogue.allowed_urls(urls).collect()) == ["https://a", "https://b"]

@@ -201,6 +201,64 @@ def nested(wards: DataFrame) -> DataFrame:
     return s.select("district_id", "samiti_id", F.to_json(document).alias("document"))
 
 
+_P = "struct<id:string,name:string>"
+_S = f"struct<id:string,name:string,kind:string,panchayats:array<{_P}>>"
+TREE = f"schemaVersion int, counts struct<districts:bigint,samitis:bigint,panchayats:bigint,urban:bigint,zillaParishad:bigint,other:bigint>, notes array<string>, districts array<struct<id:string,name:string,samitis:array<{_S}>>>"
+
+
+def tree(districts: DataFrame, samitis: DataFrame, panchayats: DataFrame, notes: list[str]) -> DataFrame:
+    """The whole catalogue as one JSON document (a state's, some ten thousand names), with notes and counts.
+
+    ``districts`` has district_id and district, ``samitis`` district_id, samiti_id and samiti, ``panchayats``
+    samiti_id, panchayat_id and panchayat.  Only rural samitis list panchayats; the others are counted by kind.
+    """
+    text = lambda c: F.col(c).cast("string")
+    kinds = samitis.join(districts, "district_id").withColumn("entry", X.entry_kind(F.col("samiti")))
+    kind = F.when(F.col("entry") == "rural", "rural").when(F.col("entry") == "urban", "urban").otherwise("unknown")
+    inside = panchayats.join(kinds.filter("entry = 'rural'").select("samiti_id"), "samiti_id")
+    leaf = F.struct(text("panchayat_id").alias("id"), F.col("panchayat").alias("name"))
+    below = inside.groupBy("samiti_id").agg(F.sort_array(F.collect_list(F.struct("panchayat_id", leaf.alias("p")))).alias("ps"))
+    listed = F.coalesce(F.transform("ps", lambda x: x["p"]), F.array().cast(f"array<{_P}>"))
+    s = kinds.join(below, "samiti_id", "left").select("district_id", "samiti_id", F.struct(text("samiti_id").alias("id"), F.col("samiti").alias("name"), kind.alias("kind"), listed.alias("panchayats")).alias("s"))
+    s = s.groupBy("district_id").agg(F.sort_array(F.collect_list(F.struct("samiti_id", "s"))).alias("ss"))
+    ss = F.coalesce(F.transform("ss", lambda x: x["s"]), F.array().cast(f"array<{_S}>"))
+    d = districts.join(s, "district_id", "left").select("district_id", F.struct(text("district_id").alias("id"), F.col("district").alias("name"), ss.alias("samitis")).alias("d"))
+    whole = d.agg(F.sort_array(F.collect_list(F.struct("district_id", "d"))).alias("ds"), F.count("*").alias("n"))
+    of = lambda k: F.count_if(F.col("entry") == k)
+    counts = kinds.agg(of("rural").alias("samitis"), of("urban").alias("urban"), of("zillaParishad").alias("zillaParishad"), of("other").alias("other"))
+    one = lambda df: df.withColumn("__one", F.lit(1))
+    row = one(whole).join(one(counts), "__one").join(one(inside.agg(F.count("*").alias("panchayats"))), "__one")
+    counted = F.struct(F.col("n").alias("districts"), "samitis", "panchayats", "urban", "zillaParishad", "other")
+    said = F.array(*(F.lit(n) for n in notes)).cast("array<string>")
+    return row.select(F.to_json(F.struct(F.lit(VERSION).alias("schemaVersion"), counted.alias("counts"), said.alias("notes"), F.transform("ds", lambda x: x["d"]).alias("districts"))).alias("document"))
+
+
+def merge_trees(earlier: DataFrame, built: DataFrame) -> DataFrame:
+    """An earlier tree with the districts of a partial build in their places, new ones after them; the earlier notes stay.
+
+    Both are (document) of one row; counts are those of the build.
+    """
+    parse = lambda df, name: df.select(F.from_json("document", TREE).alias(name), F.lit(1).alias("__one"))
+    both = parse(earlier, "old").join(parse(built, "new"), "__one")
+    by_id = lambda c: F.map_from_entries(F.transform(c, lambda d: F.struct(d["id"], d)))
+    both = both.withColumns({"fresh": by_id(F.col("new.districts")), "known": F.transform("old.districts", lambda d: d["id"])})
+    kept = F.transform("old.districts", lambda d: F.coalesce(F.element_at("fresh", d["id"]), d))
+    added = F.filter("new.districts", lambda d: ~F.array_contains("known", d["id"]))
+    notes = F.coalesce("old.notes", "new.notes")
+    return both.select(F.to_json(F.struct("new.schemaVersion", "new.counts", notes.alias("notes"), F.concat(kept, added).alias("districts"))).alias("document"))
+
+
+def allowed_urls(trees: DataFrame, column: str = "document") -> DataFrame:
+    """The distinct https URLs of a config tree's wards, through its four levels: each ward's own and its supplements'."""
+    ward = "struct<pdfUrl:string,supplementPdfUrls:array<string>>"
+    kind = f"districts array<struct<samitis:array<struct<panchayats:array<struct<wards:array<{ward}>>>>>>>"
+    level = trees.select(F.explode(F.from_json(column, kind)["districts"]).alias("x"))
+    for below in ("samitis", "panchayats", "wards"):
+        level = level.select(F.explode(f"x.{below}").alias("x"))
+    urls = F.concat(F.array("x.pdfUrl"), F.coalesce("x.supplementPdfUrls", F.array().cast("array<string>")))
+    return level.select(F.explode(urls).alias("url")).filter("url LIKE 'https://%'").distinct()
+
+
 # The version of catalogue documents, and names that a document's file may have.
 VERSION = 1
 SHARD_FILE = "^[a-z0-9][a-z0-9-]*\\.json$"

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from wardloom.functions import spans
 from wardloom.functions import text as X
-from wardloom.sources.shared import shared_folder
+from wardloom.sources import builds
+from wardloom.sources.shared import own_path
 
 # The fields in rank order, how each is keyed, and the tiers.
 FIELDS = (("name", X.phonetic_key), ("relative", X.phonetic_key), ("house", X.phonetic_key), ("serial", X.code_key), ("epic", X.code_key))
@@ -88,6 +89,8 @@ def gram_candidates(index: DataFrame, id_col: str, query: str, corpus: DataFrame
             raise ValueError("a key this short needs the corpus, for a full scan")
         return corpus.filter(F.col(key).contains(query)).select(id_col)
     wanted = sorted({query[i : i + GRAM] for i in range(len(query) - GRAM + 1)})
+    if "bucket" in index.columns:
+        index = index.filter(F.col("bucket").isin(sorted({bucket_of(g) for g in wanted})))
     return index.filter(F.col("gram").isin(wanted)).groupBy(id_col).agg(F.count("*").alias("n")).filter(F.col("n") == len(wanted)).select(id_col)
 
 
@@ -97,6 +100,32 @@ def gram_index(keyed: DataFrame, id_col: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+#: Buckets of grams in a stored index; within one, files are in order of grams, so statistics prune further.
+GRAM_BUCKETS = 16
+
+
+def bucket_of(gram: str) -> int:
+    """The bucket of a gram: as ``crc32`` gives it in Spark."""
+    return zlib.crc32(gram.encode("utf-8")) % GRAM_BUCKETS
+
+
+def write_index(keyed: DataFrame, path: str, id_col: str = "pos", ward: str = "ward", partial: bool = True) -> int:
+    """Stores the postings of the wards that ``keyed`` (see ``with_keys``) holds, in buckets of grams, by one commit.
+
+    Postings that an earlier commit has of these wards are no longer read;
+    those of other wards stay as they are.
+    """
+    found = [grams(keyed.withColumn("__id", F.struct(ward, id_col)), "__id", f"k_{field}").withColumn("code", F.lit(key is X.code_key)) for field, key in FIELDS]
+    rows = reduce(DataFrame.unionByName, found).distinct().select(f"__id.{ward}", f"__id.{id_col}", "gram", "code")
+    rows = rows.withColumn("bucket", (F.crc32(F.encode("gram", "UTF-8")) % GRAM_BUCKETS).cast("int"))
+    return builds.commit(rows, keyed.select(ward).distinct(), path, [ward], ["gram", id_col], partial, ["bucket"])
+
+
+def read_index(spark: SparkSession, path: str, id_col: str = "pos", ward: str = "ward") -> DataFrame:
+    """(ward, id, gram, code, bucket): the current postings; a search reads its own grams' buckets alone."""
+    return builds.read(spark, path, f"{ward} bigint, {id_col} bigint, gram string, code boolean, bucket int", [ward])
+
+
 def likely(keyed: DataFrame, index: DataFrame, id_col: str, phonetic: str, code: str) -> DataFrame:
     """The rows of ``keyed`` that hold all grams of either key of a query; all rows, if a key is too short for grams."""
     if any(0 < len(q) < GRAM for q in (phonetic, code)):
@@ -245,10 +274,12 @@ def _tiers_here(corpus: DataFrame, id_col: str, key: str, queries: DataFrame, qu
     by_code: dict[int, list[tuple]] = {}
     for query, text, code in rows:
         by_code.setdefault(code, []).append((query, text))
-    wanted = np.zeros(1 << 24, bool)
-    wanted[list(by_code)] = True
+    flags = np.zeros(1 << 24, bool)
+    flags[list(by_code)] = True
+    packed = np.packbits(flags)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(packed).view(bool)
         for batch in batches:
             keys = batch.column(1).to_pylist()
             at, codes = _codes(keys)
@@ -268,6 +299,17 @@ def _tiers_here(corpus: DataFrame, id_col: str, key: str, queries: DataFrame, qu
     return corpus.select(id_col, key).mapInArrow(run, f"`{id_col}` {kind}, `{query_col}` {query_kind}, tier int")
 
 
+#: Parts of the queries that a row of the corpus meets, in a large batch.
+PARTS = 32
+
+
+def _flags(rows: DataFrame) -> np.ndarray:
+    """A bit for each of the 2 ** 24 possible grams: whether ``code`` has it (64 MB of numbers on the way, at most)."""
+    flags = np.zeros(1 << 24, bool)
+    flags[rows.select("code").distinct().toArrow().column(0).to_numpy()] = True
+    return np.packbits(flags)
+
+
 def batch_search(
     corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str, query_col: str, key: str = "key", small: int = SMALL_BATCH
 ) -> DataFrame:
@@ -282,13 +324,11 @@ def batch_search(
     """
     spark = corpus.sparkSession
     asked = _query_codes(queries, query_col, key)
-    flags = np.zeros(1 << 24, bool)
-    flags[[r[0] for r in asked.select("code").distinct().collect()]] = True  # 2 ** 24 grams at most
-    counts = _gram_counts(corpus, key, np.packbits(flags))
+    counts = _gram_counts(corpus, key, _flags(asked))
     order = F.struct(F.coalesce("n", F.lit(0)), "code")
     rarest = asked.join(counts, "code", "left").groupBy(query_col).agg(F.min_by("code", order).alias("code"))
     rarest = rarest.join(queries.select(query_col, F.col(key).alias("q")), query_col)
-    path = f"{shared_folder(spark)}/rarest-{uuid.uuid4().hex}"
+    path = own_path(spark, "rarest")
     rarest.select(query_col, "q", "code").write.parquet(path)
     rarest = spark.read.schema(rarest.select(query_col, "q", "code").schema).parquet(path)
     size = rarest.agg(F.sum(F.octet_length("q") + 64)).first()[0] or 0
@@ -296,12 +336,19 @@ def batch_search(
         rows = [tuple(r) for r in rarest.collect()]
         found = _tiers_here(corpus, id_col, key, queries, query_col, rows)
     else:
-        flags[:] = False
-        flags[[r[0] for r in rarest.select("code").distinct().collect()]] = True
-        met = _holders(corpus, id_col, key, np.packbits(flags)).join(rarest, "code")
-        c, q = F.col(key), F.col("q")
-        t = F.when(c == q, EXACT).when(c.startswith(q), PREFIX).when(c.contains(F.concat(F.lit(" "), q)), WORD_PREFIX).when(c.contains(q), SUBSTRING)
-        found = met.join(corpus.select(id_col, key), id_col).withColumn("tier", t).filter("tier IS NOT NULL")
+        met = _holders(corpus, id_col, key, _flags(rarest)).join(rarest, "code")
+        part = F.pmod(F.xxhash64(query_col), F.lit(PARTS))  # a row that many queries may match has them in parts
+        by_row = met.groupBy(id_col, part.alias("__part")).agg(F.collect_list(F.struct(query_col, "q")).alias("__asked"))
+        whole = by_row.join(corpus.select(id_col, key), id_col)  # so a key moves once for each part, not for each query
+        c = F.col(key)
+
+        def tier_of(a: Column) -> Column:
+            q = a["q"]
+            t = F.when(c == q, EXACT).when(c.startswith(q), PREFIX).when(c.contains(F.concat(F.lit(" "), q)), WORD_PREFIX).when(c.contains(q), SUBSTRING)
+            return F.struct(a[query_col].alias(query_col), t.alias("tier"))
+
+        hits = F.filter(F.transform("__asked", tier_of), lambda h: h["tier"].isNotNull())
+        found = whole.select(id_col, F.explode(hits).alias("h")).select(id_col, f"h.{query_col}", "h.tier")
     best = Window.partitionBy(query_col).orderBy("tier", id_col)
     return found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).select(query_col, "place", id_col, "tier")
 

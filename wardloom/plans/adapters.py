@@ -7,11 +7,21 @@ and its oracle start from the same rows.  ``{name}`` is a table of the driver.
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardloom.operators.ranking import numbered
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+#: Tables with a number within a key: name to (table, rows, key, order, number).  DuckDB has them as windows, Spark by ranges of
+#: the order column, so that no key is numbered by one task.
+NUMBERED = {
+    "customer_n": ("customer", "SELECT * FROM {customer}", "c_nationkey", "c_custkey", "n_serial"),
+    "event_n": ("events", "SELECT *, concat('t', CAST(user_id % 5 AS STRING)) AS candidate FROM {events}", "candidate", "event_id", "n_seq"),
+}
+
 VIEWS: dict[str, str] = {
     "roll": """
         SELECT ward, serial, pos, name, relative, age, gender, ward * 10 + CAST(FLOOR(serial / 400.0) AS BIGINT) + 1 AS booth,
@@ -19,16 +29,16 @@ VIEWS: dict[str, str] = {
                 WHEN pos % 7 = 2 THEN concat(' ', CAST(n AS STRING), ' ') WHEN pos % 7 = 3 THEN concat(CAST(n AS STRING), ' / 2')
                 WHEN pos % 7 = 4 THEN concat(CAST(n AS STRING), '/२') WHEN pos % 7 = 5 THEN concat(CAST(n AS STRING), 'A') ELSE concat(CAST(n AS STRING), 'a') END AS house,
             CASE WHEN pos % 3 = 0 THEN NULL ELSE concat('RJ', lpad(CAST(pos AS STRING), 7, '0')) END AS epic, pos % 11 = 0 AS struck
-        FROM (SELECT CAST(c_nationkey + 1 AS BIGINT) AS ward, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS BIGINT) AS serial,
+        FROM (SELECT CAST(c_nationkey + 1 AS BIGINT) AS ward, CAST(n_serial AS BIGINT) AS serial,
                 c_custkey AS pos, p_name AS name, p_type AS relative, CASE WHEN c_custkey % 37 = 0 THEN NULL ELSE CAST(18 + c_custkey % 70 AS INT) END AS age,
                 CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender, CAST(CAST(FLOOR(c_custkey / 200.0) AS BIGINT) + 1 AS INT) AS n
-            FROM {customer} JOIN {part} ON p_partkey = c_custkey) numbered""",
+            FROM customer_n JOIN {part} ON p_partkey = c_custkey) numbered""",
     "supp": """
         SELECT roll.ward, CASE WHEN o_custkey % 13 = 0 THEN serial + 100000 ELSE serial END AS serial, CAST(year(o_orderdate) AS INT) AS pub,
             o_orderkey AS pos, concat(name, ' ', CAST(o_orderkey % 5 AS STRING)) AS name, o_orderstatus = 'F' AS struck
         FROM {orders} JOIN roll ON o_custkey = roll.pos""",
     "sync_log": """
-        SELECT candidate, CAST(row_number() OVER (PARTITION BY candidate ORDER BY event_id) AS BIGINT) AS seq, updated_at, device, event_id,
+        SELECT candidate, CAST(n_seq AS BIGINT) AS seq, updated_at, device, event_id,
             CASE kind WHEN 'none' THEN concat('mark:', w) ELSE concat(kind, ':', w, ':', CAST(s AS STRING)) END AS id,
             CASE WHEN event_id % 23 = 0 THEN '' ELSE concat('ct', CAST(event_id AS STRING)) END AS ciphertext,
             CASE WHEN event_id % 29 = 0 THEN NULL ELSE concat('iv', CAST(event_id AS STRING)) END AS iv,
@@ -39,10 +49,10 @@ VIEWS: dict[str, str] = {
                     CASE WHEN event_id % 37 = 0 THEN '"12"' WHEN event_id % 4 = 0 THEN 'null' ELSE concat('"098', lpad(CAST(event_id AS STRING), 8, '0'), '"') END,
                     CASE WHEN event_id % 7 = 0 THEN ',"revoked":true' ELSE '' END, ',"consentAt":"', CASE WHEN event_id % 53 = 0 THEN '' ELSE concat('e', CAST(event_id AS STRING)) END, '"}')
                 ELSE '{}' END AS data
-        FROM (SELECT concat('t', CAST(user_id % 5 AS STRING)) AS candidate, event_id, user_id AS device, ts AS updated_at,
+        FROM (SELECT candidate, n_seq, event_id, user_id AS device, ts AS updated_at,
                 CAST(event_id % 7 + 1 AS STRING) AS w, 1 + CAST(FLOOR(value) AS BIGINT) AS s,
                 CASE WHEN event_type IN ('click', 'view') THEN 'mark' WHEN event_type IN ('purchase', 'signup') THEN 'contact' ELSE 'none' END AS kind
-            FROM {events}) keyed""",
+            FROM event_n) keyed""",
     "marks": """
         SELECT candidate, CAST(split_part(id, ':', 2) AS BIGINT) AS ward, CAST(split_part(id, ':', 3) AS BIGINT) AS serial,
             concat('w', CAST(device % 20 AS STRING)) AS worker, updated_at AS marked_at, seq
@@ -87,21 +97,22 @@ VIEWS: dict[str, str] = {
 
 
 def _needs(sql: str) -> list[str]:
-    return [v for v in VIEWS if re.search(rf"\b(FROM|JOIN)\s+{v}\b", sql)]
+    return [v for v in (*NUMBERED, *VIEWS) if re.search(rf"\b(FROM|JOIN)\s+{v}\b", sql)]
 
 
-def _with(sql: str, place) -> str:
-    """``sql`` after a WITH of the views it reads, and those that they read."""
-    wanted: list[str] = []
+def _with(sql: str, place, numbered) -> str:
+    """``sql`` after a WITH of the views it reads, and those that they read; ``numbered`` gives the text of a numbered table."""
+    wanted: dict[str, str] = {}
 
     def add(text: str) -> None:
         for v in _needs(text):
             if v not in wanted:
-                add(VIEWS[v])
-                wanted.append(v)
+                body = VIEWS[v] if v in VIEWS else numbered(v)
+                add(body)
+                wanted[v] = body
 
     add(sql)
-    ctes = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in wanted)
+    ctes = ",\n".join(f"{v} AS ({body})" for v, body in wanted.items())
     # a text that has a WITH of its own goes on with it
     head = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql, flags=re.I)
     kind = "WITH RECURSIVE" if head and head[1] else "WITH"
@@ -111,11 +122,24 @@ def _with(sql: str, place) -> str:
 
 def oracle(sql: str) -> str:
     """SQL for DuckDB, where the driver's tables are views."""
-    return _with(sql, lambda t: t)
+
+    def window(name: str) -> str:
+        _, rows, key, order, number = NUMBERED[name]
+        return f"SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS {number} FROM ({rows}) r"
+
+    return _with(sql, lambda t: t, window)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view of this module, or a table of the driver."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(_with(f"SELECT * FROM {name}", lambda t: f"parquet.`{sf_dir}/{t}.parquet`"))
+    path = lambda t: f"parquet.`{sf_dir}/{t}.parquet`"
+
+    def by_ranges(name: str) -> str:
+        table, rows, key, order, number = NUMBERED[name]
+        made = f"wardloom_{name}_{zlib.crc32(sf_dir.encode())}"
+        numbered(spark.sql(rows.format(**{table: path(table)})), [key], order, number).createOrReplaceTempView(made)
+        return f"SELECT * FROM {made}"
+
+    return spark.sql(_with(f"SELECT * FROM {name}", path, by_ranges))

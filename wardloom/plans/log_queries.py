@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from wardloom.plans.text_queries import BASE, _CONTACTS, _KIND, _MESSAGES, _PAYL
 from wardloom.functions import text as X
 from wardloom.sources import pages as P
 from wardloom.sources import rolls as rolls_store
-from wardloom.sources.shared import shared_folder
+from wardloom.sources.shared import own_path
 from wardloom.streaming import jobs
 
 book = Book()
@@ -231,7 +230,7 @@ def catalogue_documents(v):
     CASE WHEN n_nationkey % 3 = 1 THEN 'new' ELSE 'old' END AS build FROM nation WHERE n_nationkey % 4 <> 0""")
 def catalogue_index(v):
     """All districts built, then some of them once more under other names, then read: the index lists what is there; unsafe file names are dropped."""
-    path = f"{shared_folder(v.spark)}/catalogue-{uuid.uuid4().hex}"
+    path = own_path(v.spark, "catalogue")
 
     def build(word: str, rows):
         file = F.when(F.col("n_nationkey") % 4 == 0, F.lit("../up.json")).otherwise(F.concat(F.lit(f"{word}-"), "n_nationkey", F.lit(".json")))
@@ -368,15 +367,37 @@ def struck_marks(v):
     return rolls.struck_marks(marked)
 
 
-@query(f"SELECT DISTINCT {_URL} AS url FROM cat_ward WHERE final")
+@query(f"SELECT DISTINCT url FROM (SELECT {_URL} AS url FROM cat_ward WHERE final UNION ALL SELECT concat({_URL}, '?s') FROM cat_ward WHERE supplement) u")
 def allowed_urls(v):
-    """URLs flattened from trees, one per samiti, of panchayats and wards."""
+    """URLs of a config tree of districts, samitis, panchayats and wards, supplements' too."""
     url = X.ward_url(BASE, F.col("samiti_id"), F.col("panchayat"), F.col("ward"))
-    leaf = v.cat_ward.withColumn("url", F.when(F.col("final"), url))
-    leaves = leaf.groupBy("samiti_id", "panchayat_id").agg(F.collect_list(F.struct("ward", "url")).alias("wards"))
-    tree = leaves.groupBy("samiti_id").agg(F.collect_list(F.struct("panchayat_id", "wards")).alias("panchayats"))
-    flat = tree.select(F.explode_outer("panchayats").alias("p")).select(F.explode_outer("p.wards").alias("w")).select("w.url")
-    return flat.filter("url LIKE 'https://%'").distinct()
+    more = F.when(F.col("supplement"), F.array(F.concat(url, F.lit("?s")), F.lit("http://plain"))).otherwise(F.array().cast("array<string>"))
+    leaf = v.cat_ward.withColumn("w", F.struct(F.when(F.col("final"), url).alias("pdfUrl"), more.alias("supplementPdfUrls")))
+    p = leaf.groupBy("district_id", "samiti_id", "panchayat_id").agg(F.collect_list("w").alias("wards"))
+    s = p.groupBy("district_id", "samiti_id").agg(F.collect_list(F.struct("wards")).alias("panchayats"))
+    d = s.groupBy("district_id").agg(F.collect_list(F.struct("panchayats")).alias("samitis"))
+    return C.allowed_urls(d.select(F.to_json(F.struct(F.array(F.struct("samitis")).alias("districts"))).alias("document")))
+
+
+_TREE_P = """p AS (SELECT r.district_id, r.samiti_id, string_agg(concat('{{"id":"', c.panchayat_id, '","name":"', {name}, '"}}'), ',' ORDER BY c.panchayat_id) AS ps, count(*) AS n FROM rural r JOIN cat_panchayat c ON c.samiti_id = r.samiti_id GROUP BY ALL),
+    s AS (SELECT district_id, string_agg(concat('{{"id":"', samiti_id, '","name":"', samiti, '","kind":"', CASE k WHEN 'rural' THEN 'rural' WHEN 'urban' THEN 'urban' ELSE 'unknown' END, '","panchayats":[', coalesce(ps, ''), ']}}'), ',' ORDER BY samiti_id) AS ss
+        FROM (SELECT c.*, {kind} AS k FROM cat_samiti c) c LEFT JOIN p USING (district_id, samiti_id) GROUP BY district_id)"""
+
+
+@query(f"""WITH {_RURAL}, {_TREE_P.format(name="CASE WHEN r.district_id = 2 THEN concat(c.panchayat, ' N') ELSE c.panchayat END", kind=_KIND('samiti'))},
+    d AS (SELECT CASE WHEN r_regionkey = 3 THEN 1 ELSE 0 END AS late, r_regionkey, concat('{{"id":"', r_regionkey, '","name":"', r_name, '","samitis":[', coalesce(ss, ''), ']}}') AS doc FROM region LEFT JOIN s ON r_regionkey = s.district_id),
+    k AS (SELECT samiti_id, {_KIND('samiti')} AS k FROM cat_samiti WHERE district_id IN (2, 3))
+    SELECT concat('{{"schemaVersion":1,"counts":{{"districts":2,"samitis":', count(*) FILTER (k = 'rural'), ',"panchayats":', (SELECT count(*) FROM cat_panchayat c JOIN rural r ON c.samiti_id = r.samiti_id WHERE r.district_id IN (2, 3)),
+        ',"urban":', count(*) FILTER (k = 'urban'), ',"zillaParishad":', count(*) FILTER (k = 'zillaParishad'), ',"other":', count(*) FILTER (k = 'other'), '}},"notes":["first"],"districts":[',
+        (SELECT string_agg(doc, ',' ORDER BY late, r_regionkey) FROM d), ']}}') AS document FROM k""")
+def catalogue_tree(v):
+    """A tree of all districts but one, into which a partial build of two is merged: one in its place, the new one at the end."""
+    districts = v.region.select(F.col("r_regionkey").cast("bigint").alias("district_id"), F.col("r_name").alias("district"))
+    new = v.cat_panchayat.withColumn("samiti_name", F.lit(None)).join(v.cat_samiti.filter("district_id = 2").select("samiti_id", F.lit(True).alias("two")), "samiti_id", "left")
+    new = new.withColumn("panchayat", F.when(F.col("two"), F.concat("panchayat", F.lit(" N"))).otherwise(F.col("panchayat")))
+    earlier = C.tree(districts.filter("district_id <> 3"), v.cat_samiti, v.cat_panchayat, ["first"])
+    built = C.tree(districts.filter("district_id IN (2, 3)"), v.cat_samiti, new, ["second"])
+    return C.merge_trees(earlier, built)
 
 
 @query("""SELECT DISTINCT path, found FROM (SELECT concat(CAST(district_id AS VARCHAR), '/', CAST(samiti_id AS VARCHAR), '/', CAST(panchayat_id AS VARCHAR), '/', CAST(ward AS VARCHAR)) AS path, true AS found FROM cat_ward
@@ -434,7 +455,7 @@ _SOUND = "event_id % 23 <> 0 AND event_id % 29 <> 0"
 
 def _logged(v, name: str, files: int = 6):
     """The log as a folder of files, in order of arrival, and a stream over it."""
-    root = f"{shared_folder(v.spark)}/{name}-{uuid.uuid4().hex}"
+    root = own_path(v.spark, name)
     times = F.col("updated_at").cast("timestamp").alias("updated_at")
     rows = v.sync_log.select("candidate", "seq", "id", times, "device", "ciphertext", "iv", "data")
     rows.repartitionByRange(files, "updated_at").write.parquet(f"{root}/log")
@@ -496,7 +517,7 @@ def stream_contacts(v):
     SELECT candidate, ward, serial, CASE WHEN NOT inside THEN 'outside' WHEN i = 0 AND NOT known THEN 'new' ELSE 'duplicate' END AS state FROM r""")
 def stream_sms(v):
     """Half the log synced, then every mark sent as messages, some workers' twice: each serial new, marked before, or outside the roll."""
-    root = f"{shared_folder(v.spark)}/sms-{uuid.uuid4().hex}"
+    root = own_path(v.spark, "sms")
     half = v.sync_log.filter("seq % 2 = 0").withColumn("updated_at", F.col("updated_at").cast("timestamp"))
     half.select("candidate", "seq", "id", "updated_at", "device", "ciphertext", "iv", "data").repartition(2).write.parquet(f"{root}/log")
     sms = tally.encode_messages(v.marks)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,7 +10,7 @@ from wardloom.operators import calls, households as H, rolls, search, tally
 from wardloom.plans.book import Book
 from wardloom.plans.text_queries import _HOUSE, phonetic_sql
 from wardloom.sources import rolls as store
-from wardloom.sources.shared import shared_folder
+from wardloom.sources.shared import own_path
 
 book = Book()
 query = book.query
@@ -96,12 +95,13 @@ def jump_lookup(v):
 
 @query(search_sql("sml ring", "smallring"))
 def indexed_search(v):
-    """The same search over all wards, comparing only rows that an index of grams finds likely."""
+    """The same search over all wards by a stored index, some of whose wards were replaced: only its grams' buckets are read."""
     keyed = search.with_keys(v.roll)
-    path = f"{shared_folder(v.spark)}/roll-grams-{uuid.uuid4().hex}"
-    search.gram_index(keyed, "pos").write.parquet(path)
-    index = v.spark.read.schema("pos bigint, gram string, code boolean").parquet(path)
-    return search.search_voters(keyed, "small ring", index=index).select("ward", "serial", "tier", "rank")
+    path = own_path(v.spark, "roll-grams")
+    search.write_index(search.with_keys(v.roll.withColumn("name", F.reverse("name"))), path)
+    search.write_index(keyed, path)
+    search.write_index(keyed.filter("ward IN (3, 4)"), path)
+    return search.search_voters(keyed, "small ring", index=search.read_index(v.spark, path)).select("ward", "serial", "tier", "rank")
 
 
 @query("SELECT ward, serial, count(*) OVER () >= 50 AS capped FROM (SELECT ward, serial FROM roll WHERE contains(CAST(serial AS VARCHAR), '1') AND ward <= 2 ORDER BY CAST(serial AS VARCHAR) <> '1', NOT starts_with(CAST(serial AS VARCHAR), '1'), ward, serial LIMIT 50) x")
@@ -124,7 +124,7 @@ _PASSAGES = f"""WITH q AS (SELECT item_id, {phonetic_sql('text')} AS q FROM benc
 
 def _passages(v, **how):
     """The documents' keys are stored once, as a corpus that is searched often would have them."""
-    path = f"{shared_folder(v.spark)}/keys-{uuid.uuid4().hex}"
+    path = own_path(v.spark, "keys")
     v.documents.select("doc_id", X.phonetic_key(F.col("text")).alias("key")).write.parquet(path)
     corpus = v.spark.read.schema("doc_id bigint, key string").parquet(path)
     asked = v.benchmark.select("item_id", X.phonetic_key(F.col("text")).alias("key")).filter(F.length("key") >= search.GRAM)
@@ -170,7 +170,7 @@ def minimise(v):
 @query(f"SELECT ward, serial, name, age FROM ({_MINIMISED}) m WHERE ward IN (2, 5) AND supplement IS DISTINCT FROM 'deletion'")
 def roll_scan(v):
     """Written by ward and read back for two of them, without deleted entries."""
-    path = f"{shared_folder(v.spark)}/rolls-{uuid.uuid4().hex}"
+    path = own_path(v.spark, "rolls")
     store.write_rolls(rolls.minimise(_tagged(v)), path)
     return rolls.hide_deletions(store.read_rolls(v.spark, path, [2, 5])).select("ward", "serial", "name", "age")
 
@@ -179,7 +179,7 @@ def roll_scan(v):
     CASE WHEN ward = 3 THEN 'a,b' ELSE '' END AS urls FROM (SELECT DISTINCT ward FROM roll) w LEFT JOIN (SELECT * FROM ({_MINIMISED}) x WHERE ward <> 4 AND (ward <> 3 OR serial <= 5)) m USING (ward) GROUP BY ward""")
 def roll_overwrite(v):
     """All wards written, then two of them replaced with what their supplements came to, one by nothing."""
-    path = f"{shared_folder(v.spark)}/rolls-{uuid.uuid4().hex}"
+    path = own_path(v.spark, "rolls")
     entries = rolls.minimise(_tagged(v))
     store.write_rolls(entries, path)
     states = v.spark.createDataFrame([(3, "merged", ["a", "b"]), (4, "failed", [])], "ward bigint, state string, urls array<string>")
@@ -376,6 +376,11 @@ def ward_counts(v):
     return tally.ward_counts(v.marks, v.marks.filter("serial % 10 = 0"))
 
 
+@query(f"SELECT candidate, ward, serial, worker, seq FROM ({_FIRST}) f ORDER BY candidate, ward, serial")
+def sorted_marks(v):
+    return tally.sorted_marks(v.marks.select("candidate", "ward", "serial", "worker", "seq")).select("candidate", "ward", "serial", "worker", "seq")
+
+
 @query(f"SELECT candidate, ward, worker, count(*) AS voters FROM ({_FIRST}) f WHERE (ward, serial) IN (SELECT (ward, serial) FROM roll WHERE NOT struck) GROUP BY candidate, ward, worker")
 def worker_counts(v):
     return tally.worker_counts(v.marks, v.roll)

@@ -35,16 +35,17 @@ def manifest(spark: SparkSession, path: str, number: int | None = None) -> DataF
     return spark.read.parquet(f"{path}/manifests/n={numbers[-1] if number is None else number}")
 
 
-def commit(rows: DataFrame, keys: DataFrame, path: str, by: list[str], order: list[str], partial: bool) -> int:
+def commit(rows: DataFrame, keys: DataFrame, path: str, by: list[str], order: list[str], partial: bool, folders: list[str] | None = None) -> int:
     """Replaces keys by one commit and returns its number.
 
     ``keys`` has a row for each key (columns ``by``) that this build replaces,
     with or without rows, and any columns that are to be known of it.  A partial
-    build leaves the other keys as they are, a full one removes them.
+    build leaves the other keys as they are, a full one removes them.  The
+    files lie in folders by ``folders`` (by the key, if not given).
     """
-    spark, build = rows.sparkSession, uuid.uuid4().hex
-    ordered = rows.repartition(*by).sortWithinPartitions(*by, *order)
-    ordered.write.partitionBy(*by).parquet(f"{path}/files/build={build}")
+    spark, build, within = rows.sparkSession, uuid.uuid4().hex, folders or by
+    ordered = rows.repartition(*within).sortWithinPartitions(*within, *order)
+    ordered.write.partitionBy(*within).parquet(f"{path}/files/build={build}")
     numbers = _numbers(spark, path)
     entries = keys.withColumn("build", F.lit(build))
     if partial and numbers:
@@ -61,10 +62,10 @@ def commit(rows: DataFrame, keys: DataFrame, path: str, by: list[str], order: li
 
 
 def read(spark: SparkSession, path: str, schema: str, by: list[str], number: int | None = None) -> DataFrame:
-    """The rows of a commit, with the columns ``by`` (which ``schema`` has last).
+    """The rows of a commit; ``schema`` has the columns that its folders are named by last.
 
     Rows of keys that the manifest doesn't list, or lists in another build, are
-    left out by a join on the partition columns alone, which prunes folders.
+    left out by a join with it; filters on the folders' columns prune what is read.
     """
     entries = manifest(spark, path, number)
     if entries is None:

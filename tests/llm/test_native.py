@@ -64,6 +64,12 @@ def test_long_and_crowded_texts_count_right(spark):
 def test_boilerplate_in_four_languages(spark):
     good = "\n".join(f"{prose(20, i)}." for i in range(5))
     notices = ["Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados.", "All rights reserved.", "Bitte alle Cookies akzeptieren, danke.", "Suscríbete hoy."]
+    notices += [
+        "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.",
+        "Dieses Werk ist lizenziert unter der MIT-Lizenz.", "Ce texte est publié sous licence MIT.", "Publicado bajo la licencia Creative Commons.",
+    ]
+    prose_of_it = "The council released under pressure what it had long held back and said that no licence was ever given."
+    good = f"{good}\n{prose_of_it}"
     rows = [(i, f"{good}\n{n}") for i, n in enumerate(notices)]
     got = quality_rules.apply_quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(x["clean_text"] == good and x["kept"] for x in got)

@@ -48,7 +48,13 @@ class LineRules:
         r"|accepter (tous )?les cookies|gestion des cookies|tous droits r|politique de confidentialit"
         r"|aller au contenu|abonnez-vous|cliquez ici|mentions l.gales"
         r"|aceptar (todas las )?cookies|pol.tica de (cookies|privacidad)|todos los derechos reservados"
-        r"|saltar al contenido|ir al contenido|suscr.bete|haga clic|haz clic)"
+        r"|saltar al contenido|ir al contenido|suscr.bete|haga clic|haz clic"
+        # notices of a licence: what is done under it, or its name
+        r"|(licen[sc]ed|released|distributed|published) under (a|an|the|mit|apache|gnu|bsd|mozilla|cc|creative|[agl]+pl)\b"
+        r"|(lizenziert|ver.ffentlicht) unter (der|einer|mit|apache|gnu|bsd|mozilla|cc|creative|[agl]+pl)\b"
+        r"|sous (la )?licence (mit|apache|gnu|bsd|mozilla|cc|creative|libre|[agl]+pl)\b"
+        r"|bajo (la |una )?licencia (mit|apache|gnu|bsd|mozilla|cc|creative|libre|[agl]+pl)\b"
+        r"|spdx-license-identifier|creative commons (attribution|namensnennung|by)|gnu general public license)"
     )
     boilerplate_words: int = 30  # a longer line is prose that mentions such a thing
     min_words: int = 50

@@ -94,10 +94,19 @@ def gram_candidates(index: DataFrame, id_col: str, query: str, corpus: DataFrame
     return index.filter(F.col("gram").isin(wanted)).groupBy(id_col).agg(F.count("*").alias("n")).filter(F.col("n") == len(wanted)).select(id_col)
 
 
+def _every_gram() -> Column:
+    """``g``: (gram, code) of all searched fields' keys of a row, each once."""
+
+    def of(field: str, code: bool) -> Column:
+        windows = F.regexp_extract_all(F.coalesce(F.col(f"k_{field}"), F.lit("")), F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+        return F.transform(windows, lambda g: F.struct(g.alias("gram"), F.lit(code).alias("code")))
+
+    return F.explode(F.array_distinct(F.concat(*(of(field, key is X.code_key) for field, key in FIELDS)))).alias("g")
+
+
 def gram_index(keyed: DataFrame, id_col: str) -> DataFrame:
     """(id, gram, code): grams of every searched field's key, and whether it is a code key; worth storing once per roll."""
-    found = [grams(keyed, id_col, f"k_{field}").withColumn("code", F.lit(key is X.code_key)) for field, key in FIELDS]
-    return reduce(DataFrame.unionByName, found).distinct()
+    return keyed.select(id_col, _every_gram()).select(id_col, "g.gram", "g.code")
 
 
 #: Buckets of grams in a stored index; within one, files are in order of grams, so statistics prune further.
@@ -115,8 +124,7 @@ def write_index(keyed: DataFrame, path: str, id_col: str = "pos", ward: str = "w
     Postings that an earlier commit has of these wards are no longer read;
     those of other wards stay as they are.
     """
-    found = [grams(keyed.withColumn("__id", F.struct(ward, id_col)), "__id", f"k_{field}").withColumn("code", F.lit(key is X.code_key)) for field, key in FIELDS]
-    rows = reduce(DataFrame.unionByName, found).distinct().select(f"__id.{ward}", f"__id.{id_col}", "gram", "code")
+    rows = keyed.select(ward, id_col, _every_gram()).select(ward, id_col, "g.gram", "g.code")
     rows = rows.withColumn("bucket", (F.crc32(F.encode("gram", "UTF-8")) % GRAM_BUCKETS).cast("int"))
     return builds.commit(rows, keyed.select(ward).distinct(), path, [ward], ["gram", id_col], partial, ["bucket"])
 

@@ -98,9 +98,9 @@ def indexed_search(v):
     """The same search over all wards by a stored index, some of whose wards were replaced: only its grams' buckets are read."""
     keyed = search.with_keys(v.roll)
     path = own_path(v.spark, "roll-grams")
-    search.write_index(search.with_keys(v.roll.withColumn("name", F.reverse("name"))), path)
-    search.write_index(keyed, path)
-    search.write_index(keyed.filter("ward IN (3, 4)"), path)
+    other = F.when(F.col("ward").isin(3, 4, 5), F.reverse("name")).otherwise(F.col("name"))
+    search.write_index(search.with_keys(v.roll.withColumn("name", other)), path)
+    search.write_index(keyed.filter("ward IN (3, 4, 5)"), path)
     return search.search_voters(keyed, "small ring", index=search.read_index(v.spark, path)).select("ward", "serial", "tier", "rank")
 
 

@@ -26,10 +26,10 @@ SOUNDS = {
 #: Letters that sound as several; the others map one to one.
 SYLLABLES = {letter: sound for letter, sound in SOUNDS.items() if len(sound) > 1}
 LETTERS = {letter: sound for letter, sound in SOUNDS.items() if len(sound) == 1}
-#: Marks that sound as nothing and don't split a word.
+# Fixed value: marks that sound as nothing and don't split a word.
 SILENT = "़्ऽ॑-॔‌‍̀-ͯ"
 _SILENT_MARKS = [chr(c) for c in range(0x300, 0xA00) if re.match(f"[{SILENT}]", chr(c))] + ["\u200c", "\u200d"]
-#: White space as browsers define it.
+# Fixed value: white space as browsers define it.
 WHITE = "\t-\r    -     　﻿"
 
 DEVANAGARI_DIGITS = "०१२३४५६७८९"

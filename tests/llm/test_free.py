@@ -74,12 +74,29 @@ def copies(seed=1, groups=12, size=14, words=90):
 def test_components_equal_all_pairs(spark, monkeypatch, low):
     rows = copies() + [(900, "A b C d E f"), (901, "a B c D e F"), (902, "a b"), (903, "A B"), (904, ""), (905, None), (906, "  "), (None, "a b"), (None, None), (902, "a b")]
     if low:  # branch all but the smallest nodes, compare what stays large in chunks
-        for k, v in (("WORK", 3), ("PIVOTS", 1), ("MAX_DEPTH", 2), ("BLOCK_BYTES", 2000)):
+        for k, v in (("WORK", 3), ("PIVOTS", 1), ("MAX_DEPTH", 2), ("BLOCK_BYTES", 2000), ("AT_ONCE", 2)):
             monkeypatch.setattr(near_dedup, k, v)
     out = near_dedup.near_components(frame(spark, rows)).select("doc_id", "n_shingles", "component_id", "kept").collect()
     assert sorted(map(tuple, out), key=str) == similar(rows)
 
 
+@pytest.mark.parametrize("dense", [0, 4, 10**6])
+def test_nodes_with_many_alike_pairs(spark, monkeypatch, dense):
+    """Groups whose members are alike without all being linked, by pair or on full sets, as DENSE says."""
+    rows, r = [], random.Random(8)
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for i in range(40):
+            w = list(base)
+            for k in r.sample(range(120), 4 + i % 5):
+                w[k] = f"new{r.randrange(10**9)}"
+            rows.append((1000 * g + i, " ".join(w)))
+    monkeypatch.setattr(near_dedup, "DENSE", dense)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 1)
+    out = near_dedup.near_components(frame(spark, rows)).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, out), key=str) == similar(rows)
+
+
 def test_very_long_near_copies_meet(spark):
     r = random.Random(3)
     words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(170_000)]

@@ -11,11 +11,12 @@ branched again by further tokens.  Classes are then compared inside nodes:
    work);
 2. in the rest, all members are compared with those outside the node's largest
    component, if that is little work.  Other nodes branch; one that branching
-   doesn't halve (its members are all fairly alike, though many may not link)
-   is compared on full sets, in blocks of bounded size.
+   doesn't halve (its members are all fairly alike, though many may not link),
+   or whose alike pairs outnumber its members DENSE times, is compared on full
+   sets, in blocks of bounded size that report a spanning forest of their links.
 
 A comparison is first a sketch of 128 bytes (one per minwise hash), in
-generated code; pairs that may reach the threshold are confirmed on the full
+generated code or numpy; pairs that may reach the threshold are confirmed on the full
 sets, recomputed from the texts.  Two texts at the threshold share a given
 minwise token three times in four, so TREES = 12 trees miss one root node in
 4 ** 12, and the sketch's limit lies 4.5 standard deviations down.
@@ -52,6 +53,10 @@ ALIKE = 74
 PIVOTS = 4
 #: Comparisons that a node may need before it is branched instead.
 WORK = 20_000
+#: Alike pairs for each member of a node that are reported one by one.
+DENSE = 4
+#: Comparisons of sketches that a task makes at a time (of 128 bytes each).
+AT_ONCE = 1 << 17
 MAX_DEPTH = 6
 BRANCHES = 2
 #: A node's members meet what is known of the node in so many tasks.
@@ -207,21 +212,75 @@ def pivot_pairs(roots: DataFrame, classes: DataFrame) -> DataFrame:
     return near.select("a", "b")
 
 
-def _shared_before(tree: Column) -> Column:
-    """Whether a and b meet in a root node, of a tree before ``tree``, whose members are all compared."""
-    met = F.lit(False)
-    for t in range(TREES):
-        met = met | ((F.lit(t) < tree) & (F.shiftright("a_done", t).bitwiseAND(F.lit(1)) == 1) & (F.get("a_roots", F.lit(t)) == F.get("b_roots", F.lit(t))))
-    return met
+def node_pairs(ready: DataFrame, root: bool) -> DataFrame:
+    """Members of small nodes compared by sketch, a node at a time: (node, a, b, comp, major).
+
+    A row with b is a pair of classes in different components whose sketches are
+    alike enough.  A node with over DENSE such pairs for each of its members
+    gives its members instead: a, with comp and major, and no b.  Left out are
+    pairs that met in a root node, of an earlier tree where these are root
+    nodes, whose members are all compared (bits of ``done``).
+
+    A node here has WORK members at most, so a task holds the rows of one node and one batch.
+    """
+
+    def compared(t: pa.Table) -> pa.RecordBatch:
+        node, cid, comp, major, tree, done = (t.column(c).to_numpy() for c in ("node", "cid", "comp", "major", "tree", "done"))
+        sketch = np.stack([t.column(s).to_numpy() for s in _S], axis=1).view(np.uint8)
+        roots = pa.concat_arrays([c.flatten() for c in t.column("roots").chunks]).to_numpy().reshape(-1, TREES)
+        _, first, of, size = np.unique(node, return_index=True, return_inverse=True, return_counts=True)
+        asks = np.nonzero(comp != major)[0]
+        ends = np.cumsum(size[of[asks]])
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, (ends[-1] if len(ends) else 0) + AT_ONCE, AT_ONCE)))
+        found = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            n = size[of[asks[lo:hi]]]
+            i = np.repeat(asks[lo:hi], n)
+            j = first[of[i]] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            once = (comp[i] != comp[j]) & ((comp[j] == major[j]) | (cid[i] < cid[j]))
+            i, j = i[once], j[once]
+            near = (sketch[i] == sketch[j]).sum(axis=1) >= ALIKE
+            i, j = i[near], j[near]
+            before = done[i] & ((1 << (tree[i].astype(np.int64) if root else TREES)) - 1)
+            met = ((roots[i] == roots[j]) & ((before[:, None] >> np.arange(TREES)) & 1 == 1)).any(axis=1)
+            found.append(np.stack([i[~met], j[~met]]))
+        i, j = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        dense = np.bincount(of[i], minlength=len(size)) > DENSE * size
+        one = ~dense[of[i]]
+        i, j, members = i[one], j[one], np.nonzero(dense[of])[0]
+        none = pa.nulls(len(i), pa.int64())
+        columns = [
+            np.concatenate([node[i], node[members]]),
+            np.concatenate([np.minimum(cid[i], cid[j]), cid[members]]),
+            pa.concat_arrays([pa.array(np.maximum(cid[i], cid[j]), pa.int64()), pa.nulls(len(members), pa.int64())]),
+            pa.concat_arrays([none, pa.array(comp[members], pa.int64())]),
+            pa.concat_arrays([none, pa.array(major[members], pa.int64())]),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=["node", "a", "b", "comp", "major"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+                last = int(np.searchsorted(rows.column("node").to_numpy(), rows.column("node")[-1].as_py()))
+                if last:  # the last node may go on in the next batch
+                    yield compared(rows.slice(0, last))
+                rest = rows.slice(last)
+        if rest is not None:
+            yield compared(rest)
+
+    rows = ready.select("node", "cid", "comp", "major", "tree", "done", "roots", *_S)
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "node long, a long, b long, comp long, major long")
 
 
 def path_pairs(roots: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What the trees' nodes leave to compare, of classes in different components.
 
     Returns pairs (a, b) whose sketches are alike enough, from nodes with
-    little work; and the members (node, cid, comp, major) of large nodes that
-    branching doesn't take apart.  A pair that meets in several root nodes is
-    reported by the first.
+    little work and few such pairs; and the members (node, cid, comp, major) of
+    nodes with many, and of large nodes that branching doesn't take apart.  A
+    pair that meets in several root nodes is reported by the first.
     """
 
     def byte(c: Column) -> Column:
@@ -249,14 +308,11 @@ def path_pairs(roots: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFra
         if depth == 0:
             done = stored(ready.groupBy("cid").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("tree"))).alias("done")), "done")
         ready = ready.join(done, "cid", "left").withColumn("done", F.coalesce("done", F.lit(0)))
-        side = lambda df, p: df.select(*(F.col(c).alias(p + c) for c in ("node", "tree", "major", "done", *fields)))
-        once = (F.col("b_comp") == F.col("b_major")) | (F.col("a_cid") < F.col("b_cid"))
-        apart = (F.col("a_node") == F.col("b_node")) & (F.col("a_comp") != F.col("b_comp")) & once
-        new = ~_shared_before(F.col("a_tree") if depth == 0 else F.lit(TREES))
-        met = side(ready.filter("comp <> major"), "a_").join(side(ready, "b_"), apart & (alike("a_", "b_") >= ALIKE) & new)
-        met = met.select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b"))
-        pairs = met if pairs is None else pairs.unionByName(met)
-        kept = level.filter("kind = 1").select("node", "cid", "comp", "major")
+        met = stored(node_pairs(ready, depth == 0), "node-pairs")
+        new = met.filter("b IS NOT NULL").select("a", "b")
+        pairs = new if pairs is None else pairs.unionByName(new)
+        dense = met.filter("b IS NULL").select("node", F.col("a").alias("cid"), "comp", "major")
+        kept = level.filter("kind = 1").select("node", "cid", "comp", "major").unionByName(dense)
         stuck = kept if stuck is None else stuck.unionByName(kept)
         rest = level.filter("kind = 2")
         if depth == MAX_DEPTH or rest.isEmpty():
@@ -285,9 +341,9 @@ def block_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     ``members`` (node, cid, comp, major) fall into chunks of about BLOCK_BYTES
     of hashed tokens, those outside the major component, which ask, into chunks
     of their own besides.  A block holds a chunk of askers and a chunk of all,
-    counts shared tokens through an inverted index, and reports for each asker
-    one partner in each component that it reaches.  So a member moves once for
-    each chunk of askers: once, if few ask.
+    counts shared tokens through an inverted index, and reports links that
+    unite components not yet united within the block: fewer than it has members.
+    So a member moves once for each chunk of askers: once, if few ask.
     """
     sets = stored(token_sets(texts.join(members.select("cid").distinct(), "cid", "left_semi")), "near-sets")
     rows = members.join(sets, "cid").withColumn("asks", F.col("comp") != F.col("major"))
@@ -312,7 +368,14 @@ def block_links(members: DataFrame, texts: DataFrame) -> DataFrame:
         tokens, at = np.unique(np.concatenate([sets[i] for i in hold] or [np.empty(0, np.uint64)]), return_inverse=True)
         owner = np.repeat(np.arange(len(hold)), size[hold])[np.argsort(at, kind="stable")]
         first = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(tokens)))])
-        a, b = [], []
+        a, b, up = [], [], {}
+
+        def top(c: int) -> int:
+            while (above := up.get(c, c)) != c:
+                up[c] = up.get(above, above)
+                c = above
+            return c
+
         for i in np.nonzero(asks)[0]:
             k = np.searchsorted(tokens, sets[i])
             k = k[(k < len(tokens)) & (tokens[np.minimum(k, len(tokens) - 1)] == sets[i])] if len(tokens) else k[:0]
@@ -321,8 +384,11 @@ def block_links(members: DataFrame, texts: DataFrame) -> DataFrame:
                 near = hold[100 * n >= PERCENT * (size[i] + size[hold] - n)]
                 near = near[comp[near] != comp[i]]
                 for x in near[np.unique(comp[near], return_index=True)[1]]:
-                    a.append(min(cid[i], cid[x]))
-                    b.append(max(cid[i], cid[x]))
+                    here, there = top(comp[i]), top(comp[x])
+                    if here != there:
+                        up[here] = there
+                        a.append(min(cid[i], cid[x]))
+                        b.append(max(cid[i], cid[x]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     blocks = left.unionByName(right.select(*left.columns))

@@ -206,6 +206,27 @@ def test_mixed_times_are_folded_in_order_of_arrival(spark):
     assert newer == {"a": 2, "b": 2, "c": 0, "half": 2}
 
 
+def test_mixed_times_stay_together_after_a_broadcast(spark):
+    """Ids are folded whole, also if the join that finds the mixed ones is a broadcast join once it runs."""
+    rows = spark.range(4000).select(
+        F.concat(F.lit("t"), F.col("id") % 5).alias("candidate"), F.concat(F.lit("i"), F.col("id") % 5).alias("id"), F.col("id").alias("seq"),
+        F.when(F.col("id") % 2 == 0, F.col("id").cast("variant")).otherwise(F.lit("1970-01-01T00:00:00Z").cast("variant")).alias("updated_at"),
+    )
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        last = synclog.latest_mixed(rows.repartition(4))
+        got = sorted((r["id"], r["seq"]) for r in last.collect())
+    finally:
+        for k in held:
+            spark.conf.unset(k)
+    assert got == [(f"i{k}", max(n for n in range(0, 4000, 2) if n % 5 == k)) for k in range(5)]
+    plan = last._jdf.queryExecution().executedPlan().toString()
+    above = plan[plan.index("MapInArrow") :]
+    assert "Window [row_number()" in above[: above.index("Join")]  # what demands whole ids in order, whatever the join becomes
+
+
 def test_pages_and_arrays(spark):
     log = spark.range(30).select(F.lit("t").alias("candidate"), F.col("id").alias("seq"))
     assert {(r["seq"], r["more"]) for r in synclog.page(log, "t", 24, 5).collect()} == {(s, False) for s in range(25, 30)}

@@ -3,7 +3,9 @@
 import hashlib
 import json
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +73,31 @@ def test_batch_search_equals_single_scans(spark):
         assert [(t, d) for n, _, d, t in both[0] if n == i] == want
 
 
+def test_windows_are_held_a_piece_at_a_time(spark, monkeypatch):
+    """What a batch of keys takes in memory is bounded by a piece, whatever the batch has; pieces change no match."""
+    keys = ["ab cd " * 200] * 5000 + ["x" * (3 << 20), None, ""]  # 6 MB in short keys, 3 MB in one
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(keys))), pa.array(keys)], names=["id", "key"])
+    tracemalloc.start()
+    at, sizes = [], []
+    for piece in search._pieces(batch.slice(1), 1):
+        at += piece.column(0).to_pylist()
+        sizes.append(sum(len(k or "") for k in piece.column(1).to_pylist()))
+        if len(sizes) == 2:
+            tracemalloc.reset_peak()
+            search._codes(piece.column(1).to_pylist())
+            peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == list(range(1, len(keys))) and sorted(sizes)[-2] <= search.PIECE < sizes[-2] + sizes[-1] and peak < 64 << 20
+    docs = spark.createDataFrame([(i, f"river {i % 7} mill {i} road") for i in range(300)] + [(300, None), (301, "")], "doc long, key string").coalesce(1)
+    asked = spark.createDataFrame([(1, "mill 2"), (2, "river 3"), (3, "none such")], "asked long, key string")
+    want = None
+    for size in (1 << 20, 64):
+        monkeypatch.setattr(search, "PIECE", size)
+        for small in (1 << 20, 0):
+            got = sorted(map(tuple, search.batch_search(docs, asked, 5, id_col="doc", query_col="asked", small=small).collect()))
+            assert got and got == (want := want or got)
+
+
 def test_index_narrows_a_search_without_changing_it(spark, keyed):
     rows = keyed.withColumn("pos", F.monotonically_increasing_id()).cache()
     index = search.gram_index(rows, "pos").cache()

@@ -9,6 +9,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -223,11 +224,26 @@ def search_names(df: DataFrame, query: str, *, name: str = "name", order: tuple[
 SMALL_BATCH = 16 << 20
 
 
+#: Bytes of keys whose windows are held at once, about 40 times that in numbers; a longer key is taken alone.
+PIECE = 1 << 20
+
+
+def _pieces(batch: pa.RecordBatch, key: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, in slices whose keys have ``PIECE`` bytes together at most."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(key)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(upto):
+        before = upto[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(upto, before + PIECE, side="right")))
+        yield batch.slice(first, end - first)
+        first = end
+
+
 def _codes(keys: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(number of the key, code) of every window of three bytes in some keys."""
     raw = [(k or "").encode() for k in keys]
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)
-    at = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+    at = np.repeat(np.arange(len(raw), dtype=np.int32), [len(r) for r in raw])
     inside = at[2:] == at[:-2]
     return at[2:][inside], (data[:-2] << 16 | data[1:-1] << 8 | data[2:])[inside]
 
@@ -238,7 +254,7 @@ def _gram_counts(corpus: DataFrame, key: str, wanted: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.unpackbits(wanted).view(bool)
         total: dict[int, int] = {}
-        for batch in batches:
+        for batch in (piece for b in batches for piece in _pieces(b, 0)):
             _, codes = _codes(batch.column(0).to_pylist())
             for code, n in zip(*(x.tolist() for x in np.unique(codes[flags[codes]], return_counts=True)), strict=True):
                 total[code] = total.get(code, 0) + n
@@ -251,7 +267,7 @@ def _query_codes(queries: DataFrame, query_col: str, key: str) -> DataFrame:
     """(query, code) of the grams of every query key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for b in batches for piece in _pieces(b, 1)):
             at, codes = _codes(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(codes, pa.int32())], names=[query_col, "code"])
 
@@ -265,7 +281,7 @@ def _holders(corpus: DataFrame, id_col: str, key: str, wanted: np.ndarray) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.unpackbits(wanted).view(bool)
-        for batch in batches:
+        for batch in (piece for b in batches for piece in _pieces(b, 1)):
             at, codes = _codes(batch.column(1).to_pylist())
             keep = flags[codes]
             pairs = np.unique(at[keep].astype(np.int64) << 24 | codes[keep])
@@ -288,7 +304,7 @@ def _tiers_here(corpus: DataFrame, id_col: str, key: str, queries: DataFrame, qu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(packed).view(bool)
-        for batch in batches:
+        for batch in (piece for b in batches for piece in _pieces(b, 1)):
             keys = batch.column(1).to_pylist()
             at, codes = _codes(keys)
             keep = wanted[codes]
@@ -326,7 +342,7 @@ def batch_search(
     Candidates are rows that hold the query's rarest gram (three bytes; by its
     count in the corpus), so a frequent gram is never what a match starts from;
     the tier is then checked on the whole key.  Grams are counted and found in
-    numpy, a batch of keys at a time, and no gram of the corpus is moved but the
+    numpy, a megabyte of keys at a time, and no gram of the corpus is moved but the
     counts.  Query keys that are small together go to the corpus rows; others
     meet them in joins.  ``corpus`` is read twice, so its keys should be stored.
     """

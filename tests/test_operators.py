@@ -202,6 +202,15 @@ def test_records_are_read_from_their_payload(spark):
     assert got == {1: ("9876543210", "a", False), 2: (None, "a", False), 3: (None, "a", False), 6: (None, None, True)}
 
 
+@pytest.mark.parametrize("read", [synclog.mark_records, synclog.contact_records])
+def test_a_payload_is_parsed_once(spark, read):
+    """The plan that runs parses a record's document in one place, after rows of other kinds are gone."""
+    rows = spark.createDataFrame([("mark:1:2", "{}"), ("contact:1:2", "{}"), ("other:1:2", None)], "id string, data string")
+    plan = read(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson(") == 1 or plan.lower().count("parse_json(") == 1
+    assert plan.index("Generate explode") < plan.index("StartsWith")
+
+
 def test_validity_wants_a_sealed_payload(spark):
     rows = [("a", 1, "c", "i", True), ("", 1, "c", "i", False), ("a" * 201, 1, "c", "i", False), ("a", None, "c", "i", False), ("a", 1, "", "i", False), ("a", 1, "c", None, False), (None, 1, "c", "i", False)]
     rows = [("t", *r) for r in rows] + [(None, "a", 1, "c", "i", False), ("", "a", 1, "c", "i", False)]

@@ -70,6 +70,23 @@ def test_streams_equal_batch_and_survive_a_replay(spark, tmp_path):
     assert "more" not in seen  # a run that resumes finds nothing
 
 
+def test_a_query_s_batches_are_dealt_to_all_cores(spark, tmp_path):
+    """Six batches, each with a file for every core; equal times stay in one file, so in one batch."""
+    from types import SimpleNamespace
+
+    from wardloom.plans import log_queries
+
+    cores = spark.sparkContext.defaultParallelism
+    rows = log(spark, 3000).withColumn("updated_at", F.timestamp_seconds(1_700_000_000 + F.col("seq") % 1000))
+    _, stream = log_queries._logged(SimpleNamespace(spark=spark, sync_log=rows), "dealt")
+    seen = []
+    keep = lambda df, b: seen.extend((b, r["file"], r["updated_at"]) for r in df.collect())
+    start(stream.select("updated_at", F.input_file_name().alias("file")), [keep], tmp_path / "cp")
+    assert len(seen) == 3000 and len({b for b, _, _ in seen}) == 6
+    assert all(len({f for b, f, _ in seen if b == n}) == cores for n in range(6))
+    assert len({(f, t) for _, f, t in seen}) == 1000
+
+
 def test_a_batch_writes_its_own_keys_alone(spark, tmp_path):
     """Equal batches of new ids: what the checkpoint's state and the table grow by doesn't grow with the ids that were there."""
     import os

@@ -453,13 +453,13 @@ def sample_matched(v):
 _SOUND = "event_id % 23 <> 0 AND event_id % 29 <> 0"
 
 
-def _logged(v, name: str, files: int = 6):
-    """The log as a folder of files, in order of arrival, and a stream over it."""
-    root = own_path(v.spark, name)
+def _logged(v, name: str, batches: int = 6):
+    """The log as a folder of files, in order of arrival, and a stream over it whose batches have a file for every core."""
+    root, cores = own_path(v.spark, name), v.spark.sparkContext.defaultParallelism
     times = F.col("updated_at").cast("timestamp").alias("updated_at")
     rows = v.sync_log.select("candidate", "seq", "id", times, "device", "ciphertext", "iv", "data")
-    rows.repartitionByRange(files, "updated_at").write.parquet(f"{root}/log")
-    return root, jobs.log_stream(v.spark, f"{root}/log")
+    rows.repartitionByRange(batches * cores, "updated_at").write.parquet(f"{root}/log")
+    return root, jobs.log_stream(v.spark, f"{root}/log", cores)
 
 
 @query(f"SELECT candidate, id, count(*) AS records FROM (SELECT DISTINCT candidate, id, CASE WHEN id LIKE 'mark:%' THEN 0 ELSE seq END AS k FROM sync_log WHERE {_SOUND}) x GROUP BY candidate, id")

@@ -6,8 +6,10 @@ import os
 import duckdb
 import pytest
 
+from wardloom.operators import tally
 from wardloom.plans import registry
 from wardloom.plans.adapters import TABLES
+from wardloom.streaming import jobs
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
@@ -55,3 +57,24 @@ def test_batch_search_asks_for_whole_passages(spark, tmp_path):
     spark.createDataFrame([(64, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = registry.queries()["batch_search"](spark, str(tmp_path)).collect()
     assert [tuple(r[c] for c in ("item_id", "place", "doc_id", "tier")) for r in got] == [(64, 1, 20, 2)]
+
+
+def test_stream_sms_uses_all_cores_and_reads_the_log_once_to_pack(spark, monkeypatch):
+    """A batch of the log has a file for every core, and messages are packed from stored voters, not from the log's plan."""
+    logs, plans = [], []
+    log_stream, encode = jobs.log_stream, tally.encode_messages
+
+    def logged(session, path, files=1, *rest):
+        logs.append((len(session.read.parquet(path).inputFiles()), files))
+        return log_stream(session, path, files, *rest)
+
+    def encoded(marks):
+        plans.append(marks._jdf.queryExecution().optimizedPlan().toString())
+        return encode(marks)
+
+    monkeypatch.setattr(jobs, "log_stream", logged)
+    monkeypatch.setattr(tally, "encode_messages", encoded)
+    assert registry.queries()["stream_sms"](spark, DATA).count() > 0
+    cores = spark.sparkContext.defaultParallelism
+    assert logs == [(cores, cores)]
+    assert len(plans) == 1 and "Join" not in plans[0] and plans[0].startswith("Relation")

@@ -508,6 +508,13 @@ def stream_contacts(v):
     return jobs.live_contacts(v.spark, f"{root}/table").select("candidate", "ward", "serial", "phone")
 
 
+def _messages(v, root: str):
+    """Every mark as messages, from files: packing reads the voters several times, and the log behind them is read once."""
+    v.marks.select("candidate", "worker", "ward", "serial").distinct().write.parquet(f"{root}/marks")
+    tally.encode_messages(v.spark.read.parquet(f"{root}/marks")).write.parquet(f"{root}/packed")
+    return v.spark.read.parquet(f"{root}/packed")
+
+
 @query(f"""WITH RECURSIVE {_MESSAGES}, sent AS (SELECT m.candidate, m.ward, m.serial, CASE WHEN m.worker IN ('w1', 'w2', 'w3') THEN 2 ELSE 1 END AS times FROM (SELECT DISTINCT candidate, worker, ward, serial FROM marks) m),
     live AS (SELECT DISTINCT ward, serial FROM roll WHERE NOT struck),
     synced AS (SELECT DISTINCT candidate, CAST(ward AS BIGINT) AS ward, serial FROM {_PAYLOAD} WHERE {_SOUND} AND seq % 2 = 0 AND id = concat('mark:', ward, ':', serial) AND length(worker) BETWEEN 1 AND 100),
@@ -517,16 +524,16 @@ def stream_contacts(v):
     SELECT candidate, ward, serial, CASE WHEN NOT inside THEN 'outside' WHEN i = 0 AND NOT known THEN 'new' ELSE 'duplicate' END AS state FROM r""")
 def stream_sms(v):
     """Half the log synced, then every mark sent as messages, some workers' twice: each serial new, marked before, or outside the roll."""
-    root = own_path(v.spark, "sms")
+    root, cores = own_path(v.spark, "sms"), v.spark.sparkContext.defaultParallelism
     half = v.sync_log.filter("seq % 2 = 0").withColumn("updated_at", F.col("updated_at").cast("timestamp"))
-    half.select("candidate", "seq", "id", "updated_at", "device", "ciphertext", "iv", "data").repartition(2).write.parquet(f"{root}/log")
-    sms = tally.encode_messages(v.marks)
+    half.select("candidate", "seq", "id", "updated_at", "device", "ciphertext", "iv", "data").repartition(cores).write.parquet(f"{root}/log")
+    sms = _messages(v, root)
     again = sms.filter(F.col("worker").isin("w1", "w2", "w3"))
     sms = sms.unionByName(again).select("candidate", "ward", "text")
     sms.limit(0).write.parquet(f"{root}/sms")
-    messages = v.spark.readStream.schema(sms.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/sms")
-    reports = jobs.message_marks(messages, v.roll, jobs.log_stream(v.spark, f"{root}/log", 2))
+    messages = v.spark.readStream.schema(sms.schema).option("maxFilesPerTrigger", cores).parquet(f"{root}/sms")
+    reports = jobs.message_marks(messages, v.roll, jobs.log_stream(v.spark, f"{root}/log", cores))
     jobs.pull(reports, [jobs.table(f"{root}/table")], f"{root}/checkpoint")
-    sms.repartition(4).write.mode("append").parquet(f"{root}/sms")
+    sms.repartition(2 * cores).write.mode("append").parquet(f"{root}/sms")
     jobs.pull(reports, [jobs.table(f"{root}/table")], f"{root}/checkpoint")
     return jobs.stored(v.spark, f"{root}/table", jobs.SMS_SCHEMA).select("candidate", "ward", "serial", "state")

@@ -259,6 +259,13 @@ def test_mixed_times_are_folded_in_order_of_arrival(spark):
     assert newer == {"a": 2, "b": 2, "c": 0, "half": 2}
 
 
+def test_a_time_is_read_once(spark):
+    """A VARIANT time is read as a date in one place, whatever uses it."""
+    df = spark.createDataFrame([("5",)], "t string").select(F.parse_json("t").alias("updated_at"))
+    rows = synclog.typed_time(df).filter("ms IS NOT NULL AND ms > 1").withColumn("more", F.col("ms") + F.col("number"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().lower().count("rlike") == 1
+
+
 def test_mixed_times_stay_together_after_a_broadcast(spark):
     """Ids are folded whole, also if the join that finds the mixed ones is a broadcast join once it runs."""
     rows = spark.range(4000).select(

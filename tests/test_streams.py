@@ -116,6 +116,33 @@ def test_counts_hold_a_row_for_each_ward(spark, tmp_path):
     assert raw.count() == raw.select("candidate", "ward").distinct().count() == 2
 
 
+def test_state_stores_are_bounded_by_cores(spark, tmp_path):
+    """A session with many partitions for a large input: a stateful step has no more stores than cores can use, and a resumed run keeps them."""
+    name, most = "spark.sql.shuffle.partitions", jobs.STORES * spark.sparkContext.defaultParallelism
+    rows = log(spark, 600).cache()
+    before = spark.conf.get(name)
+
+    def stores():
+        return {len([s for s in step.iterdir() if s.name.isdigit()]) for step in (tmp_path / "cp" / "state").iterdir()}
+
+    def run(part, asked):
+        rows.filter(part).repartitionByRange(2, "seq").write.mode("append").parquet(str(tmp_path / "log"))
+        spark.conf.set(name, asked)
+        try:
+            stream = jobs.ward_counts(jobs.log_stream(spark, str(tmp_path / "log")))
+            jobs.pull(stream, [jobs.keyed_table(str(tmp_path / "c"), "candidate", "ward")], str(tmp_path / "cp"))
+            assert spark.conf.get(name) == asked
+        finally:
+            spark.conf.set(name, before)
+
+    run("seq < 300", str(8 * most))
+    assert stores() == {most}
+    run("seq >= 300", "3")
+    assert stores() == {most}
+    voters = synclog.mark_records(rows).select("candidate", "ward", "serial").distinct().groupBy("candidate", "ward").count()
+    assert sorted(map(tuple, jobs.live_counts(spark, str(tmp_path / "c")).collect())) == sorted(map(tuple, voters.collect()))
+
+
 def test_a_run_takes_so_many_pages(spark, tmp_path):
     log(spark, 70).repartitionByRange(7, "seq").write.parquet(str(tmp_path / "log"))
     table = str(tmp_path / "t")

@@ -30,6 +30,8 @@ COUNTS_SCHEMA = "candidate string, ward string, voters bigint"
 SMS_SCHEMA = "candidate string, ward bigint, serial bigint, worker string, state string"
 #: Batches (pages) of one run, at most.
 PAGES = 50
+#: State stores of a stateful step for each core, at most.  A store costs a commit in every batch, with or without rows.
+STORES = 2
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -285,9 +287,19 @@ def _each(handlers: list[Handler], pages: int | None, done: list[int]) -> Handle
 
 
 def _start(stream: DataFrame, each: Handler, checkpoint: str, every: str | None) -> StreamingQuery:
-    keyed_state(stream.sparkSession)
+    """Starts with as many state stores as cores can use, however many partitions the session has for its input.
+
+    A stream takes the session's settings as it starts; one that resumes keeps the stores of its checkpoint.
+    """
+    spark, name = stream.sparkSession, "spark.sql.shuffle.partitions"
+    keyed_state(spark)
+    asked = spark.conf.get(name)
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each).trigger(**trigger).start()
+    spark.conf.set(name, str(min(int(asked), STORES * spark.sparkContext.defaultParallelism)))
+    try:
+        return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each).trigger(**trigger).start()
+    finally:
+        spark.conf.set(name, asked)
 
 
 def run(stream: DataFrame, handlers: list[Handler], checkpoint: str, every: str | None = None) -> StreamingQuery:
